@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_main, katz, langid, line_dedup, near_dedup, piece_sampling, secrets
+from . import ann, decontaminate, html_main, katz, langid, line_dedup, near_dedup, piece_sampling, secrets
 
-QUERIES = {f.__name__: f for f in (html_main.op2_html_extraction, piece_sampling.op3_sentencepiece, near_dedup.op4_near_dedup, langid.op5_language_id, line_dedup.op7_line_dedup, ann.op8_nearest_neighbours, katz.op9_lm_scoring, secrets.op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (decontaminate.op1_decontamination, html_main.op2_html_extraction, piece_sampling.op3_sentencepiece, near_dedup.op4_near_dedup, langid.op5_language_id, line_dedup.op7_line_dedup, ann.op8_nearest_neighbours, katz.op9_lm_scoring, secrets.op10_secret_scan)}
 ORACLES = {"op7_line_dedup": line_dedup.ORACLE}
