@@ -7,8 +7,8 @@ common, whatever the order, so the inverted lists of retained values lose no lin
 keeps passages that thousands of documents share out of the lists, unless the documents hold little else.
 
 1. Documents with equal sets form a class; its smallest id stands for it.
-2. Frequent values: each task counts the values of its documents and reports those it met several times.
-   The list is cut to a bounded number of the most frequent ones. It only shapes the order.
+2. Frequent values: those counted in more documents than a short list has, cut to a bounded number of the
+   most frequent ones. They only shape the order.
 3. Inverted lists: a short list gives its pairs, by size and position whether they can still reach t.
    A long list, mostly a group of near copies, gives a star: a centre and each member.
 4. The union of two plain bottom-64 sketches estimates the similarity and filters (six standard deviations
@@ -44,22 +44,21 @@ MOST_IDS_SENT = 1 << 21
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes."""
 
-    def __init__(self, words: int, most: int = 400_000):
-        self.words, self.most, self.cache = words, most, {}
+    def __init__(self, words: int):
+        self.words = words
 
     def values(self, text: bytes | None) -> np.ndarray:
         tokens = (text or b"").lower().split()
         if not tokens:
             return np.empty(0, np.uint64)
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        cache, of = self.cache, xxhash.xxh3_64_intdigest
-        h = np.fromiter((cache[w] if w in cache else cache.setdefault(w, of(w)) for w in tokens), np.uint64, len(tokens))
+        h = np.array(list(map(xxhash.xxh3_64_intdigest, tokens)), np.uint64)
         n = min(self.words, len(h))
-        out = mix64(h[: len(h) - n + 1], n)
+        out = h[: len(h) - n + 1] + np.uint64(n)
         for k in range(1, n):
-            out = mix64(out ^ h[k : len(h) - n + 1 + k], k)
-        return np.unique(out)
+            out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ (out >> np.uint64(32)) ^ h[k : len(h) - n + 1 + k]
+        out = mix64(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def _describe(words: int):
@@ -75,15 +74,17 @@ def _describe(words: int):
     return run
 
 
-def _often(words: int, least: int = 4, at_once: int = 1 << 22):
-    """Values that this task meets in at least ``least`` of its documents, with how many."""
+def _often(words: int, at_once: int = 1 << 22):
+    """How many of a task's documents hold a value: of the low quarter of all hashes, where most retained
+    values lie, every one; of the others those that it meets at least twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(words), [], 0
 
         def out() -> pa.RecordBatch:
             v, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(v[c >= least].view("i8")), pa.array(c[c >= least])], ["v", "c"])
+            keep = (v < np.uint64(1 << 62)) | (c > 1)
+            return pa.RecordBatch.from_arrays([pa.array(v[keep].view("i8")), pa.array(c[keep])], ["v", "c"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
@@ -206,10 +207,10 @@ def sizes_fit(x: str, y: str, num: int, den: int):
 def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(node, component) of the classes that are linked with others."""
     spark = texts.sparkSession
-    counted = staged(texts.select("text").mapInArrow(_often(words), "v long, c long").groupBy("v").agg(F.sum("c").alias("c")), "often")
+    counted = staged(texts.select("text").mapInArrow(_often(words), "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") > SHORT_LIST), "often")
     cut = counted.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c"))  # a row for each count
     least, held = SHORT_LIST + 1, 0
-    for row in cut.filter(F.col("c") > SHORT_LIST).toLocalIterator():
+    for row in cut.toLocalIterator():
         held += row.k
         if held > MOST_FREQUENT:
             least = row.c + 1
@@ -230,7 +231,7 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
     links = confirm(short.union(star).filter(F.col("a") < F.col("b")))
 
     long_ = long_.select("v", "rep", "n", "place")
-    for turn in range(8):
+    for turn in range(4):
         found = components(links)
         open_ = long_.join(found, long_["rep"] == found["node"], "left").select("v", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
         parts = open_.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("rep", "n", "place"), F.xxhash64("rep", "v", F.lit(turn))).alias("centre"))
@@ -240,7 +241,7 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
         if not left:
             return found
         open_ = open_.join(whole, "v")
-        last = turn == 7 or cross <= 16 * left
+        last = turn == 3 or cross <= max(16 * left, 10_000_000)
         if last:  # every pair across components that can still reach the threshold
             y = open_.select("v", F.struct("rep", "n", "place").alias("y"), F.col("component").alias("cy"))
             x = open_.filter(F.col("component") != F.col("main")).select("v", F.struct("rep", "n", "place").alias("x"), F.col("component").alias("cx"), "main")
