@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,52 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class TokenHasher:
+    """Words between blanks to 64-bit hashes, without a Python object for each word.
+
+    The default blanks are ASCII white space; A-Z hash as a-z. A word's hash is a sum of random values of its
+    bytes times powers of an odd number, put through a bijective finaliser.
+    """
+
+    def __init__(self, blanks: bytes = ASCII_SPACE):
+        values = mix64(np.arange(256, dtype=np.uint64), 97)
+        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
+        self.values, self.word = values, np.ones(256, bool)
+        self.word[list(blanks)] = False
+        self.powers = self._powers(64)
+
+    @staticmethod
+    def _powers(n: int) -> np.ndarray:
+        return np.cumprod(np.full(n, 0xD1342543DE82EF95, np.uint64))
+
+    def hashes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of texts and where each starts and the last ends: all words' hashes in order, and each text's number of words."""
+        word = self.word[data]
+        begins = word.copy()
+        begins[1:] &= ~word[:-1]
+        edges = bounds[:-1][bounds[:-1] < len(data)]
+        begins[edges] = word[edges]
+        at = np.flatnonzero(begins)
+        sizes = np.diff(np.searchsorted(at, bounds))
+        if not len(at):
+            return np.empty(0, np.uint64), sizes
+        held = np.flatnonzero(word)
+        first = np.searchsorted(held, at)
+        lengths = np.diff(np.append(first, len(held)))
+        if lengths.max() > len(self.powers):
+            self.powers = self._powers(int(lengths.max()))
+        local = np.arange(len(held), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+        return mix64(np.add.reduceat(self.values[data[held]] * self.powers[local], first)), sizes
+
+    def chunks(self, column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, hashes, words of each row) of runs of rows; nulls are empty."""
+        column = column.cast(pa.binary()).fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        lo = 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most_bytes, "right")) - 1)
+            yield lo, hi, *self.hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            lo = hi

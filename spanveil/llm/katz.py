@@ -26,63 +26,44 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, mix64, staged
+from .common import TokenHasher, crc_mod, documents, mix64, staged
 
-END = b"\n"  # no word holds it
+END = np.uint64(0x9D5C1F3B7A2E8640)  # the hash of the end token
 GT_MAX = 5
 BLOCK_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 23
 
 
-class Tokens:
-    """Texts to arrays of 64-bit token hashes; the cache is bounded."""
-
-    def __init__(self, most: int = 400_000):
-        self.most, self.cache = most, {}
-        self.end = self.of(END)
-
-    @staticmethod
-    def of(word: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(word)
-
-    def blocks(self, batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, rows, hashes, tokens of each row) for runs of rows."""
-        texts = batch.column(text_at).cast(pa.binary()).to_pylist()
-        lo = 0
-        while lo < len(texts):
-            words, sizes, hi = [], [], lo
-            while hi < len(texts) and (hi == lo or len(words) < BLOCK_TOKENS):
-                own = (texts[hi] or b"").lower().split()
-                words += own
-                words.append(END)
-                sizes.append(len(own) + 1)
-                hi += 1
-            if len(self.cache) > self.most:
-                self.cache.clear()
-            cache, of = self.cache, self.of
-            hashes = np.fromiter((cache[w] if w in cache else cache.setdefault(w, of(w)) for w in words), np.uint64, len(words))
-            yield lo, hi - lo, hashes, np.array(sizes)
-            lo = hi
+def tokens_of(hasher: TokenHasher, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, token hashes with each text's end token, tokens of each row)."""
+    for lo, hi, words, sizes in hasher.chunks(column):
+        ends = np.cumsum(sizes + 1) - 1
+        hashes = np.empty(len(words) + len(sizes), np.uint64)
+        inner = np.ones(len(hashes), bool)
+        inner[ends] = False
+        hashes[inner], hashes[ends] = words, END
+        yield lo, hi, hashes, sizes + 1
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, held, size = Tokens(), [], 0
+    hasher, held, size = TokenHasher(), [], 0
 
     def out() -> pa.RecordBatch:
-        keys, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([h[1] for h in held])).astype(np.int64)
+        codes, keys = pd.factorize(np.concatenate([h[0] for h in held]))
+        counts = np.bincount(codes, np.concatenate([h[1] for h in held])).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(keys.view("i8")), pa.array(counts)], ["h", "c"])
 
     for batch in batches:
-        for _, _, hashes, _ in tokens.blocks(batch, 0):
-            held.append(np.unique(hashes, return_counts=True))
-            size += len(held[-1][0])
-            if size > 2 * BLOCK_TOKENS:
+        for _, _, hashes, _ in tokens_of(hasher, batch.column(0)):
+            codes, keys = pd.factorize(hashes)
+            held.append((keys, np.bincount(codes)))
+            size += len(keys)
+            if size > BLOCK_TOKENS:
                 yield out()
                 held, size = [], 0
     if held:
@@ -91,27 +72,72 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 @dataclass
 class Vocabulary:
-    """Sorted token hashes with counts. A token's id is its place; the start of a text has the id ``len``."""
+    """Token hashes, sorted, with their ids; ids go by falling count. The start of a text has the id ``len``."""
 
     hashes: np.ndarray
-    counts: np.ndarray
+    ids_by_hash: np.ndarray
+    counts: np.ndarray  # by id
     total: int
 
     def __len__(self) -> int:
         return len(self.hashes)
 
+    @classmethod
+    def of(cls, hashes: np.ndarray, counts: np.ndarray) -> Vocabulary:
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        by_count = np.argsort(-counts, kind="stable")
+        ids = np.empty(len(hashes), np.int32)
+        ids[by_count] = np.arange(len(hashes))
+        return cls(hashes, ids, counts[by_count], int(counts.sum()))
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
-        own, inverse = np.unique(hashes, return_inverse=True)
+            return np.full(len(hashes), -1, np.int32)
+        codes, own = pd.factorize(hashes)
         at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == own, at, -1)[inverse]
+        return np.where(self.hashes[at] == own, self.ids_by_hash[at], -1).astype(np.int32)[codes]
+
+
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Byte by byte of all values: what compresses well."""
+    values = np.ascontiguousarray(values.astype(kind))
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(blob: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _encode(vocabulary, names: list[str]):
+    """Texts to token ids, -1 for unknown ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hasher = vocabulary.value, TokenHasher()
+        for batch in batches:
+            for lo, hi, hashes, sizes in tokens_of(hasher, batch.column(len(names))):
+                ids, ends = known.ids(hashes), np.cumsum(sizes)
+                coded = [_planes(ids[e - n : e], "<i4") for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(names)], pa.array(coded, pa.binary())], [*names, "token_ids"])
+
+    return run
 
-    def pairs(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The histories of the tokens."""
+
+def _coded(column: pa.Array, size: int, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, ids, histories, tokens of each row) of runs of coded rows; size: of the vocabulary."""
+    blobs, lo = column.to_pylist(), 0
+    while lo < len(blobs):
+        hi, n = lo, 0
+        while hi < len(blobs) and (hi == lo or n < most):
+            n += len(blobs[hi]) // 4
+            hi += 1
+        sizes = np.array([len(x) // 4 for x in blobs[lo:hi]])
+        ids = np.concatenate([_from_planes(x, "<i4") for x in blobs[lo:hi]]).astype(np.int64)
         before = np.concatenate([[0], ids[:-1]])
-        before[np.cumsum(sizes) - sizes] = len(self)
-        return before
+        before[np.cumsum(sizes) - sizes] = size
+        yield lo, hi, ids, before, sizes
+        lo = hi
 
 
 def discounts(count_of_counts: dict[int, int], most: int = GT_MAX) -> np.ndarray:
@@ -153,43 +179,53 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Rising values as gaps, byte by byte of all gaps: what compresses well."""
-    gaps = np.diff(values, prepend=values.dtype.type(0)) if len(values) else values
-    return np.ascontiguousarray(gaps.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Rising values as gaps."""
+    return _planes(np.diff(values, prepend=values.dtype.type(0)), "<i8") if len(values) else b""
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel()) if blob else np.empty(0, np.int64)
-
+    return np.cumsum(_from_planes(blob, "<i8")) if blob else np.empty(0, np.int64)
+
+
+def _count_pairs(size: int, buckets: int):
+    def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate(held)
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        counts, keys = np.diff(np.append(first, len(keys))), keys[first]
+        bucket = _bucket_of(keys, buckets)
+        order = np.argsort(bucket.astype(np.int16 if buckets < 2**15 else np.int32), kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            if ends[b] < ends[b + 1]:
+                own = order[ends[b] : ends[b + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(keys[own])], pa.binary()), pa.array([_planes(counts[own], "<u4")], pa.binary())], ["bucket", "keys", "counts"])
 
-def _count_pairs(vocabulary, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tokens = vocabulary.value, Tokens()
+        held, n = [], 0
         for batch in batches:
-            for _, _, hashes, sizes in tokens.blocks(batch, 0):
-                ids = known.ids(hashes)
-                keys, counts = np.unique(known.pairs(ids, sizes) * (len(known) + 1) + ids, return_counts=True)
-                bucket = _bucket_of(keys, buckets)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    if ends[b] < ends[b + 1]:
-                        own = order[ends[b] : ends[b + 1]]
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(keys[own])], pa.binary()), pa.array([counts[own].astype("<u4").tobytes()], pa.binary())], ["bucket", "keys", "counts"])
+            for _, _, ids, before, _ in _coded(batch.column(0), size):
+                held.append(before * (size + 1) + ids)
+                n += len(ids)
+                if n > 2 * BLOCK_TOKENS:
+                    yield from out(held)
+                    held, n = [], 0
+        if held:
+            yield from out(held)
 
     return run
 
 
 def _merge_bucket(table: pa.Table) -> pa.Table:
     keys, inverse = np.unique(np.concatenate([_unpacked(x) for x in table["keys"].to_pylist()]), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()]))
-    return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([np.minimum(counts, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+    counts = np.bincount(inverse, np.concatenate([_from_planes(x, "<u4") for x in table["counts"].to_pylist()]))
+    return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_planes(np.minimum(counts, 2**32 - 1), "<u4")], pa.binary())})
 
 
 def _count_histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("counts").to_pylist():
-            c, n = np.unique(np.frombuffer(blob, "<u4"), return_counts=True)
+            c, n = np.unique(_from_planes(blob, "<u4"), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(n.astype(np.int64))], ["c", "n"])
 
 
@@ -200,7 +236,7 @@ def _histories(shared, d: np.ndarray):
         size, logs = shared.value
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = _unpacked(keys), np.frombuffer(counts, "<u4").astype(np.int64)
+                keys, counts = _unpacked(keys), _from_planes(counts, "<u4").astype(np.int64)
                 h, start = np.unique(keys // (size + 1), return_index=True)
                 parts = [np.add.reduceat(x, start) for x in (counts, discounted(counts, d), 10.0 ** logs[keys % (size + 1)])]
                 yield pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, parts)], ["h", "c", "kept", "lower"])
@@ -212,7 +248,7 @@ def _heavy(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                counts = np.frombuffer(counts, "<u4")
+                counts = _from_planes(counts, "<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(_unpacked(keys)[counts >= least]), pa.array(counts[counts >= least].astype(np.int64))], ["key", "c"])
 
     return run
@@ -222,7 +258,8 @@ def _heavy(least: int):
 class Model:
     """What a scoring task holds besides its bucket."""
 
-    vocabulary: Vocabulary
+    counts: np.ndarray  # by token id
+    total: int
     unigrams: Unigrams
     d: np.ndarray
     log_c: np.ndarray  # by history: log10 of its count (-inf: none)
@@ -231,7 +268,7 @@ class Model:
     heavy_counts: np.ndarray
 
     def seen(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.log10(discounted(counts, self.d)) - self.log_c[keys // (len(self.vocabulary) + 1)]
+        return np.log10(discounted(counts, self.d)) - self.log_c[keys // (len(self.counts) + 1)]
 
     def backed_off(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 of weight times lower order; an unknown history has weight 1."""
@@ -250,28 +287,35 @@ class Model:
 @dataclass
 class Fitted:
     model: Model
-    tokens: DataFrame
     pairs: DataFrame
     buckets: int
 
 
-def fit(training: DataFrame, text_col: str = "text", heavy: int = 1 << 19, most_tokens: int = 1 << 24) -> Fitted:
-    """Counts, discounts and backoff weights of the texts of training."""
-    spark = training.sparkSession
+def vocabulary_of(training: DataFrame, text_col: str = "text", most_tokens: int = 1 << 24) -> Vocabulary:
+    """Counts of the training texts' tokens. The table is written first and its size checked."""
     texts = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tokens = staged(texts.mapInArrow(_count_tokens, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "tokens")
-    size, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    size = tokens.count()
     if size > most_tokens:
         raise ValueError(f"{size} distinct tokens exceed most_tokens = {most_tokens}")
     got = tokens.toArrow()
-    hashes, counts = got["h"].to_numpy().view("u8"), got["c"].to_numpy()
-    order = np.argsort(hashes)
-    vocabulary = Vocabulary(hashes[order], counts[order], total)
-    unigrams = Unigrams.of(vocabulary)
+    return Vocabulary.of(got["h"].to_numpy().view("u8"), got["c"].to_numpy())
+
 
-    buckets = max(12, -(-total // BUCKET_TOKENS))
-    shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = texts.mapInArrow(_count_pairs(shared, buckets), "bucket int, keys binary, counts binary")
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """docs with token_ids instead of the text, written to the shared folder: scoring reads the texts no more."""
+    kept = [c for c in docs.columns if c not in (text_col, "token_ids")]
+    rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return staged(rows.mapInArrow(_encode(shared, kept), docs.select(*kept).schema.add("token_ids", "binary")), "coded")
+
+
+def fit(coded: DataFrame, vocabulary: Vocabulary, heavy: int = 1 << 19) -> Fitted:
+    """Counts, discounts and backoff weights of the coded training texts."""
+    spark, size = coded.sparkSession, len(vocabulary)
+    unigrams = Unigrams.of(vocabulary)
+    buckets = max(12, -(-vocabulary.total // BUCKET_TOKENS))
+    pairs = coded.select("token_ids").mapInArrow(_count_pairs(size, buckets), "bucket int, keys binary, counts binary")
     pairs = staged(pairs.groupBy("bucket").applyInArrow(_merge_bucket, "bucket int, keys binary, counts binary"), "pairs")
     histogram = {r.c: r.n for r in pairs.mapInArrow(_count_histogram, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}  # at most sqrt(2 total) rows
     d = discounts(histogram)
@@ -291,60 +335,56 @@ def fit(training: DataFrame, text_col: str = "text", heavy: int = 1 << 19, most_
         least, held = c, held + histogram[c]
     got = pairs.mapInArrow(_heavy(least), "key long, c long").toArrow()
     order = np.argsort(got["key"].to_numpy())
-    model = Model(vocabulary, unigrams, d, log_c, log_alpha, got["key"].to_numpy()[order], got["c"].to_numpy()[order])
-    return Fitted(model, tokens, pairs, buckets)
+    return Fitted(Model(vocabulary.counts, vocabulary.total, unigrams, d, log_c, log_alpha, got["key"].to_numpy()[order], got["c"].to_numpy()[order]), pairs, buckets)
 
 
 def _per_row(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else values
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes)
 
 
 def _first_scores(model, names: list[str]):
     """Everything but what the buckets know: pairs that are not heavy count as unseen for now."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tokens = model.value, Tokens()
-        v = m.vocabulary
+        m = model.value
+        size = len(m.counts)
+        base_of = np.log10((np.append(m.counts, 0) + 1) / (m.total + size + 1))  # the last one: unknown
         for batch in batches:
-            for lo, rows, hashes, sizes in tokens.blocks(batch, len(names)):
-                w = v.ids(hashes)
-                h = v.pairs(w, sizes)
+            for lo, hi, w, h, sizes in _coded(batch.column(len(names)), size):
                 known = w >= 0
-                base = np.log10((np.where(known, v.counts[np.maximum(w, 0)] if len(v) else 0, 0) + 1) / (v.total + len(v) + 1))
                 logs = m.backed_off(h, w)
                 both = np.flatnonzero(known & (h >= 0))
-                keys = h[both] * (len(v) + 1) + w[both]
+                keys = h[both] * (size + 1) + w[both]
                 heavy, counts = m.look_up_heavy(keys)
                 logs[both[heavy]] = m.seen(keys[heavy], counts[heavy])
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, rows).columns[: len(names)], pa.array(sizes.astype(np.int64)), pa.array(_per_row(known.astype(np.int64), sizes)), pa.array(_per_row(base, sizes)), pa.array(_per_row(logs, sizes))], [*names, "n_tokens", "n_known", "base_score", "first"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(names)], pa.array(sizes.astype(np.int64)), pa.array(_per_row(known.astype(np.int64), sizes)), pa.array(_per_row(base_of[w], sizes)), pa.array(_per_row(logs, sizes))], [*names, "n_tokens", "n_known", "base_score", "first"])
 
     return run
 
 
 def _post(model, buckets: int):
-    """Pairs that are not heavy, to their buckets: sorted keys, and for each which row and how often."""
+    """Pairs that are not heavy, to their buckets: sorted keys, and the row of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tokens = model.value, Tokens()
-        v = m.vocabulary
+        m = model.value
+        size = len(m.counts)
         for batch in batches:
             row_keys = batch.column(0).to_numpy()
-            for lo, rows, hashes, sizes in tokens.blocks(batch, 1):
-                w = v.ids(hashes)
-                h = v.pairs(w, sizes)
-                row = np.repeat(np.arange(rows), sizes)
-                ask = (w >= 0) & (h >= 0)
-                ask[ask] = np.isfinite(m.log_c[h[ask]])
-                keys, row = h[ask] * (len(v) + 1) + w[ask], row[ask]
-                rare = ~m.look_up_heavy(keys)[0]
-                keys, row = keys[rare], row[rare]
+            for lo, hi, w, h, sizes in _coded(batch.column(1), size, BLOCK_TOKENS):
+                row = np.repeat(np.arange(hi - lo), sizes)
+                ask = np.flatnonzero((w >= 0) & (h >= 0))
+                ask = ask[np.isfinite(m.log_c[h[ask]])]
+                keys, row = h[ask] * (size + 1) + w[ask], row[ask]
+                rare = np.flatnonzero(~m.look_up_heavy(keys)[0])
+                order = rare[np.argsort(keys[rare], kind="stable")]
+                keys, row = keys[order], row[order]
                 bucket = _bucket_of(keys, buckets)
-                order = np.lexsort((keys, bucket))
+                order = np.argsort(bucket.astype(np.int16 if buckets < 2**15 else np.int32), kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in range(buckets):
                     if ends[b] < ends[b + 1]:
                         own = order[ends[b] : ends[b + 1]]
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([1], pa.int32()), pa.array([_packed(keys[own])], pa.binary()), pa.array([row[own].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()), pa.array([row_keys[lo : lo + rows].astype("<i8").tobytes()], pa.binary())], ["bucket", "kind", "keys", "counts", "rows"])
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([1], pa.int32()), pa.array([_packed(keys[own])], pa.binary()), pa.array([_planes(row[own], "<u4")], pa.binary()), pa.array([row_keys[lo:hi].astype("<i8").tobytes()], pa.binary())], ["bucket", "kind", "keys", "counts", "rows"])
 
     return run
 
@@ -354,16 +394,17 @@ def _answer(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, at = model.value, None
-        size = len(m.vocabulary) + 1
+        size = len(m.counts) + 1
         for batch in batches:
-            for bucket, kind, keys, other, rows in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for i in range(len(batch)):
+                bucket, kind, keys, other, rows = (c[i].as_py() for c in batch.columns)
                 keys = _unpacked(keys)
                 if kind == 0:
-                    at, held, counts = bucket, keys, np.frombuffer(other, "<u4").astype(np.int64)
+                    at, held, counts = bucket, keys, _from_planes(other, "<u4").astype(np.int64)
                 elif at == bucket and len(held):
                     place = np.minimum(np.searchsorted(held, keys), len(held) - 1)
                     hit = held[place] == keys
-                    keys, row = keys[hit], np.ascontiguousarray(np.frombuffer(other, np.uint8).reshape(4, -1).T).view("<u4").ravel()[hit]
+                    keys, row = keys[hit], _from_planes(other, "<u4")[hit]
                     gain = m.seen(keys, counts[place[hit]]) - m.backed_off(keys // size, keys % size)
                     rows = np.frombuffer(rows, "<i8")
                     sums, there = np.bincount(row, gain, len(rows)), np.bincount(row, minlength=len(rows)) > 0
@@ -372,24 +413,22 @@ def _answer(model):
     return run
 
 
-def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' columns but the text, with n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fitted.model)
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    row_key = F.xxhash64(F.col(id_col), text).alias("row_key")
-    kept = [c for c in docs.columns if c != text_col]
-    schema = docs.select(*kept, row_key).schema
-    first = docs.select(*kept, row_key, text).mapInArrow(_first_scores(model, [*kept, "row_key"]), schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("first", "double"))
+def score(coded: DataFrame, fitted: Fitted, id_col: str = "doc_id") -> DataFrame:
+    """coded's columns but the ids, with n_tokens, n_known, train_tokens, base_score and score."""
+    model = coded.sparkSession.sparkContext.broadcast(fitted.model)
+    row_key = F.xxhash64(F.col(id_col), "token_ids").alias("row_key")
+    kept = [c for c in coded.columns if c not in ("token_ids", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    schema = coded.select(*kept, row_key).schema
+    first = coded.select(*kept, row_key, "token_ids").mapInArrow(_first_scores(model, [*kept, "row_key"]), schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("first", "double"))
 
-    posts = docs.select(row_key, text).mapInArrow(_post(model, fitted.buckets), "bucket int, kind int, keys binary, counts binary, rows binary")
+    posts = coded.select(row_key, "token_ids").mapInArrow(_post(model, fitted.buckets), "bucket int, kind int, keys binary, counts binary, rows binary")
     table = fitted.pairs.select("bucket", F.lit(0).alias("kind"), "keys", "counts", F.lit(None).cast("binary").alias("rows"))
     meet = table.unionByName(posts).repartition(fitted.buckets, "bucket").sortWithinPartitions("bucket", "kind")
     gains = meet.mapInArrow(_answer(model), "row_key long, gain double").groupBy("row_key").agg(F.sum("gain").alias("gain"))
-    same = docs.select(row_key).groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
+    same = coded.select(row_key).groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))  # repeated rows post alike
     gains = same.join(gains, "row_key", "left")
     out = first.join(gains, "row_key", "left").withColumn("score", F.col("first") + F.coalesce(F.col("gain") / F.col("copies"), F.lit(0.0)))
-    return out.select(*kept, "n_tokens", "n_known", F.lit(fitted.model.vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(*kept, "n_tokens", "n_known", F.lit(fitted.model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
@@ -398,4 +437,6 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", held_out().alias("held_out"), "text")
-    return score(docs, fit(docs.filter(~F.col("held_out"))))
+    vocabulary = vocabulary_of(docs.filter(~F.col("held_out")))
+    coded = encode(docs, vocabulary)
+    return score(coded, fit(coded.filter(~F.col("held_out")), vocabulary))
