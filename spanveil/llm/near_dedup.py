@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, staged, without
+from .common import TokenHasher, documents, mix64, staged
 from .components import components
 
 SKETCH = 64
@@ -45,20 +45,29 @@ class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes."""
 
     def __init__(self, words: int):
-        self.words = words
-
-    def values(self, text: bytes | None) -> np.ndarray:
-        tokens = (text or b"").lower().split()
-        if not tokens:
-            return np.empty(0, np.uint64)
-        h = np.array(list(map(xxhash.xxh3_64_intdigest, tokens)), np.uint64)
-        n = min(self.words, len(h))
+        self.words, self.hasher = words, TokenHasher()
+
+    def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
+        for _, _, hashes, sizes in self.hasher.chunks(column):
+            # Shingles of all texts in one go; those that run over a text's end are never taken.
+            by_length: dict[int, np.ndarray] = {}
+            ends = np.cumsum(sizes)
+            for at, size in zip((ends - sizes).tolist(), sizes.tolist(), strict=True):
+                if not size:
+                    yield np.empty(0, np.uint64)
+                    continue
+                n = min(self.words, size)
+                if n not in by_length:
+                    by_length[n] = self._shingles(hashes, n)
+                out = np.sort(by_length[n][at : at + size - n + 1])
+                yield out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+    @staticmethod
+    def _shingles(h: np.ndarray, n: int) -> np.ndarray:
         out = h[: len(h) - n + 1] + np.uint64(n)
         for k in range(1, n):
             out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ (out >> np.uint64(32)) ^ h[k : len(h) - n + 1 + k]
-        out = mix64(out)
-        out.sort()
-        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+        return mix64(out)
 
 
 def _describe(words: int):
@@ -67,7 +76,7 @@ def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = [shingler.values(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = list(shingler.sets(batch.column(1)))
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([x[:SKETCH].tobytes() for x in sets], pa.binary())], ["id", "n", "s1", "s2", "sketch"])
 
@@ -87,8 +96,8 @@ def _often(words: int, at_once: int = 1 << 22):
             return pa.RecordBatch.from_arrays([pa.array(v[keep].view("i8")), pa.array(c[keep])], ["v", "c"])
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                held.append(shingler.values(text))
+            for own in shingler.sets(batch.column(0)):
+                held.append(own)
                 size += len(held[-1])
                 if size >= at_once:
                     yield out()
@@ -106,8 +115,7 @@ def _retain(words: int, num: int, den: int, frequent):
         shingler, often = Shingler(words), frequent.value
         for batch in batches:
             v, where, place, sizes = [], [], [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                own = shingler.values(text)
+            for i, own in enumerate(shingler.sets(batch.column(1))):
                 if not len(own):
                     continue
                 k = (den - num) * len(own) // den + 1
@@ -127,7 +135,7 @@ def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler.values(x).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["rep", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingler.sets(batch.column(1))], pa.binary())], ["rep", "values"])
 
     return run
 
