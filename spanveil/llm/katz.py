@@ -11,8 +11,9 @@ is shuffled, so one word pair in every document is one entry a block. Scoring: t
 most ``heavy`` of them, are sent to all tasks and settle most tokens at once; the rest are posted to their
 buckets, whose sorted keys answer them, and each document's answers are summed.
 
-What is broadcast: the token table, checked against ``most_tokens`` (a larger vocabulary is scored by the
-joins of ``score_by_joins`` instead), and the heavy n-grams, bounded by their number.
+What is broadcast: the token table, its size checked against ``most_tokens``, and the heavy n-grams, bounded by
+their number. A larger vocabulary takes ``score_by_joins``: the same model by aggregations and joins of hashed
+rows, with nothing broadcast.
 
 Tokens: A-Z is lower-cased, words are cut at ASCII white space, and one end token closes a text. A null text
 is an empty one: only the end token. Rows with a null id are never held out. Repeated rows are each counted
@@ -36,7 +37,7 @@ from .common import TokenHasher, crc_mod, documents, mix64, staged
 END = np.uint64(0x9D5C1F3B7A2E8640)  # the hash of the end token
 GT_MAX = 5
 BLOCK_TOKENS = 1 << 20
-BUCKET_TOKENS = 1 << 23
+BUCKET_TOKENS = 1 << 22
 
 
 def tokens_of(hasher: TokenHasher, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -217,9 +218,13 @@ def _count_pairs(size: int, buckets: int):
 
 
 def _merge_bucket(table: pa.Table) -> pa.Table:
-    keys, inverse = np.unique(np.concatenate([_unpacked(x) for x in table["keys"].to_pylist()]), return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([_from_planes(x, "<u4") for x in table["counts"].to_pylist()]))
-    return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_planes(np.minimum(counts, 2**32 - 1), "<u4")], pa.binary())})
+    keys = np.concatenate([_unpacked(x.as_py()) for x in table["keys"]])
+    counts = np.concatenate([_from_planes(x.as_py(), "<u4") for x in table["counts"]])
+    order = np.argsort(keys, kind="stable")  # runs that are sorted already
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sums = np.add.reduceat(counts.astype(np.int64), first)
+    return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([_packed(keys[first])], pa.binary()), "counts": pa.array([_planes(np.minimum(sums, 2**32 - 1), "<u4")], pa.binary())})
 
 
 def _count_histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,13 +296,14 @@ class Fitted:
     buckets: int
 
 
-def vocabulary_of(training: DataFrame, text_col: str = "text", most_tokens: int = 1 << 24) -> Vocabulary:
-    """Counts of the training texts' tokens. The table is written first and its size checked."""
+def count_tokens(training: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, c): the training texts' token hashes and counts, written to the shared folder."""
     texts = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tokens = staged(texts.mapInArrow(_count_tokens, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "tokens")
-    size = tokens.count()
-    if size > most_tokens:
-        raise ValueError(f"{size} distinct tokens exceed most_tokens = {most_tokens}")
+    return staged(texts.mapInArrow(_count_tokens, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "tokens")
+
+
+def vocabulary_of(tokens: DataFrame) -> Vocabulary:
+    """The token table on the driver; for tables whose size has been checked."""
     got = tokens.toArrow()
     return Vocabulary.of(got["h"].to_numpy().view("u8"), got["c"].to_numpy())
 
@@ -431,12 +437,70 @@ def score(coded: DataFrame, fitted: Fitted, id_col: str = "doc_id") -> DataFrame
     return out.select(*kept, "n_tokens", "n_known", F.lit(fitted.model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _hashed_pairs(names: list[str]):
+    """A row for each distinct (history, token) of a text; the start of a text is the history 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = TokenHasher()
+        for batch in batches:
+            for lo, hi, w, sizes in tokens_of(hasher, batch.column(len(names))):
+                h = np.concatenate([[np.uint64(0)], w[:-1]])
+                h[np.cumsum(sizes) - sizes] = 0
+                row = np.repeat(np.arange(hi - lo), sizes)
+                order = np.lexsort((w, h, row))
+                row, h, w = row[order], h[order], w[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+                part = batch.slice(lo, hi - lo).take(pa.array(row[first]))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(h[first].view("i8")), pa.array(w[first].view("i8")), pa.array(np.diff(np.append(first, len(row))))], [*names, "h", "w", "k"])
+
+    return run
+
+
+def _kept_sql(c: str, d: np.ndarray) -> Column:
+    out = F.col(c).cast("double")
+    return F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(F.col(c), F.lit(len(d) - 1)).cast("int") + 1) * out if len(d) > 1 else out
+
+
+def _discounts_of(table: DataFrame, c: str = "c") -> np.ndarray:
+    return discounts({r[0]: r[1] for r in table.filter(F.col(c) <= GT_MAX + 1).groupBy(c).count().collect()})
+
+
+def score_by_joins(docs: DataFrame, tokens: DataFrame, train: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The same scores for any vocabulary: docs has a boolean column train. Hot words are split by Spark's skew join."""
+    kept = [c for c in docs.columns if c not in (text_col, train)]
+    keyed = docs.select(*kept, F.col(train).alias("_train"), F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit(""))).alias("row_key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    copies = keyed.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
+    pairs = staged(keyed.select("row_key", "_train", "text").mapInArrow(_hashed_pairs(["row_key", "_train"]), "row_key long, _train boolean, h long, w long, k long"), "hashed-pairs")
+    total, size = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    one = _kept_sql("c", _discounts_of(tokens)).alias("kept")
+    kept_all = tokens.select(one).agg(F.coalesce(F.sum("kept"), F.lit(0.0))).first()[0]
+    whole = total + (1.0 if total - kept_all < 1e-9 else 0.0)
+    unknown = math.log10((whole - kept_all) / whole) if total else 0.0
+    unigrams = staged(tokens.select(F.col("h").alias("w"), F.col("c").alias("c_w"), F.log10(_kept_sql("c", _discounts_of(tokens)) / max(whole, 1.0)).alias("log_w")), "unigrams")
+    seen = staged(pairs.filter("_train").groupBy("h", "w").agg(F.sum("k").alias("c")), "bigrams")
+    kept_two = _kept_sql("c", _discounts_of(seen))
+    sums = seen.join(unigrams, "w").groupBy("h").agg(F.sum("c").alias("c_h"), F.sum(kept_two).alias("kept"), F.sum(F.pow(F.lit(10.0), F.col("log_w"))).alias("lower"))
+    bound = F.when(F.col("c_h") - F.col("kept") < 1e-9, F.col("c_h") + 1.0).otherwise(F.col("c_h"))
+    histories = staged(sums.select("h", F.log10(bound).alias("log_h"), F.log10((bound - F.col("kept")) / bound / F.greatest(1 - F.col("lower"), F.lit(1e-12))).alias("log_alpha")), "histories")
+    seen = seen.join(histories, "h").select("h", "w", (F.log10(kept_two) - F.col("log_h")).alias("log_seen"))
+    rows = pairs.join(unigrams, "w", "left").join(histories.select("h", "log_alpha"), "h", "left").join(seen, ["h", "w"], "left")
+    log_p = F.coalesce("log_seen", F.coalesce("log_alpha", F.lit(0.0)) + F.coalesce("log_w", F.lit(unknown)))
+    base = F.log10((F.coalesce("c_w", F.lit(0)) + 1.0) / (total + size + 1.0))
+    k = F.col("k")
+    scored = rows.groupBy("row_key").agg(F.sum(k).alias("n_tokens"), F.sum(F.when(F.col("c_w").isNotNull(), k).otherwise(0)).alias("n_known"), F.sum(k * base).alias("base_score"), F.sum(k * log_p).alias("score"))
+    scored = scored.join(copies, "row_key").select("row_key", *[(F.col(c) / F.col("copies")).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))])
+    return keyed.drop("text", "_train").join(scored, "row_key").select(*kept, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(crc_mod(id_col, folds) == fold, F.lit(False))
 
 
-def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
+def op9_lm_scoring(spark, sf_dir: str, most_tokens: int = 1 << 24) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", held_out().alias("held_out"), "text")
-    vocabulary = vocabulary_of(docs.filter(~F.col("held_out")))
+    tokens = count_tokens(docs.filter(~F.col("held_out")))
+    if tokens.count() > most_tokens:
+        return score_by_joins(docs.withColumn("train", ~F.col("held_out")), tokens, "train")
+    vocabulary = vocabulary_of(tokens)
     coded = encode(docs, vocabulary)
     return score(coded, fit(coded.filter(~F.col("held_out")), vocabulary))
