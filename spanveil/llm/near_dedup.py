@@ -10,11 +10,12 @@ keeps passages that thousands of documents share out of the lists, unless the do
 2. Frequent values: those counted in more documents than a short list has, cut to a bounded number of the
    most frequent ones. They only shape the order.
 3. Inverted lists: a short list gives its pairs, by size and position whether they can still reach t.
-   A long list, mostly a group of near copies, gives a star: a centre and each member.
+   A long list, mostly a group of near copies, has a centre; each document is paired with two centres.
 4. The union of two plain bottom-64 sketches estimates the similarity and filters (six standard deviations
    below t). Exact Jaccard on the full sets verifies.
-5. Components of the links. Members of a long list in different components are still not compared: further
-   stars follow while that shrinks the list, then all remaining pairs across components are.
+5. Components of the links. Members of a long list in different components are still not compared: those
+   outside the list's main component meet further members of it, then all pairs across components that
+   are left.
 
 A document without words has an empty set and is linked with nothing; with fewer words than a shingle
 takes, the whole sequence is its one value. Rows with a null id take no part (component null, kept). Rows
@@ -226,43 +227,52 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
     frequent = np.sort(counted.filter(F.col("c") >= least).select("v").toArrow()["v"].to_numpy().view("u8"))
 
     posts = staged(texts.select("rep", "text").mapInArrow(_retain(words, num, den, spark.sparkContext.broadcast(frequent)), "v long, rep long, n int, place int"), "posts")
-    lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("rep", "n", "place"), F.xxhash64(F.col("rep"), F.pmod("v", F.lit(3)))).alias("centre")).filter(F.col("size") > 1)
+    lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     members = posts.join(lists, "v")
 
     short = members.filter(F.col("size") <= SHORT_LIST).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "place"))).alias("m"))
     short = short.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
     short = short.filter(can_reach("x", "y", num, den)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-    long_ = staged(members.filter(F.col("size") > SHORT_LIST), "long-lists")
-    star = long_.select(F.struct("rep", "n", "place").alias("x"), F.col("centre").alias("y")).filter(sizes_fit("x", "y", num, den)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    long_ = staged(members.filter(F.col("size") > SHORT_LIST).select("v", "rep", "n", "place"), "long-lists")
+    centres = long_.groupBy("v").agg(F.min_by(F.struct("rep", "n", "place"), F.struct(F.xxhash64("rep"), "rep")).alias("centre"))
     confirm = Confirmer(texts, sketches, words, num, den)
-    links = confirm(short.union(star).filter(F.col("a") < F.col("b")))
+    links = confirm(short.filter(F.col("a") < F.col("b")).unionByName(two_each(long_.join(centres, "v"), num, den)))
 
-    long_ = long_.select("v", "rep", "n", "place")
     for turn in range(4):
         found = components(links)
         open_ = long_.join(found, long_["rep"] == found["node"], "left").select("v", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
-        parts = open_.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("rep", "n", "place"), F.xxhash64("rep", "v", F.lit(turn))).alias("centre"))
-        whole = parts.groupBy("v").agg(F.sum("k").alias("size"), F.max_by("component", F.struct("k", "component")).alias("main"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.min_by(F.struct("centre", "component"), F.struct("k", "component")).alias("least"))
-        whole = staged(whole.filter(F.col("squares") < F.col("size") * F.col("size")), "open-lists")
+        parts = open_.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("rep", "n", "place"), F.xxhash64("rep", F.lit(turn))).alias("centre"))
+        whole = parts.groupBy("v").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max_by(F.struct("component", "centre"), F.struct("k", "component")).alias("main"))
+        whole = whole.filter(F.col("squares") < F.col("size") * F.col("size")).select("v", "size", "squares", F.col("main.component").alias("main"), F.col("main.centre").alias("centre"))
+        whole = staged(whole, "open-lists")
         left, cross = whole.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2), F.lit(0))).first()
         if not left:
             return found
-        open_ = open_.join(whole, "v")
-        last = turn == 3 or cross <= max(16 * left, 10_000_000)
+        # What is outside its list's main component.
+        apart = open_.join(whole, "v").filter(F.col("component") != F.col("main"))
+        last = turn == 3 or cross <= max(4 * left, 200_000)
         if last:  # every pair across components that can still reach the threshold
+            x = apart.select("v", F.struct("rep", "n", "place").alias("x"), F.col("component").alias("cx"), "main")
             y = open_.select("v", F.struct("rep", "n", "place").alias("y"), F.col("component").alias("cy"))
-            x = open_.filter(F.col("component") != F.col("main")).select("v", F.struct("rep", "n", "place").alias("x"), F.col("component").alias("cx"), "main")
             pairs = x.join(y, "v").filter((F.col("cx") != F.col("cy")) & can_reach("x", "y", num, den))
-        else:  # a star around a member of the list's smallest component
-            pairs = open_.filter(F.col("component") != F.col("least.component")).select(F.struct("rep", "n", "place").alias("x"), F.col("least.centre").alias("y")).filter(sizes_fit("x", "y", num, den))
-        fresh = confirm(pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
-        links = links.unionByName(fresh)
+            pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        else:  # with another member of the main component each time
+            pairs = two_each(apart, num, den)
+        links = links.unionByName(confirm(pairs))
         if last:
             return components(links)
     raise AssertionError("not reached")
 
 
+def two_each(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of every member with the centres of its lists that its size fits: at most two, whatever the number of lists."""
+    fit = members.select(F.struct("rep", "n", "place").alias("x"), F.col("centre").alias("y")).filter(sizes_fit("x", "y", num, den) & (F.col("x.rep") != F.col("y.rep")))
+    mark = F.struct(F.xxhash64("y.rep"), F.col("y.rep").alias("rep"))
+    two = fit.groupBy(F.col("x.rep").alias("rep")).agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
+    return two.select("rep", F.explode(F.array("lo.rep", "hi.rep")).alias("y")).select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row for each of docs: links at den * |A & B| >= num * |A or B|."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
