@@ -26,35 +26,53 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import TokenHasher, documents, staged
 
-_BLANK = bytes.maketrans(bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]), b" " * 32)
+#: ASCII white space and punctuation.
+BLANKS = bytes([*range(9, 14), *range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 PIECE_WORDS = 1 << 14
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, word_at long, verdict string"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(_BLANK).split()
+class Terms:
+    """The benchmark's words by their hashes; a word's id is its hash's place."""
 
+    def __init__(self, texts: list[str]):
+        self.hasher = TokenHasher(BLANKS)
+        hashes = [h for _, _, h, _ in self.hasher.chunks(pc.utf8_lower(pa.array(texts, pa.string())))]
+        self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
 
-def _ids(words: list[bytes], terms: dict[bytes, int]) -> np.ndarray:
-    get = terms.get
-    return np.array([get(w, -1) for w in words], np.int64)
+    def __len__(self) -> int:
+        return len(self.hashes)
 
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == hashes, at, -1)
 
-def _pieces(batches: Iterator[pa.RecordBatch], text_at: int, terms: dict[bytes, int], overlap: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(batch row, words, first word, term ids) of pieces of at most PIECE_WORDS and overlap words."""
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, term ids) of each text, -1 for words that the benchmark doesn't have."""
+        for lo, _, hashes, sizes in self.hasher.chunks(pc.utf8_lower(column.cast(pa.string()))):
+            ids, ends = self.ids(hashes), np.cumsum(sizes).tolist()
+            for i, (n, end) in enumerate(zip(sizes.tolist(), ends, strict=True)):
+                yield lo + i, ids[end - n : end]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], text_at: int, terms: Terms, overlap: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(batch, row, first word, term ids) of pieces of at most PIECE_WORDS and overlap words."""
     for n, batch in enumerate(batches):
-        for row, text in enumerate(batch.column(text_at).to_pylist()):
-            ids = _ids(words_of(text), terms)
+        for row, ids in terms.texts(batch.column(text_at)):
             for at in range(0, max(1, len(ids) - overlap), PIECE_WORDS):
                 yield n, row, at, ids[at : at + PIECE_WORDS + overlap]
 
 
-def _gather(terms: dict[bytes, int], seed: int, width: int, passage_words: int):
+def _gather(terms: Terms, seed: int, width: int, passage_words: int):
     """A task's passages: each term's number of them, and its rows of T'T Omega, in chunks of 64 terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,23 +82,37 @@ def _gather(terms: dict[bytes, int], seed: int, width: int, passage_words: int):
         held, total = [], 0
 
         def add() -> None:
+            """Terms that are common in these passages by dense products, the others row by row."""
             nonlocal passages
-            keys = []
+            keys, n = [], 0
             for ids in held:
                 known = np.flatnonzero(ids >= 0)
-                keys.append((passages + known // passage_words) * size + ids[known])
-                passages += -(-len(ids) // passage_words)
-            keys = np.unique(np.concatenate(keys))
+                keys.append((n + known // passage_words) * size + ids[known])
+                n += -(-len(ids) // passage_words)
+            passages += n
+            keys = np.concatenate(keys)
+            keys.sort()
+            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
             if not len(keys):
                 return
             passage, term = keys // size, keys % size
-            start = np.flatnonzero(np.diff(passage, prepend=-1))
-            sums = np.add.reduceat(omega[term], start)
-            order = np.argsort(term, kind="stable")
-            first = np.flatnonzero(np.diff(term[order], prepend=-1))
-            where = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(term))))
-            sketch[term[order][first]] += np.add.reduceat(sums[where[order]], first)
-            df[:] += np.bincount(term, minlength=size)
+            here = np.bincount(term, minlength=size)
+            df[:] += here
+            common = np.flatnonzero(here >= n // 32 + 1)
+            column = np.full(size, -1)
+            column[common] = np.arange(len(common))
+            frequent = column[term] >= 0
+            dense = np.zeros((n, len(common)), np.float32)
+            dense[passage[frequent], column[term[frequent]]] = 1
+            sums = dense @ omega[common]
+            rare_passage, rare_term = passage[~frequent], term[~frequent]
+            if len(rare_term):
+                start = np.flatnonzero(np.diff(rare_passage, prepend=-1))
+                sums[rare_passage[start]] += np.add.reduceat(omega[rare_term], start)
+                order = np.argsort(rare_term, kind="stable")
+                first = np.flatnonzero(np.diff(rare_term[order], prepend=-1))
+                sketch[rare_term[order][first]] += np.add.reduceat(sums[rare_passage[order]], first)
+            sketch[common] += dense.T @ sums
 
         for _, _, _, ids in _pieces(batches, 0, terms, 0):
             held.append(ids)
@@ -125,7 +157,7 @@ def nystroem(sketch: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
 class Space:
     """The items of a block in the latent space."""
 
-    terms: dict[bytes, int]
+    terms: Terms
     idf: np.ndarray
     basis: np.ndarray  # by term: idf times the singular vectors
     item_ids: np.ndarray
@@ -146,12 +178,12 @@ def length_classes(lengths: np.ndarray, ratio: float = 1.5) -> list[tuple[int, n
 
 
 def space_of(docs: DataFrame, item_ids: list[int], texts: list[str], rank: int, passage_words: int, corpus_share: float, least_words: int, text_col: str) -> Space | None:
-    words = [words_of(x) for x in texts]
-    held = [i for i, w in enumerate(words) if len(w) >= least_words]
+    terms = Terms(texts)
+    coded = [ids for _, ids in terms.texts(pa.array(texts, pa.string()))]
+    held = [i for i, ids in enumerate(coded) if len(ids) >= least_words]
     if not held:
         return None
-    terms = {w: i for i, w in enumerate(sorted({w for i in held for w in words[i]}))}
-    items = [_ids(words[i], terms) for i in held]
+    items = [coded[i] for i in held]
     size = len(terms)
     rank = min(rank, size)
     width = min(size, rank + 16)
@@ -233,22 +265,22 @@ def _retrieve(shared, least_cosine: float, copied: float, paraphrased: float):
             ids = np.concatenate([p[3] for p in pieces])
             starts = np.cumsum(lengths) - lengths
             known = np.concatenate([[0], np.cumsum(ids >= 0)])
-            run_sums = np.zeros((len(ids) + 1, space.basis.shape[1]), np.float32)
-            run_sums[1:][ids >= 0] = space.basis[ids[ids >= 0]]
-            np.cumsum(run_sums, axis=0, out=run_sums)
+            run_sums = np.zeros((int(known[-1]) + 1, space.basis.shape[1]), np.float32)  # over the known words only
+            np.cumsum(space.basis[ids[ids >= 0]], axis=0, out=run_sums[1:])
             candidates: dict[tuple, list] = {}
             for n, own in space.classes:
                 piece, lo, hi = _windows(lengths, starts, n)
                 fit = known[hi] - known[lo] >= max(1, 0.4 * n)
-                piece, lo, hi = piece[fit], lo[fit], hi[fit]
+                piece, lo, hi, latent = piece[fit], lo[fit], hi[fit], space.latent[own]
                 for a in range(0, len(lo), 4096):
-                    z = run_sums[hi[a : a + 4096]] - run_sums[lo[a : a + 4096]]
-                    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-                    near = z @ space.latent[own].T
-                    for w, i in zip(*np.nonzero(near >= least_cosine), strict=True):
+                    z = run_sums[known[hi[a : a + 4096]]]
+                    z -= run_sums[known[lo[a : a + 4096]]]
+                    length = np.sqrt(np.einsum("ij,ij->i", z, z))
+                    near = z @ latent.T
+                    for w, i in zip(*np.nonzero(near >= least_cosine * np.maximum(length, 1e-9)[:, None]), strict=True):
                         _, row, first, _ = p = pieces[piece[a + w]]
                         doc = held_batches[p[0]].column(0)[row].as_py()
-                        candidates.setdefault((doc, own[i]), []).append((float(near[w, i]), int(lo[a + w]), n, int(piece[a + w]), first))
+                        candidates.setdefault((doc, own[i]), []).append((float(near[w, i] / length[w]), int(lo[a + w]), n, int(piece[a + w]), first))
             out = []
             for (doc, i), windows in candidates.items():
                 item, best = space.items[i], None
