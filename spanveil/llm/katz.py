@@ -240,11 +240,14 @@ def _histories(shared, d: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, logs = shared.value
         for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = _unpacked(keys), _from_planes(counts, "<u4").astype(np.int64)
-                h, start = np.unique(keys // (size + 1), return_index=True)
-                parts = [np.add.reduceat(x, start) for x in (counts, discounted(counts, d), 10.0 ** logs[keys % (size + 1)])]
-                yield pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, parts)], ["h", "c", "kept", "lower"])
+            for i in range(len(batch)):
+                all_keys, all_counts = _unpacked(batch.column("keys")[i].as_py()), _from_planes(batch.column("counts")[i].as_py(), "<u4")
+                for at in range(0, len(all_keys), 1 << 17):  # a history cut in two is summed later
+                    keys, counts = all_keys[at : at + (1 << 17)], all_counts[at : at + (1 << 17)].astype(np.int64)
+                    h = keys // (size + 1)
+                    start = np.flatnonzero(np.diff(h, prepend=-1))
+                    parts = [np.add.reduceat(x, start) for x in (counts, discounted(counts, d), 10.0 ** logs[keys % (size + 1)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[start]), *map(pa.array, parts)], ["h", "c", "kept", "lower"])
 
     return run
 
@@ -252,9 +255,11 @@ def _histories(shared, d: np.ndarray):
 def _heavy(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                counts = _from_planes(counts, "<u4")
-                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(keys)[counts >= least]), pa.array(counts[counts >= least].astype(np.int64))], ["key", "c"])
+            for i in range(len(batch)):
+                counts = _from_planes(batch.column("counts")[i].as_py(), "<u4")
+                own = np.flatnonzero(counts >= least)
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(_unpacked(batch.column("keys")[i].as_py())[own]), pa.array(counts[own].astype(np.int64))], ["key", "c"])
 
     return run
 
@@ -457,8 +462,10 @@ def _hashed_pairs(names: list[str]):
 
 
 def _kept_sql(c: str, d: np.ndarray) -> Column:
-    out = F.col(c).cast("double")
-    return F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.least(F.col(c), F.lit(len(d) - 1)).cast("int") + 1) * out if len(d) > 1 else out
+    ratio = F.lit(1.0)
+    for r in range(1, len(d)):
+        ratio = F.when(F.col(c) == r, float(d[r])).otherwise(ratio)
+    return ratio * F.col(c)
 
 
 def _discounts_of(table: DataFrame, c: str = "c") -> np.ndarray:
