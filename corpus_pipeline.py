@@ -19,11 +19,13 @@ NEAR = {"words": 5, "num": 80, "den": 100}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter at all) go, and so do those nearly as near to two codewords."""
+    """Documents without a language (null, or no letter at all) go, and so do those of 200 or more characters that are
+    nearly as near to two codewords: mixed ones. Shorter ones are given the benefit of the doubt."""
     names = docs.columns
     model = langid.fit(docs)
     tagged = langid.identify(docs, model)
-    return tagged.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*names)
+    mixed = F.col("ambiguous") & (F.length("text") >= 200)
+    return tagged.filter((F.col("lang_pred") != "und") & ~mixed).select(*names)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

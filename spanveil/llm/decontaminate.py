@@ -20,7 +20,6 @@ report the same pair once. An empty benchmark or an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 

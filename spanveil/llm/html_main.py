@@ -109,9 +109,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         attributes = found[3]
         if name in RAW:
-            if name not in INLINE:
-                flush() if name in ("title", "textarea", "iframe", "object") else None
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at) if not attributes.rstrip().endswith("/") or name not in ("svg", "math") else None
+            empty = name in ("svg", "math") and attributes.rstrip().endswith("/")
+            close = None if empty else re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if close:
                 at = close.end()
             elif name in ("script", "style", "textarea", "title"):
@@ -134,12 +133,7 @@ def blocks_of(page: str) -> list[Block]:
         named = [next(filter(None, m), "") for m in NAMES.findall(attributes)] if "=" in attributes else []
         outside = name in OUTSIDE or any(HINTS.search(x) or x.lower() in ROLES for x in named if name not in ("html", "body", "article", "main")) or bool(attributes and HIDDEN.search(attributes))
         outside = outside or (name == "header" and not any(n == "article" for n, _, _ in stack))
-        if name not in INLINE or outside:
-            stack.append((name, number, outside))
-        elif name == "a":
-            stack.append((name, number, False))
-        else:
-            stack.append((name, number, False))
+        stack.append((name, number, outside))
         in_link += name == "a"
     flush()
     return out

@@ -233,7 +233,7 @@ class Lattices:
         return out.astype(np.int32), np.diff(np.concatenate([[0], ends[text_ends - 1]]))
 
 
-def encode_texts(keys: list, texts: list[str | None], lattices: Lattices, seed: int = 0, chars_at_once: int = 3 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encode_texts(keys: list, texts: list[str | None], lattices: Lattices, seed: int = 0, chars_at_once: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of rows: how many, the ids of the run, and each row's number of ids."""
     lo = 0
     while lo < len(texts):
