@@ -37,7 +37,7 @@ from .common import TokenHasher, crc_mod, documents, mix64, staged
 END = np.uint64(0x9D5C1F3B7A2E8640)  # the hash of the end token
 GT_MAX = 5
 BLOCK_TOKENS = 1 << 20
-BUCKET_TOKENS = 1 << 22
+BUCKET_TOKENS = 1 << 21
 
 
 def tokens_of(hasher: TokenHasher, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,7 +90,8 @@ class Vocabulary:
         by_count = np.argsort(-counts, kind="stable")
         ids = np.empty(len(hashes), np.int32)
         ids[by_count] = np.arange(len(hashes))
-        return cls(hashes, ids, counts[by_count], int(counts.sum()))
+        total = int(counts.sum())
+        return cls(hashes, ids, counts[by_count].astype(np.int32 if total < 2**31 else np.int64), total)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -359,7 +360,7 @@ def _first_scores(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         size = len(m.counts)
-        base_of = np.log10((np.append(m.counts, 0) + 1) / (m.total + size + 1))  # the last one: unknown
+        base_of = np.log10((np.append(m.counts, 0) + 1.0) / (m.total + size + 1))  # the last one: unknown
         for batch in batches:
             for lo, hi, w, h, sizes in _coded(batch.column(len(names)), size):
                 known = w >= 0
@@ -381,7 +382,7 @@ def _post(model, buckets: int):
         size = len(m.counts)
         for batch in batches:
             row_keys = batch.column(0).to_numpy()
-            for lo, hi, w, h, sizes in _coded(batch.column(1), size, BLOCK_TOKENS):
+            for lo, hi, w, h, sizes in _coded(batch.column(1), size):
                 row = np.repeat(np.arange(hi - lo), sizes)
                 ask = np.flatnonzero((w >= 0) & (h >= 0))
                 ask = ask[np.isfinite(m.log_c[h[ask]])]
