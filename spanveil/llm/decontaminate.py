@@ -213,29 +213,46 @@ def space_of(docs: DataFrame, item_ids: list[int], texts: list[str], rank: int,
     return Space(terms, idf, basis, np.array([item_ids[i] for i in held]), items, latent, length_classes(np.array([len(x) for x in items])))
 
 
-def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, a bit for each word of item."""
+def bits_of(item: np.ndarray) -> dict[int, int]:
+    """For each word, a bit for each of its places in the item."""
     places: dict[int, int] = {}
     for k, w in enumerate(item.tolist()):
         places[w] = places.get(w, 0) | (1 << k)
-    full = (1 << len(item)) - 1
-    row = full
+    return places
+
+
+def common_subsequence(item: np.ndarray, text: np.ndarray, places: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, a bit for each word of item."""
+    places = bits_of(item) if places is None else places
+    row = full = (1 << len(item)) - 1
     for w in text.tolist():
-        hit = row & places.get(w, 0)
-        row = ((row + hit) | (row - hit)) & full
+        if w in places:
+            hit = row & places[w]
+            row = ((row + hit) | (row - hit)) & full
     return len(item) - row.bit_count()
 
 
-def judge(item: np.ndarray, text: np.ndarray, idf: np.ndarray, copied: float, paraphrased: float) -> tuple[float, float, str | None]:
-    """Shares of the item and of its answer in the text, and the verdict."""
-    whole = common_subsequence(item, text) / len(item)
+def judge(item: np.ndarray, text: np.ndarray, idf: np.ndarray, copied: float, paraphrased: float, places: dict[int, int] | None = None) -> tuple[float, float, str | None]:
+    """Shares of the item and of its answer in the text, and the verdict.
+
+    A common subsequence has no more words than the item has in the text at all, which settles most windows.
+    """
+    places = bits_of(item) if places is None else places
+    there = 0
+    for w in set(text.tolist()):
+        there |= places.get(w, 0)
+    if there.bit_count() < paraphrased * len(item):
+        return there.bit_count() / len(item), 0.0, None
+    whole = common_subsequence(item, text, places) / len(item)
+    if whole < paraphrased:
+        return whole, 0.0, None
     answer = item[-max(1, len(item) // 4) :]
     share = common_subsequence(answer, text) / len(answer)
     if whole >= copied:
         return whole, share, "copy"
     terms = np.unique(item)
     weight = idf[terms[np.isin(terms, text)]].sum() / idf[terms].sum()
-    return whole, share, "paraphrase" if whole >= paraphrased and share >= 0.9 and weight >= 0.6 else None
+    return whole, share, "paraphrase" if share >= 0.9 and weight >= 0.6 else None
 
 
 def _windows(lengths: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,6 +268,7 @@ def _windows(lengths: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarra
 def _retrieve(shared, least_cosine: float, copied: float, paraphrased: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space: Space = shared.value
+        places = [bits_of(x) for x in space.items]
         longest = max(n for n, _ in space.classes)
         held_batches: list[pa.RecordBatch] = []
 
@@ -290,7 +308,7 @@ def _retrieve(shared, least_cosine: float, copied: float, paraphrased: float):
                         continue
                     tried = lo
                     around = ids[max(a, lo - len(item) // 2) : min(b, lo + n + len(item) // 2)]
-                    whole, answer, verdict = judge(item, around, space.idf, copied, paraphrased)
+                    whole, answer, verdict = judge(item, around, space.idf, copied, paraphrased, places[i])
                     if verdict and (best is None or whole > best[3]):
                         best = (doc, int(space.item_ids[i]), cosine, whole, answer, first + lo - a, verdict)
                     if best and best[6] == "copy":
