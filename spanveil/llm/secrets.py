@@ -78,7 +78,7 @@ def battery(runs: DataFrame, alpha: float) -> DataFrame:
         .when(F.col("body").rlike("^[A-Za-z0-9]+$"), "base62")
         .otherwise("base64")
     )
-    out = runs.withColumn("body", F.regexp_replace("token", "[=_-]+$", "")).filter(F.length("body") >= 20).withColumn("n", F.length("body").cast("double")).withColumn("encoding", encoding)
+    out = runs.withColumn("body", F.regexp_replace("token", "[=_-]+$", "")).filter(F.length("body") >= 20).withColumn("n", F.greatest(F.length("body"), F.lit(20)).cast("double")).withColumn("encoding", encoding)
     alphabet = F.when(F.col("encoding") == "hex", hexes).when(F.col("encoding") == "base32", upper + "234567").when(F.col("encoding") == "base62", wide).otherwise(wide + "+/")
     out = out.withColumn("alphabet", alphabet).withColumn("size", F.length("alphabet").cast("double"))
     out = out.withColumn("chars", F.expr("filter(split(if(encoding = 'hex', lower(body), translate(body, '-_', '+/')), ''), c -> c <> '')"))
