@@ -10,7 +10,7 @@ keeps passages that thousands of documents share out of the lists, unless the do
 2. Frequent values: those counted in more documents than a short list has, cut to a bounded number of the
    most frequent ones. They only shape the order.
 3. Inverted lists: a short list gives its pairs, by size and position whether they can still reach t.
-   A long list, mostly a group of near copies, has a centre; each document is paired with two centres.
+   A long list, mostly a group of near copies, has a centre; each document is paired with at most four centres.
 4. The union of two plain bottom-64 sketches estimates the similarity and filters (six standard deviations
    below t). Exact Jaccard on the full sets verifies.
 5. Components of the links. Members of a long list in different components are still not compared: those
@@ -235,11 +235,11 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
     short = short.filter(can_reach("x", "y", num, den)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
     long_ = staged(members.filter(F.col("size") > SHORT_LIST).select("v", "rep", "n", "place"), "long-lists")
-    centres = long_.groupBy("v").agg(F.min_by(F.struct("rep", "n", "place"), F.struct(F.xxhash64("rep"), "rep")).alias("centre"))
+    centres = long_.groupBy("v").agg(F.min_by(F.struct("rep", "n", "place"), F.struct(F.xxhash64("rep", F.pmod("v", F.lit(4))), "rep")).alias("centre"))
     confirm = Confirmer(texts, sketches, words, num, den)
-    links = confirm(short.filter(F.col("a") < F.col("b")).unionByName(two_each(long_.join(centres, "v"), num, den)))
+    links = confirm(short.filter(F.col("a") < F.col("b")).unionByName(some_each(long_.join(centres, "v"), num, den)))
 
-    for turn in range(4):
+    for turn in range(2):
         found = components(links)
         open_ = long_.join(found, long_["rep"] == found["node"], "left").select("v", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
         parts = open_.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("rep", "n", "place"), F.xxhash64("rep", F.lit(turn))).alias("centre"))
@@ -251,26 +251,26 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
             return found
         # What is outside its list's main component.
         apart = open_.join(whole, "v").filter(F.col("component") != F.col("main"))
-        last = turn == 3 or cross <= max(4 * left, 200_000)
+        last = turn == 1 or cross <= max(4 * left, 1_000_000)
         if last:  # every pair across components that can still reach the threshold
             x = apart.select("v", F.struct("rep", "n", "place").alias("x"), F.col("component").alias("cx"), "main")
             y = open_.select("v", F.struct("rep", "n", "place").alias("y"), F.col("component").alias("cy"))
             pairs = x.join(y, "v").filter((F.col("cx") != F.col("cy")) & can_reach("x", "y", num, den))
             pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         else:  # with another member of the main component each time
-            pairs = two_each(apart, num, den)
+            pairs = some_each(apart, num, den)
         links = links.unionByName(confirm(pairs))
         if last:
             return components(links)
     raise AssertionError("not reached")
 
 
-def two_each(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of every member with the centres of its lists that its size fits: at most two, whatever the number of lists."""
+def some_each(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of every member with the centres of its lists that its size fits: at most four, whatever the number of lists."""
     fit = members.select(F.struct("rep", "n", "place").alias("x"), F.col("centre").alias("y")).filter(sizes_fit("x", "y", num, den) & (F.col("x.rep") != F.col("y.rep")))
-    mark = F.struct(F.xxhash64("y.rep"), F.col("y.rep").alias("rep"))
-    two = fit.groupBy(F.col("x.rep").alias("rep")).agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
-    return two.select("rep", F.explode(F.array("lo.rep", "hi.rep")).alias("y")).select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"))
+    marks = [F.struct(F.xxhash64("y.rep", F.lit(seed)), F.col("y.rep").alias("rep")) for seed in (0, 1)]
+    few = fit.groupBy(F.col("x.rep").alias("rep")).agg(*[f(m).alias(f"c{i}{k}") for i, m in enumerate(marks) for k, f in enumerate((F.min, F.max))])
+    return few.select("rep", F.explode(F.array("c00.rep", "c01.rep", "c10.rep", "c11.rep")).alias("y")).select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
