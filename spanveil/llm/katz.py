@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from .common import TokenHasher, crc_mod, documents, mix64, staged
 END = np.uint64(0x9D5C1F3B7A2E8640)  # the hash of the end token
 GT_MAX = 5
 BLOCK_TOKENS = 1 << 20
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 22
 
 
 def tokens_of(hasher: TokenHasher, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -418,13 +419,19 @@ def _answer(model):
                     hit = held[place] == keys
                     keys, row = keys[hit], _from_planes(other, "<u4")[hit]
                     gain = m.seen(keys, counts[place[hit]]) - m.backed_off(keys // size, keys % size)
-                    rows = np.frombuffer(rows, "<i8")
-                    sums, there = np.bincount(row, gain, len(rows)), np.bincount(row, minlength=len(rows)) > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[there]), pa.array(sums[there])], ["row_key", "gain"])
+                    if hit.any():
+                        sums = np.bincount(row, gain, len(rows) // 8)
+                        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(rows) - 2**63], pa.int64()), pa.array([rows], pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["block", "rows", "gains"])
 
     return run
 
 
+def _sum_block(table: pa.Table) -> pa.Table:
+    """What all buckets say of a block of rows; a block posts at most once to each bucket."""
+    total = np.sum([np.frombuffer(x.as_py()) for x in table["gains"]], axis=0)
+    return pa.table({"row_key": pa.array(np.frombuffer(table["rows"][0].as_py(), "<i8")), "gain": pa.array(total)})
+
+
 def score(coded: DataFrame, fitted: Fitted, id_col: str = "doc_id") -> DataFrame:
     """coded's columns but the ids, with n_tokens, n_known, train_tokens, base_score and score."""
     model = coded.sparkSession.sparkContext.broadcast(fitted.model)
@@ -436,7 +443,8 @@ def score(coded: DataFrame, fitted: Fitted, id_col: str = "doc_id") -> DataFrame
     posts = coded.select(row_key, "token_ids").mapInArrow(_post(model, fitted.buckets), "bucket int, kind int, keys binary, counts binary, rows binary")
     table = fitted.pairs.select("bucket", F.lit(0).alias("kind"), "keys", "counts", F.lit(None).cast("binary").alias("rows"))
     meet = table.unionByName(posts).repartition(fitted.buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    gains = meet.mapInArrow(_answer(model), "row_key long, gain double").groupBy("row_key").agg(F.sum("gain").alias("gain"))
+    answers = meet.mapInArrow(_answer(model), "block long, rows binary, gains binary")
+    gains = answers.groupBy("block").applyInArrow(_sum_block, "row_key long, gain double").groupBy("row_key").agg(F.sum("gain").alias("gain"))
     same = coded.select(row_key).groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))  # repeated rows post alike
     gains = same.join(gains, "row_key", "left")
     out = first.join(gains, "row_key", "left").withColumn("score", F.col("first") + F.coalesce(F.col("gain") / F.col("copies"), F.lit(0.0)))
