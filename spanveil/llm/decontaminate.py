@@ -255,6 +255,18 @@ def judge(item: np.ndarray, text: np.ndarray, idf: np.ndarray, copied: float, pa
     return whole, share, "paraphrase" if share >= 0.9 and weight >= 0.6 else None
 
 
+def running_sums(x: np.ndarray, block: int = 16) -> np.ndarray:
+    """Sums of the first 0, 1, ... rows: products with a triangle within blocks, then the blocks' own sums."""
+    n, width = x.shape
+    padded = np.zeros((-(-n // block) * block + 1, width), x.dtype)
+    padded[1 : n + 1] = x
+    blocks = padded[1:].reshape(-1, block, width)
+    within = np.tri(block, dtype=x.dtype) @ blocks
+    within[1:] += np.cumsum(within[:-1, -1], axis=0)[:, None]
+    padded[1:] = within.reshape(-1, width)
+    return padded[: n + 1]
+
+
 def _windows(lengths: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which piece, from where, to where: windows of n words a quarter apart, the last one flush with the end."""
     step = max(1, n // 4)
@@ -282,8 +294,7 @@ def _retrieve(shared, least_cosine: float, copied: float, paraphrased: float):
             ids = np.concatenate([p[3] for p in pieces])
             starts = np.cumsum(lengths) - lengths
             known = np.concatenate([[0], np.cumsum(ids >= 0)])
-            run_sums = np.zeros((int(known[-1]) + 1, space.basis.shape[1]), np.float32)  # over the known words only
-            np.cumsum(space.basis[ids[ids >= 0]], axis=0, out=run_sums[1:])
+            run_sums = running_sums(space.basis[ids[ids >= 0]])  # over the known words only
             candidates: dict[tuple, list] = {}
             for n, own in space.classes:
                 piece, lo, hi = _windows(lengths, starts, n)
@@ -294,7 +305,8 @@ def _retrieve(shared, least_cosine: float, copied: float, paraphrased: float):
                     z -= run_sums[known[lo[a : a + 4096]]]
                     length = np.sqrt(np.einsum("ij,ij->i", z, z))
                     near = z @ latent.T
-                    for w, i in zip(*np.nonzero(near >= least_cosine * np.maximum(length, 1e-9)[:, None]), strict=True):
+                    hits = np.flatnonzero((near >= least_cosine * np.maximum(length, 1e-9)[:, None]).ravel())
+                    for w, i in zip(*np.divmod(hits, len(own)), strict=True):
                         _, row, first, _ = p = pieces[piece[a + w]]
                         doc = held_batches[p[0]].column(0)[row].as_py()
                         candidates.setdefault((doc, own[i]), []).append((float(near[w, i] / length[w]), int(lo[a + w]), n, int(piece[a + w]), first))

@@ -478,3 +478,10 @@ def test_pipeline(spark):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == set(map(str, range(1, 11)))
+
+
+def test_running_sums():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 15, 16, 17, 100):
+        x = rng.standard_normal((n, 5))
+        assert np.allclose(decontaminate.running_sums(x), np.concatenate([np.zeros((1, 5)), np.cumsum(x, axis=0)]))
