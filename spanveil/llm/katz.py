@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from .common import TokenHasher, crc_mod, documents, mix64, staged
 END = np.uint64(0x9D5C1F3B7A2E8640)  # the hash of the end token
 GT_MAX = 5
 BLOCK_TOKENS = 1 << 20
-BUCKET_TOKENS = 1 << 22
+BUCKET_TOKENS = 1 << 21
 
 
 def tokens_of(hasher: TokenHasher, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,14 +104,15 @@ class Vocabulary:
 
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
-    """Byte by byte of all values: what compresses well."""
+    """Values byte plane by byte plane, compressed."""
     values = np.ascontiguousarray(values.astype(kind))
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes())
 
 
 def _from_planes(blob: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
 
 
 def _encode(vocabulary, names: list[str]):
@@ -131,12 +133,13 @@ def _coded(column: pa.Array, size: int, most: int = 1 << 18) -> Iterator[tuple[i
     """(first row, end row, ids, histories, tokens of each row) of runs of coded rows; size: of the vocabulary."""
     blobs, lo = column.to_pylist(), 0
     while lo < len(blobs):
-        hi, n = lo, 0
+        hi, n, held = lo, 0, []
         while hi < len(blobs) and (hi == lo or n < most):
-            n += len(blobs[hi]) // 4
+            held.append(_from_planes(blobs[hi], "<i4"))
+            n += len(held[-1])
             hi += 1
-        sizes = np.array([len(x) // 4 for x in blobs[lo:hi]])
-        ids = np.concatenate([_from_planes(x, "<i4") for x in blobs[lo:hi]]).astype(np.int64)
+        sizes = np.array([len(x) for x in held])
+        ids = np.concatenate(held).astype(np.int64)
         before = np.concatenate([[0], ids[:-1]])
         before[np.cumsum(sizes) - sizes] = size
         yield lo, hi, ids, before, sizes
