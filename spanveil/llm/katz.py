@@ -1,4 +1,4 @@
-"""LM scoring: a Katz backoff bigram model with Good-Turing discounts, in partitioned tables.
+"""LM scoring: a Katz backoff bigram model with Good-Turing discounts (see ``discounts`` for their cut-off), in partitioned tables.
 
 Tables, all in the shared folder: token counts, and the n-gram counts dealt by key hash to buckets, one row a
 bucket with its sorted keys and counts. A word seen after its history has its discounted share of the
@@ -147,13 +147,18 @@ def _coded(column: pa.Array, size: int, most: int = 1 << 18) -> Iterator[tuple[i
 
 
 def discounts(count_of_counts: dict[int, int], most: int = GT_MAX) -> np.ndarray:
-    """d[r] for r = 0..most: Katz's Good-Turing ratios, or absolute discounting where the counts don't bear them."""
+    """d[r] for r = 0..k: Katz's Good-Turing ratios, k being the largest cut-off, at most ``most``, for which all lie in (0, 1).
+
+    Counts above k are taken as they are. Where not even k = 2 holds (few tokens, or no count of one), absolute
+    discounting up to ``most``.
+    """
     n = [count_of_counts.get(r, 0) for r in range(most + 2)]
-    if all(n[1:]):
-        a = (most + 1) * n[most + 1] / n[1]
-        d = [((r + 1) * n[r + 1] / (n[r] * r) - a) / (1 - a) if a < 1 else 0.0 for r in range(1, most + 1)]
-        if all(0 < x < 1 for x in d):
-            return np.array([1.0, *d])
+    for k in range(most, 1, -1):  # d[1] is 0 for k = 1
+        a = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+        if a < 1 and all(n[1 : k + 2]):
+            d = [((r + 1) * n[r + 1] / (n[r] * r) - a) / (1 - a) for r in range(1, k + 1)]
+            if all(0 < x < 1 for x in d):
+                return np.array([1.0, *d])
     off = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
     return np.array([1.0, *[(r - min(0.9, max(0.1, off))) / r for r in range(1, most + 1)]])
 

@@ -401,6 +401,14 @@ def test_katz(spark, way):
         assert abs(r.base_score - base) < 1e-8 and abs(r.score - score) < 1e-8
 
 
+def test_good_turing_keeps_what_holds():
+    """Worked out by hand: with cut-off 5 d4 would be 17.25, with 4 the common share 1.5; 3 holds. Nor does 5 need to give way."""
+    assert np.allclose(katz.discounts({1: 100, 2: 40, 3: 20, 4: 5, 5: 30, 6: 10}), [1, 0.75, 0.6875, 1 / 6])
+    assert np.allclose(katz.discounts({1: 120, 2: 40, 3: 20, 4: 12, 5: 8, 6: 5}), [1, 5 / 9, 2 / 3, 11 / 15, 7 / 9, 2 / 3])
+    assert np.allclose(katz.discounts({1: 10, 2: 5}), [1, 0.5, 0.75, 5 / 6, 0.875, 0.9])  # nothing holds: absolute
+    assert len(katz.discounts({})) == 6
+
+
 def test_katz_odd(spark):
     df = odd(spark).select("doc_id", "text")
     v = katz.vocabulary_of(katz.count_tokens(df))
