@@ -13,8 +13,11 @@
 The benchmark is a stated query set. It is read in blocks of ``block_items`` items, so that what goes to the
 tasks is bounded whatever its size; all documents, whole, are compared with each block.
 
+Items of fewer than ``least_words`` words are too short for windows: they are found where all their words stand
+one after the other, as copies.
+
 Words are lower-cased and cut at white space and ASCII punctuation. Null or empty texts and items match
-nothing, nor do items of fewer than ``least_words`` words. Rows with a null id are not reported. Repeated rows
+nothing. Rows with a null id are not reported. Repeated rows
 report the same pair once. An empty benchmark or an empty table gives no rows.
 """
 
@@ -166,14 +169,16 @@ class Space:
 
 
 def length_classes(lengths: np.ndarray, ratio: float = 1.5) -> list[tuple[int, np.ndarray]]:
-    out, n = [], int(lengths.min())
-    while True:
-        own = np.flatnonzero((lengths >= n / ratio**0.5) & (lengths < n * ratio**0.5))
+    """(window length n, items of less than n * sqrt(ratio) words, from where the class before ends): each item is in one."""
+    out, n, begin, end = [], int(lengths.min()), 0.0, 0.0
+    while end <= lengths.max():
+        end = n * ratio**0.5
+        own = np.flatnonzero((lengths >= begin) & (lengths < end))
         if len(own):
             out.append((n, own))
-        if n * ratio**0.5 > lengths.max():
-            return out
-        n = max(n + 1, round(n * ratio))
+        n, begin = max(n + 1, int(n * ratio)), end
+    assert sum(len(own) for _, own in out) == len(lengths)
+    return out
 
 
 def space_of(docs: DataFrame, item_ids: list[int], texts: list[str], rank: int, passage_words: int, corpus_share: float, least_words: int, text_col: str) -> Space | None:
@@ -345,6 +350,51 @@ def _retrieve(shared, least_cosine: float, copied: float, paraphrased: float):
     return run
 
 
+class ShortItems:
+    """Items too short for windows, as a tree of their words."""
+
+    def __init__(self, item_ids: list[int], texts: list[str]):
+        self.terms, tree = Terms(texts), {}
+        self.ends: dict[int, list[int]] = {}
+        for item_id, (_, ids) in zip(item_ids, self.terms.texts(pa.array(texts, pa.string())), strict=True):
+            node = 0
+            for w in ids.tolist():
+                node = tree.setdefault(node * len(self.terms) + w, len(tree) + 1)
+            if node:
+                self.ends.setdefault(node, []).append(item_id)
+        self.moves = np.array(sorted(tree), np.int64)
+        self.nodes = np.array([tree[x] for x in sorted(tree)], np.int64)
+
+    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, its first word's place) of each item whose words stand in ids one after the other."""
+        start = np.arange(len(ids))
+        node, depth = np.zeros(len(ids), np.int64), 0
+        while True:
+            there = start + depth < len(ids)
+            start, node = start[there], node[there]
+            words = ids[start + depth]
+            key = np.where(words >= 0, node * len(self.terms) + words, -1)
+            at = np.searchsorted(self.moves, key)
+            at[at == len(self.moves)] = 0
+            met = np.flatnonzero(self.moves[at] == key)
+            if not len(met):
+                return
+            start, node, depth = start[met], self.nodes[at[met]], depth + 1
+            for reached, first in zip(*np.unique(node, return_index=True), strict=True):
+                for item_id in self.ends.get(int(reached), ()):
+                    yield item_id, int(start[first])
+
+
+def _find_short(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: ShortItems = shared.value
+        for batch in batches:
+            if rows := [(batch.column(0)[row].as_py(), item_id, 1.0, 1.0, 1.0, at, "copy") for row, ids in items.terms.texts(batch.column(1)) for item_id, at in items.find(ids)]:
+                yield _found(rows)
+
+    return run
+
+
 def _found(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
@@ -360,6 +410,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about block_items rows
         space = space_of(texts, [r.item_id for r in block], [r.text for r in block], rank, passage_words, corpus_share, least_words, "text") if block else None
+        sizes = [len(ids) for _, ids in Terms([]).texts(pa.array([r.text for r in block], pa.string()))]
+        short = [r for r, n in zip(block, sizes, strict=True) if 0 < n < least_words]
+        if short:
+            out = out.unionByName(texts.mapInArrow(_find_short(spark.sparkContext.broadcast(ShortItems([r.item_id for r in short], [r.text for r in short]))), FOUND))
         if space is not None:
             out = out.unionByName(texts.mapInArrow(_retrieve(spark.sparkContext.broadcast(space), least_cosine, copied, paraphrased), FOUND))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "answer", "word_at", "verdict")).alias("x"))

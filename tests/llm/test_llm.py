@@ -64,6 +64,29 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_length_classes_leave_none_out():
+    for least in range(1, 41):
+        lengths = np.concatenate([[least], np.random.default_rng(least).permutation(np.arange(least, 500))])
+        classes = decontaminate.length_classes(lengths)
+        assert sorted(np.concatenate([own for _, own in classes]).tolist()) == list(range(len(lengths)))
+        if least >= 8:
+            assert all((lengths[own] <= 1.25 * n).all() and (lengths[own] >= 0.75 * n).all() for n, own in classes)
+
+
+def test_leaks_of_all_lengths(spark):
+    """With a shortest item of 13 words, items of 16 lay between two classes; those of under 8 words were never searched."""
+    rng = random.Random(12)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items = [noise(n) for n in (13, 16, 16, 19, 30, 7, 2, 1)] + ["Two words", "two, WORDS!", "two", "", " . "]
+    texts = [noise(20) + " " + x + " " + noise(20) for x in items[:8]] + ["so Two\nwords here", "two other words", "words two", noise(50), ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.verdict, r.word_at) for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    assert set(found) == {(i, i) for i in range(8)} | {(8, 8), (8, 9), (8, 10), (9, 10), (10, 10)}
+    assert all(found[i, i] == ("copy", 20) for i in (5, 6, 7)) and found[10, 10] == ("copy", 1)
+    only = decontaminate.find_leaks(docs(spark, texts), bench.filter("item_id >= 5 AND item_id <= 7")).collect()
+    assert {(r.doc_id, r.item_id) for r in only} == {(5, 5), (6, 6), (7, 7)}
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
