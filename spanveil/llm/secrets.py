@@ -3,7 +3,8 @@
 Patterns (base spans): ``assign``, ``access`` and ``hex``, each leftmost and non-overlapping.
 
 Battery (``random`` spans): every maximal run of 20 or more characters of the base64 and URL alphabets is a
-candidate. Its encoding is inferred (hex, base32, base62, base64), then three tests ask whether it could be a
+candidate, with the padding behind it; an ``=`` inside ends one and begins the next, so in ``KEY=value`` the value
+is tested by itself. Its encoding is inferred (hex, base32, base62, base64), then three tests ask whether it could be a
 uniform draw from that alphabet: chi-squared uniformity, Wald-Wolfowitz runs over the alphabet's halves, and
 lag-one serial correlation. A candidate stays if no test rejects uniformity (Bonferroni at ``alpha``).
 Against that stands the null hypothesis of ordinary text of the same length: text repeats letters more often
@@ -27,7 +28,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Shorter matches of the plain patterns would be dropped; as these runs are maximal, asking for the length at once is the same.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: A = is padding at a run's end and nothing else: before more of the alphabet it parts a name from its value.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
 KINDS = ("assign", "access", "hex", "random")
 
 #: Relative letter frequencies of European text give these sums of squares and cubes; digits are rare in it.

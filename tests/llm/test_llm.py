@@ -482,6 +482,20 @@ def test_random_runs(spark):
     assert secrets.scan(odd(spark)).count() == 10 and secrets.scan(odd(spark).limit(0)).count() == 0
 
 
+def test_random_values_behind_names(spark):
+    import base64
+
+    rng = random.Random(13)
+    values = [base64.b64encode(bytes(rng.randrange(256) for _ in range(n))).decode() for n in (30, 29, 28) for _ in range(40)]  # no, one and two signs of padding
+    names = ["AWS_SECRET_ACCESS_KEY=", "DATABASE_CONNECTION_CREDENTIAL=", "K=", ""]
+    texts = [names[i % 4] + v for i, v in enumerate(values)]
+    out = {r.doc_id: r.found for r in secrets.scan(docs(spark, texts)).collect()}
+    for k, name in enumerate(names):
+        spans = [(i, s) for i in range(k, len(texts), 4) for s in out[i]]
+        assert len(spans) >= 27  # of 30
+        assert all(texts[i][s.start : s.stop] == values[i] for i, s in spans)
+
+
 @needs_data
 def test_secret_digest(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
