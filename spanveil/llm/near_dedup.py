@@ -10,17 +10,22 @@ keeps passages that thousands of documents share out of the lists, unless the do
 2. Frequent values: those counted in more documents than a short list has, cut to a bounded number of the
    most frequent ones. They only shape the order.
 3. Inverted lists: a short list gives its pairs, by size and position whether they can still reach t.
-   A long list, mostly a group of near copies, has a centre; each document is paired with at most four centres.
-4. The union of two plain bottom-64 sketches estimates the similarity and filters (six standard deviations
-   below t). Exact Jaccard on the full sets verifies.
+   A long list is mostly a group of near copies. Members that by size and position can reach t with none of
+   its sizes leave it at once: of the copies around the threshold, whose own changes come first in their
+   order, that is nearly every one. Of the rest, each member is compared with the list's most central one,
+   the one with the smallest share of infrequent values, and with at most four others.
+4. The union of two plain bottom-64 sketches estimates the similarity and filters. Sketches that hold the whole
+   union are exact; else a pair goes if the estimate lies eight standard deviations below t. By Chernoff's
+   bound that happens to a pair at t or above with a chance of under 1e-9. Exact Jaccard on the full sets
+   verifies.
 5. Components of the links. Members of a long list in different components are still not compared: those
-   outside the list's main component meet further members of it, then all pairs across components that
-   are left.
+   outside the list's main component meet further members of it, as long as that links some, then the
+   pairs across components that are left.
 
 A document without words has an empty set and is linked with nothing; with fewer words than a shingle
 takes, the whole sequence is its one value. Rows with a null id take no part (component null, kept). Rows
-with one id are one document: equal rows get equal results. Input columns named like the added ones are
-replaced.
+with one id are one document: the text of the smallest hash stands for it, and all get its component; they
+are kept alike. Input columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TokenHasher, documents, mix64, staged
@@ -40,6 +45,7 @@ SKETCH = 64
 SHORT_LIST = 32
 MOST_FREQUENT = 1 << 20
 MOST_IDS_SENT = 1 << 21
+MOST_TURNS = 6
 
 
 class Shingler:
@@ -110,12 +116,12 @@ def _often(words: int, at_once: int = 1 << 22):
 
 
 def _retain(words: int, num: int, den: int, frequent):
-    """Each class's retained values with their places in the order."""
+    """Each class's retained values with their places in the order, and its share of values that aren't frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, often = Shingler(words), frequent.value
         for batch in batches:
-            v, where, place, sizes = [], [], [], []
+            v, where, place, sizes, rare = [], [], [], [], []
             for i, own in enumerate(shingler.sets(batch.column(1))):
                 if not len(own):
                     continue
@@ -126,8 +132,9 @@ def _retain(words: int, num: int, den: int, frequent):
                 place.append(np.arange(len(first)))
                 where.append(np.full(len(first), i))
                 sizes.append(np.full(len(first), len(own)))
+                rare.append(np.full(len(first), (~late).sum() / len(own)))
             if v:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view("i8")), batch.column(0).take(pa.array(np.concatenate(where))), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32))], ["v", "rep", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view("i8")), batch.column(0).take(pa.array(np.concatenate(where))), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(rare).astype(np.float32))], ["v", "rep", "n", "place", "rare"])
 
     return run
 
@@ -154,7 +161,7 @@ def _promising(num: int, den: int):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 guess, size = estimate(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))
-                keep.append(guess >= t - 6 * (t * (1 - t) / max(1, size)) ** 0.5)
+                keep.append(guess >= t - (8 * (t * (1 - t) / size) ** 0.5 if size == SKETCH else 0))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
@@ -202,9 +209,14 @@ class Confirmer:
         return pairs.join(a, "a").join(b, "b").select("a", "b", f"{name}_a", f"{name}_b")
 
 
+def overlap(n: Column, m: Column, num: int, den: int) -> Column:
+    """The least number of values that sets of n and m must share: whole numbers throughout."""
+    return F.floor((F.lit(num) * (n + m) + F.lit(num + den - 1)) / F.lit(num + den))
+
+
 def can_reach(x: str, y: str, num: int, den: int):
     """Whether two members of a list, by sizes and places, can have a union den/num times their intersection."""
-    least = F.ceil(F.lit(num) * (F.col(f"{x}.n") + F.col(f"{y}.n")) / F.lit(num + den))
+    least = overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), num, den)
     left = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
     return (left >= least) & sizes_fit(x, y, num, den)
 
@@ -226,32 +238,34 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
             break
     frequent = np.sort(counted.filter(F.col("c") >= least).select("v").toArrow()["v"].to_numpy().view("u8"))
 
-    posts = staged(texts.select("rep", "text").mapInArrow(_retain(words, num, den, spark.sparkContext.broadcast(frequent)), "v long, rep long, n int, place int"), "posts")
-    lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-    members = posts.join(lists, "v")
+    posts = staged(texts.select("rep", "text").mapInArrow(_retain(words, num, den, spark.sparkContext.broadcast(frequent)), "v long, rep long, n int, place int, rare float"), "posts")
+    lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most")).filter(F.col("size") > 1)
+    members = posts.join(lists, "v").filter(F.col("n") - F.col("place") >= overlap(F.col("n"), F.greatest(F.col("least"), F.ceil(F.lit(num) * F.col("n") / F.lit(den))), num, den))
 
     short = members.filter(F.col("size") <= SHORT_LIST).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "place"))).alias("m"))
     short = short.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
     short = short.filter(can_reach("x", "y", num, den)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-    long_ = staged(members.filter(F.col("size") > SHORT_LIST).select("v", "rep", "n", "place"), "long-lists")
-    centres = long_.groupBy("v").agg(F.min_by(F.struct("rep", "n", "place"), F.struct(F.xxhash64("rep", F.pmod("v", F.lit(4))), "rep")).alias("centre"))
+    long_ = staged(members.filter(F.col("size") > SHORT_LIST).select("v", "rep", "n", "place", "rare"), "long-lists")
+    member = F.struct("rep", "n", "place", "rare")
+    centres = long_.groupBy("v").agg(F.min_by(member, F.struct("rare", "rep")).alias("core"), F.min_by(member, F.struct(F.xxhash64("rep", F.pmod("v", F.lit(4))), "rep")).alias("centre"))
     confirm = Confirmer(texts, sketches, words, num, den)
     links = confirm(short.filter(F.col("a") < F.col("b")).unionByName(some_each(long_.join(centres, "v"), num, den)))
 
-    for turn in range(2):
+    before = None
+    for turn in range(MOST_TURNS):
         found = components(links)
-        open_ = long_.join(found, long_["rep"] == found["node"], "left").select("v", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
-        parts = open_.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("rep", "n", "place"), F.xxhash64("rep", F.lit(turn))).alias("centre"))
-        whole = parts.groupBy("v").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max_by(F.struct("component", "centre"), F.struct("k", "component")).alias("main"))
-        whole = whole.filter(F.col("squares") < F.col("size") * F.col("size")).select("v", "size", "squares", F.col("main.component").alias("main"), F.col("main.centre").alias("centre"))
+        open_ = long_.join(found, long_["rep"] == found["node"], "left").select("v", "rep", "n", "place", "rare", F.coalesce("component", "rep").alias("component"))
+        parts = open_.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k"), F.min_by(member, F.struct("rare", "rep")).alias("core"), F.min_by(member, F.xxhash64("rep", F.lit(turn))).alias("centre"))
+        whole = parts.groupBy("v").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max_by(F.struct("component", "core", "centre"), F.struct("k", "component")).alias("main"))
+        whole = whole.filter(F.col("squares") < F.col("size") * F.col("size")).select("v", "size", "squares", F.col("main.component").alias("main"), F.col("main.core").alias("core"), F.col("main.centre").alias("centre"))
         whole = staged(whole, "open-lists")
         left, cross = whole.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2), F.lit(0))).first()
         if not left:
             return found
         # What is outside its list's main component.
         apart = open_.join(whole, "v").filter(F.col("component") != F.col("main"))
-        last = turn == 1 or cross <= max(4 * left, 1_000_000)
+        last = turn == MOST_TURNS - 1 or cross <= max(4 * left, 1 << 16) or cross == before
         if last:  # every pair across components that can still reach the threshold
             x = apart.select("v", F.struct("rep", "n", "place").alias("x"), F.col("component").alias("cx"), "main")
             y = open_.select("v", F.struct("rep", "n", "place").alias("y"), F.col("component").alias("cy"))
@@ -262,32 +276,45 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
         links = links.unionByName(confirm(pairs))
         if last:
             return components(links)
+        before = cross
     raise AssertionError("not reached")
 
 
 def some_each(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of every member with the centres of its lists that its size fits: at most four, whatever the number of lists."""
-    fit = members.select(F.struct("rep", "n", "place").alias("x"), F.col("centre").alias("y")).filter(sizes_fit("x", "y", num, den) & (F.col("x.rep") != F.col("y.rep")))
-    marks = [F.struct(F.xxhash64("y.rep", F.lit(seed)), F.col("y.rep").alias("rep")) for seed in (0, 1)]
-    few = fit.groupBy(F.col("x.rep").alias("rep")).agg(*[f(m).alias(f"c{i}{k}") for i, m in enumerate(marks) for k, f in enumerate((F.min, F.max))])
-    return few.select("rep", F.explode(F.array("c00.rep", "c01.rep", "c10.rep", "c11.rep")).alias("y")).select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"))
+    """Pairs (a, b) of every member with the most central of its lists' cores, and with those of its lists' centres that its
+    size fits: at most five, whatever the number of lists."""
+    fits = lambda y: sizes_fit("x", y, num, den) & (F.col(f"{y}.rep") != F.col("x.rep"))
+    met = members.select(F.struct("rep", "n", "place").alias("x"), F.col("core").alias("y"), F.col("centre").alias("z"))
+    marks = [F.when(fits("z"), F.struct(F.xxhash64("z.rep", F.lit(seed)), F.col("z.rep").alias("rep"))) for seed in (0, 1)]
+    few = met.groupBy(F.col("x.rep").alias("rep")).agg(F.min(F.when(fits("y"), F.struct("y.rare", "y.rep"))).alias("y"), *[f(m).alias(f"c{i}{k}") for i, m in enumerate(marks) for k, f in enumerate((F.min, F.max))])
+    few = few.select("rep", F.explode(F.array_distinct(F.array("y.rep", "c00.rep", "c01.rep", "c10.rep", "c11.rep"))).alias("y")).filter(F.col("y").isNotNull())
+    return few.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row for each of docs: links at den * |A & B| >= num * |A or B|."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    hashed = rows.filter(F.col("id").isNotNull()).select("id", F.xxhash64("text").alias("h"))
+    several = staged(hashed.groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("m")).filter("h <> m").select("id", "h"), "several-texts")
+    one_each = rows
+    if several.limit(1).count():  # ids of several texts: one of them stands for each
+        one_each = rows.withColumn("own", F.xxhash64("text")).join(several, "id", "left").filter(F.col("h").isNull() | (F.col("h") == F.col("own"))).select("id", "text")
     described = staged(rows.mapInArrow(_describe(words), "id long, n long, s1 long, s2 long, sketch binary"), "sketches")
-    classes = described.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("s1", "s2").agg(F.min("id").alias("rep"))
+    standing = described if one_each is rows else staged(one_each.mapInArrow(_describe(words), "id long, n long, s1 long, s2 long, sketch binary"), "standing")
+    classes = standing.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     classes = staged(classes, "classes")
     reps = sent_if_few(staged(classes.select(F.col("rep").alias("id")).distinct(), "class-ids"))
-    sketches = described.join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi").select(F.col("id").alias("rep"), "sketch").distinct()
-    texts = rows.join(reps, "id", "left_semi").select(F.col("id").alias("rep"), "text")
+    sketches = standing.join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi").select(F.col("id").alias("rep"), "sketch").distinct()
+    texts = one_each.join(reps, "id", "left_semi").select(F.col("id").alias("rep"), "text")
     found = links_of(texts, staged(sketches, "class-sketches"), words, num, den)
 
-    out = described.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
+    out = standing.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     out = out.join(found, out["rep"] == found["node"], "left")
     own = F.when(F.col("id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = out.select("id", "n", own.alias("component_id"))
+    if one_each is not rows:
+        out = described.select("id", "n").join(out.filter(F.col("id").isNotNull()).select("id", "component_id").distinct(), "id", "left")
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

@@ -236,6 +236,32 @@ def test_near_duplicates_odd(spark):
     assert near_dedup.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    """One text stands for an id; its other rows get the same component, whatever they hold."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (4, None), (4, ""), (None, a)]
+    out = [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3).collect()]
+    by_id = {i: {c for d, _, c, _ in out if d == i} for i in (1, 2, 3, 4)}
+    assert len(out) == 8 and by_id[1] == {1} and by_id[4] == {4} and (by_id[2], by_id[3]) in (({1}, {3}), ({2}, {2}))
+    assert sorted(n for d, n, _, _ in out if d == 2) == [3, 5] and [r for r in out if r[0] is None] == [(None, 5, None, True)]
+
+
+def test_copies_around_the_threshold(spark):
+    """A hot group: a core whose copies lie on both sides of the threshold, most of them linked with the core alone or nothing."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base)]
+    for i in range(700):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 14)):
+            copy[rng.randrange(150)] = word()
+        texts.append(" ".join(copy if i % 7 else copy[:140]))
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts), words=3, num=85).collect()}
+    want = brute_components(list(enumerate(texts)), 3, 85, 100)
+    assert found == want and 100 < sum(d == c for d, c in want.items()) < 650
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, i) for i in range(201, 260)]
