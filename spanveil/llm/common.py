@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends there and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/spanveil/{name}-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and read again: lineage ends there and lost executors lose nothing.
+
+    The table goes when the driver ends, or before that by discard().
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/spanveil/{name}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for table in tables:
+        fs, at = _hadoop(table.sparkSession, vars(table)["_staged_at"])
+        fs.delete(at, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, giving memory back at its end: Spark keeps workers for later tasks, and an executor has several of them idle."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def crc_mod(key: Column | str, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
         large = large.unionByName(least.filter(F.col("m") < F.col("u")).select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = staged(small.filter(F.col("u") != F.col("v")).distinct(), "links")
+        older, edges = edges, staged(small.filter(F.col("u") != F.col("v")).distinct(), "links")
+        discard(older)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -35,4 +36,6 @@ def components(links: DataFrame, most_steps: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     pointing = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return staged(pointing.unionByName(pointing.select(F.col("component").alias("node"), "component")).distinct(), "components")
+    out = staged(pointing.unionByName(pointing.select(F.col("component").alias("node"), "component")).distinct(), "components")
+    discard(edges)
+    return out

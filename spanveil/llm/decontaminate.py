@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, documents, staged
+from .common import TokenHasher, documents, lean, staged
 
 #: ASCII white space and punctuation.
 BLANKS = bytes([*range(9, 14), *range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
@@ -191,9 +191,9 @@ def space_of(docs: DataFrame, item_ids: list[int], texts: list[str], rank: int,
     size = len(terms)
     rank = min(rank, size)
     width = min(size, rank + 16)
-    rows = docs.select(F.col(text_col)).mapInArrow(_gather(terms, 11, width, passage_words), "chunk int, passages long, sums binary")
+    rows = docs.select(F.col(text_col)).mapInArrow(lean(_gather(terms, 11, width, passage_words)), "chunk int, passages long, sums binary")
     tasks = max(1, min(-(-size // 64), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    got = staged(rows.repartition(tasks, "chunk").mapInArrow(_add_up, "chunk int, passages long, sums binary"), "term-sums").collect()  # one row for 64 terms
+    got = staged(rows.repartition(tasks, "chunk").mapInArrow(lean(_add_up), "chunk int, passages long, sums binary"), "term-sums").collect()  # one row for 64 terms
     sums = np.zeros((size, 1 + width))
     for row in got:
         sums[row.chunk : row.chunk + 64] = np.frombuffer(row.sums).reshape(-1, 1 + width)
@@ -413,9 +413,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         sizes = [len(ids) for _, ids in Terms([]).texts(pa.array([r.text for r in block], pa.string()))]
         short = [r for r, n in zip(block, sizes, strict=True) if 0 < n < least_words]
         if short:
-            out = out.unionByName(texts.mapInArrow(_find_short(spark.sparkContext.broadcast(ShortItems([r.item_id for r in short], [r.text for r in short]))), FOUND))
+            out = out.unionByName(texts.mapInArrow(lean(_find_short(spark.sparkContext.broadcast(ShortItems([r.item_id for r in short], [r.text for r in short])))), FOUND))
         if space is not None:
-            out = out.unionByName(texts.mapInArrow(_retrieve(spark.sparkContext.broadcast(space), least_cosine, copied, paraphrased), FOUND))
+            out = out.unionByName(texts.mapInArrow(lean(_retrieve(spark.sparkContext.broadcast(space), least_cosine, copied, paraphrased)), FOUND))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "answer", "word_at", "verdict")).alias("x"))
     return best.select("doc_id", "item_id", "x.cosine", "x.lcs", "x.answer", "x.word_at", "x.verdict")
 

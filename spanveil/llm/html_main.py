@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, without
+from .common import documents, lean, without
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea title object select canvas audio video".split())
@@ -214,7 +214,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with html replaced by text (its main text) and n_chars (code points)."""
     pages = without(pages, "text", "n_chars")
     schema = T.StructType([*[f for f in pages.schema.fields if f.name != html_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.mapInArrow(_extract(pages.columns, pages.columns.index(html_col)), schema)
+    return pages.mapInArrow(lean(_extract(pages.columns, pages.columns.index(html_col))), schema)
 
 
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, crc_mod, documents, mix64, staged
+from .common import TokenHasher, crc_mod, documents, lean, mix64, staged
 
 END = np.uint64(0x9D5C1F3B7A2E8640)  # the hash of the end token
 GT_MAX = 5
@@ -314,7 +314,7 @@ class Fitted:
 def count_tokens(training: DataFrame, text_col: str = "text") -> DataFrame:
     """(h, c): the training texts' token hashes and counts, written to the shared folder."""
     texts = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return staged(texts.mapInArrow(_count_tokens, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "tokens")
+    return staged(texts.mapInArrow(lean(_count_tokens), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "tokens")
 
 
 def vocabulary_of(tokens: DataFrame) -> Vocabulary:
@@ -328,7 +328,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
     kept = [c for c in docs.columns if c not in (text_col, "token_ids")]
     rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return staged(rows.mapInArrow(_encode(shared, kept), docs.select(*kept).schema.add("token_ids", "binary")), "coded")
+    return staged(rows.mapInArrow(lean(_encode(shared, kept)), docs.select(*kept).schema.add("token_ids", "binary")), "coded")
 
 
 def fit(coded: DataFrame, vocabulary: Vocabulary, heavy: int = 1 << 19) -> Fitted:
@@ -336,12 +336,12 @@ def fit(coded: DataFrame, vocabulary: Vocabulary, heavy: int = 1 << 19) -> Fitte
     spark, size = coded.sparkSession, len(vocabulary)
     unigrams = Unigrams.of(vocabulary)
     buckets = max(12, -(-vocabulary.total // BUCKET_TOKENS))
-    pairs = coded.select("token_ids").mapInArrow(_count_pairs(size, buckets), "bucket int, keys binary, counts binary")
+    pairs = coded.select("token_ids").mapInArrow(lean(_count_pairs(size, buckets)), "bucket int, keys binary, counts binary")
     pairs = staged(pairs.groupBy("bucket").applyInArrow(_merge_bucket, "bucket int, keys binary, counts binary"), "pairs")
-    histogram = {r.c: r.n for r in pairs.mapInArrow(_count_histogram, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}  # at most sqrt(2 total) rows
+    histogram = {r.c: r.n for r in pairs.mapInArrow(lean(_count_histogram), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}  # at most sqrt(2 total) rows
     d = discounts(histogram)
 
-    sums = pairs.mapInArrow(_histories(spark.sparkContext.broadcast((size, unigrams.logs)), d), "h long, c long, kept double, lower double")
+    sums = pairs.mapInArrow(lean(_histories(spark.sparkContext.broadcast((size, unigrams.logs)), d)), "h long, c long, kept double, lower double")
     sums = sums.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", "kept", "lower")])
     whole = F.when(F.col("c") - F.col("kept") < 1e-9, F.col("c") + 1.0).otherwise(F.col("c"))
     alpha = (whole - F.col("kept")) / whole / F.greatest(1 - F.col("lower"), F.lit(1e-12))
@@ -354,7 +354,7 @@ def fit(coded: DataFrame, vocabulary: Vocabulary, heavy: int = 1 << 19) -> Fitte
         if held + histogram[c] > heavy:
             break
         least, held = c, held + histogram[c]
-    got = pairs.mapInArrow(_heavy(least), "key long, c long").toArrow()
+    got = pairs.mapInArrow(lean(_heavy(least)), "key long, c long").toArrow()
     order = np.argsort(got["key"].to_numpy())
     return Fitted(Model(vocabulary.counts, vocabulary.total, unigrams, d, log_c, log_alpha, got["key"].to_numpy()[order], got["c"].to_numpy()[order]), pairs, buckets)
 
@@ -446,12 +446,12 @@ def score(coded: DataFrame, fitted: Fitted, id_col: str = "doc_id") -> DataFrame
     row_key = F.xxhash64(F.col(id_col), "token_ids").alias("row_key")
     kept = [c for c in coded.columns if c not in ("token_ids", "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     schema = coded.select(*kept, row_key).schema
-    first = coded.select(*kept, row_key, "token_ids").mapInArrow(_first_scores(model, [*kept, "row_key"]), schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("first", "double"))
+    first = coded.select(*kept, row_key, "token_ids").mapInArrow(lean(_first_scores(model, [*kept, "row_key"])), schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("first", "double"))
 
-    posts = coded.select(row_key, "token_ids").mapInArrow(_post(model, fitted.buckets), "bucket int, kind int, keys binary, counts binary, rows binary")
+    posts = coded.select(row_key, "token_ids").mapInArrow(lean(_post(model, fitted.buckets)), "bucket int, kind int, keys binary, counts binary, rows binary")
     table = fitted.pairs.select("bucket", F.lit(0).alias("kind"), "keys", "counts", F.lit(None).cast("binary").alias("rows"))
     meet = table.unionByName(posts).repartition(fitted.buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    answers = meet.mapInArrow(_answer(model), "block long, rows binary, gains binary")
+    answers = meet.mapInArrow(lean(_answer(model)), "block long, rows binary, gains binary")
     gains = answers.groupBy("block").applyInArrow(_sum_block, "row_key long, gain double").groupBy("row_key").agg(F.sum("gain").alias("gain"))
     same = coded.select(row_key).groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))  # repeated rows post alike
     gains = same.join(gains, "row_key", "left")
@@ -494,7 +494,7 @@ def score_by_joins(docs: DataFrame, tokens: DataFrame, train: str, text_col: str
     kept = [c for c in docs.columns if c not in (text_col, train)]
     keyed = docs.select(*kept, F.col(train).alias("_train"), F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit(""))).alias("row_key"), F.coalesce(text_col, F.lit("")).alias("text"))
     copies = keyed.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
-    pairs = staged(keyed.select("row_key", "_train", "text").mapInArrow(_hashed_pairs(["row_key", "_train"]), "row_key long, _train boolean, h long, w long, k long"), "hashed-pairs")
+    pairs = staged(keyed.select("row_key", "_train", "text").mapInArrow(lean(_hashed_pairs(["row_key", "_train"])), "row_key long, _train boolean, h long, w long, k long"), "hashed-pairs")
     total, size = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     one = _kept_sql("c", _discounts_of(tokens)).alias("kept")
     kept_all = tokens.select(one).agg(F.coalesce(F.sum("kept"), F.lit(0.0))).first()[0]

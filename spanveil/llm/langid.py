@@ -4,10 +4,12 @@ Every language gets a codeword; one binary classifier over hashed character n-gr
 A text's classifiers vote with real-valued margins, and the codeword of least weighted loss wins. A
 bit weighs, for each language, what its classifier got right of that language's training rows.
 
-The classifiers are fitted on a bounded sample: at most ``sample_rows`` training rows, the same number
-for each language, those of the smallest hashes of their ids. Everything else reads all rows.
+The classifiers are fitted on a bounded sample: ``sample_rows`` divided by the number of languages, but at least
+one row, of each language: those of the smallest hashes of their ids (then of their texts), whatever the order
+or the partitions of the table. Everything else reads all rows.
 
-A null text, or one without a letter, is ``und`` with score 0 and is not ambiguous. Training rows need
+A null text, or one without a letter (Unicode's categories L; digits, fractions and Roman numerals are none), is
+``und`` with score 0 and is not ambiguous. Training rows need
 a text, a language and an id; without any, every row is ``und``. With one language every text that
 has a letter is of it, with score 1. Empty tables give empty results. Columns of the input named like
 the added ones are replaced.
@@ -15,7 +17,6 @@ the added ones are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import crc_mod, documents, without
+from .common import crc_mod, documents, lean, without
 
-LETTER = re.compile(r"[^\W\d_]")
 DIMS = 1 << 12
 PIECE = 1 << 16
 
@@ -38,6 +39,10 @@ def _letters() -> np.ndarray:
     return np.array([c if 0xD800 > c or c > 0xDFFF else 32 for c in range(0x10000)], np.uint32) * np.array([chr(c).isalpha() for c in range(0x10000)], np.uint32)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def counts_of(text: str) -> np.ndarray:
     """How many 1-, 2- and 3-grams of letters fall into each of DIMS classes; texts of any length, in pieces."""
     out = np.zeros(DIMS, np.int64)
@@ -106,21 +111,24 @@ class Model:
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([counts_of(x).astype("<u4").tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["lang", "counts"])
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([counts_of(x).astype("<u4").tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["lang", "counts"])
 
 
 def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000) -> Model | None:
     """A model of at most sample_rows labelled rows, as many of each language; None without any."""
     rows = training.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    langs = rows.select("lang").distinct().count()
+    if not langs:
         return None
-    each = max(1, sample_rows // len(sizes))
-    edge = F.lit(False)
-    for lang, n in sizes.items():  # the smallest hashes: a fixed share of each language, cut to the bound below
-        share = min(1.0, 1.1 * each / n)
-        edge = edge | ((F.col("lang") == lang) & (F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)))
-    got = rows.filter(edge).select("lang", "text").mapInArrow(_count_rows, "lang string, counts binary").limit(sample_rows).toArrow()
+    each = max(1, sample_rows // langs)
+    # Each language's hash up to which its rows are taken; of rows with one hash, repeated ids, the smallest texts' ones.
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    edges = rows.select("lang", "h").withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= each).groupBy("lang").agg(F.max("h").alias("edge"))
+    edges = F.broadcast(edges) if langs <= 1 << 16 else edges
+    taken = rows.join(edges, "lang").filter(F.col("h") <= F.col("edge")).withColumn("r", F.row_number().over(by_hash.orderBy("h", F.xxhash64("text")))).filter(F.col("r") <= each)
+    got = taken.select("lang", "text").mapInArrow(lean(_count_rows), "lang string, counts binary").toArrow()
     counts = np.frombuffer(b"".join(got.column(1).to_pylist()), "<u4").reshape(-1, DIMS)
     return Model.fit(counts, got.column(0).to_pylist()) if len(counts) else None
 
@@ -131,7 +139,7 @@ def _predict(model: Model | None, names: list[str], text_at: int, ambiguous_belo
             for lo in range(0, len(batch), at_once):
                 part = batch.slice(lo, at_once)
                 texts = part.column(text_at).to_pylist()
-                known = [i for i, x in enumerate(texts) if x and model is not None and LETTER.search(x)]
+                known = [i for i, x in enumerate(texts) if model is not None and has_letter(x)]
                 lang, score, tied = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 if known:
                     best, share, lead = model.decode(np.stack([counts_of(texts[i]) for i in known]))
@@ -147,7 +155,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", ambig
     """docs with lang_pred, score (0 to 1) and ambiguous: two codewords were nearly as near."""
     docs = without(docs, "lang_pred", "score", "ambiguous")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return docs.mapInArrow(_predict(model, docs.columns, docs.columns.index(text_col), ambiguous_below), schema)
+    return docs.mapInArrow(lean(_predict(model, docs.columns, docs.columns.index(text_col), ambiguous_below)), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, CONTINUATION, documents, mix64, staged, without
+from .common import ASCII_SPACE, CONTINUATION, documents, lean, mix64, staged, without
 
 MAX_SHARDS = 4096
 SHARD_KEYS = 1 << 17
@@ -197,7 +197,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     docs = without(docs, "n_lines", "n_dropped")
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col)).dropna()
-    lines = staged(texts.mapInArrow(_emit_hashes(min_chars), "h1 long, h2 long, line_doc long"), "line-hashes")
+    lines = staged(texts.mapInArrow(lean(_emit_hashes(min_chars)), "h1 long, h2 long, line_doc long"), "line-hashes")
     index, shards = build_index(lines, min_docs)
 
     # Probes of a shard are split over as many tasks as its load asks for; the list of shards is at most MAX_SHARDS rows.
@@ -211,14 +211,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probes = probes.select("shard", F.pmod(F.xxhash64("line_doc"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "line_doc", *[F.lit(None).cast("binary").alias(c) for c in ("mphf", "prints", "counts", "keepers")])
     copies = index.join(dealt, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "line_doc")], "mphf", "prints", "counts", "keepers")
     both = copies.unionByName(probes).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    hits = both.mapInArrow(_probe(min_docs), "line_doc long, h1 long, h2 long")
+    hits = both.mapInArrow(lean(_probe(min_docs)), "line_doc long, h1 long, h2 long")
     gone = hits.groupBy("line_doc").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
-    gone = gone.mapInArrow(_pack, "line_doc long, gone binary")
+    gone = gone.mapInArrow(lean(_pack), "line_doc long, gone binary")
 
     names = docs.columns
     joined = docs.join(gone, docs[id_col].cast("long") == gone["line_doc"], "left").select(*[docs[c] for c in names], gone["gone"])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_rewrite(names, names.index(text_col), min_chars), schema)
+    return joined.mapInArrow(lean(_rewrite(names, names.index(text_col), min_chars)), schema)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

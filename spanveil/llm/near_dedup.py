@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, documents, mix64, staged
+from .common import TokenHasher, discard, documents, lean, mix64, staged
 from .components import components
 
 SKETCH = 64
@@ -197,10 +197,12 @@ class Confirmer:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         pairs = self._with(pairs.distinct(), self.sketches.select("rep", "sketch"))
-        pairs = staged(pairs.mapInArrow(_promising(self.num, self.den), "a long, b long"), "promising")
+        pairs = staged(pairs.mapInArrow(lean(_promising(self.num, self.den)), "a long, b long"), "promising")
         ids = staged(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
-        sets = self.texts.join(sent_if_few(ids), "rep", "left_semi").mapInArrow(_full_sets(self.words), "rep long, values binary")
-        return staged(self._with(pairs, sets).mapInArrow(_verified(self.num, self.den), "a long, b long").distinct(), "verified")
+        sets = self.texts.join(sent_if_few(ids), "rep", "left_semi").mapInArrow(lean(_full_sets(self.words)), "rep long, values binary")
+        links = staged(self._with(pairs, sets).mapInArrow(lean(_verified(self.num, self.den)), "a long, b long").distinct(), "verified")
+        discard(pairs, ids)
+        return links
 
     @staticmethod
     def _with(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -228,7 +230,7 @@ def sizes_fit(x: str, y: str, num: int, den: int):
 def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(node, component) of the classes that are linked with others."""
     spark = texts.sparkSession
-    counted = staged(texts.select("text").mapInArrow(_often(words), "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") > SHORT_LIST), "often")
+    counted = staged(texts.select("text").mapInArrow(lean(_often(words)), "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") > SHORT_LIST), "often")
     cut = counted.groupBy("c").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("c"))  # a row for each count
     least, held = SHORT_LIST + 1, 0
     for row in cut.toLocalIterator():
@@ -238,7 +240,8 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
             break
     frequent = np.sort(counted.filter(F.col("c") >= least).select("v").toArrow()["v"].to_numpy().view("u8"))
 
-    posts = staged(texts.select("rep", "text").mapInArrow(_retain(words, num, den, spark.sparkContext.broadcast(frequent)), "v long, rep long, n int, place int, rare float"), "posts")
+    discard(counted)
+    posts = staged(texts.select("rep", "text").mapInArrow(lean(_retain(words, num, den, spark.sparkContext.broadcast(frequent))), "v long, rep long, n int, place int, rare float"), "posts")
     lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most")).filter(F.col("size") > 1)
     members = posts.join(lists, "v").filter(F.col("n") - F.col("place") >= overlap(F.col("n"), F.greatest(F.col("least"), F.ceil(F.lit(num) * F.col("n") / F.lit(den))), num, den))
 
@@ -252,6 +255,7 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
     confirm = Confirmer(texts, sketches, words, num, den)
     links = confirm(short.filter(F.col("a") < F.col("b")).unionByName(some_each(long_.join(centres, "v"), num, den)))
 
+    discard(posts)
     before = None
     for turn in range(MOST_TURNS):
         found = components(links)
@@ -262,6 +266,7 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
         whole = staged(whole, "open-lists")
         left, cross = whole.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2), F.lit(0))).first()
         if not left:
+            discard(long_, whole)
             return found
         # What is outside its list's main component.
         apart = open_.join(whole, "v").filter(F.col("component") != F.col("main"))
@@ -274,8 +279,11 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
         else:  # with another member of the main component each time
             pairs = some_each(apart, num, den)
         links = links.unionByName(confirm(pairs))
+        discard(found, whole)
         if last:
-            return components(links)
+            found = components(links)
+            discard(long_)
+            return found
         before = cross
     raise AssertionError("not reached")
 
@@ -299,8 +307,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one_each = rows
     if several.limit(1).count():  # ids of several texts: one of them stands for each
         one_each = rows.withColumn("own", F.xxhash64("text")).join(several, "id", "left").filter(F.col("h").isNull() | (F.col("h") == F.col("own"))).select("id", "text")
-    described = staged(rows.mapInArrow(_describe(words), "id long, n long, s1 long, s2 long, sketch binary"), "sketches")
-    standing = described if one_each is rows else staged(one_each.mapInArrow(_describe(words), "id long, n long, s1 long, s2 long, sketch binary"), "standing")
+    described = staged(rows.mapInArrow(lean(_describe(words)), "id long, n long, s1 long, s2 long, sketch binary"), "sketches")
+    standing = described if one_each is rows else staged(one_each.mapInArrow(lean(_describe(words)), "id long, n long, s1 long, s2 long, sketch binary"), "standing")
     classes = standing.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     classes = staged(classes, "classes")
     reps = sent_if_few(staged(classes.select(F.col("rep").alias("id")).distinct(), "class-ids"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, mix64, without
+from .common import documents, lean, mix64, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key_col: str = "doc_id", tex
     """docs with the sampled piece ids of text_col."""
     docs = without(docs, out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encode(docs.columns, docs.columns.index(key_col), docs.columns.index(text_col), vocabulary, seed, out), schema)
+    return docs.mapInArrow(lean(_encode(docs.columns, docs.columns.index(key_col), docs.columns.index(text_col), vocabulary, seed, out)), schema)
 
 
 def decode_ids(ids: list[int], spelled: list[bytes]) -> str:
@@ -294,7 +294,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, pieces_col: str = "pieces", ou
     """df with the text that the piece ids spell."""
     df = without(df, out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    return df.mapInArrow(_decode(df.columns, df.columns.index(pieces_col), vocabulary.spelled, out), schema)
+    return df.mapInArrow(lean(_decode(df.columns, df.columns.index(pieces_col), vocabulary.spelled, out)), schema)
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -300,6 +300,29 @@ def test_language_odd(spark):
     assert langid.identify(odd(spark).limit(0), model).count() == 0
 
 
+def test_letters():
+    assert [langid.has_letter(x) for x in (None, "", "½ ² Ⅷ 12 _ !", "a", "…é", "\U00010400", "漢", "ʰ")] == [False, False, False, True, True, True, True, True]
+
+
+def test_language_sample_is_of_the_rows_not_their_order(spark):
+    """As many rows of each language, the same ones whatever the order; a language of one row, and more languages than rows to take, lose none."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(["der die das", "the of and", "le la les"]) for _ in range(3)), lang) for i, lang in enumerate(["de"] * 80 + ["en"] * 40 + ["fr"])]
+    rows += [(7, "again", "de"), (7, "again", "de"), (200, None, "xx"), (201, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [langid.fit(x, sample_rows=30) for x in (df, df.repartition(5), df.orderBy(df.lang.desc()))]
+    assert models[0].langs == ["de", "en", "fr"] and all(np.array_equal(models[0].trust, m.trust) for m in models)
+    assert langid.fit(df, sample_rows=2).langs == ["de", "en", "fr"]
+    seen = []
+    fit = langid.Model.fit
+    langid.Model.fit = classmethod(lambda cls, counts, lang: seen.append(Counter(lang)) or fit(counts, lang))
+    try:
+        langid.fit(df, sample_rows=30)
+    finally:
+        langid.Model.fit = fit
+    assert seen == [{"de": 10, "en": 10, "fr": 1}]
+
+
 # 6 licences
 
 
@@ -537,7 +560,7 @@ def test_pipeline(spark):
     sf = str(DATA)
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    lines = {d: t for d, (_, _, t) in brute_lines([(d, t) for d, t in rows if langid.LETTER.search(t or "")]).items() if t.strip()}
+    lines = {d: t for d, (_, _, t) in brute_lines([(d, t) for d, t in rows if langid.has_letter(t)]).items() if t.strip()}
     groups = brute_components(sorted(lines.items()), corpus_pipeline.NEAR["words"], corpus_pipeline.NEAR["num"], 100)
     single = {d: lines[d] for d, c in groups.items() if c == d}
     want = {d for d, t in single.items() if not any(b in t for b in bench)}
