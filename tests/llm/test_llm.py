@@ -568,6 +568,25 @@ def test_pipeline(spark):
     assert set(out) == want and all(r.lossless for r in out.values())
 
 
+@needs_data
+def test_pipeline_odd(spark):
+    """Nulls in every column, repeated rows, one id with two texts, columns named like the operators' own, and no rows at all."""
+    a, b = ("".join(random.Random(k).choices("abcde ", k=400)) for k in (1, 2))
+    rows = [(1, a, "en", "s", 400), (1, a, "en", "s", 400), (2, a, None, None, None), (3, b, "en", "s", 400), (3, a + " one more", "en", "s", 400), (4, None, "en", "s", 0), (5, "", "en", "s", 0), (None, a, "en", "s", 1), (None, a, "en", "s", 1), (6, "12 ½", "en", "s", 4), (7, "\u00e9 " * 30_000, "fr", "s", 60_000), (None,) * 5]
+    rows = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS rows", "'y' AS least", "2 AS component_id", "3 AS n_lines", "'z' AS lang_pred")
+    for table in (rows, rows.limit(0)):
+        frame = table
+        for name, stage in corpus_pipeline.STAGES:
+            names, frame = frame.columns, corpus_pipeline.staged(stage(spark, frame, str(DATA)), name)
+            assert name == "sentencepiece" or frame.columns == names
+        out = frame.collect()
+        if table is rows:
+            ids = [r.doc_id for r in out]
+            assert ids.count(None) == 2 and ids.count(1) == 1 and 2 not in ids and ids.count(3) <= 1 and ids.count(7) == 1 and not {4, 5, 6} & set(ids)
+            assert all(r.lossless for r in out)
+    assert not out
+
+
 @needs_data
 def test_registered():
     names = entry.queries()
