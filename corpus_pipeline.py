@@ -19,30 +19,32 @@ NEAR = {"words": 5, "num": 80, "den": 100}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter at all) go, and so do those of 200 or more characters that are
-    nearly as near to two codewords: mixed ones. Shorter ones are given the benefit of the doubt."""
+    """Documents without a language (null, or no letter at all) go; ambiguous ones, short or mixed, have one and stay."""
     names = docs.columns
-    model = langid.fit(docs)
-    tagged = langid.identify(docs, model)
-    mixed = F.col("ambiguous") & (F.length("text") >= 200)
-    return tagged.filter((F.col("lang_pred") != "und") & ~mixed).select(*names)
+    tagged = langid.identify(docs, langid.fit(docs))
+    return tagged.filter(F.col("lang_pred") != "und").select(*names)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that had nothing else has no text left and goes with them."""
     names = docs.columns
-    kept = line_dedup.dedup_lines(docs).filter(F.trim("text") != "")
+    kept = line_dedup.dedup_lines(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the smallest id; of rows with one id, one."""
-    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
-    if ids.filter(F.col("k") > 1).limit(1).count():
-        docs = docs.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicates stays, the one of the smallest id; of rows with one id, the one of the
+    smallest text hash. Rows without an id all stay."""
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"), **NEAR)
-    dropped = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = staged(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.xxhash64("text")).alias("least")).filter("rows > 1"), "repeated-ids")
+    if not repeated.limit(1).count():
+        return kept
+    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    # Rows with one id and one text differ in other columns at most: the first of them in the order of all columns.
+    rows = kept.join(repeated, kept["doc_id"] == repeated["doc_id"]).filter(F.xxhash64(kept["text"]) == repeated["least"])
+    rows = rows.groupBy(kept["doc_id"]).agg(F.min(F.struct(*[kept[c] for c in docs.columns])).alias("row"))
+    return single.unionByName(rows.select("row.*"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
+import os
+import signal
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # before numpy is loaded: small matrices gain nothing from threads
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -22,3 +26,17 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def limit(request):
+    """A test that hangs fails after ten minutes instead of taking the others with it."""
+
+    def ring(*_):
+        raise TimeoutError(request.node.nodeid)
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.alarm(600)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
