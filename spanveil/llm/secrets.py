@@ -6,11 +6,14 @@ Battery (``random`` spans): every maximal run of 20 or more characters of the ba
 candidate, with the padding behind it; an ``=`` inside ends one and begins the next, so in ``KEY=value`` the value
 is tested by itself. Its encoding is inferred (hex, base32, base62, base64), then three tests ask whether it could be a
 uniform draw from that alphabet: chi-squared uniformity, Wald-Wolfowitz runs over the alphabet's halves, and
-lag-one serial correlation. A candidate stays if no test rejects uniformity (Bonferroni at ``alpha``).
-Against that stands the null hypothesis of ordinary text of the same length: text repeats letters more often
-(index of coincidence) and hardly has digits. The p-values under it depend on the length, and within each
-class of lengths the Benjamini-Hochberg rule at ``fdr`` picks what is reported, over all candidates of the
-corpus, from counts in fixed bins of log p (a bin counts as its largest p, so the control is conservative).
+lag-one serial correlation. Simes' rule combines the three p-values into one, and the Benjamini-Hochberg rule at
+``alpha``, within each class of lengths over all candidates of the corpus, decides which are not random.
+
+What is not rejected need not be random: of a short text the battery can't say much. So a candidate must also be
+told from ordinary text of its length: the chi-squared test's own statistic (how often characters coincide) and the
+share of digits have p-values under the law of text, which depend on the length, and the same rule at ``fdr``,
+within the same classes, picks those that are not text. Both rules work on counts in fixed bins of log p, a bin
+counting as its largest p, which errs on the rule's safe side.
 
 A null or empty text has no spans. Rows with null ids and repeated rows are scanned like all others, one
 result for each row. Offsets are code points, ends exclusive.
@@ -18,9 +21,10 @@ result for each row. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import documents, staged
 
@@ -38,16 +42,23 @@ TEXT_SQUARES, TEXT_CUBES, TEXT_DIGITS = 0.066, 0.0056, 0.02
 SPAN = "struct<kind:int,start:long,stop:long>"
 
 
-def spans(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spans(text: str, pattern: str, kind: int, group: int = 0, least: int = 0, at_once: int = 256) -> Column:
     """Spans of all matches: between two matches lies a piece of the split text, and the lengths add up.
 
-    Matches whose group is shorter than ``least`` are dropped afterwards, so they still take their place.
+    Matches whose group is shorter than ``least`` are dropped afterwards, so they still take their place. The sums
+    run over ``at_once`` matches at a time, which keeps texts with many matches from copying long arrays again and again.
     """
     t, p = F.col(text), F.lit(pattern)
     whole = F.regexp_extract_all(t, p, F.lit(0))
     gaps = F.slice(F.split(t, pattern, -1), F.lit(1), F.size(whole))
     parts = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("m"))), F.regexp_extract_all(t, p, F.lit(group)), lambda x, g: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), (F.length(g) >= least).alias("long")))
     none = F.expr(f"cast(array() AS array<{SPAN}>)")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -55,7 +66,12 @@ def spans(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) ->
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"))
         return F.struct(stop.alias("at"), F.when(x["long"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    folded = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    def several(acc: Column, some: Column) -> Column:
+        here = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("found")), step)
+        return let(here, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["found"], x["found"]).alias("found")))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / at_once).cast("int")), lambda k: F.slice(all_, k * at_once + 1, F.lit(at_once)))
+    folded = let(parts, lambda all_: F.aggregate(cut(all_), start, several, lambda acc: acc["found"]))
     return F.when(t.rlike(pattern), folded).otherwise(none)
 
 
@@ -70,75 +86,106 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.070566 * z * z * z)))
 
 
-def battery(runs: DataFrame, alpha: float) -> DataFrame:
-    """runs(token, ...) with n, encoding, p_chi, p_runs, p_serial, uniform and p_text."""
+def battery(token: Column) -> Column:
+    """A candidate's (n, encoding, p_chi, p_runs, p_serial, p_text): null if fewer than 20 characters are left without padding."""
     hexes, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     wide = upper + upper.lower() + "0123456789"
-    encoding = (
-        F.when(F.col("body").rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(F.col("body").rlike("^[A-Z2-7]+$"), "base32")
-        .when(F.col("body").rlike("^[A-Za-z0-9]+$"), "base62")
-        .otherwise("base64")
-    )
-    out = runs.withColumn("body", F.regexp_replace("token", "[=_-]+$", "")).filter(F.length("body") >= 20).withColumn("n", F.greatest(F.length("body"), F.lit(20)).cast("double")).withColumn("encoding", encoding)
-    alphabet = F.when(F.col("encoding") == "hex", hexes).when(F.col("encoding") == "base32", upper + "234567").when(F.col("encoding") == "base62", wide).otherwise(wide + "+/")
-    out = out.withColumn("alphabet", alphabet).withColumn("size", F.length("alphabet").cast("double"))
-    out = out.withColumn("chars", F.expr("filter(split(if(encoding = 'hex', lower(body), translate(body, '-_', '+/')), ''), c -> c <> '')"))
-    out = out.withColumn("codes", F.expr("transform(chars, c -> cast(instr(alphabet, c) - 1 AS double))"))
-    out = out.withColumn("squares", F.expr("aggregate(array_distinct(chars), 0D, (s, c) -> s + pow(n - size(array_remove(chars, c)), 2))"))
-    n, size = F.col("n"), F.col("size")
-
-    chi = size * F.col("squares") / n - n
-    p_chi = _tail((chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n))
-
-    out = out.withColumn("high", F.expr("aggregate(codes, 0D, (s, c) -> s + if(c >= size / 2, 1, 0))"))
-    out = out.withColumn("turns", F.expr("aggregate(zip_with(slice(codes, 1, size(codes) - 1), slice(codes, 2, size(codes) - 1), (a, b) -> if((a >= size / 2) <> (b >= size / 2), 1D, 0D)), 1D, (s, x) -> s + x)"))
-    both = 2 * F.col("high") * (n - F.col("high"))
-    variance = both * (both - n) / (n * n * (n - 1))
-    p_runs = F.when((F.col("high") == 0) | (F.col("high") == n) | (variance <= 0), 0.0).otherwise(2 * _tail(F.abs(F.col("turns") - both / n - 1) / F.sqrt(variance)))
-
-    out = out.withColumn("mean", F.expr("aggregate(codes, 0D, (s, c) -> s + c) / n"))
-    out = out.withColumn("spread", F.expr("aggregate(codes, 0D, (s, c) -> s + (c - mean) * (c - mean))"))
-    out = out.withColumn("lagged", F.expr("aggregate(zip_with(slice(codes, 1, size(codes) - 1), slice(codes, 2, size(codes) - 1), (a, b) -> (a - mean) * (b - mean)), 0D, (s, x) -> s + x)"))
-    p_serial = F.when(F.col("spread") <= 0, 0.0).otherwise(2 * _tail(F.abs(F.col("lagged") / F.col("spread") + 1 / (n - 1)) * F.sqrt(n)))
-
-    met = (F.col("squares") - n) / 2
-    var = n * (n - 1) / 2 * TEXT_SQUARES * (1 - TEXT_SQUARES) + n * (n - 1) * (n - 2) * (TEXT_CUBES - TEXT_SQUARES**2)
-    p_met = _tail((n * (n - 1) / 2 * TEXT_SQUARES - met) / F.sqrt(var))
-    digits = F.length(F.regexp_replace("body", "[^0-9]", "")) / n
-    apart = F.when(digits > TEXT_DIGITS, digits * F.log(digits / TEXT_DIGITS) + F.when(digits < 1, (1 - digits) * F.log((1 - digits) / (1 - TEXT_DIGITS))).otherwise(0.0)).otherwise(0.0)
-    p_text = F.least(F.lit(1.0), 2 * F.least(p_met, F.exp(-n * apart)))
-
-    out = out.withColumns({"p_chi": p_chi, "p_runs": p_runs, "p_serial": p_serial, "p_text": p_text})
-    return out.withColumn("uniform", 3 * F.least("p_chi", "p_runs", "p_serial") >= alpha)
-
-
-def discoveries(tested: DataFrame, fdr: float) -> DataFrame:
-    """The rows that are uniform and whose p_text passes the rule within their class of lengths."""
-    tested = tested.withColumn("lengths", F.floor(F.log2("n"))).withColumn("bin", F.least(F.lit(400), F.floor(-F.log10(F.greatest("p_text", F.lit(1e-100))) * 4)))
-    bins = tested.groupBy("lengths", "bin").agg(F.count(F.lit(1)).alias("c"))  # lengths: at most 32, bins: at most 401
-    down = Window.partitionBy("lengths").orderBy(F.desc("bin"))
-    ranked = bins.withColumn("rank", F.sum("c").over(down)).withColumn("m", F.sum("c").over(Window.partitionBy("lengths")))
-    edges = ranked.filter(F.pow(F.lit(10.0), -F.col("bin") / 4) <= fdr * F.col("rank") / F.col("m")).groupBy("lengths").agg(F.min("bin").alias("edge"))
-    return tested.join(F.broadcast(edges), "lengths").filter((F.col("bin") >= F.col("edge")) & F.col("uniform"))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+    def inferred(body: Column) -> Column:
+        encoding = F.when(body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").when(body.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
+        return F.struct(body.alias("body"), encoding.alias("encoding"))
+
+    def coded(x: Column) -> Column:
+        of = lambda name: x["encoding"] == name
+        alphabet = F.when(of("hex"), hexes).when(of("base32"), upper + "234567").when(of("base62"), wide).otherwise(wide + "+/")
+        chars = F.filter(F.split(F.when(of("hex"), F.lower(x["body"])).otherwise(F.translate(x["body"], "-_", "+/")), ""), lambda c: c != "")
+        return let(F.struct(alphabet.alias("alphabet"), chars.alias("chars")), lambda y: F.struct(
+            x["encoding"].alias("encoding"), F.length(x["body"]).cast("double").alias("n"), F.length(y["alphabet"]).cast("double").alias("size"), y["chars"].alias("chars"),
+            F.transform(y["chars"], lambda c: (F.call_function("instr", y["alphabet"], c) - 1).cast("double")).alias("codes"),
+            (F.length(F.regexp_replace(x["body"], "[^0-9]", "")) / F.length(x["body"])).alias("digits"),
+        ))
+
+    def summed(x: Column) -> Column:
+        n, size, codes = x["n"], x["size"], x["codes"]
+        last = F.size(codes) - 1
+        before, after = F.slice(codes, F.lit(1), last), F.slice(codes, F.lit(2), last)
+        high = lambda c: F.when(c >= size / 2, 1.0).otherwise(0.0)
+        squares = F.aggregate(F.array_distinct(x["chars"]), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.size(F.array_remove(x["chars"], c)), F.lit(2)))
+        turns = total(F.zip_with(before, after, lambda a, b: F.abs(high(a) - high(b)))) + 1
+        return let(total(codes) / n, lambda mean: F.struct(
+            x["encoding"].alias("encoding"), n.alias("n"), size.alias("size"), x["digits"].alias("digits"), squares.alias("squares"), total(F.transform(codes, high)).alias("high"), turns.alias("turns"),
+            total(F.transform(codes, lambda c: (c - mean) * (c - mean))).alias("spread"), total(F.zip_with(before, after, lambda a, b: (a - mean) * (b - mean))).alias("lagged"),
+        ))
+
+    def tested(x: Column) -> Column:
+        n, size = x["n"], x["size"]
+        p_chi = _tail((size * x["squares"] / n - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n))
+        both = 2 * x["high"] * (n - x["high"])
+        variance = both * (both - n) / (n * n * (n - 1))
+        p_runs = F.when((both == 0) | (variance <= 0), 0.0).otherwise(2 * _tail(F.abs(x["turns"] - both / n - 1) / F.sqrt(variance)))
+        p_serial = F.when(x["spread"] <= 0, 0.0).otherwise(2 * _tail(F.abs(x["lagged"] / x["spread"] + 1 / (n - 1)) * F.sqrt(n)))
+        pairs = n * (n - 1) / 2
+        met = (pairs * TEXT_SQUARES - (x["squares"] - n) / 2) / F.sqrt(pairs * TEXT_SQUARES * (1 - TEXT_SQUARES) + n * (n - 1) * (n - 2) * (TEXT_CUBES - TEXT_SQUARES**2))
+        apart = F.when(x["digits"] > TEXT_DIGITS, x["digits"] * F.log(x["digits"] / TEXT_DIGITS) + F.when(x["digits"] < 1, (1 - x["digits"]) * F.log((1 - x["digits"]) / (1 - TEXT_DIGITS))).otherwise(0.0)).otherwise(0.0)
+        p_text = F.least(F.lit(1.0), 2 * F.least(_tail(met), F.exp(-n * apart)))
+        return F.struct(x["encoding"].alias("encoding"), n.cast("long").alias("n"), p_chi.alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), p_text.alias("p_text"))
+
+    body = F.regexp_replace(token, "[=_-]+$", "")
+    whole = let(let(let(let(body, inferred), coded), summed), tested)
+    return F.when(F.length(body) >= 20, whole)
+
+
+def simes(*p: str) -> Callable[[Column], Column]:
+    """The combined p-value of a struct's fields: the least of len(p) / k times the k-th smallest."""
+    return lambda x: let(F.sort_array(F.array(*[x[f] for f in p])), lambda s: F.least(F.lit(1.0), *[s[k] * len(p) / (k + 1) for k in range(len(p))]))
+
+
+def log_bin(p: Column) -> Column:
+    """Quarters of -log10 p, 0 to 400."""
+    return F.least(F.lit(400), F.floor(-F.log10(F.greatest(p, F.lit(1e-100))) * 4)).cast("int")
+
+
+def length_class(n: Column) -> Column:
+    return F.floor(F.log2(n)).cast("int")
+
+
+def edges(counts: dict[int, dict[int, int]], level: float) -> dict[int, int]:
+    """Benjamini and Hochberg's rule for each class of lengths, from its counts by bin: the least bin that is rejected (401: none)."""
+    out = {}
+    for lengths, bins in counts.items():
+        m, rank, out[lengths] = sum(bins.values()), 0, 401
+        for k in sorted(bins, reverse=True):
+            rank += bins[k]
+            if 10.0 ** (-k / 4) <= level * rank / m:
+                out[lengths] = k
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.001, fdr: float = 0.01) -> DataFrame:
     """One row for each of docs: id_col, base (spans of the patterns) and found (the battery's)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    rows = rows.select(
-        "id",
-        F.concat(spans("t", ASSIGN, 0, group=2, least=8), spans("t", ACCESS, 1), spans("t", HEX, 2)).alias("base"),
-        F.transform(spans("t", RUN, 3), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.substring(F.col("t"), (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int")).alias("token"))).alias("runs"),
-    )
+    rows = rows.select("id", "t", F.concat(spans("t", ASSIGN, 0, group=2, least=8), spans("t", ACCESS, 1), spans("t", HEX, 2)).alias("base"), spans("t", RUN, 3).alias("runs"))
     # A candidate that a pattern has already found adds nothing.
     rows = rows.withColumn("runs", F.filter("runs", lambda r: ~F.exists(F.col("base"), lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"]))))
-    rows = staged(rows.withColumn("key", F.struct("id", F.xxhash64(F.to_json(F.struct("base", "runs"))).alias("h"))), "secret-spans")
-    runs = rows.dropDuplicates(["key"]).select("key", F.explode("runs").alias("run")).select("key", "run.start", "run.stop", "run.token")
-    found = discoveries(battery(runs, alpha), fdr).groupBy("key").agg(F.collect_list(F.struct(F.lit(3).alias("kind"), "start", "stop")).alias("found"))
-    joined = rows.join(found.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "left")
-    return joined.select(F.col("id").alias(id_col), "base", F.coalesce("found", F.expr(f"cast(array() AS array<{SPAN}>)")).alias("found"))
+    token = lambda r: F.substring(F.col("t"), (r["start"] + 1).cast("int"), (r["stop"] - r["start"]).cast("int"))
+    result = lambda r, x: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), length_class(x["n"]).alias("lengths"), log_bin(simes("p_chi", "p_runs", "p_serial")(x)).alias("uniform_bin"), log_bin(x["p_text"]).alias("text_bin"))
+    runs = F.transform("runs", lambda r: let(battery(token(r)), lambda x: F.when(x.isNotNull(), result(r, x))))
+    # Offsets and bins only: what was found is never written to the shared folder.
+    rows = staged(rows.select("id", "base", F.filter(runs, lambda r: r.isNotNull()).alias("runs")), "secret-spans")
+
+    bins = rows.select(F.explode("runs").alias("r")).select("r.lengths", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"r.{k}_bin").alias("bin")) for k in ("uniform", "text")])).alias("x"))
+    counts: dict[str, dict[int, dict[int, int]]] = {"uniform": {}, "text": {}}
+    for r in bins.groupBy("lengths", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("c")).collect():  # at most 32 lengths, 2 rules, 401 bins
+        counts[r.rule].setdefault(r.lengths, {})[r.bin] = r.c
+    limit = {rule: edges(counts[rule], level) for rule, level in (("uniform", alpha), ("text", fdr))}
+    passes = lambda r: F.lit(False)
+    if limit["text"]:
+        of = {rule: F.create_map(*[F.lit(v) for kv in sorted(by.items()) for v in kv]) for rule, by in limit.items()}
+        passes = lambda r: (r["uniform_bin"] < of["uniform"][r["lengths"]]) & (r["text_bin"] >= of["text"][r["lengths"]])
+    found = F.transform(F.filter("runs", passes), lambda r: F.struct(F.lit(3).alias("kind"), r["start"].alias("start"), r["stop"].alias("stop")))
+    return rows.select(F.col("id").alias(id_col), "base", found.cast(f"array<{SPAN}>").alias("found"))
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -545,6 +545,67 @@ def test_random_values_behind_names(spark):
         assert all(texts[i][s.start : s.stop] == values[i] for i, s in spans)
 
 
+def brute_random(texts, alpha=0.001, fdr=0.01):
+    """Spans of the battery, one candidate after the other: tests, Simes' rule, and the step-up rule twice in each class of lengths."""
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tail = lambda z: 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.070566 * z**3)))
+    found = []
+    for i, t in enumerate(texts):
+        taken = [tuple(map(int, x.split(":")[1:])) for x in brute_spans(t).split(",") if x]
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])(?:=+(?![A-Za-z0-9+/_-]))?", t):
+            body = re.sub("[=_-]+$", "", m[0])
+            if len(body) < 20 or any(a < m.end() and m.start() < b for a, b in taken):
+                continue
+            if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body):
+                alphabet, chars = "0123456789abcdef", body.lower()
+            elif re.fullmatch("[A-Z2-7]+", body):
+                alphabet, chars = wide[:26] + "234567", body
+            else:
+                alphabet = wide if re.fullmatch("[A-Za-z0-9]+", body) else wide + "+/"
+                chars = body.replace("-", "+").replace("_", "/")
+            n, k = len(chars), len(alphabet)
+            x = np.array([alphabet.index(c) for c in chars], float)
+            squares = sum(c * c for c in Counter(chars).values())
+            p = [tail((k * squares / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+            up = x >= k / 2
+            a, b = up.sum(), n - up.sum()
+            turns = 1 + (up[1:] != up[:-1]).sum()
+            var = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+            p.append(2 * tail(abs(turns - 2 * a * b / n - 1) / math.sqrt(var)) if a * b and var > 0 else 0.0)
+            dev = x - x.mean()
+            p.append(2 * tail(abs((dev[1:] * dev[:-1]).sum() / (dev * dev).sum() + 1 / (n - 1)) * math.sqrt(n)) if dev.any() else 0.0)
+            combined = min(1.0, *[q * 3 / (j + 1) for j, q in enumerate(sorted(p))])
+            met = (n * (n - 1) / 2 * 0.066 - (squares - n) / 2) / math.sqrt(n * (n - 1) / 2 * 0.066 * 0.934 + n * (n - 1) * (n - 2) * (0.0056 - 0.066**2))
+            d = sum(c.isdigit() for c in body) / n
+            apart = (d * math.log(d / 0.02) + ((1 - d) * math.log((1 - d) / 0.98) if d < 1 else 0)) if d > 0.02 else 0
+            p_text = min(1.0, 2 * min(tail(met), math.exp(-n * apart)))
+            bins = [min(400, math.floor(-math.log10(max(q, 1e-100)) * 4)) for q in (combined, p_text)]
+            found.append((int(math.log2(n)), *bins, i, m.start(), m.end()))
+    out = []
+    for lengths in {f[0] for f in found}:
+        own = [f for f in found if f[0] == lengths]
+        rejected = [{b for b in {f[k] for f in own} if any(10 ** (-c / 4) <= level * sum(f[k] >= c for f in own) / len(own) for c in {f[k] for f in own} if c <= b)} for k, level in ((1, alpha), (2, fdr))]
+        out += [f[3:] for f in own if f[1] not in rejected[0] and f[2] in rejected[1]]
+    return sorted(out)
+
+
+def test_random_spans_by_brute_force(spark):
+    rng = random.Random(22)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    drawn = lambda: "".join(rng.choices(rng.choice(alphabets), k=rng.choice([20, 25, 31, 33, 40, 64, 130])))
+    words = ["the", "path", "of", "internal", "config", "value", "station", "node", "2024", "build"]
+    plain = lambda: rng.choice("/_-").join(rng.choices(words, k=rng.randrange(4, 30)))
+    odd = ["aaaaaaaaaaaaaaaaaaaaaaaaa", "abababababababababababababababab", "-" * 30, "0123456789abcdefghijklmnopqrstuvwxyz", "token=" + drawn(), "é" * 30]
+    texts = [" ".join(rng.choice([drawn, plain, lambda: "short", lambda: rng.choice(odd), lambda: "K=" + drawn() + "=="])() for _ in range(rng.randrange(6))) for _ in range(250)]
+    got = sorted((r.doc_id, s.start, s.stop) for r in secrets.scan(docs(spark, texts)).collect() for s in r.found)
+    assert got == brute_random(texts) and len(got) > 100
+
+
+def test_many_matches_in_one_text(spark):
+    text = "token=abcdefgh1 x " * 3000
+    assert [r.base for r in secrets.scan(docs(spark, [text])).select(secrets.written("base").alias("base")).collect()] == [brute_spans(text)]
+
+
 @needs_data
 def test_secret_digest(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
