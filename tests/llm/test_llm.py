@@ -339,6 +339,42 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def wrapped(text, mark, width=70):
+    import textwrap
+
+    return "\n\n".join("\n".join(mark + x for x in textwrap.wrap(part, width)) for part in text.split("\n\n"))
+
+
+def test_published_licences(spark):
+    """Licence files and headers as they are published, wrapped, in comments of several kinds, and SPDX tags."""
+    t = licenses
+    mit = f"MIT License\n\nCopyright (c) 2019 Jane Doe and others\n\n{t.MIT_GRANT}\n\n{t.MIT_NOTICE}\n\n{t.MIT_WARRANTY}"
+    bsd3 = f"Copyright (c) 2020, The Example Project\nAll rights reserved.\n\n{t.BSD_GRANT}\n\n{t.BSD_CLAUSES}\n\n{t.BSD_NAMES}\n\n{t.BSD_WARRANTY}"
+    bsd2 = bsd3.replace(t.BSD_NAMES + "\n\n", "")
+    apache = f"Copyright 2018 Example, Inc.\n\n{t.APACHE_HEADER} You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + t.GNU_TITLE + "\n\nPreamble\n\n" + "terms and conditions of this long document follow here in many words\n" * 40
+    code = "\n\nint main(int argc, char **argv) { return compute(argc); }\n" * 30
+    rows = [
+        ("a/LICENSE", wrapped(mit, ""), "MIT"), ("b/x.c", "/*\n" + wrapped(mit, " * ") + "\n */" + code, "MIT"), ("c/LICENSE", wrapped(bsd3, ""), "BSD-3-Clause"), ("d/LICENSE.txt", wrapped(bsd2, ""), "BSD-2-Clause"),
+        ("e/x.py", wrapped(apache, "# ") + code, "Apache-2.0"), ("f/x.java", "/**\r\n" + wrapped(apache, " * ").replace("\n", "\r\n") + "\r\n */" + code, "Apache-2.0"), ("g/x.sql", wrapped(t.GNU_HEADER.format("General Public License", 3), "-- ") + code, "GPL-3.0"),
+        ("h/x.cc", wrapped(t.GNU_HEADER.format("General Public License", 2), "// ") + code, "GPL-2.0"), ("i/COPYING", title, "GPL-3.0"), ("j/x.rs", "// SPDX-License-Identifier: BSD-3-Clause\n" + code, "BSD-3-Clause"), ("k/x.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */" + code, "GPL-2.0"),
+        ("l/x.h", wrapped(t.GNU_HEADER.format("Lesser General Public License", 2.1), "; ") + code, "LGPL-2.1"), ("m/x.h", "// SPDX-License-Identifier: Foo-9.9\n" + code, None), ("n/x.h", "// Copyright (c) 2001 Jane Doe. All rights reserved, and no licence is granted at all\n" + code, None),
+    ]
+    out = {r.path: (r.licence, r.basis) for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert {p: out[p][0] for p, _, _ in rows} == {p: want for p, _, want in rows}
+    assert all(out[p][1] == ("file" if re.search("LICENSE|COPYING", p) else "header") for p, _, want in rows if want)
+
+
+@needs_data
+def test_licenses_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.execute("SELECT doc_id, path, licence, cosine, basis, inherited_from FROM (" + licenses.oracle() + ") ORDER BY doc_id").fetchall()
+    got = [tuple(r) for r in licenses.op6_license_scan(spark, str(DATA)).select("doc_id", "path", "licence", "cosine", "basis", "inherited_from").orderBy("doc_id").collect()]
+    assert got == want
+
+
 # 7 lines
 
 
