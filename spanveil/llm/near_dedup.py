@@ -46,6 +46,7 @@ SHORT_LIST = 32
 MOST_FREQUENT = 1 << 20
 MOST_IDS_SENT = 1 << 21
 MOST_TURNS = 6
+MOST_PAIRS = 1 << 20
 
 
 class Shingler:
@@ -85,7 +86,7 @@ def _describe(words: int):
         for batch in batches:
             sets = list(shingler.sets(batch.column(1)))
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([x[:SKETCH].tobytes() for x in sets], pa.binary())], ["id", "n", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([x[:SKETCH].tobytes() for x in sets], pa.binary())], ["id", "h", "n", "s1", "s2", "sketch"])
 
     return run
 
@@ -270,7 +271,7 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
             return found
         # What is outside its list's main component.
         apart = open_.join(whole, "v").filter(F.col("component") != F.col("main"))
-        last = turn == MOST_TURNS - 1 or cross <= max(4 * left, 1 << 16) or cross == before
+        last = turn == MOST_TURNS - 1 or cross <= max(4 * left, MOST_PAIRS) or cross == before
         if last:  # every pair across components that can still reach the threshold
             x = apart.select("v", F.struct("rep", "n", "place").alias("x"), F.col("component").alias("cx"), "main")
             y = open_.select("v", F.struct("rep", "n", "place").alias("y"), F.col("component").alias("cy"))
@@ -301,18 +302,16 @@ def some_each(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row for each of docs: links at den * |A & B| >= num * |A or B|."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hashed = rows.filter(F.col("id").isNotNull()).select("id", F.xxhash64("text").alias("h"))
-    several = staged(hashed.groupBy("id").agg(F.min("h").alias("h"), F.max("h").alias("m")).filter("h <> m").select("id", "h"), "several-texts")
-    one_each = rows
-    if several.limit(1).count():  # ids of several texts: one of them stands for each
-        one_each = rows.withColumn("own", F.xxhash64("text")).join(several, "id", "left").filter(F.col("h").isNull() | (F.col("h") == F.col("own"))).select("id", "text")
-    described = staged(rows.mapInArrow(lean(_describe(words)), "id long, n long, s1 long, s2 long, sketch binary"), "sketches")
-    standing = described if one_each is rows else staged(one_each.mapInArrow(lean(_describe(words)), "id long, n long, s1 long, s2 long, sketch binary"), "standing")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    described = staged(rows.mapInArrow(lean(_describe(words)), "id long, h long, n long, s1 long, s2 long, sketch binary"), "sketches")
+    several = staged(described.groupBy("id").agg(F.min("h").alias("own"), F.max("h").alias("m")).filter("id IS NOT NULL AND own <> m").select("id", "own"), "several-texts")
+    standing, one_each = described, rows
+    if some := several.limit(1).count():  # ids of several texts: one of them stands for each
+        standing, one_each = (x.join(several, "id", "left").filter(F.coalesce("own", "h") == F.col("h")).drop("own") for x in (described, rows))
     classes = standing.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     classes = staged(classes, "classes")
     reps = sent_if_few(staged(classes.select(F.col("rep").alias("id")).distinct(), "class-ids"))
-    sketches = standing.join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi").select(F.col("id").alias("rep"), "sketch").distinct()
+    sketches = standing.drop("h").join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi").select(F.col("id").alias("rep"), "sketch").distinct()
     texts = one_each.join(reps, "id", "left_semi").select(F.col("id").alias("rep"), "text")
     found = links_of(texts, staged(sketches, "class-sketches"), words, num, den)
 
@@ -320,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.join(found, out["rep"] == found["node"], "left")
     own = F.when(F.col("id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
     out = out.select("id", "n", own.alias("component_id"))
-    if one_each is not rows:
+    if some:
         out = described.select("id", "n").join(out.filter(F.col("id").isNotNull()).select("id", "component_id").distinct(), "id", "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
