@@ -2,15 +2,19 @@
 
 A page's text falls on root-to-leaf tag paths. Each path gets two ratios: text length per node and
 punctuation per node. Both are smoothed along the page over the neighbouring paths' nodes, fused into one
-value, and paths above a threshold are content. Links, and elements whose name, role, class or id says
-navigation, header, footer, sidebar, notice, advert, form or comment, weigh nothing. The content paths'
-deepest common container then decides what else belongs to the article: its headings and short
-paragraphs, though their own paths are thin.
+value, and the nodes of paths above a threshold are content, wherever they stand: no tag name makes an article.
+Links weigh nothing. Elements that by tag or role are navigation, header, footer, sidebar, notice, advert, form or
+comment weigh nothing either; those that are so by class or id only are taken back if they hold half of the page's
+text or more in several blocks or below a heading, as wrappers named for what stands beside them do.
+
+Thin blocks are added where they belong to content nodes: within the deepest element that holds nine tenths of the
+content, the nearest element around a block that holds any content decides. If that is mostly content, a heading in it
+is added, and so is any block that stands directly in it beside content.
 
 A null or empty page has an empty text. Broken markup never fails: unclosed elements end with their
-parents, stray end tags are ignored, an unended tag or comment runs to the end. Pages of any size take
-time in proportion to their length. Repeated rows give repeated results; other columns are kept, and
-those named like the added ones are replaced.
+parents, stray end tags are ignored, an unended tag or comment runs to the end, what can't stand in a head ends it.
+Pages of any size and depth take time in proportion to their length. Repeated rows give repeated results; other columns
+are kept, and those named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,95 +52,137 @@ HINTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comment
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = RAW | VOID | {"head", "html"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | {"p", "li", "td"}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟،]")
 SPACE = re.compile(r"\s+")
 
 
 class Block:
-    """Text between two block boundaries, with the tag path it stands on."""
+    """Text between two block boundaries, with the node it stands in and that node's tag path."""
+
+    __slots__ = ("linked", "node", "outside", "path", "text")
+
+    def __init__(self, text: str, node: int, path: int, outside: bool, linked: int):
+        self.text, self.node, self.path, self.outside, self.linked = text, node, path, outside, linked
 
-    __slots__ = ("chain", "linked", "outside", "path", "text")
+    @property
+    def own(self) -> int:
+        return max(0, len(self.text) - self.linked)
 
-    def __init__(self, text: str, path: str, chain: tuple, outside: bool, linked: int):
-        self.text, self.path, self.chain, self.outside, self.linked = text, path, chain, outside, linked
 
+class Page:
+    """The blocks of a page in order, and its elements: tag, parent (a smaller number), tag path, and whether a name marks it
+    as outside. Element 0 is the page; inline tags are none."""
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order."""
-    stack: list[tuple[str, int, bool]] = []  # name, number, outside
-    out: list[Block] = []
-    buffer: list[str] = []
-    linked, number, at, in_link = 0, 0, 0, 0
+    def __init__(self, page: str):
+        self.tags, self.parents, self.paths, self.named = ["#page"], [0], [0], [False]
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, str]] = []  # name, mark: "", "tag" or "name"
+        self.elements = [0]  # the open ones that are not inline
+        self.open, self.marked, self.in_link = Counter(), Counter(), 0
+        self.buffer: list[str] = []
+        self.linked, self.path_ids = 0, {}
+        self._read(page)
 
-    def flush() -> None:
-        nonlocal linked
-        if buffer:
-            text = SPACE.sub(" ", "".join(buffer)).strip()
+    def _push(self, name: str, mark: str) -> None:
+        if name not in INLINE:
+            above = self.elements[-1]
+            self.elements.append(len(self.tags))
+            self.tags.append(name)
+            self.parents.append(above)
+            self.paths.append(self.path_ids.setdefault((self.paths[above], name), len(self.path_ids) + 1))
+            self.named.append(mark == "name")
+        self.stack.append((name, mark))
+        self.open[name] += 1
+        self.marked[mark] += 1
+        self.in_link += name == "a"
+
+    def _pop(self) -> str:
+        name, mark = self.stack.pop()
+        if name not in INLINE:
+            self.elements.pop()
+        self.open[name] -= 1
+        self.marked[mark] -= 1
+        self.in_link -= name == "a"
+        return name
+
+    def _flush(self) -> None:
+        if self.buffer:
+            text = SPACE.sub(" ", "".join(self.buffer)).strip()
             if text:
-                chain = tuple((n, k) for n, k, _ in stack if n not in INLINE)
-                out.append(Block(text, "/".join(n for n, _ in chain), chain, any(x[2] for x in stack), linked))
-            buffer.clear()
-        linked = 0
+                node = self.elements[-1]
+                self.blocks.append(Block(text, node, self.paths[node], self.marked["tag"] > 0, self.linked))
+            self.buffer.clear()
+        self.linked = 0
 
-    def add(text: str) -> None:
-        nonlocal linked
+    def _add(self, text: str) -> None:
         if text:
-            buffer.append(html.unescape(text))
-            linked += len(text) if in_link else 0
-
-    end = len(page)
-    while at < end:
-        found = TAG.search(page, at)
-        if not found:
-            add(page[at:])
-            break
-        add(page[at : found.start()])
-        at = found.end() if found.end() > found.start() else found.start() + 1
-        name = (found[2] or "").lower()
-        if not name:
-            continue
-        if found[1]:
-            if any(n == name for n, _, _ in stack):
-                if name not in INLINE:
-                    flush()
-                while stack:
-                    top = stack.pop()
-                    in_link -= top[0] == "a"
-                    if top[0] == name:
-                        break
-            elif name in ("p", "br"):
-                flush()
-            continue
-        attributes = found[3]
-        if name in RAW:
-            empty = name in ("svg", "math") and attributes.rstrip().endswith("/")
-            close = None if empty else re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if close:
-                at = close.end()
-            elif name in ("script", "style", "textarea", "title"):
-                at = end
-            continue
-        if name in VOID:
-            if name in ("br", "hr"):
-                flush()
-            continue
-        if name not in INLINE:
-            flush()
-            if name in ENDS:
-                closes, stops = ENDS[name]
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in closes or stack[i][0] in stops), -1)
-                while k >= 0 and stack[k][0] in closes:
-                    in_link -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in closes or stack[i][0] in stops), -1)
-        number += 1
+            self.buffer.append(html.unescape(text))
+            self.linked += len(text) if self.in_link else 0
+
+    def _close_before(self, name: str) -> None:
+        """Ends what a start tag of that name ends: a paragraph, an item, a head."""
+        if self.open["head"] and name not in IN_HEAD:
+            while self._pop() != "head":
+                pass
+        closes, stops = ENDS.get(name, ((), ()))
+        while any(self.open[x] for x in closes):
+            k = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] in closes or self.stack[i][0] in stops), -1)
+            if k < 0 or self.stack[k][0] not in closes:
+                break
+            while len(self.stack) > k:
+                self._pop()
+
+    def _read(self, page: str) -> None:
+        at, end, unclosed = 0, len(page), set()
+        while at < end:
+            found = TAG.search(page, at)
+            if not found:
+                self._add(page[at:])
+                break
+            self._add(page[at : found.start()])
+            at = found.end() if found.end() > found.start() else found.start() + 1
+            name = (found[2] or "").lower()
+            if not name:
+                continue
+            if found[1]:
+                if self.open[name]:
+                    if name not in INLINE:
+                        self._flush()
+                    while self._pop() != name:
+                        pass
+                elif name in ("p", "br"):
+                    self._flush()
+                continue
+            attributes = found[3]
+            if name in RAW:
+                empty = name in ("svg", "math") and attributes.rstrip().endswith("/")
+                close = None if empty or name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                elif name in ("script", "style", "textarea", "title"):
+                    at = end
+                elif not empty:
+                    unclosed.add(name)
+                continue
+            if name in VOID:
+                if name in ("br", "hr"):
+                    self._flush()
+                continue
+            if name not in INLINE:
+                self._flush()
+                self._close_before(name)
+            self._push(name, self._mark(name, attributes))
+        self._flush()
+
+    def _mark(self, name: str, attributes: str) -> str:
         named = [next(filter(None, m), "") for m in NAMES.findall(attributes)] if "=" in attributes else []
-        outside = name in OUTSIDE or any(HINTS.search(x) or x.lower() in ROLES for x in named if name not in ("html", "body", "article", "main")) or bool(attributes and HIDDEN.search(attributes))
-        outside = outside or (name == "header" and not any(n == "article" for n, _, _ in stack))
-        stack.append((name, number, outside))
-        in_link += name == "a"
-    flush()
-    return out
+        if name in OUTSIDE or (attributes and HIDDEN.search(attributes)) or any(x.lower() in ROLES for x in named) or (name == "header" and not self.open["article"]):
+            return "tag"
+        return "name" if name not in ("html", "body", "article", "main") and any(HINTS.search(x) for x in named) else ""
 
 
 def smooth(values: list[float], radius: int = 2) -> list[float]:
@@ -149,55 +195,87 @@ def smooth(values: list[float], radius: int = 2) -> list[float]:
     return out
 
 
-def content_blocks(blocks: list[Block]) -> list[bool]:
+def inside(page: Page) -> list[bool]:
+    """Which blocks may be content: those in no element that is outside, marks by name taken back where they hold half of the text."""
+    n = len(page.tags)
+    held, count, closed = [0] * n, [0] * n, [False] * n
+    for b in page.blocks:
+        if not b.outside:
+            held[b.node] += b.own
+            count[b.node] += 3 if page.tags[b.node] in ("h1", "h2") else 1
+    for e in range(n - 1, 0, -1):
+        held[page.parents[e]] += held[e]
+        count[page.parents[e]] += count[e]
+    for e in range(1, n):
+        closed[e] = closed[page.parents[e]] or (page.named[e] and not (2 * held[e] >= held[0] and count[e] >= 3))
+    # A title's wrapper may be named header, but a first heading is no page header.
+    return [not b.outside and (page.tags[b.node] == "h1" or not closed[b.node]) for b in page.blocks]
+
+
+def content_blocks(page: Page) -> list[bool]:
     """Which blocks are content, by the fused and smoothed ratios of their paths."""
+    blocks, may = page.blocks, inside(page)
     text, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in blocks:
-        if not b.outside:
-            text[b.path] += max(0, len(b.text) - b.linked)
+    for b, m in zip(blocks, may, strict=True):
+        if m:
+            text[b.path] += b.own
             marks[b.path] += len(PUNCTUATION.findall(b.text)) if b.linked * 2 < len(b.text) else 0
             nodes[b.path] += 1
-    lengths = smooth([0.0 if b.outside else text[b.path] / nodes[b.path] for b in blocks])
-    points = smooth([0.0 if b.outside else marks[b.path] / nodes[b.path] for b in blocks])
-    fused = [math.sqrt(x * (1 + y)) for x, y in zip(lengths, points, strict=True)]
+    lengths = smooth([text[b.path] / nodes[b.path] if m else 0.0 for b, m in zip(blocks, may, strict=True)])
+    points = smooth([marks[b.path] / nodes[b.path] if m else 0.0 for b, m in zip(blocks, may, strict=True)])
     by_path = defaultdict(list)
-    for b, x in zip(blocks, fused, strict=True):
-        if not b.outside:
-            by_path[b.path].append(x)
+    for b, m, x, y in zip(blocks, may, lengths, points, strict=True):
+        if m:
+            by_path[b.path].append(math.sqrt(x * (1 + y)))
     value = {p: sum(v) / len(v) for p, v in by_path.items()}
-    if not value:
+    total = sum(text.values())
+    if not total:
         return [False] * len(blocks)
-    total = sum(text.values()) or 1
     mean = sum(value[p] * text[p] for p in value) / total  # by characters: long paths set the level
-    chosen = {p for p, v in value.items() if v >= 0.5 * mean and text[p] > 0}
-    seeds = [b for b in blocks if b.path in chosen and not b.outside]
-    root = _container(seeds, text)
-    return [not b.outside and b.chain[: len(root)] == root and b.linked * 2 <= len(b.text) for b in blocks]
-
-
-def _container(seeds: list[Block], text: dict[str, int]) -> tuple:
-    """The deepest article or main that holds most of the chosen text, or else the deepest element that does."""
-    weight: dict[tuple, int] = defaultdict(int)
-    total = 0
-    for b in seeds:
-        size = max(1, len(b.text) - b.linked)
-        total += size
-        for k in range(len(b.chain) + 1):
-            weight[b.chain[:k]] += size
-    marked = [c for c, w in weight.items() if c and c[-1][0] in ("article", "main") and 2 * w >= total]
-    if marked:
-        return max(marked, key=len)
-    body = max((c for c in weight if c and c[-1][0] == "body"), key=len, default=())
-    holders = [c for c, w in weight.items() if 10 * w >= 9 * total and (not c or c[-1][0] not in ("p", "li", "td", "h1", "h2", "h3"))]
-    deepest = max(holders, key=len, default=body)
-    return deepest if len(deepest) >= len(body) else body
+    chosen = [m and value[b.path] >= 0.5 * mean and b.own * 2 >= len(b.text) for b, m in zip(blocks, may, strict=True)]
+    return with_thin(page, may, chosen)
+
+
+def with_thin(page: Page, may: list[bool], chosen: list[bool]) -> list[bool]:
+    """The chosen blocks and the headings and thin blocks that belong to them."""
+    n = len(page.tags)
+    content, every, blocks_in = [0] * n, [0] * n, [0] * n
+    for b, m, c in zip(page.blocks, may, chosen, strict=True):
+        if m:
+            every[b.node] += b.own
+            content[b.node] += b.own if c else 0
+            blocks_in[b.node] += c
+    direct = [0] * n  # chosen blocks that stand in the element itself or in a child that holds nothing deeper
+    for e in range(n - 1, 0, -1):
+        up = page.parents[e]
+        content[up] += content[e]
+        every[up] += every[e]
+        direct[up] += blocks_in[e] > 0
+    total, root = content[0], 0
+    for e in range(1, n):  # parents come first: the deepest element with nine tenths of the content
+        if page.parents[e] == root and 10 * content[e] >= 9 * total and page.tags[e] not in LEAVES:
+            root = e
+    within = [e >= root for e in range(n)]
+    for e in range(1, n):
+        within[e] = e == root or (e > root and within[page.parents[e]])
+    nearest = [0] * n
+    for e in range(1, n):
+        nearest[e] = e if content[e] else nearest[page.parents[e]]
+    out = []
+    for b, m, c in zip(page.blocks, may, chosen, strict=True):
+        e = nearest[b.node]
+        if m and not c and within[b.node] and b.own * 2 >= len(b.text) and 2 * content[e] >= every[e]:
+            tag = page.tags[b.node]
+            c = tag in HEADINGS or (e in (b.node, page.parents[b.node]) and direct[e] > 0 and tag != "div")
+        out.append(c)
+    return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
-    return " ".join(b.text for b, keep in zip(blocks, content_blocks(blocks), strict=True) if keep)
+    read = Page(page)
+    return " ".join(b.text for b, keep in zip(read.blocks, content_blocks(read), strict=True) if keep)
 
 
 def _extract(names: list[str], html_at: int):

@@ -127,6 +127,42 @@ def test_main_text(page, want):
     assert html_main.main_text(page) == want
 
 
+SHORT = "Not much here, but it counts."
+MENU = "<div><span><a href=1>Home page of all</a></span><span><a href=2>More about us, and others</a></span></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # No article, no telling names: ratios alone. A menu of links, a line of contact below, and thin parts amid the text.
+        (f"<body>{MENU}<div><div><h2>Title</h2><p>{PARA}</p><p>{SHORT}</p><p>{PARA}</p><h3>Part</h3><p>{PARA}</p></div></div><div><span>Imprint</span></div></body>", f"Title {PARA} {SHORT} {PARA} Part {PARA}"),
+        (f"<div>{MENU}</div><div class=x1><div>{PARA}</div><div>{PARA}</div></div><div class=x2><div><div>Tel 1</div><div>Tel 2</div></div></div>", f"{PARA} {PARA}"),
+        # The head is not ended by a tag of its own.
+        (f"<html><head><title>T</title><meta charset=x><body><h1>Head</h1><p>{PARA}</p><p>{PARA}</p>", f"Head {PARA} {PARA}"),
+        # Wrappers named for what stands beside them.
+        (f"<body class=has-sidebar><div class='page no-sidebar ad-free'><div class='content ads'><h1>Head</h1><p>{PARA}</p><p>{PARA}</p></div></div><div class=sidebar><p>{PARA}</p></div>", f"Head {PARA} {PARA}"),
+        (f"<article><div class='article-header'><h1>Head</h1></div><p>{PARA}</p><p>{PARA}</p></article><div class='comments'><p>{PARA}</p></div>", f"Head {PARA} {PARA}"),
+        # Two articles side by side.
+        (f"<body><nav>{MENU}</nav><article><h2>One</h2><p>{PARA}</p></article><article><h2>Two</h2><p>{PARA}</p><p>{PARA}</p></article><footer>{PARA}</footer>", f"One {PARA} Two {PARA} {PARA}"),
+        (f"<main><div><ul><li>{PARA}<li>{PARA}</ul><table><tr><td>{PARA}<td>{SHORT}</table></div></main>", f"{PARA} {PARA} {PARA} {SHORT}"),
+    ],
+)
+def test_main_text_without_names(page, want):
+    assert html_main.main_text(page) == want
+
+
+def test_pages_of_any_depth_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (3_000, 12_000):
+        page = "<div>" * n + f"<p>{PARA}</p>" + f"</div><p>{PARA}</p>" * n + "<svg>" * n + "</b>" * n + "<b>" * n + "<div class=ad>" * n
+        began = time.perf_counter()
+        assert html_main.main_text(page).count("paragraph") == n + 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 4 * 2.5 * took[0] + 0.5
+
+
 def test_extract_table(spark):
     rows = spark.createDataFrame([(1, "u", f"<p>{PARA}</p>"), (1, "u", f"<p>{PARA}</p>"), (2, None, None), (None, "v", "<"), (3, "w", "<div>" * 3000 + PARA)], "page_id long, url string, html string")
     out = html_main.extract(rows).collect()
