@@ -3,10 +3,11 @@
 Every vector is represented by its nearest pivots in order (a prefix of its permutation of all pivots) and
 posted in those pivots' inverted files. A query reads the files of its own prefix; candidates are ranked
 by Spearman's footrule over the two prefixes, where a pivot missing from one stands just behind its end,
-and each shard's best ones are reranked by the exact cosine in double precision.
+and each shard's best ones, with all that tie with the last of them, are reranked by the exact cosine in double precision.
 
-Pivots are a bounded sample of the distinct vectors (those of the smallest content hashes); their number
-grows as the square root of the number of vectors. Every vector is indexed, in shards of bounded size;
+Pivots are chosen from a bounded sample of the distinct vectors (those of the smallest content hashes), of vectors
+nearly alike only one: a hot group of near copies gets hardly more pivots than a single vector, and so leaves the
+others' prefixes as they are. Their number grows as the square root of the number of vectors. Every vector is indexed, in shards of bounded size;
 the queries meet them in blocks of bounded size. Equal vectors are one entry with its ``k + 1`` smallest
 ids, which is all that any answer can need: copies by the thousand cost no more than one vector.
 
@@ -53,12 +54,23 @@ def permutations(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
 
 
-def pivots_of(entries: DataFrame, n: int, per_root: float, most: int) -> np.ndarray:
-    """Unit vectors of about per_root * sqrt(n) entries, at most ``most``, chosen by content hash."""
+def pivots_of(entries: DataFrame, n: int, per_root: float, most: int, alike: float = 0.95) -> np.ndarray:
+    """Unit vectors of about per_root * sqrt(n) entries, at most ``most``, from four times as many of the smallest content
+    hashes: none within cosine ``alike`` of an earlier one, unless too few are left."""
     m = min(n, most, max(64, math.ceil(per_root * math.sqrt(n))))
-    got = entries.orderBy("h", "entry").limit(m).select("vector").toArrow().column(0).combine_chunks()
+    got = entries.orderBy("h", "entry").limit(4 * m).select("vector").toArrow().column(0).combine_chunks()
     x = got.flatten().to_numpy().reshape(len(got), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    apart, others, k = np.empty((m, x.shape[1])), [], 0
+    for i, v in enumerate(x):
+        if k == m:
+            break
+        if k and (apart[:k] @ v).max() >= alike:
+            others.append(i)
+        else:
+            apart[k] = v
+            k += 1
+    return np.concatenate([apart[:k], x[others[: m - k]]])
 
 
 class InvertedFiles:
@@ -93,7 +105,7 @@ def _search_shard(pivots: np.ndarray, length: int, rerank: int, k: int):
             entry = shard["entry"].to_numpy()
             for query, vector, prefix in zip(asked["query_id"].to_pylist(), q, permutations(q, pivots, length), strict=True):
                 close = files.closeness(prefix)
-                best = np.argpartition(-close, rerank - 1)[:rerank] if rerank < len(close) else np.arange(len(close))
+                best = np.flatnonzero(close >= np.partition(close, -rerank)[-rerank]) if rerank < len(close) else np.arange(len(close))
                 score = np.einsum("ij,j->i", x[best], vector) / (norms[best] * math.sqrt(vector @ vector))
                 for i in np.lexsort((entry[best], -score))[: k + 1]:
                     own = [v for v in ids[best[i]] if v != query]
@@ -109,7 +121,7 @@ def search(table: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id"
     """(query_id, rank, vec_id, score): each query's k nearest other rows by cosine.
 
     queries: a condition on id_col. prefix_share: length of a prefix as a share of the pivots. rerank: how
-    many entries of each shard get an exact cosine with a query.
+    many entries of each shard, those tied with the last included, get an exact cosine with a query.
     """
     empty = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     clean = table.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))

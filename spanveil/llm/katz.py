@@ -115,6 +115,16 @@ def _from_planes(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
 
 
+def _counts(values: np.ndarray) -> bytes:
+    """Counts of any size: a letter for their width, then their planes."""
+    kind = "<u4" if values.max(initial=0) < 1 << 32 else "<u8"
+    return kind[2].encode() + _planes(values, kind)
+
+
+def _from_counts(blob: bytes) -> np.ndarray:
+    return _from_planes(blob[1:], f"<u{blob[:1].decode()}")
+
+
 def _encode(vocabulary, names: list[str]):
     """Texts to token ids, -1 for unknown ones."""
 
@@ -210,7 +220,7 @@ def _count_pairs(size: int, buckets: int):
         for b in range(buckets):
             if ends[b] < ends[b + 1]:
                 own = order[ends[b] : ends[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(keys[own])], pa.binary()), pa.array([_planes(counts[own], "<u4")], pa.binary())], ["bucket", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(keys[own])], pa.binary()), pa.array([_counts(counts[own])], pa.binary())], ["bucket", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -229,18 +239,18 @@ def _count_pairs(size: int, buckets: int):
 
 def _merge_bucket(table: pa.Table) -> pa.Table:
     keys = np.concatenate([_unpacked(x.as_py()) for x in table["keys"]])
-    counts = np.concatenate([_from_planes(x.as_py(), "<u4") for x in table["counts"]])
+    counts = np.concatenate([_from_counts(x.as_py()).astype(np.int64) for x in table["counts"]])
     order = np.argsort(keys, kind="stable")  # runs that are sorted already
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sums = np.add.reduceat(counts.astype(np.int64), first)
-    return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([_packed(keys[first])], pa.binary()), "counts": pa.array([_planes(np.minimum(sums, 2**32 - 1), "<u4")], pa.binary())})
+    sums = np.add.reduceat(counts, first)
+    return pa.table({"bucket": table["bucket"][:1], "keys": pa.array([_packed(keys[first])], pa.binary()), "counts": pa.array([_counts(sums)], pa.binary())})
 
 
 def _count_histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("counts").to_pylist():
-            c, n = np.unique(_from_planes(blob, "<u4"), return_counts=True)
+            c, n = np.unique(_from_counts(blob), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(n.astype(np.int64))], ["c", "n"])
 
 
@@ -251,7 +261,7 @@ def _histories(shared, d: np.ndarray):
         size, logs = shared.value
         for batch in batches:
             for i in range(len(batch)):
-                all_keys, all_counts = _unpacked(batch.column("keys")[i].as_py()), _from_planes(batch.column("counts")[i].as_py(), "<u4")
+                all_keys, all_counts = _unpacked(batch.column("keys")[i].as_py()), _from_counts(batch.column("counts")[i].as_py())
                 for at in range(0, len(all_keys), 1 << 17):  # a history cut in two is summed later
                     keys, counts = all_keys[at : at + (1 << 17)], all_counts[at : at + (1 << 17)].astype(np.int64)
                     h = keys // (size + 1)
@@ -266,7 +276,7 @@ def _heavy(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                counts = _from_planes(batch.column("counts")[i].as_py(), "<u4")
+                counts = _from_counts(batch.column("counts")[i].as_py())
                 own = np.flatnonzero(counts >= least)
                 if len(own):
                     yield pa.RecordBatch.from_arrays([pa.array(_unpacked(batch.column("keys")[i].as_py())[own]), pa.array(counts[own].astype(np.int64))], ["key", "c"])
@@ -421,7 +431,7 @@ def _answer(model):
                 bucket, kind, keys, other, rows = (c[i].as_py() for c in batch.columns)
                 keys = _unpacked(keys)
                 if kind == 0:
-                    at, held, counts = bucket, keys, _from_planes(other, "<u4").astype(np.int64)
+                    at, held, counts = bucket, keys, _from_counts(other).astype(np.int64)
                 elif at == bucket and len(held):
                     place = np.minimum(np.searchsorted(held, keys), len(held) - 1)
                     hit = held[place] == keys

@@ -491,6 +491,26 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df.vec_id % 50 == 0).count() == 0
 
 
+def test_neighbours_beside_a_hot_group(spark):
+    """Recall at the query's own parameters over two shards, a third of all vectors near copies of one; scaled copies tie."""
+    rng = np.random.default_rng(30)
+    x = rng.standard_normal((9000, 48))
+    x[:3000] = x[0] + 0.05 * rng.standard_normal((3000, 48))
+    x[8000:8400] = x[8000] * rng.integers(1, 5, (400, 1))
+    rng.shuffle(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.vec_id % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, scores in got.items():
+        all_ = unit @ unit[q]
+        all_[q] = -2
+        hits += (np.array(scores) >= np.sort(all_)[-5] - 1e-9).sum()
+    assert len(got) == 180 and hits >= 0.9 * 5 * len(got)
+
+
 # 9 Katz
 
 
@@ -545,6 +565,16 @@ def test_katz(spark, way):
         assert abs(r.base_score - base) < 1e-8 and abs(r.score - score) < 1e-8
 
 
+def test_counts_of_any_size():
+    """Sums beyond 32 bits are kept as they are."""
+    import pyarrow as pa
+
+    part = {"bucket": pa.array([3, 3], pa.int32()), "keys": pa.array([katz._packed(np.array([5, 9])), katz._packed(np.array([9]))], pa.binary()), "counts": pa.array([katz._counts(np.array([1, 2**32 - 1])), katz._counts(np.array([2**40]))], pa.binary())}
+    out = katz._merge_bucket(pa.table(part))
+    assert katz._unpacked(out["keys"][0].as_py()).tolist() == [5, 9] and katz._from_counts(out["counts"][0].as_py()).tolist() == [1, 2**40 + 2**32 - 1]
+    assert katz._from_counts(katz._counts(np.array([], np.int64))).tolist() == []
+
+
 def test_good_turing_keeps_what_holds():
     """Worked out by hand: with cut-off 5 d4 would be 17.25, with 4 the common share 1.5; 3 holds. Nor does 5 need to give way."""
     assert np.allclose(katz.discounts({1: 100, 2: 40, 3: 20, 4: 5, 5: 30, 6: 10}), [1, 0.75, 0.6875, 1 / 6])
