@@ -8,7 +8,8 @@
    enough benchmark terms are compared with all items of their length by cosine in the latent space.
 4. A candidate is confirmed by the longest common subsequence of words between the item and the text around
    the window: at least ``copied`` of the item is a copy; at least ``paraphrased`` of it is a paraphrase if
-   the answer, the item's last quarter, is there nearly whole and most of the item's weight by IDF is too.
+   most of its answer is there too, in its order, and most of the item's words, both by their IDF weights. The answer is
+   what follows the item's last question mark or "answer:", else its last quarter.
 
 The benchmark is a stated query set. It is read in blocks of ``block_items`` items, so that what goes to the
 tasks is bounded whatever its size; all documents, whole, are compared with each block.
@@ -23,6 +24,7 @@ report the same pair once. An empty benchmark or an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +38,7 @@ from .common import TokenHasher, documents, lean, staged
 
 #: ASCII white space and punctuation.
 BLANKS = bytes([*range(9, 14), *range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+ANSWER = re.compile(r"\?|\banswer\s*:", re.I)
 PIECE_WORDS = 1 << 14
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, word_at long, verdict string"
 
@@ -164,6 +167,7 @@ class Space:
     basis: np.ndarray  # by term: idf times the singular vectors
     item_ids: np.ndarray
     items: list[np.ndarray]
+    answers: list[int]  # words of each item's answer, its last ones
     latent: np.ndarray
     classes: list[tuple[int, np.ndarray]]  # window length, items of that length
 
@@ -206,16 +210,17 @@ def space_of(docs: DataFrame, item_ids: list[int], texts: list[str], rank: int,
     of_corpus = idf[:, None] * sketch / max(1e-9, float((idf * idf * df).sum()))
     of_items, trace = np.zeros_like(of_corpus), 0.0
     for x in items:
-        term, count = np.unique(x, return_counts=True)
-        a = count * idf[term]
-        a = a / np.linalg.norm(a)
-        of_items[term] += a[:, None] * (a @ omega[term])
-        trace += 1.0
+        for at in range(0, len(x), passage_words):  # passages as the corpus's: each word once, by its IDF
+            term = np.unique(x[at : at + passage_words])
+            a = idf[term]
+            of_items[term] += a[:, None] * (a @ omega[term])
+            trace += float(a @ a)
     basis = nystroem(corpus_share * of_corpus + (1 - corpus_share) * of_items / trace, omega, rank)
     basis = (idf[:, None] * basis).astype(np.float32)
     latent = np.stack([basis[x].sum(axis=0) for x in items])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Space(terms, idf, basis, np.array([item_ids[i] for i in held]), items, latent, length_classes(np.array([len(x) for x in items])))
+    answers = [answer_words(texts[i], len(coded[i]), terms) for i in held]
+    return Space(terms, idf, basis, np.array([item_ids[i] for i in held]), items, answers, latent, length_classes(np.array([len(x) for x in items])))
 
 
 def bits_of(item: np.ndarray) -> dict[int, int]:
@@ -237,8 +242,24 @@ def common_subsequence(item: np.ndarray, text: np.ndarray, places: dict[int, int
     return len(item) - row.bit_count()
 
 
-def judge(item: np.ndarray, text: np.ndarray, idf: np.ndarray, copied: float, paraphrased: float, places: dict[int, int] | None = None) -> tuple[float, float, str | None]:
-    """Shares of the item and of its answer in the text, and the verdict.
+def answer_words(text: str, n: int, terms: Terms) -> int:
+    """How many of an item's n words are its answer: those behind its last question mark or "answer:", else the last quarter."""
+    after = ANSWER.split(text)[-1] if ANSWER.search(text) else ""
+    found = sum(len(ids) for _, ids in terms.texts(pa.array([after], pa.string())))
+    return found if 0 < found < n else max(1, n // 4)
+
+
+def weighed_subsequence(item: np.ndarray, text: np.ndarray, weight: np.ndarray) -> float:
+    """The largest weight of a common subsequence of item and text, as a share of the item's weight."""
+    best = np.zeros(len(item) + 1)
+    for w in text[np.isin(text, item)].tolist():
+        here = np.concatenate([[0.0], best[:-1] + np.where(item == w, weight[item], 0.0)])
+        best = np.maximum.accumulate(np.maximum(best, here))
+    return float(best[-1] / max(1e-12, weight[item].sum()))
+
+
+def judge(item: np.ndarray, text: np.ndarray, idf: np.ndarray, copied: float, paraphrased: float, answer: int, places: dict[int, int] | None = None) -> tuple[float, float, str | None]:
+    """Shares of the item and of its answer (the last ``answer`` words) in the text, and the verdict.
 
     A common subsequence has no more words than the item has in the text at all, which settles most windows.
     """
@@ -251,13 +272,12 @@ def judge(item: np.ndarray, text: np.ndarray, idf: np.ndarray, copied: float, pa
     whole = common_subsequence(item, text, places) / len(item)
     if whole < paraphrased:
         return whole, 0.0, None
-    answer = item[-max(1, len(item) // 4) :]
-    share = common_subsequence(answer, text) / len(answer)
+    share = weighed_subsequence(item[-answer:], text, idf)
     if whole >= copied:
         return whole, share, "copy"
     terms = np.unique(item)
     weight = idf[terms[np.isin(terms, text)]].sum() / idf[terms].sum()
-    return whole, share, "paraphrase" if share >= 0.9 and weight >= 0.6 else None
+    return whole, share, "paraphrase" if share >= 0.6 and weight >= 0.5 else None
 
 
 def running_sums(x: np.ndarray, block: int = 16) -> np.ndarray:
@@ -325,7 +345,7 @@ def _retrieve(shared, least_cosine: float, copied: float, paraphrased: float):
                         continue
                     tried = lo
                     around = ids[max(a, lo - len(item) // 2) : min(b, lo + n + len(item) // 2)]
-                    whole, answer, verdict = judge(item, around, space.idf, copied, paraphrased, places[i])
+                    whole, answer, verdict = judge(item, around, space.idf, copied, paraphrased, space.answers[i], places[i])
                     if verdict and (best is None or whole > best[3]):
                         best = (doc, int(space.item_ids[i]), cosine, whole, answer, first + lo - a, verdict)
                     if best and best[6] == "copy":

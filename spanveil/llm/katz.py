@@ -11,8 +11,8 @@ is shuffled, so one word pair in every document is one entry a block. Scoring: t
 most ``heavy`` of them, are sent to all tasks and settle most tokens at once; the rest are posted to their
 buckets, whose sorted keys answer them, and each document's answers are summed.
 
-What is broadcast: the token table, its size checked against ``most_tokens``, and the heavy n-grams, bounded by
-their number. A larger vocabulary takes ``score_by_joins``: the same model by aggregations and joins of hashed
+What is broadcast: the token table, about 40 bytes a token in each worker and at most ``most_tokens`` of them (2^22: 168
+MB), counted beforehand, and the heavy n-grams, bounded by their number. A larger vocabulary takes ``score_by_joins``: the same model by aggregations and joins of hashed
 rows, with nothing broadcast.
 
 Tokens: A-Z is lower-cased, words are cut at ASCII white space, and one end token closes a text. A null text
@@ -530,7 +530,7 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(crc_mod(id_col, folds) == fold, F.lit(False))
 
 
-def op9_lm_scoring(spark, sf_dir: str, most_tokens: int = 1 << 24) -> DataFrame:
+def op9_lm_scoring(spark, sf_dir: str, most_tokens: int = 1 << 22) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", held_out().alias("held_out"), "text")
     tokens = count_tokens(docs.filter(~F.col("held_out")))
     if tokens.count() > most_tokens:

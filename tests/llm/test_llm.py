@@ -87,6 +87,75 @@ def test_leaks_of_all_lengths(spark):
     assert {(r.doc_id, r.item_id) for r in only} == {(5, 5), (6, 6), (7, 7)}
 
 
+def brute_leaks(texts, items, copied=0.8, paraphrased=0.5):
+    """Every window of every document against every item: (doc, item) to the verdict of the longest common subsequence."""
+    words = lambda t: re.split(r"[\x00-\x20!-/:-@\[-`{-~]+", t.lower().strip(" .?"))
+
+    def lcs(a, b, weight=lambda _: 1.0):
+        row = [0.0] * (len(a) + 1)
+        for y in b:
+            new = [0.0]
+            for i, x in enumerate(a):
+                new.append(max(new[i], row[i + 1], row[i] + weight(x) if x == y else 0.0))
+            row = new
+        return row[-1]
+
+    passages = [set(w[at : at + 64]) for t in texts for w in [words(t)] for at in range(0, len(w), 64)]
+    idf = lambda x: math.log(2 + len(passages) / (1 + sum(x in p for p in passages)))
+    out = {}
+    for (i, item), (d, t) in itertools.product(enumerate(items), enumerate(texts)):
+        a, w = words(item), words(t)
+        n, answer = len(a), words(item.split("?")[-1]) if "?" in item else a[-max(1, len(a) // 4) :]
+        best = (0.0, None)
+        for at in range(0, max(1, len(w) - n + 1)):
+            near = w[max(0, at - n // 2) : at + n + n // 2]
+            whole = lcs(a, near) / n
+            if whole < max(paraphrased, best[0] + 1e-9):
+                continue
+            share = lcs(answer, near, idf) / sum(map(idf, answer))
+            weight = sum(idf(x) for x in set(a) & set(near)) / sum(idf(x) for x in set(a))
+            verdict = "copy" if whole >= copied else "paraphrase" if share >= 0.6 and weight >= 0.5 else None
+            best = max(best, (whole, verdict)) if verdict else best
+        if best[1]:
+            out[d, i] = best[1]
+    return out
+
+
+def test_paraphrases_by_brute_force(spark):
+    """Copies, items reworded with their answers kept, reworded without them, and documents of the same words."""
+    rng = random.Random(31)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    noise = lambda n: rng.choices(pool, k=n)
+    items = [noise(rng.randrange(16, 30)) for _ in range(12)]
+    asked = [" ".join(x[:-5]) + "? " + " ".join(x[-5:]) if i % 2 else " ".join(x) for i, x in enumerate(items)]
+
+    def reworded(x, keep_answer):
+        stem, answer = x[:-6], x[-6:]
+        for k in rng.sample(range(len(stem)), k=int(0.4 * len(stem))):
+            stem[k] = rng.choice(pool)
+        return [*stem, *(answer if keep_answer else noise(6))]
+
+    texts = []
+    for x in items:
+        for middle in (x, reworded(x, True), reworded(x, False), noise(20)):
+            texts.append(" ".join([*noise(30), *middle, *noise(30)]))
+    bench = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.verdict for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    want = brute_leaks(texts, asked)
+    assert found == want
+    assert all(want[4 * i, i] == "copy" for i in range(12)) and sum((4 * i + 1, i) in want for i in range(12)) >= 10
+    assert not any(d % 4 == 3 for d, _ in want) and "paraphrase" in want.values()
+
+
+def test_a_question_reworded_with_its_answer_kept(spark):
+    item = "What is the name of the river that flows through the old capital and into the northern sea? The Elbe near Cuxhaven."
+    text = "Tell me please which river flows past the old capital into the northern sea. It must be the Elbe near Cuxhaven, of course."
+    other = "The old capital has a river, and the sea is cold. The name of the game is patience, and that is what flows through it all."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r.verdict for r in decontaminate.find_leaks(docs(spark, [text, other, item]), bench).collect()}
+    assert found == {0: "paraphrase", 2: "copy"}
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
