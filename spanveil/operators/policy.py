@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schemas as S
 from .spans import expand, keep_first, usable
@@ -24,10 +23,19 @@ def policy_of(kind: str = "type"):
     return F.when(F.col(kind).isin(S.AUTO_MASKED), S.AUTO).otherwise(S.CONFIRM)
 
 
-def analyse(detections: DataFrame, keys: list[str], length: str = "n") -> DataFrame:
+def with_policy(rows: DataFrame, preferences: DataFrame | None = None) -> DataFrame:
+    """rows with the policy of their type: a user's normalised preferences (18 rows, sent to all tasks), or else the default."""
+    if preferences is None:
+        return rows.withColumn("policy", policy_of())
+    own = preferences.select(F.col("type").alias("_type"), F.col("policy").alias("_policy"))
+    joined = rows.join(F.broadcast(own), F.col("type") == F.col("_type"), "left")
+    return joined.withColumn("policy", F.coalesce("_policy", policy_of())).drop("_type", "_policy")
+
+
+def analyse(detections: DataFrame, keys: list[str], length: str = "n", preferences: DataFrame | None = None) -> DataFrame:
     """Constituents with a usable span, the first of equal ones, each with its policy."""
     rows = expand(detections) if "constituents" in detections.columns else detections
-    return keep_first(usable(rows, length), keys).withColumn("policy", policy_of())
+    return with_policy(keep_first(usable(rows, length), keys), preferences)
 
 
 def review(analysed: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,6 +68,3 @@ def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     rest = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(key, "x.*")
 
-
-def within(batch: str):
-    return Window.partitionBy(batch)

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schemas as S
 from ..functions.text import splits_pair, u16len, u16slice, valid_span
-from .policy import policy_of
+from .policy import with_policy
 from .spans import union_spans
 
 
-def request(segments: DataFrame, detections: DataFrame) -> DataFrame:
+def request(segments: DataFrame, detections: DataFrame, preferences: DataFrame | None = None) -> DataFrame:
     """Detections with word and policy, and whether each is acceptable: known type, confidence, span, and seen once."""
-    joined = detections.join(segments.select("doc_id", "segment_id", "text"), ["doc_id", "segment_id"], "left")
-    sound = F.col("text").isNotNull() & F.col("type").isin(S.PII_TYPES) & F.col("confidence").between(0, 1) & ~F.isnan("confidence") & valid_span("start", "stop", u16len("text")) & ~splits_pair("text", "start") & ~splits_pair("text", "stop")
     keys = ["doc_id", "segment_id", "type", "start", "stop"]
-    twice = detections.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
-    out = joined.join(twice, keys).withColumn("sound", F.coalesce(sound, F.lit(False)) & (F.col("times") == 1))
-    return out.withColumn("word", F.when(F.col("sound"), u16slice("text", "start", "stop"))).withColumn("policy", policy_of()).drop("text", "times")
+    counted = detections.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    joined = counted.join(segments.select("doc_id", "segment_id", "text"), ["doc_id", "segment_id"], "left")
+    sound = F.col("text").isNotNull() & F.col("type").isin(S.PII_TYPES) & F.col("confidence").between(0, 1) & ~F.isnan("confidence") & valid_span("start", "stop", u16len("text")) & ~splits_pair("text", "start") & ~splits_pair("text", "stop")
+    out = joined.withColumn("sound", F.coalesce(sound, F.lit(False)) & (F.col("times") == 1))
+    return with_policy(out.withColumn("word", F.when(F.col("sound"), u16slice("text", "start", "stop"))).drop("text", "times"), preferences)
 
 
 def rejected_segments(segments: DataFrame) -> DataFrame:
@@ -39,11 +40,13 @@ def resolve(asked: DataFrame, decisions: DataFrame, segments: DataFrame) -> tupl
     asked = asked.select(*keys, F.col("word").alias("own_word"), "policy", "sound", F.lit(True).alias("known"))
     both = asked.join(made, keys, "full")
     fits = F.col("known") & F.col("sound") & (F.col("times") == 1) & (F.col("word") == F.col("own_word")) & ((F.col("grp") == "nonMasking") | (F.col("grp") == wanted))
-    approved = decisions.filter(F.col("status") == "approved").select("doc_id").distinct()
-    checked = both.join(approved, "doc_id", "left_semi").withColumn("fits", F.coalesce(fits, F.lit(False)))
-    rejects = checked.groupBy("doc_id").agg(F.bool_and("fits").alias("ok")).filter(~F.col("ok")).select("doc_id", F.lit("reviewing").alias("stage"), F.lit(S.ERROR_DEFAULT).alias("code"))
-    passed = approved.join(rejects, "doc_id", "left_anti")
-    chosen = checked.filter(F.col("grp").isin("autoMask", "confirm_masking")).join(passed, "doc_id", "left_semi").withColumn("ord", F.lit(0))
+    # A document counts if a decision approves it: known from its own rows, without asking the decisions again.
+    whole = Window.partitionBy("doc_id")
+    checked = both.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("approved", F.max(F.col("times").isNotNull()).over(whole)).withColumn("ok", F.min("fits").over(whole)).filter("approved")
+    documents = checked.groupBy("doc_id").agg(F.bool_and("ok").alias("ok"))
+    rejects = documents.filter(~F.col("ok")).select("doc_id", F.lit("reviewing").alias("stage"), F.lit(S.ERROR_DEFAULT).alias("code"))
+    passed = documents.filter("ok").select("doc_id")
+    chosen = checked.filter(F.col("ok") & F.col("grp").isin("autoMask", "confirm_masking")).withColumn("ord", F.lit(0))
     merged = union_spans(chosen, ["doc_id", "segment_id"], touching=True).groupBy("doc_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     every = segments.join(passed, "doc_id", "left_semi").select("doc_id", "segment_id")
     masks = every.join(merged, ["doc_id", "segment_id"], "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() AS array<struct<start:int,stop:int>>)")))

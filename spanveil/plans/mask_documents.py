@@ -15,10 +15,10 @@ KEYS = ["doc_id", "segment_id"]
 Detector = Callable[[DataFrame, list[str]], DataFrame]
 
 
-def mask_text(segments: DataFrame, keys: list[str], detector: Detector = detect.by_rules) -> DataFrame:
-    """Chat texts with the default selection masked by aliases; texts without findings as they are."""
-    found = detector(segments, keys)
-    return masking.mask_aliases(segments, found.filter(F.col("type").isin(S.AUTO_MASKED)), keys)
+def mask_text(segments: DataFrame, keys: list[str], detector: Detector = detect.by_rules, preferences: DataFrame | None = None) -> DataFrame:
+    """Chat texts with what is masked without asking replaced by aliases; texts without findings as they are."""
+    found = policy.with_policy(detector(segments, keys), preferences)
+    return masking.mask_aliases(segments, found.filter(F.col("policy") == S.AUTO).drop("policy"), keys)
 
 
 def approve_automatic(asked: DataFrame) -> DataFrame:
@@ -27,28 +27,28 @@ def approve_automatic(asked: DataFrame) -> DataFrame:
     return asked.select("doc_id", F.lit("approved").alias("status"), grp.alias("grp"), "segment_id", "type", "start", "stop", "word")
 
 
-def _masks(segments: DataFrame, detector: Detector, reviewer) -> tuple[DataFrame, DataFrame]:
+def _masks(segments: DataFrame, detector: Detector, reviewer, preferences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     twice = review.rejected_segments(segments)
     segments = segments.join(twice, "doc_id", "left_anti")
-    asked = review.request(segments, detector(segments, KEYS))
+    asked = review.request(segments, detector(segments, KEYS), preferences)
     masks, rejects = review.resolve(asked, reviewer(asked), segments)
     clean = segments.join(asked.select("doc_id").distinct(), "doc_id", "left_anti").select(*KEYS, F.expr("cast(array() AS array<struct<start:int,stop:int>>)").alias("spans"))
     failed = twice.select("doc_id", F.lit("reviewing").alias("stage"), F.lit(S.ERROR_DEFAULT).alias("code"))
     return masks.select(*KEYS, "spans").unionByName(clean), rejects.unionByName(failed)
 
 
-def mask_office(files: DataFrame, kind: str, detector: Detector = detect.by_rules, reviewer=approve_automatic) -> tuple[DataFrame, DataFrame]:
+def mask_office(files: DataFrame, kind: str, detector: Detector = detect.by_rules, reviewer=approve_automatic, preferences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """files(doc_id, content) of DOCX or HWPX to masked files and rejects."""
     segments, refused = office.segments(files, kind)
-    masks, unresolved = _masks(segments, detector, reviewer)
+    masks, unresolved = _masks(segments, detector, reviewer, preferences)
     done, failed = office.rebuild(files, masks, kind)
     return done, refused.unionByName(unresolved).unionByName(failed)
 
 
-def mask_text_files(files: DataFrame, detector: Detector = detect.by_rules, reviewer=approve_automatic) -> tuple[DataFrame, DataFrame]:
+def mask_text_files(files: DataFrame, detector: Detector = detect.by_rules, reviewer=approve_automatic, preferences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """files(doc_id, name, length, content) of text and Markdown to masked files and rejects."""
     good, refused = textfile.scan(files)
-    masks, unresolved = _masks(good.select(*KEYS, "text"), detector, reviewer)
+    masks, unresolved = _masks(good.select(*KEYS, "text"), detector, reviewer, preferences)
     spans = masks.select(*KEYS, F.inline("spans")).withColumn("ord", F.lit(0)).withColumn("type", F.lit("SECRET"))
     passed = good.join(masks.select(*KEYS), KEYS, "left_semi")
     done, large = textfile.output(masking.mask_blocks(passed, spans, KEYS))
@@ -58,6 +58,3 @@ def mask_text_files(files: DataFrame, detector: Detector = detect.by_rules, revi
 #: Kinds with a processor; others pass or are held by the caller's policy.
 PROCESSORS = {"docx": lambda f, **k: mask_office(f, "docx", **k), "hwpx": lambda f, **k: mask_office(f, "hwpx", **k), "text": mask_text_files}
 
-
-def summary(detections: DataFrame, keys: list[str]) -> DataFrame:
-    return policy.summary(detections, keys)

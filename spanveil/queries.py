@@ -23,26 +23,26 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic(docs: DataFrame) -> DataFrame:
-    """Eight spans a document of 60 or more characters, by arithmetic on its id: overlapping, touching, repeated."""
+    """Eight spans a document, by arithmetic on its id: overlapping, touching, repeated, cut at the text's end. An empty text has none."""
     n = X.u16len("text")
-    rows = docs.select("doc_id", n.alias("n")).filter(F.col("n") >= 60).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("ord"))
+    rows = docs.select("doc_id", n.alias("n")).filter(F.col("n") > 0).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("ord"))
     d, i = F.col("doc_id"), F.col("ord")
-    start = ((d * 7919 + F.floor(i / 2) * 104729 + i * 5) % (F.col("n") - 45)).cast("int")
+    start = ((d * 7919 + F.floor(i / 2) * 104729 + i * 5) % F.col("n")).cast("int")
     return rows.select(
         "doc_id", "n", "ord",
         F.element_at(F.array(*map(F.lit, S.PII_TYPES)), ((d + i * 5) % 18 + 1).cast("int")).alias("type"),
         (((d * 13 + i * 7) % 100) / 100.0).alias("confidence"),
         start.alias("start"),
-        (start + 3 + ((d * 31 + i * 17) % 40)).cast("int").alias("stop"),
+        F.least(F.col("n"), start + 3 + ((d * 31 + i * 17) % 40)).cast("int").alias("stop"),
         (i % 3).alias("chunk"),
         ((d + i) % 4 == 0).alias("clipped"),
     )
 
 
-SYN = f"""base AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 60),
+SYN = f"""base AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0),
 syn AS (SELECT doc_id, n, ord, ([{TYPE_LIST}])[((doc_id + ord * 5) % 18 + 1)::INT] AS type, ((doc_id * 13 + ord * 7) % 100) / 100.0 AS confidence,
-        s AS start, s + 3 + ((doc_id * 31 + ord * 17) % 40) AS stop, ord % 3 AS chunk, (doc_id + ord) % 4 = 0 AS clipped
-        FROM (SELECT doc_id, n, ord, (doc_id * 7919 + (ord // 2) * 104729 + ord * 5) % (n - 45) AS s FROM base, (SELECT unnest(range(8)) AS ord)))"""
+        s AS start, least(n, s + 3 + ((doc_id * 31 + ord * 17) % 40)) AS stop, ord % 3 AS chunk, (doc_id + ord) % 4 = 0 AS clipped
+        FROM (SELECT doc_id, n, ord, (doc_id * 7919 + (ord // 2) * 104729 + ord * 5) % n AS s FROM base, (SELECT unnest(range(8)) AS ord)))"""
 
 
 def island_sql(touching: bool, order: str = "start, stop DESC, ord", source: str = "syn") -> str:
@@ -125,14 +125,14 @@ def q_mask_block_text(spark, sf_dir):
 
 def q_mask_preview(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    found = synthetic(docs).filter(F.col("ord") < 4).join(docs, "doc_id").withColumn("word", X.u16slice("text", "start", "stop"))
+    found = synthetic(docs).join(docs, "doc_id").withColumn("word", X.u16slice("text", "start", "stop"))
     rules = detect.by_rules(docs, KEYS).join(docs, "doc_id").withColumn("word", X.u16slice("text", "start", "stop"))
     both = found.select("doc_id", "type", "start", "word").unionByName(rules.select("doc_id", "type", "start", "word"))
     return both.select("doc_id", "type", "start", X.preview("word", "type").alias("preview"))
 
 
 def q_boundary_fragments(spark, sf_dir):
-    docs = docs_of(spark, sf_dir).filter(F.length("text") >= 60)
+    docs = docs_of(spark, sf_dir).filter(F.length("text") > 0)
     return spans.fragments(docs, synthetic(docs), KEYS)
 
 
@@ -151,7 +151,7 @@ def q_concat_offsets(spark, sf_dir):
 
 def _reviewed(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    segments = docs.filter(F.length("text") >= 60).select("doc_id", F.lit("text").alias("segment_id"), "text")
+    segments = docs.select("doc_id", F.lit("text").alias("segment_id"), "text")
     rows = spans.keep_first(synthetic(docs), KEYS).withColumn("segment_id", F.lit("text"))
     asked = review.request(segments, rows)
     grp = F.when(F.col("policy") == S.AUTO, "autoMask").when((F.col("start") + F.col("doc_id")) % 2 == 0, "confirm_masking").otherwise("nonMasking")
@@ -214,22 +214,28 @@ LOGIT_LABELS = ["O", "B-PERSON", "I-PERSON", "B-PHONE", "I-PHONE"]
 
 
 def _logits(docs: DataFrame) -> DataFrame:
-    """Forty two-character tokens a document with logits by arithmetic; some tokens are special, masked or empty."""
-    rows = docs.filter(F.length("text") >= 80).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i"))
-    i, d = F.col("i"), F.col("doc_id")
-    score = lambda c: (((d * 17 + i * 29 + (i % 3) * c * 11 + c * 7) % 23) / 4.0).cast("double")
+    """Each whole text as tokens of eight units, windowed into chunks, with logits by arithmetic; some tokens are masked or empty.
+    The first and last place of a chunk are the model's own tokens."""
+    sized = docs.select("doc_id", "text", X.u16len("text").alias("n")).filter(F.col("n") > 0)
+    chunks = sized.select("doc_id", "text", "n", F.inline(tokens.chunk_windows(F.ceil(F.col("n") / 8).cast("int"))))
+    rows = chunks.select("*", F.explode(F.sequence(F.lit(0), F.col("token_stop") - F.col("token_start") + 1)).alias("i"))
+    rows = rows.withColumn("special", F.when((F.col("i") == 0) | (F.col("i") == F.col("token_stop") - F.col("token_start") + 1), 1).otherwise(0))
+    k, d = F.col("token_start") + F.col("i") - 1, F.col("doc_id")
+    start = F.when(F.col("special") == 1, 0).otherwise(k * 8)
+    score = lambda c: (((d * 17 + k * 29 + (k % 3) * c * 11 + c * 7) % 23) / 4.0).cast("double")
     return rows.select(
-        "doc_id", F.lit(0).alias("chunk"), "i", "text", (i * 2).alias("start"),
-        F.when((d + i) % 9 == 0, i * 2).otherwise(i * 2 + 2).alias("stop"),
-        F.when((d + i) % 14 == 0, 0).otherwise(1).alias("attn"), F.when(i.isin(0, 39), 1).otherwise(0).alias("special"),
+        "doc_id", "chunk", "i", "text", start.alias("start"),
+        F.when(F.col("special") == 1, 0).when((d + k) % 9 == 0, start).otherwise(F.least(F.col("n"), start + 8)).alias("stop"),
+        F.when((d + k) % 14 == 0, 0).otherwise(1).alias("attn"), "special",
         F.array(*[score(F.lit(c)) for c in range(5)]).alias("logits"),
-        (d % 2 == 0).alias("has_previous"), (d % 3 == 0).alias("has_next"), F.lit(0).alias("token_start"),
+        "has_previous", "has_next", "token_start",
     )
 
 
 def q_bio_decode(spark, sf_dir):
     found = tokens.decode_bio(_logits(docs_of(spark, sf_dir)), LOGIT_LABELS, KEYS)
-    return found.select("doc_id", "type", F.round("confidence", 9).alias("confidence"), "start", "stop", "truncated_start", "truncated_stop", F.size("tokens").alias("n_tokens"))
+    first = F.element_at("tokens", 1)["token_index"].cast("long")
+    return found.select("doc_id", "chunk", "type", F.round("confidence", 9).alias("confidence"), "start", "stop", "truncated_start", "truncated_stop", F.size("tokens").alias("n_tokens"), first.alias("first_token"))
 
 
 def q_softmax_conf(spark, sf_dir):
@@ -258,10 +264,60 @@ def q_artifact_hash(spark, sf_dir):
     return docs.select("doc_id", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha256"), F.size(pieces).alias("n_pieces"), F.md5(F.array_join(pieces, ",")).alias("pieces_md5"))
 
 
-def q_crc_of_text(spark, sf_dir):
+def q_same_text_key(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.md5(X.same_text_key("text")).alias("key_md5"), (X.u16len("text") * 1).alias("units"))
 
 
+def _stored(spark, sf_dir):
+    """A user's stored preferences: some types turned round, some with values that are no policy."""
+    kind = F.element_at(F.array(*map(F.lit, S.PII_TYPES)), (F.col("n_nationkey") % 18 + 1).cast("int"))
+    policy_ = F.element_at(F.array(*map(F.lit, [S.AUTO, S.CONFIRM, "bad"])), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "nation").filter("n_nationkey < 18").select(kind.alias("type"), policy_.alias("policy"))
+
+
+def q_policy_preferences(spark, sf_dir):
+    """What a user's preferences mask and ask, and what is selected before any decision."""
+    preferences = policy.normalised(_stored(spark, sf_dir), spark)
+    found = policy.analyse(synthetic(docs_of(spark, sf_dir)), KEYS, preferences=preferences)
+    return found.groupBy("doc_id").agg(F.count_if(F.col("policy") == S.AUTO).alias("masked"), F.count_if(F.col("policy") == S.CONFIRM).alias("asked"))
+
+
+def q_review_preferences(spark, sf_dir):
+    """The request for review under a user's preferences: word and policy of each acceptable detection."""
+    docs = docs_of(spark, sf_dir)
+    segments = docs.select("doc_id", F.lit("text").alias("segment_id"), "text")
+    rows = spans.keep_first(synthetic(docs), KEYS).withColumn("segment_id", F.lit("text"))
+    rows = rows.withColumn("confidence", F.when(F.col("doc_id") % 17 == 0, 1.5).otherwise(F.col("confidence"))).withColumn("type", F.when((F.col("doc_id") % 19 == 0) & (F.col("ord") == 1), "OTHER").otherwise(F.col("type")))
+    asked = review.request(segments, rows, policy.normalised(_stored(spark, sf_dir), spark))
+    return asked.select("doc_id", "type", "start", "stop", "sound", "policy", F.md5("word").alias("word_md5"))
+
+
+def q_safe_boundary(spark, sf_dir):
+    """Offsets moved off a surrogate pair: a start back, a stop on; every text behind a pair of its own."""
+    rows = docs_of(spark, sf_dir).select("doc_id", F.concat(F.lit("\U0001f600"), F.coalesce("text", F.lit(""))).alias("text"), (F.col("doc_id") % 4).cast("int").alias("at"))
+    units = X.u16len("text")
+    return rows.select("doc_id", "at", units.alias("units"), X.splits_pair("text", "at").alias("splits"), X.safe_boundary("text", "at", False).cast("int").alias("start"), X.safe_boundary("text", "at", True).cast("int").alias("stop"))
+
+
+def q_region_malformed(spark, sf_dir):
+    """Sound and malformed regions, eight kinds of them, told apart."""
+    rows = docs_of(spark, sf_dir).select("doc_id", (F.col("doc_id") % 50).cast("int").alias("start")).withColumn("stop", F.col("start") + 20)
+    member = lambda a, b, c=0.5: F.struct(F.lit("PHONE").alias("type"), F.lit(c).alias("confidence"), (F.col("start") + a).alias("start"), (F.col("start") + b).alias("stop"))
+    kinds = [[(0, 12), (10, 20)], [(0, 20)], [(0, 10), (10, 20)], [(0, 12), (10, 19)], [(1, 12), (10, 20)], [(0, 12), (10, 21)], [(10, 20), (0, 12)], [(0, 12, 1.5), (10, 20)], [(0, 20), (3, 9)]]
+    built = F.when(F.col("doc_id") % 9 == 0, F.array(*[member(*m) for m in kinds[0]]))
+    for k, members in enumerate(kinds[1:], 1):
+        built = built.when(F.col("doc_id") % 9 == k, F.array(*[member(*m) for m in members]))
+    return rows.withColumn("constituents", built).select("doc_id", F.coalesce(spans.region_is_sound(), F.lit(False)).alias("sound"))
+
+
+def q_box_conflicts(spark, sf_dir):
+    """Glyph boxes on pages that a removed box covers by more than a pixel in both directions."""
+    e = F.col("event_id")
+    boxes = table(spark, sf_dir, "events").select("event_id", F.floor(e / 40).alias("page"), (e % 3 == 0).alias("removed"), ((e * 37) % 200).cast("double").alias("x0"), ((e * 53) % 100).cast("double").alias("y0"))
+    boxes = boxes.withColumn("x1", F.col("x0") + 5 + F.col("event_id") % 7).withColumn("y1", F.col("y0") + 4 + F.col("event_id") % 5)
+    return spans.box_conflicts(boxes.filter("removed"), boxes.filter("NOT removed"), "page", 2.0).select("event_id", "page")
+
+
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 RANK = "clipped, -confidence, start - stop, start, type, chunk"
@@ -286,6 +342,10 @@ made AS (SELECT *, type IN ({AUTO_LIST}) AS auto, (type IN ({AUTO_LIST}) OR (sta
 docs AS (SELECT doc_id, bool_or(omitted OR forged) AS bad FROM made GROUP BY doc_id)"""
 
 
+STORED = f"""prefs AS (SELECT t.type, CASE WHEN k % 3 = 0 THEN 'AUTO_MASK' WHEN k % 3 = 1 THEN 'CONFIRM' WHEN t.type IN ({AUTO_LIST}) THEN 'AUTO_MASK' ELSE 'CONFIRM' END AS policy
+    FROM (SELECT unnest([{TYPE_LIST}]) AS type, unnest(range(18)) AS k) t)"""
+
+
 def wide_ext_sql() -> str:
     return "[" + ", ".join(f"'{x}'" for x in [*S.KIND_BY_EXTENSION, "exe", "markdown"]) + "]"
 
@@ -305,7 +365,7 @@ ORACLES = {
     "mask_alias_text": f"WITH {rule_sql()}, {island_sql(False, source='det')}, {ALIASES} {MASKED}",
     "mask_alias_dense": f"WITH {SYN}, {island_sql(False)}, {ALIASES} {MASKED}",
     "mask_block_text": f"WITH {SYN}, {island_sql(True)}, items AS (SELECT doc_id, min(start) AS start, max(stop) AS stop, repeat('█', (max(stop) - min(start))::BIGINT) AS alias FROM isl GROUP BY doc_id, island) {MASKED}",
-    "mask_preview": f"WITH {SYN}, {rule_sql()}, b AS (SELECT doc_id, type, start, stop FROM syn WHERE ord < 4 UNION ALL SELECT doc_id, type, start, stop FROM det), x AS (SELECT b.doc_id, b.type, b.start, substr(d.text, (b.start + 1)::BIGINT, (b.stop - b.start)::BIGINT) AS word FROM b JOIN documents d USING (doc_id)) SELECT doc_id, type, start, {PREVIEW} AS preview FROM x",
+    "mask_preview": f"WITH {SYN}, {rule_sql()}, b AS (SELECT doc_id, type, start, stop FROM syn UNION ALL SELECT doc_id, type, start, stop FROM det), x AS (SELECT b.doc_id, b.type, b.start, substr(d.text, (b.start + 1)::BIGINT, (b.stop - b.start)::BIGINT) AS word FROM b JOIN documents d USING (doc_id)) SELECT doc_id, type, start, {PREVIEW} AS preview FROM x",
     "boundary_fragments": f"""WITH {SYN}, cuts AS (SELECT doc_id, 0 AS pos FROM base UNION SELECT doc_id, n FROM base UNION SELECT doc_id, start FROM syn UNION SELECT doc_id, stop FROM syn),
         f AS (SELECT doc_id, pos AS start, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS stop FROM cuts)
         SELECT f.doc_id, f.start, f.stop, count(s.doc_id) AS covering FROM f LEFT JOIN syn s ON s.doc_id = f.doc_id AND s.start < f.stop AND s.stop > f.start WHERE f.stop IS NOT NULL GROUP BY ALL""",
@@ -325,16 +385,32 @@ ORACLES = {
     "preferences": f"WITH t AS (SELECT unnest([{TYPE_LIST}]) AS type, unnest([{', '.join(repr(S.LABELS[x]) for x in S.PII_TYPES)}]) AS label), s AS (SELECT ([{TYPE_LIST}])[(n_nationkey % 18 + 1)::INT] AS type, max(CASE WHEN n_nationkey % 3 = 0 THEN 'CONFIRM' ELSE 'bad' END) AS policy FROM nation WHERE n_nationkey % 3 <> 2 GROUP BY 1) SELECT t.type, label, CASE WHEN s.policy = 'CONFIRM' THEN 'CONFIRM' WHEN t.type IN ({AUTO_LIST}) THEN 'AUTO_MASK' ELSE 'CONFIRM' END AS policy FROM t LEFT JOIN s USING (type)",
     "pretokenize": f"SELECT doc_id, len(regexp_extract_all(text, '{PRE}')) AS n, md5(array_to_string(regexp_extract_all(text, '{PRE}'), ' ')) AS digest FROM documents",
     "chunk_windows": f"WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '{PRE}')) AS n FROM documents), l AS (SELECT doc_id, n, greatest(0, ceil((n - 512) / 384))::BIGINT AS last FROM n WHERE n > 0), k AS (SELECT *, unnest(range(0, last + 1)) AS chunk FROM l) SELECT doc_id, chunk, chunk * 384 AS token_start, least(chunk * 384 + 512, n) AS token_stop, chunk > 0 AS has_previous, chunk < last AS has_next FROM k",
-    "bio_decode": """WITH t AS (SELECT doc_id, i, i * 2 AS start, CASE WHEN (doc_id + i) % 9 = 0 THEN i * 2 ELSE i * 2 + 2 END AS stop, CASE WHEN (doc_id + i) % 14 = 0 THEN 0 ELSE 1 END AS attn, CASE WHEN i IN (0, 39) THEN 1 ELSE 0 END AS special, doc_id % 2 = 0 AS hp, doc_id % 3 = 0 AS hn,
-          list_transform(range(5), lambda c: ((doc_id * 17 + i * 29 + (i % 3) * c * 11 + c * 7) % 23) / 4.0::DOUBLE) AS l FROM documents, (SELECT unnest(range(40)) AS i) WHERE length(text) >= 80),
-        a AS (SELECT *, (['O', 'B-PERSON', 'I-PERSON', 'B-PHONE', 'I-PHONE'])[list_position(l, list_max(l))] AS label, 1 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) AS p, special = 0 AND attn = 1 AND stop > start AS content FROM t),
+    "bio_decode": """WITH n AS (SELECT doc_id, length(text) AS n, ceil(length(text) / 8)::BIGINT AS k FROM documents WHERE length(text) > 0),
+        w AS (SELECT *, unnest(range(0, greatest(0, ceil((k - 512) / 384))::BIGINT + 1)) AS chunk FROM n),
+        v AS (SELECT *, chunk * 384 AS token_start, least(chunk * 384 + 512, k) AS token_stop, chunk > 0 AS hp, chunk < greatest(0, ceil((k - 512) / 384)) AS hn FROM w),
+        r AS (SELECT *, unnest(range(0, token_stop - token_start + 2)) AS i FROM v),
+        q AS (SELECT *, token_start + i - 1 AS t, i = 0 OR i = token_stop - token_start + 1 AS special FROM r),
+        t AS (SELECT *, CASE WHEN special THEN 0 ELSE t * 8 END AS start, CASE WHEN special THEN 0 WHEN (doc_id + t) % 9 = 0 THEN t * 8 ELSE least(n, t * 8 + 8) END AS stop,
+          list_transform(range(5), lambda c: ((doc_id * 17 + t * 29 + (t % 3) * c * 11 + c * 7) % 23) / 4.0::DOUBLE) AS l FROM q),
+        a AS (SELECT *, (['O', 'B-PERSON', 'I-PERSON', 'B-PHONE', 'I-PHONE'])[list_position(l, list_max(l))] AS label, 1 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) AS p, NOT special AND (doc_id + t) % 14 <> 0 AND stop > start AS content FROM t),
         b AS (SELECT *, CASE WHEN content AND label <> 'O' THEN substr(label, 3) END AS kind FROM a),
-        c AS (SELECT *, kind IS NOT NULL AND (label LIKE 'B-%' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY i)) AS new FROM b),
-        d AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS entity, min(CASE WHEN content THEN i END) OVER (PARTITION BY doc_id) AS f, max(CASE WHEN content THEN i END) OVER (PARTITION BY doc_id) AS z FROM c)
-        SELECT doc_id, min(kind) AS type, round(avg(p), 9) AS confidence, min(start) AS start, max(stop) AS stop, bool_or(hp AND i = f) AS truncated_start, bool_or(hn AND i = z) AS truncated_stop, count(*) AS n_tokens FROM d WHERE kind IS NOT NULL GROUP BY doc_id, entity""",
+        c AS (SELECT *, kind IS NOT NULL AND (label LIKE 'B-%' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id, chunk ORDER BY i)) AS new FROM b),
+        d AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, chunk ORDER BY i) AS entity, min(CASE WHEN content THEN i END) OVER (PARTITION BY doc_id, chunk) AS f, max(CASE WHEN content THEN i END) OVER (PARTITION BY doc_id, chunk) AS z FROM c)
+        SELECT doc_id, chunk, min(kind) AS type, round(avg(p), 9) AS confidence, min(start) AS start, max(stop) AS stop, bool_or(hp AND i = f) AS truncated_start, bool_or(hn AND i = z) AS truncated_stop, count(*) AS n_tokens, min(t) AS first_token FROM d WHERE kind IS NOT NULL GROUP BY doc_id, chunk, entity""",
     "softmax_conf": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, list_position(v, list_max(v)) - 1 AS best, round(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 9) AS confidence FROM v",
     "batch_all_or_nothing": "WITH f AS (SELECT doc_id, source || '-' || (doc_id // 40) AS batch, n_chars < 9000 AS ok FROM documents) SELECT doc_id, batch FROM f WHERE batch NOT IN (SELECT batch FROM f WHERE NOT ok)",
     "latest_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "artifact_hash": "WITH d AS (SELECT doc_id, encode(text) AS b, text FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, text, b, octet_length(b) AS bytes FROM d) SELECT doc_id, bytes, sha256(text) AS sha256, (bytes + 999) // 1000 AS n_pieces, md5(array_to_string(list_transform(range(0, bytes, 1000), lambda k: base64(from_hex(substr(hex(b), (2 * k + 1)::BIGINT, 2000)))), ',')) AS pieces_md5 FROM n",
-    "crc_of_text": r"SELECT doc_id, md5(regexp_replace(text, '\s', '', 'g')) AS key_md5, length(text) AS units FROM documents",
+    "policy_preferences": f"WITH {SYN}, {STORED}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, start, stop ORDER BY ord) AS r FROM syn) SELECT doc_id, count(*) FILTER (WHERE policy = 'AUTO_MASK') AS masked, count(*) FILTER (WHERE policy = 'CONFIRM') AS asked FROM k JOIN prefs USING (type) WHERE r = 1 GROUP BY doc_id",
+    "review_preferences": f"""WITH {SYN}, {STORED}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, start, stop ORDER BY ord) AS r FROM syn),
+        x AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 AND ord = 1 THEN 'OTHER' ELSE type END AS type, start, stop, CASE WHEN doc_id % 17 = 0 THEN 1.5 ELSE confidence END AS confidence FROM k WHERE r = 1),
+        y AS (SELECT x.*, confidence <= 1 AND x.type <> 'OTHER' AND count(*) OVER (PARTITION BY doc_id, x.type, start, stop) = 1 AS sound, coalesce(policy, 'CONFIRM') AS policy FROM x LEFT JOIN prefs ON prefs.type = x.type)
+        SELECT doc_id, type, start, stop, sound, policy, CASE WHEN sound THEN md5(substr(text, (start + 1)::BIGINT, (stop - start)::BIGINT)) END AS word_md5 FROM y JOIN documents USING (doc_id)""",
+    "safe_boundary": "SELECT doc_id, (doc_id % 4)::INT AS at, (coalesce(length(text), 0) + 2)::INT AS units, doc_id % 4 = 1 AS splits, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE doc_id % 4 END::INT AS start, CASE WHEN doc_id % 4 = 1 THEN 2 ELSE doc_id % 4 END::INT AS stop FROM documents",
+    "region_malformed": """WITH m AS (SELECT doc_id, ([ [[0, 12, 50], [10, 20, 50]], [[0, 20, 50]], [[0, 10, 50], [10, 20, 50]], [[0, 12, 50], [10, 19, 50]], [[1, 12, 50], [10, 20, 50]], [[0, 12, 50], [10, 21, 50]], [[10, 20, 50], [0, 12, 50]], [[0, 12, 150], [10, 20, 50]], [[0, 20, 50], [3, 9, 50]] ])[(doc_id % 9 + 1)::INT] AS c FROM documents),
+        u AS (SELECT doc_id, unnest(c) AS x, generate_subscripts(c, 1) AS k FROM m),
+        v AS (SELECT doc_id, k, x[1] AS a, x[2] AS b, x[3] AS p, lag(x[1]) OVER (PARTITION BY doc_id ORDER BY k) AS before, max(x[2]) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM u)
+        SELECT doc_id, count(*) >= 2 AND min(a) = 0 AND max(b) = 20 AND bool_and(p <= 100 AND b > a AND (k = 1 AND a = 0 OR k > 1 AND a >= before AND a < top)) AS sound FROM v GROUP BY doc_id""",
+    "box_conflicts": "WITH b AS (SELECT event_id, event_id // 40 AS page, event_id % 3 = 0 AS removed, (event_id * 37) % 200 AS x0, (event_id * 53) % 100 AS y0, (event_id * 37) % 200 + 5 + event_id % 7 AS x1, (event_id * 53) % 100 + 4 + event_id % 5 AS y1 FROM events) SELECT event_id, page FROM b k WHERE NOT removed AND EXISTS (SELECT 1 FROM b r WHERE r.removed AND r.page = k.page AND least(r.x1, k.x1) - greatest(r.x0, k.x0) > 0.5 AND least(r.y1, k.y1) - greatest(r.y0, k.y0) > 0.5)",
+    "same_text_key": r"SELECT doc_id, md5(regexp_replace(text, '\s', '', 'g')) AS key_md5, length(text) AS units FROM documents",
 }
