@@ -33,10 +33,15 @@ def positions(text: str, pattern: str) -> Column:
     return F.when(t.rlike(pattern), F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda a: a["found"])).otherwise(none)
 
 
-def by_rules(segments: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, ord, type, confidence, start, stop; one pass over the texts, nothing shuffled."""
+def rule_spans(text: str) -> Column:
+    """array<struct<ord,type,confidence,start,stop>> of all rules' matches, rule by rule."""
 
     def found(i: int, kind: str, pattern: str, confidence: float) -> Column:
         return F.transform(positions(text, pattern), lambda x: F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), x["start"].alias("start"), x["stop"].alias("stop")))
 
-    return segments.filter(F.length(text) > 0).select(*keys, F.inline(F.concat(*[found(i, *rule) for i, rule in enumerate(RULES)])))
+    return F.concat(*[found(i, *rule) for i, rule in enumerate(RULES)])
+
+
+def by_rules(segments: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, ord, type, confidence, start, stop; one pass over the texts, nothing shuffled."""
+    return segments.filter(F.length(text) > 0).select(*keys, F.inline(rule_spans(text)))

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schemas as S
-from ..functions.text import alias_label, u16len, u16slice, utf16
-from .spans import union_spans, usable
+from ..functions.text import alias_label, u16len, utf16, valid_span
 
 
 def _rewritten(text: str, items: str, put) -> Column:
@@ -24,22 +22,61 @@ def _rewritten(text: str, items: str, put) -> Column:
     return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.col(text)).otherwise(F.concat(done["out"], cut(done["at"], n.cast("int"))))
 
 
-def aliases(spans: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Islands of the selected spans with their alias: numbered by type in order of first appearance of the covered text."""
-    own = union_spans(spans, keys, touching=False).join(texts.select(*keys, "text"), keys).withColumn("value", u16slice("text", "start", "stop")).drop("text")
-    seen = own.withColumn("first", F.min("start").over(Window.partitionBy(*keys, "type", "value")))
-    return seen.withColumn("alias", alias_label("type", F.dense_rank().over(Window.partitionBy(*keys, "type").orderBy("first")))).drop("first", "island", "members")
+def united(items: Column, touching: bool) -> Column:
+    """A row's spans, array<struct<ord,type,start,stop>>, as the union's islands: array<struct<start,stop,type>> in order.
+
+    The first span of an island, by start, then the longest, then input order, gives the type.
+    """
+    island = "struct<start:int,stop:int,type:string>"
+    ordered = F.array_sort(F.transform(items, lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["ord"].cast("int").alias("ord"), x["type"].alias("type"))))
+    new = lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("stop"), x["type"].alias("type"))
+    start = F.struct(F.expr(f"cast(array() AS array<{island}>)").alias("done"), F.expr(f"cast(null AS {island})").alias("open"))
+
+    def step(acc: Column, x: Column) -> Column:
+        top = acc["open"]["stop"]
+        apart = (x["start"] > top) if touching else (x["start"] >= top)
+        grown = F.struct(acc["open"]["start"].alias("start"), F.greatest(top, -x["back"]).alias("stop"), acc["open"]["type"].alias("type"))
+        return F.when(top.isNull(), F.struct(acc["done"].alias("done"), new(x).alias("open"))).when(apart, F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), new(x).alias("open"))).otherwise(F.struct(acc["done"].alias("done"), grown.alias("open")))
+
+    return F.aggregate(ordered, start, step, lambda acc: F.when(acc["open"]["stop"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+def numbered(islands: str, text: str) -> Column:
+    """Islands with their alias: numbered by type in order of first appearance of the covered text."""
+    raw = utf16(text)
+    valued = F.transform(F.col(islands), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["type"].alias("type"), F.substring(raw, 2 * x["start"] + 1, 2 * (x["stop"] - x["start"])).alias("value")))
+    keyed = F.transform(valued, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["type"].alias("type"), F.struct(x["type"], x["value"]).alias("key")))
+    # Distinct values in order of first appearance; a value's number is its place among those of its type.
+    firsts = F.array_distinct(F.transform(keyed, lambda x: x["key"]))
+    place = lambda x: F.size(F.filter(F.slice(firsts, F.lit(1), F.array_position(firsts, x["key"]).cast("int")), lambda k: k["type"] == x["type"]))
+    return F.transform(keyed, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), alias_label(x["type"], place(x)).alias("alias")))
+
+
+def gathered(texts: DataFrame, spans: DataFrame, keys: list[str], typed: bool) -> DataFrame:
+    """texts with _spans: each one's own spans in an array; the texts are joined once."""
+    kind = F.col("type") if typed else F.lit("")
+    own = spans.groupBy(*keys).agg(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), kind.alias("type"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))).alias("_spans"))
+    return texts.join(own, keys, "left")
+
+
+def _usable(text: str) -> Column:
+    n = u16len(text)
+    return F.filter(F.col("_spans"), lambda x: valid_span(x["start"], x["stop"], n))
+
+
+def mask_aliases_of(texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts, with an array _spans of struct<ord,type,start,stop>, with masked: everything within the row, nothing shuffled."""
+    rows = texts.withColumn("_islands", united(_usable(text), touching=False)).withColumn("_items", numbered("_islands", text))
+    return rows.withColumn("masked", _rewritten(text, "_items", lambda x: x["alias"])).drop("_spans", "_islands", "_items")
 
 
 def mask_aliases(texts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """texts with masked: the union of the usable spans replaced by aliases. Texts without spans stay as they are."""
-    sized = spans.join(texts.select(*keys, u16len("text").alias("n")), keys)
-    found = aliases(usable(sized).drop("n"), texts, keys)
-    items = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "alias"))).alias("_items"))
-    return texts.join(items, keys, "left").withColumn("masked", _rewritten("text", "_items", lambda x: x["alias"])).drop("_items")
+    return mask_aliases_of(gathered(texts, spans, keys, typed=True))
 
 
 def mask_blocks(texts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """texts with masked: the union of the spans, touching ones merged, as blocks of the same UTF-16 width."""
-    merged = union_spans(spans, keys, touching=True).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_items"))
-    return texts.join(merged, keys, "left").withColumn("masked", _rewritten("text", "_items", lambda x: F.repeat(F.lit(S.BLOCK), x["stop"] - x["start"]))).drop("_items")
+    rows = gathered(texts, spans.withColumn("ord", F.lit(0)) if "ord" not in spans.columns else spans, keys, typed=False)
+    rows = rows.withColumn("_items", united(F.col("_spans"), touching=True))
+    return rows.withColumn("masked", _rewritten("text", "_items", lambda x: F.repeat(F.lit(S.BLOCK), x["stop"] - x["start"]))).drop("_spans", "_items")

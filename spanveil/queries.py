@@ -109,8 +109,8 @@ def q_region_check(spark, sf_dir):
 
 
 def q_mask_alias_text(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    return masking.mask_aliases(docs, detect.by_rules(docs, KEYS), KEYS).select("doc_id", "masked")
+    docs = docs_of(spark, sf_dir).withColumn("_spans", detect.rule_spans("text"))
+    return masking.mask_aliases_of(docs).select("doc_id", "masked")
 
 
 def q_mask_alias_dense(spark, sf_dir):
