@@ -1,17 +1,21 @@
-"""Detections of overlapping chunks to one set: an order-dependent greedy pass in Python, regions in windows."""
+"""Detections of overlapping chunks to one set.
+
+Views agree, continue or conflict only where they overlap, so runs of overlapping candidates are merged by themselves.
+Runs within one chunk stay as they are, in SQL functions; only those with views of several chunks take the
+order-dependent greedy pass, a small helper over Arrow batches of many runs.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import regions
+from .spans import islands, regions
 
 NEAR = 0.8
-SCHEMA = "type string, confidence double, start int, stop int, chunk int, clipped boolean"
 
 
 class Entity:
@@ -91,20 +95,33 @@ def merge_views(rows: Iterable[dict]) -> list[Entity]:
     return kept
 
 
+MEMBER = ["ord", "type", "confidence", "start", "stop", "chunk", "truncated_start", "truncated_stop", "tokens"]
+
+
 def merge_chunks(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Merged views of each segment; a segment's candidates are bounded by its length limit."""
-    fields = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", " + SCHEMA
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        rows = [(e.type, e.confidence, e.start, e.stop, e.chunk, e.clipped) for e in merge_views(pdf.to_dict("records"))]
-        out = pd.DataFrame(rows, columns=["type", "confidence", "start", "stop", "chunk", "clipped"])
-        for at, k in enumerate(keys):
-            out.insert(at, k, pdf[k].iloc[0])
-        return out
-
-    return candidates.groupBy(*keys).applyInPandas(one, schema)
+    """Merged views of each run of overlapping candidates."""
+    runs = islands(candidates, keys, False, [F.col("start"), F.col("stop"), F.col("ord")]).groupBy(*keys, "island")
+    runs = runs.agg(F.collect_list(F.struct(*MEMBER)).alias("members"), F.min("chunk").alias("least"), F.max("chunk").alias("most"))
+    view = lambda m: F.struct(m["type"].alias("type"), m["confidence"].alias("confidence"), m["start"].cast("int").alias("start"), m["stop"].cast("int").alias("stop"), m["chunk"].cast("int").alias("chunk"), (m["truncated_start"] | m["truncated_stop"]).alias("clipped"))
+    alone = runs.filter(F.col("least") == F.col("most")).select(*keys, F.inline(F.transform("members", view)))
+    several = runs.filter(F.col("least") != F.col("most")).select(*keys, "members")
+    return alone.unionByName(several.mapInArrow(_merge_runs(len(keys)), alone.schema))
+
+
+def _merge_runs(n_keys: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, rows = [], []
+            for i, members in enumerate(batch.column(n_keys).to_pylist()):
+                for e in merge_views(sorted(members, key=lambda m: m["ord"])):
+                    where.append(i)
+                    rows.append((e.type, e.confidence, e.start, e.stop, e.chunk, e.clipped))
+            kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+            held = [batch.column(k).take(pa.array(where, pa.int64())) for k in range(n_keys)]
+            yield pa.RecordBatch.from_arrays([*held, *columns], [*batch.schema.names[:n_keys], "type", "confidence", "start", "stop", "chunk", "clipped"])
+
+    return run
 
 
 def reconcile(candidates: DataFrame, keys: list[str]) -> DataFrame:

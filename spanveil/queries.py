@@ -249,6 +249,13 @@ def q_dedup_regions(spark, sf_dir):
     return found.select("doc_id", "type", "confidence", "start", "stop", F.coalesce(F.size("constituents"), F.lit(0)).alias("n_constituents"))
 
 
+def q_dedup_single_chunk(spark, sf_dir):
+    """Candidates of one chunk: nothing is merged, all of it becomes regions."""
+    rows = synthetic(docs_of(spark, sf_dir)).withColumn("chunk", F.lit(0)).withColumn("truncated_start", F.col("clipped")).withColumn("truncated_stop", F.lit(False))
+    found = reconcile.reconcile(rows.drop("clipped", "n"), KEYS)
+    return found.select("doc_id", "type", "confidence", "start", "stop", F.coalesce(F.size("constituents"), F.lit(0)).alias("n_constituents"))
+
+
 def q_batch_all_or_nothing(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 40).cast("string")).alias("batch"), (F.col("n_chars") < 9000).alias("ok"))
     return policy.all_or_nothing(files, "batch", "ok").select("doc_id", "batch")
@@ -360,6 +367,7 @@ ORACLES = {
         SELECT doc_id, count(*) FILTER (WHERE sel) AS selected, count(*) AS total, CASE WHEN count(*) FILTER (WHERE sel) = 0 THEN 'none' WHEN count(*) FILTER (WHERE sel) = count(*) THEN 'all' ELSE 'some' END AS state FROM s GROUP BY doc_id""",
     **{f"span_union_{name}": f"WITH {SYN}, {island_sql(touch)} SELECT doc_id, min(start) AS start, max(stop) AS stop, arg_min(type, (start, -stop, ord)) AS type, count(*) AS members FROM isl GROUP BY doc_id, island" for name, touch in (("strict", False), ("touching", True))},
     "region_constituents": f"WITH {SYN}, {island_sql(False, f'start, stop, {RANK}')} SELECT doc_id, arg_min(type, ({RANK})) AS type, arg_min(confidence, ({RANK}))::DOUBLE AS confidence, min(start) AS start, max(stop) AS stop, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS n_constituents FROM isl GROUP BY doc_id, island",
+    "dedup_single_chunk": f"WITH {SYN}, {island_sql(False, f'start, stop, {RANK}')} SELECT doc_id, arg_min(type, ({RANK})) AS type, arg_min(confidence, ({RANK}))::DOUBLE AS confidence, min(start) AS start, max(stop) AS stop, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END AS n_constituents FROM isl GROUP BY doc_id, island",
     "expanded_regions": f"WITH {SYN} SELECT doc_id, count(*) AS members, sum(stop - start)::BIGINT AS covered FROM syn GROUP BY doc_id",
     "region_check": f"WITH {SYN}, {island_sql(False, f'start, stop, {RANK}')} SELECT doc_id, min(start) AS start, max(stop) AS stop, true AS sound FROM isl GROUP BY doc_id, island",
     "mask_alias_text": f"WITH {rule_sql()}, {island_sql(False, source='det')}, {ALIASES} {MASKED}",

@@ -56,6 +56,24 @@ def test_union_rules(spark):
     assert [(r.start, r.stop) for r in spans.union_spans(rows, ["doc_id"], True).collect()] == [(0, 12)]
 
 
+def test_reconcile_in_runs_is_reconcile_as_a_whole(spark):
+    """Runs of overlapping candidates by themselves give what one pass over the segment gives."""
+    rng = random.Random(3)
+    rows = []
+    for d in range(40):
+        for i in range(rng.randrange(14)):
+            a = rng.randrange(60)
+            rows.append((d, i, rng.choice(["PERSON", "PHONE"]), rng.randrange(100) / 100, a, a + rng.randrange(1, 12), rng.randrange(3), rng.random() < 0.3, rng.random() < 0.3))
+    names = ["doc_id", "ord", "type", "confidence", "start", "stop", "chunk", "truncated_start", "truncated_stop"]
+    table = spark.createDataFrame(rows, "doc_id long, ord int, type string, confidence double, start int, stop int, chunk int, truncated_start boolean, truncated_stop boolean").withColumn("tokens", F.lit(None).cast("array<struct<token_index:int,confidence:double>>"))
+    got = sorted(tuple(r) for r in reconcile.merge_chunks(table, ["doc_id"]).collect())
+    want = []
+    for d in range(40):
+        own = [dict(zip(names, r, strict=True)) for r in rows if r[0] == d]
+        want += [(d, e.type, e.confidence, e.start, e.stop, e.chunk, e.clipped) for e in reconcile.merge_views(own)]
+    assert got == sorted(want)
+
+
 def test_regions_and_expansion(spark):
     rows = dets(spark, [(1, "RRN", 0, 5), (1, "PHONE", 4, 9), (1, "DATE", 20, 22)]).withColumn("chunk", F.lit(0)).withColumn("clipped", F.col("ord") == 0)
     found = spans.regions(rows, ["doc_id"])
