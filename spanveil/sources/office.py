@@ -16,14 +16,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .package import Refused, blocked, descendants, parse, parts, utf16_cut, utf16_len, write
+from .word_parts import WORD, check_text_part, closed
 
-# Namespaces, names and media types of the two formats.
-WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+# Namespace and media type of the second format.
 HANGUL = "http://www.hancom.co.kr/hwpml/2011/paragraph"
 HANGUL_MIME = b"application/hwp+zip"
-WORD_PARTS = re.compile(r"word/(?:document|header\d+|footer\d+|footnotes|endnotes)\.xml")
-DROPPED_PARTS = re.compile(r"docProps/|customXml/|word/people\.xml|word/comments.*\.xml", re.I)
-REFUSED_ELEMENTS = frozenset("ins del moveFrom moveTo drawing pict object fldChar fldSimple instrText altChunk sdt commentReference ruby AlternateContent".split())
 SEGMENT_SCHEMA = "doc_id string, ord int, segment_id string, text string, code string"
 FILE_SCHEMA = "doc_id string, content binary, code string"
 
@@ -36,9 +33,7 @@ class Paragraph:
 
 
 def _word_paragraphs(path: str, document) -> list[Paragraph]:
-    for e in document.getElementsByTagName("*"):
-        if e.localName in REFUSED_ELEMENTS:
-            raise Refused("DOCX: unsupported content")
+    check_text_part(document)
     out, mapped = [], 0
     for n, p in enumerate(descendants(document, "p", WORD)):
         if descendants(p, "p", WORD):
@@ -89,11 +84,7 @@ class Package:
     def __init__(self, kind: str, data: bytes, limits: dict):
         self.kind, self.limits, self.contents = kind, limits, parts(data, limits)
         if kind == "docx":
-            for name in [n for n in self.contents if DROPPED_PARTS.match(n)]:
-                del self.contents[name]
-            names = sorted((n for n in self.contents if WORD_PARTS.fullmatch(n)), key=lambda n: (n != "word/document.xml", n))
-            if "word/document.xml" not in names or "[Content_Types].xml" not in self.contents:
-                raise Refused("DOCX: not a document package")
+            self.contents, names = closed(self.contents, limits)
             read = _word_paragraphs
         else:
             if self.contents.get("mimetype", b"").strip() != HANGUL_MIME:
@@ -153,14 +144,14 @@ def segments(files: DataFrame, kind: str, limits: dict | None = None) -> tuple[D
             for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
                 try:
                     rows = [(doc, i, p.segment_id, p.text, None) for i, p in enumerate(Package(kind, bytes(content), limits).segments)]
-                except Refused as e:
+                except Exception as e:  # whatever a file does, it costs its own reject row and no other file
                     rows = [(doc, None, None, None, code_of(e))]
                 yield pd.DataFrame(rows, columns=["doc_id", "ord", "segment_id", "text", "code"]).astype({"ord": "Int32"})
 
-    fits = F.octet_length("content") <= limits["input_bytes"]
+    fits = F.coalesce(F.octet_length("content") <= limits["input_bytes"], F.lit(False))
     rows = files.filter(fits).select("doc_id", "content").mapInPandas(run, SEGMENT_SCHEMA)
     rejects = rows.filter(F.col("code").isNotNull()).select("doc_id", F.lit("extracting").alias("stage"), "code")
-    large = files.filter(~fits).select("doc_id", F.lit("extracting").alias("stage"), F.lit("DOCUMENT_LIMIT").alias("code"))
+    large = files.filter(~fits).select("doc_id", F.lit("extracting").alias("stage"), F.when(F.col("content").isNull(), S.ERROR_DEFAULT).otherwise("DOCUMENT_LIMIT").alias("code"))
     return rows.filter(F.col("code").isNull()).drop("code"), rejects.unionByName(large)
 
 
@@ -178,7 +169,7 @@ def rebuild(files: DataFrame, masks: DataFrame, kind: str, limits: dict | None =
                     if len(spans) != len(own):
                         raise Refused("masks do not fit the segments")
                     rows.append((doc, Package(kind, bytes(content), limits).masked(spans), None))
-                except Refused as e:
+                except Exception as e:  # as above
                     rows.append((doc, None, code_of(e)))
             yield pd.DataFrame(rows, columns=["doc_id", "content", "code"])
 

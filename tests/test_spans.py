@@ -184,12 +184,24 @@ def test_error_codes(spark):
 W = office.WORD
 
 
-def docx(body, extra=None):
+PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def relations(*targets):
+    return f"<Relationships xmlns='{PACKAGE}/relationships'>" + "".join(f"<Relationship Id='r{k}' Type='{OFFICE}/x' Target='{t}'/>" if ":" not in t else f"<Relationship Id='r{k}' Type='{OFFICE}/hyperlink' Target='{t}' TargetMode='External'/>" for k, t in enumerate(targets)) + "</Relationships>"
+
+
+def docx(body, extra=None, related=()):
+    """extra: more parts; related: targets of the document's own relationships."""
+    parts = {"_rels/.rels": relations("word/document.xml", "docProps/core.xml"), "word/document.xml": f"<w:document xmlns:w='{W}'><w:body>{body}</w:body></w:document>", **(extra or {})}
+    if related:
+        parts["word/_rels/document.xml.rels"] = relations(*related)
+    listed = "".join(f"<Override PartName='/{n}' ContentType='application/xml'/>" for n in parts if not n.endswith(".rels"))
     out = BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", "<Types xmlns='http://schemas.openxmlformats.org/package/2006/content-types'/>")
-        z.writestr("word/document.xml", f"<w:document xmlns:w='{W}'><w:body>{body}</w:body></w:document>")
-        for name, data in (extra or {}).items():
+        z.writestr("[Content_Types].xml", f"<Types xmlns='{PACKAGE}/content-types'><Default Extension='rels' ContentType='x'/><Default Extension='png' ContentType='image/png'/>{listed}</Types>")
+        for name, data in parts.items():
             z.writestr(name, data)
     return out.getvalue()
 
@@ -219,9 +231,62 @@ def test_docx_refusals(body):
         office.Package("docx", docx(para("<w:t>x</w:t>") + body), S.PACKAGE_LIMITS)
 
 
+MATH = "http://schemas.openxmlformats.org/officeDocument/2006/math"
+GOOD = para("<w:t>text</w:t>")
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        docx(GOOD + f"<w:p><m:oMath xmlns:m='{MATH}'><m:r><m:t>a@b.example.com</m:t></m:r></m:oMath></w:p>"),
+        docx(GOOD + "<w:p>stray a@b.example.com</w:p>"),
+        docx(GOOD + "<w:p><w:r><w:t>x<w:b/></w:t></w:r></w:p>"),
+        docx(GOOD + "<w:p><w:pPr><w:jc>text</w:jc></w:pPr></w:p>"),
+        docx(GOOD + "<w:p><w:pPr><w:pPrChange/></w:pPr></w:p>"),
+        docx(GOOD + "<w:tbl><w:tblPr><w:tblCaption w:val='a@b.example.com'/></w:tblPr></w:tbl>"),
+        docx(GOOD, {"word/glossary/document.xml": "<x/>"}, ["glossary/document.xml"]),
+        docx(GOOD, {"word/embeddings/o.bin": "x"}, ["embeddings/o.bin"]),
+        docx(GOOD, {"word/charts/chart1.xml": "<c/>"}, ["charts/chart1.xml"]),
+        docx(GOOD, {"word/media/i.png": "x"}),
+        docx(GOOD, related=["mailto:a@b.example.com"]),
+        docx(GOOD, related=["../../outside.xml"]),
+        docx(GOOD, related=["header9.xml"]),
+        docx(GOOD, {"_rels/.rels": relations("docProps/core.xml"), "docProps/core.xml": "<x/>"}),
+        docx(GOOD, {"word/styles.xml": f"<w:styles xmlns:w='{W}'>words</w:styles>"}, ["styles.xml"]),
+    ],
+)
+def test_docx_fails_closed(data):
+    with pytest.raises(package.Refused):
+        office.Package("docx", data, S.PACKAGE_LIMITS)
+
+
+def test_docx_keeps_what_is_reached_and_names_nothing_else():
+    header = f"<w:hdr xmlns:w='{W}'>{para('<w:t>head</w:t>')}</w:hdr>"
+    extra = {"word/header1.xml": header, "word/header2.xml": header, "word/styles.xml": f"<w:styles xmlns:w='{W}'><w:style/></w:styles>", "docProps/core.xml": "<c>secret name</c>", "customXml/item1.xml": "<c>secret</c>", "word/comments.xml": "<c>secret</c>", "word/settings.xml": "<c>secret</c>", "word/theme/theme1.xml": "<c/>"}
+    data = docx(f"<w:bookmarkStart w:name='secret'/>{GOOD}<w:sectPr/>", extra, ["header1.xml", "styles.xml", "/word/comments.xml", "settings.xml", "theme/theme1.xml"])
+    opened = office.Package("docx", data, S.PACKAGE_LIMITS)
+    assert [s.text for s in opened.segments] == ["text", "head"]
+    out = opened.masked({s.segment_id: [] for s in opened.segments})
+    with zipfile.ZipFile(BytesIO(out)) as z:
+        names = set(z.namelist())
+        assert names == {"[Content_Types].xml", "_rels/.rels", "word/document.xml", "word/_rels/document.xml.rels", "word/header1.xml", "word/styles.xml"}
+        everything = b"".join(z.read(n) for n in names).decode()
+        listed = z.read("[Content_Types].xml").decode()
+    assert "secret" not in everything and not any(x in everything for x in ("comments", "settings", "theme1", "docProps", "header2"))
+    assert "/word/header1.xml" in listed and "png" not in listed
+
+
+def test_one_bad_file_costs_a_reject_row_and_no_other(spark):
+    rows = [("good", docx(GOOD)), ("odd", docx(GOOD + "<w:p><w:r><w:t>x<w:b/></w:t></w:r></w:p>")), ("none", None), ("zip", b"zz")]
+    files = spark.createDataFrame([(d, c and bytearray(c)) for d, c in rows], "doc_id string, content binary")
+    texts, rejects = office.segments(files, "docx")
+    assert [(r.doc_id, r.text) for r in texts.collect()] == [("good", "text")]
+    assert {r.doc_id: r.code for r in rejects.collect()} == {"odd": "DOCUMENT_FORMAT", "none": "DOCUMENT_FAILED", "zip": "DOCUMENT_FAILED"}
+
+
 def test_zip_refusals():
     good = docx(para("<w:t>text</w:t>"))
-    assert len(package.directory(good, S.PACKAGE_LIMITS)) == 2
+    assert len(package.directory(good, S.PACKAGE_LIMITS)) == 3
     at = good.index(b"PK\x01\x02")
     broken = [good[:-1], good[:30] + b"x" + good[31:], b"nozip", good + b"tail", good[: at + 16] + b"\0\0\0\0" + good[at + 20 :]]
     for data in broken:
