@@ -22,9 +22,21 @@ def u16len(text: Column | str) -> Column:
     return (F.length(text) + F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", ""))).cast("int")
 
 
+def has_pairs(text: Column | str) -> Column:
+    """Whether a text has characters of two UTF-16 units; in all others units and code points are the same."""
+    return _c(text).rlike("[\\x{10000}-\\x{10FFFF}]")
+
+
 def u16slice(text: Column | str, start: Column | str, stop: Column | str) -> Column:
-    start, stop = _c(start), _c(stop)
-    return F.decode(F.substring(utf16(text), 2 * start + 1, 2 * (stop - start)), "UTF-16BE")
+    """The text from start to stop, in units; half a pair at an end becomes the replacement character."""
+    text, start, stop = _c(text), _c(start), _c(stop)
+    raw = F.substring(utf16(text), 2 * start + 1, 2 * (stop - start))
+    size = F.octet_length(raw)
+    unit = lambda at: F.hex(F.substring(raw, at, F.lit(2)))
+    low, high = unit(F.lit(1)).between("DC00", "DFFF"), (size > 0) & unit(size - 1).between("D800", "DBFF")
+    mark = lambda half: F.when(half, "\ufffd").otherwise("")
+    whole = F.decode(F.substring(raw, F.when(low, 3).otherwise(1), size - F.when(low, 2).otherwise(0) - F.when(high, 2).otherwise(0)), "UTF-16BE")
+    return F.when(has_pairs(text), F.concat(mark(low), whole, mark(high))).otherwise(F.substring(text, start + 1, stop - start))
 
 
 def splits_pair(text: Column | str, offset: Column | str) -> Column:
@@ -51,13 +63,14 @@ def bullets(n: Column) -> Column:
 
 
 def preview(value: Column | str, kind: Column | str) -> Column:
-    """A value as the review shows it, by its type."""
+    """A value as the review shows it, by its type; lengths and cuts are in UTF-16 units."""
     value, kind = _c(value), _c(kind)
-    n, at = F.length(value), F.instr(value, "@") - 1
-    email = F.concat(F.substring(value, F.lit(1), F.least(F.lit(2), at)), bullets(F.greatest(F.lit(3), at - 2)), F.substring(value, at + 1, n))
+    n, at = u16len(value), F.when(F.instr(value, "@") > 0, u16len(F.substring_index(value, "@", 1))).otherwise(-1)
+    cut = lambda start, stop: u16slice(value, start, stop)
+    email = F.concat(cut(F.lit(0), F.least(F.lit(2), at)), bullets(F.greatest(F.lit(3), at - 2)), cut(at, n))
     digits = F.regexp_replace(value, "[0-9](?=(?:[^0-9]*[0-9]){4})", S.BULLET)
-    secret = F.concat(F.substring(value, F.lit(1), F.lit(3)), bullets(F.least(F.lit(12), F.greatest(F.lit(4), n - 3))))
-    other = F.when(n > 4, F.concat(F.substring(value, F.lit(1), F.lit(2)), bullets(F.least(F.lit(8), n - 4)), F.substring(value, n - 1, F.lit(2)))).otherwise(bullets(n))
+    secret = F.concat(cut(F.lit(0), F.least(F.lit(3), n)), bullets(F.least(F.lit(12), F.greatest(F.lit(4), n - 3))))
+    other = F.when(n > 4, F.concat(cut(F.lit(0), F.lit(2)), bullets(F.least(F.lit(8), n - 4)), cut(n - 2, n))).otherwise(bullets(n))
     return F.when((kind == "EMAIL") & (at > 0), email).when(kind.isin("PHONE", "CARD_NUMBER"), digits).when(kind == "SECRET", secret).otherwise(other)
 
 
@@ -96,10 +109,10 @@ def part_mime(path: Column | str) -> Column:
     path, base = _c(path), "application/vnd.openxmlformats-officedocument.wordprocessingml."
     out = F.when(path == "word/document.xml", base + "document.main+xml")
     for name in ("header", "footer"):
-        out = out.when(path.rlike(rf"^word/{name}[0-9]+\.xml$"), f"{base}{name}+xml")
-    for name in ("footnotes", "endnotes", "styles", "numbering", "settings", "fontTable", "webSettings"):
+        out = out.when(path.startswith(f"word/{name}"), f"{base}{name}+xml")
+    for name in ("footnotes", "endnotes", "styles", "numbering"):
         out = out.when(path == f"word/{name}.xml", f"{base}{name}+xml")
-    return out.when(path.rlike(r"^word/theme/theme[0-9]+\.xml$"), "application/vnd.openxmlformats-officedocument.theme+xml")
+    return out.when(path.startswith("word/theme/"), "application/vnd.openxmlformats-officedocument.theme+xml")
 
 
 def origin(url: Column | str) -> Column:

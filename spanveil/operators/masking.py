@@ -6,20 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.text import alias_label, u16len, utf16, valid_span
+from ..functions.text import alias_label, u16len, u16slice, valid_span
 
 
 def _rewritten(text: str, items: str, put) -> Column:
-    """The text with each item's span replaced, left to right over its UTF-16 bytes."""
-    raw = utf16(text)
-    cut = lambda a, b: F.decode(F.substring(raw, 2 * a + 1, 2 * (b - a)), "UTF-16BE")
+    """The text with each item's span replaced, left to right."""
+    cut = lambda a, b: u16slice(text, a, b)
     done = F.aggregate(
         F.col(items),
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, x: F.struct(F.concat(acc["out"], cut(acc["at"], x["start"]), put(x)).alias("out"), x["stop"].alias("at")),
     )
-    n = F.octet_length(raw) / 2
-    return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.col(text)).otherwise(F.concat(done["out"], cut(done["at"], n.cast("int"))))
+    return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.col(text)).otherwise(F.concat(done["out"], cut(done["at"], u16len(text))))
 
 
 def united(items: Column, touching: bool) -> Column:
@@ -43,8 +41,7 @@ def united(items: Column, touching: bool) -> Column:
 
 def numbered(islands: str, text: str) -> Column:
     """Islands with their alias: numbered by type in order of first appearance of the covered text."""
-    raw = utf16(text)
-    valued = F.transform(F.col(islands), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["type"].alias("type"), F.substring(raw, 2 * x["start"] + 1, 2 * (x["stop"] - x["start"])).alias("value")))
+    valued = F.transform(F.col(islands), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["type"].alias("type"), u16slice(text, x["start"], x["stop"]).alias("value")))
     keyed = F.transform(valued, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["type"].alias("type"), F.struct(x["type"], x["value"]).alias("key")))
     # Distinct values in order of first appearance; a value's number is its place among those of its type.
     firsts = F.array_distinct(F.transform(keyed, lambda x: x["key"]))

@@ -275,6 +275,20 @@ def q_same_text_key(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", F.md5(X.same_text_key("text")).alias("key_md5"), (X.u16len("text") * 1).alias("units"))
 
 
+def q_preview_units(spark, sf_dir):
+    """Previews of values with characters of two units: lengths count units, as everywhere."""
+    kind = F.element_at(F.array(*map(F.lit, ["EMAIL", "SECRET", "PERSON"])), (F.col("event_id") % 3 + 1).cast("int"))
+    value = F.concat(F.lit("ab\U0001f600"), F.col("event_id").cast("string"), F.lit("\U0001f600@x\U0001f600yz"))
+    return table(spark, sf_dir, "events").select("event_id", X.preview(value, kind).alias("preview"))
+
+
+def q_part_types(spark, sf_dir):
+    """Content types of word-processing parts by their paths."""
+    names = ["word/document.xml", "word/header3.xml", "word/footer1.xml", "word/styles.xml", "word/settings.xml", "word/theme/theme1.xml", "docProps/core.xml", "word/endnotes.xml"]
+    path = F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).select("page_id", "path", X.part_mime("path").alias("mime"))
+
+
 def _stored(spark, sf_dir):
     """A user's stored preferences: some types turned round, some with values that are no policy."""
     kind = F.element_at(F.array(*map(F.lit, S.PII_TYPES)), (F.col("n_nationkey") % 18 + 1).cast("int"))
@@ -409,6 +423,11 @@ ORACLES = {
     "batch_all_or_nothing": "WITH f AS (SELECT doc_id, source || '-' || (doc_id // 40) AS batch, n_chars < 9000 AS ok FROM documents) SELECT doc_id, batch FROM f WHERE batch NOT IN (SELECT batch FROM f WHERE NOT ok)",
     "latest_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "artifact_hash": "WITH d AS (SELECT doc_id, encode(text) AS b, text FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, text, b, octet_length(b) AS bytes FROM d) SELECT doc_id, bytes, sha256(text) AS sha256, (bytes + 999) // 1000 AS n_pieces, md5(array_to_string(list_transform(range(0, bytes, 1000), lambda k: base64(from_hex(substr(hex(b), (2 * k + 1)::BIGINT, 2000)))), ',')) AS pieces_md5 FROM n",
+    "preview_units": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ab' || repeat('•', greatest(3, 4 + length(event_id::VARCHAR))) || '@x😀yz'
+        WHEN 1 THEN 'ab' || chr(65533) || repeat('•', least(12, greatest(4, 9 + length(event_id::VARCHAR)))) ELSE 'ab' || repeat('•', least(8, 8 + length(event_id::VARCHAR))) || 'yz' END AS preview FROM events""",
+    "part_types": """WITH p AS (SELECT page_id, (['word/document.xml', 'word/header3.xml', 'word/footer1.xml', 'word/styles.xml', 'word/settings.xml', 'word/theme/theme1.xml', 'docProps/core.xml', 'word/endnotes.xml'])[(page_id % 8 + 1)::INT] AS path FROM pages)
+        SELECT page_id, path, CASE WHEN path LIKE 'word/theme/%' THEN 'application/vnd.openxmlformats-officedocument.theme+xml' WHEN path = 'word/document.xml' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml'
+          WHEN regexp_matches(path, '^word/(header|footer|styles|endnotes)') THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.' || regexp_extract(path, '^word/([a-z]+)', 1) || '+xml' END AS mime FROM p""",
     "policy_preferences": f"WITH {SYN}, {STORED}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, start, stop ORDER BY ord) AS r FROM syn) SELECT doc_id, count(*) FILTER (WHERE policy = 'AUTO_MASK') AS masked, count(*) FILTER (WHERE policy = 'CONFIRM') AS asked FROM k JOIN prefs USING (type) WHERE r = 1 GROUP BY doc_id",
     "review_preferences": f"""WITH {SYN}, {STORED}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, start, stop ORDER BY ord) AS r FROM syn),
         x AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 AND ord = 1 THEN 'OTHER' ELSE type END AS type, start, stop, CASE WHEN doc_id % 17 = 0 THEN 1.5 ELSE confidence END AS confidence FROM k WHERE r = 1),

@@ -49,6 +49,13 @@ def test_block_mask_keeps_width(spark):
     assert out == {1: "0██3456██9", 2: "a██b"}
 
 
+def test_spans_that_split_a_pair_cost_no_job(spark):
+    texts = spark.createDataFrame([(1, "a😀b"), (2, "plain text")], "doc_id long, text string")
+    rows = dets(spark, [(1, "RRN", 0, 2), (2, "RRN", 0, 5)])
+    out = {r.doc_id: r.masked for r in masking.mask_aliases(texts, rows, ["doc_id"]).collect()}
+    assert out == {1: "[RRN_1]\ufffdb", 2: "[RRN_1] text"}
+
+
 def test_union_rules(spark):
     rows = dets(spark, [(1, "RRN", 0, 5), (1, "PHONE", 5, 10), (1, "PERSON", 1, 2), (1, "DATE", 9, 12)])
     strict = spans.union_spans(rows, ["doc_id"], False).orderBy("start").collect()
