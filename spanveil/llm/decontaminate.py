@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, documents, lean, staged
+from .common import TokenHasher, documents, give_back, lean, staged
 
 #: ASCII white space and punctuation.
 BLANKS = bytes([*range(9, 14), *range(32, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
@@ -219,6 +219,8 @@ def space_of(docs: DataFrame, item_ids: list[int], texts: list[str], rank: int,
     basis = (idf[:, None] * basis).astype(np.float32)
     latent = np.stack([basis[x].sum(axis=0) for x in items])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    del got, sums, df, sketch, omega, of_corpus, of_items
+    give_back()
     answers = [answer_words(texts[i], len(coded[i]), terms) for i in held]
     return Space(terms, idf, basis, np.array([item_ids[i] for i in held]), items, answers, latent, length_classes(np.array([len(x) for x in items])))
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, crc_mod, documents, lean, mix64, staged
+from .common import TokenHasher, crc_mod, documents, give_back, lean, mix64, staged
 
 END = np.uint64(0x9D5C1F3B7A2E8640)  # the hash of the end token
 GT_MAX = 5
@@ -330,7 +330,10 @@ def count_tokens(training: DataFrame, text_col: str = "text") -> DataFrame:
 def vocabulary_of(tokens: DataFrame) -> Vocabulary:
     """The token table on the driver; for tables whose size has been checked."""
     got = tokens.toArrow()
-    return Vocabulary.of(got["h"].to_numpy().view("u8"), got["c"].to_numpy())
+    out = Vocabulary.of(got["h"].to_numpy().view("u8"), got["c"].to_numpy())
+    del got
+    give_back()
+    return out
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
@@ -366,7 +369,10 @@ def fit(coded: DataFrame, vocabulary: Vocabulary, heavy: int = 1 << 19) -> Fitte
         least, held = c, held + histogram[c]
     got = pairs.mapInArrow(lean(_heavy(least)), "key long, c long").toArrow()
     order = np.argsort(got["key"].to_numpy())
-    return Fitted(Model(vocabulary.counts, vocabulary.total, unigrams, d, log_c, log_alpha, got["key"].to_numpy()[order], got["c"].to_numpy()[order]), pairs, buckets)
+    heavy_keys, heavy_counts = got["key"].to_numpy()[order], got["c"].to_numpy()[order]
+    del got, order
+    give_back()
+    return Fitted(Model(vocabulary.counts, vocabulary.total, unigrams, d, log_c, log_alpha, heavy_keys, heavy_counts), pairs, buckets)
 
 
 def _per_row(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc_mod, documents, lean, without
+from .common import crc_mod, documents, give_back, lean, without
 
 DIMS = 1 << 12
 PIECE = 1 << 16
@@ -89,14 +89,14 @@ class Model:
         code, y = codewords(len(langs)), np.array([langs.index(x) for x in lang], int)
         if len(langs) < 2:
             return cls(langs, code, np.zeros((DIMS, 0), np.float32), np.zeros((len(langs), 0), np.float32), sharpness)
-        x = unit(counts).astype(np.float64)
-        kernel, target = x @ x.T, code[y].astype(np.float64)
+        x = unit(counts)
+        kernel, target = (x @ x.T).astype(np.float64), code[y].astype(np.float64)
         inverse = np.linalg.inv(kernel + ridge * np.eye(len(x)))
         dual = inverse @ target
         left_out = target - dual / np.diag(inverse)[:, None]  # each row's margins by the classifiers fitted without it
         right = (left_out * target > 0).astype(np.float64)
         trust = np.array([right[y == i].mean(axis=0) for i in range(len(langs))]) + 1e-6
-        return cls(langs, code, (x.T @ dual).astype(np.float32), (trust / trust.sum(axis=1, keepdims=True)).astype(np.float32), sharpness)
+        return cls(langs, code, x.T @ dual.astype(np.float32), (trust / trust.sum(axis=1, keepdims=True)).astype(np.float32), sharpness)
 
     def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its share of exp(-loss), and by how much its loss is less than the next one's."""
@@ -129,8 +129,18 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     edges = F.broadcast(edges) if langs <= 1 << 16 else edges
     taken = rows.join(edges, "lang").filter(F.col("h") <= F.col("edge")).withColumn("r", F.row_number().over(by_hash.orderBy("h", F.xxhash64("text")))).filter(F.col("r") <= each)
     got = taken.select("lang", "text").mapInArrow(lean(_count_rows), "lang string, counts binary").toArrow()
-    counts = np.frombuffer(b"".join(got.column(1).to_pylist()), "<u4").reshape(-1, DIMS)
-    return Model.fit(counts, got.column(0).to_pylist()) if len(counts) else None
+    if not len(got):
+        return None
+    counts = np.empty((len(got), DIMS), np.uint32)
+    for i, blob in enumerate(got.column(1)):
+        counts[i] = np.frombuffer(blob.as_buffer(), "<u4")
+    names = got.column(0).to_pylist()
+    del got
+    give_back()
+    model = Model.fit(counts, names)
+    del counts
+    give_back()
+    return model
 
 
 def _predict(model: Model | None, names: list[str], text_at: int, ambiguous_below: float, at_once: int = 256):

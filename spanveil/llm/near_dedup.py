@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, discard, documents, lean, mix64, staged
+from .common import TokenHasher, discard, documents, give_back, lean, mix64, staged
 from .components import components
 
 SKETCH = 64
@@ -242,6 +242,7 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
     frequent = np.sort(counted.filter(F.col("c") >= least).select("v").toArrow()["v"].to_numpy().view("u8"))
 
     discard(counted)
+    give_back()
     posts = staged(texts.select("rep", "text").mapInArrow(lean(_retain(words, num, den, spark.sparkContext.broadcast(frequent))), "v long, rep long, n int, place int, rare float"), "posts")
     lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most")).filter(F.col("size") > 1)
     members = posts.join(lists, "v").filter(F.col("n") - F.col("place") >= overlap(F.col("n"), F.greatest(F.col("least"), F.ceil(F.lit(num) * F.col("n") / F.lit(den))), num, den))
