@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import schemas as S
 from ..functions.text import u16len, valid_span
 
 
@@ -55,13 +56,14 @@ def regions(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def region_is_sound(constituents: str = "constituents"):
-    """Two or more members, inside the region, each overlapping what lies before it, none nested, covering it exactly."""
+    """Two or more members of known types, inside the region, each overlapping those that start before it, covering it exactly."""
+    types = ", ".join(f"'{x}'" for x in S.PII_TYPES)
     sound = F.expr(
-        f"""aggregate({constituents},
-            named_struct('ok', size({constituents}) >= 2, 'at', cast(null AS int), 'top', cast(null AS int)),
-            (a, m) -> named_struct('ok', a.ok AND m.start >= start AND m.stop <= stop AND m.stop > m.start AND m.confidence BETWEEN 0 AND 1
-                                         AND (a.top IS NULL AND m.start = start OR m.start >= a.at AND m.start < a.top),
-                                   'at', m.start, 'top', greatest(coalesce(a.top, m.stop), m.stop)),
+        f"""aggregate(array_sort({constituents}, (x, y) -> CASE WHEN x.start < y.start THEN -1 WHEN x.start > y.start THEN 1 ELSE 0 END),
+            named_struct('ok', size({constituents}) >= 2, 'top', cast(null AS int)),
+            (a, m) -> named_struct('ok', a.ok AND coalesce(m.type IN ({types}) AND m.start >= start AND m.stop <= stop AND m.stop > m.start AND m.confidence BETWEEN 0 AND 1
+                                         AND (a.top IS NULL AND m.start = start OR m.start < a.top), false),
+                                   'top', greatest(coalesce(a.top, m.stop), m.stop)),
             a -> a.ok AND a.top = stop)"""
     )
     return F.when(F.col(constituents).isNull(), F.lit(True)).otherwise(sound)

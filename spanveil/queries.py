@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as S
 from .functions import text as X
-from .operators import detect, masking, policy, reconcile, review, spans, tokens
+from .operators import detect, masking, messages, policy, reconcile, review, spans, tokens
 
 KEYS = ["doc_id"]
 TYPE_LIST = ", ".join(f"'{x}'" for x in S.PII_TYPES)
@@ -289,6 +291,87 @@ def q_part_types(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).select("page_id", "path", X.part_mime("path").alias("mime"))
 
 
+CANCEL = {"channel": "pii:v1", "target": "worker", "type": "pii:cancel", "clientId": "c", "requestId": "r"}
+SCAN = {"channel": "pii:v1", "target": "worker", "type": "pii:scan-text", "clientId": "c", "requestId": "r", "text": "t"}
+#: Messages and whether each is a cancel message, a request, or a status.
+MESSAGES = [
+    (CANCEL, 1, 0, 0), (CANCEL | {"ownerKey": "o"}, 1, 0, 0), (CANCEL | {"ownerKey": 5}, 0, 0, 0), (CANCEL | {"ownerKey": None}, 0, 0, 0), (CANCEL | {"clientId": ""}, 0, 0, 0), (CANCEL | {"target": "offscreen"}, 0, 0, 0),
+    (SCAN, 0, 1, 0), (SCAN | {"text": 7}, 0, 0, 0), (SCAN | {"requestTimeoutMs": 1000}, 0, 1, 0), (SCAN | {"requestTimeoutMs": 0}, 0, 0, 0), (SCAN | {"requestTimeoutMs": 3e9}, 0, 0, 0), (SCAN | {"requestTimeoutMs": "5"}, 0, 0, 0), (SCAN | {"target": "page"}, 0, 0, 0), (SCAN | {"channel": "x"}, 0, 0, 0),
+    (SCAN | {"type": "pii:init"}, 0, 1, 0), (SCAN | {"type": "pii:scan-segments"}, 0, 0, 0), (SCAN | {"type": "pii:scan-segments", "segments": [{"id": "a", "text": "b"}]}, 0, 1, 0), (SCAN | {"type": "pii:scan-segments", "segments": [{"id": "a"}]}, 0, 0, 0), (SCAN | {"type": "pii:scan-segments", "segments": []}, 0, 1, 0),
+    ({"state": "idle"}, 0, 0, 1), ({"state": "downloading", "progress": 0.5}, 0, 0, 1), ({"state": "downloading", "progress": 1.5}, 0, 0, 0), ({"state": "downloading"}, 0, 0, 0), ({"state": "ready", "backend": "wasm"}, 0, 0, 1), ({"state": "ready", "backend": "cpu"}, 0, 0, 0), ({"state": "error", "message": "m"}, 0, 0, 1), ({"state": "error"}, 0, 0, 0), ("text", 0, 0, 0), ([1], 0, 0, 0), (None, 0, 0, 0),
+]
+
+
+def _pick(values: list, key: str):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def q_message_envelopes(spark, sf_dir):
+    """Which messages are cancel messages, requests, or statuses: valid ones and what may be wrong with each."""
+    texts = [*[json.dumps(m[0]) for m in MESSAGES], "{broken"]
+    rows = table(spark, sf_dir, "events").select("event_id", _pick(texts, "event_id").alias("message"))
+    return rows.select("event_id", messages.is_cancel("message", "worker").alias("cancel"), messages.is_request("message").alias("request"), messages.is_status("message").alias("status"))
+
+
+def q_answers_fit(spark, sf_dir):
+    """Answers to requests of several segments: some missing, moved, doubled or unsound; each costs its whole request."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("ord"), F.concat(F.lit("s"), F.col("turn").cast("string")).alias("segment_id"), X.u16len("text").alias("n"))
+    k = F.col("request") * 31 + F.col("ord") * 7
+    given = turns.filter(k % 41 != 0).withColumn("segment_id", F.when(k % 43 == 1, "other").otherwise(F.col("segment_id"))).withColumn("sound", k % 47 != 2)
+    return messages.answered(turns, given.unionByName(given.filter(k % 53 == 3)))
+
+
+def q_still_current(spark, sf_dir):
+    """Results whose address, text and conversation are as they were."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("request"), "url", F.md5("html").alias("text"), F.when(F.col("page_id") % 7 > 0, F.col("page_id") % 5).alias("conversation"))
+    now = pages.withColumn("url", F.when(F.col("request") % 4 == 1, F.concat("url", F.lit("#x"))).otherwise(F.col("url"))).withColumn("text", F.when(F.col("request") % 6 == 2, "new").otherwise(F.col("text"))).withColumn("conversation", F.when(F.col("request") % 9 == 3, F.lit(None)).otherwise(F.col("conversation")))
+    return messages.still_current(pages, now, ["url", "text", "conversation"]).select("request")
+
+
+def q_preferences_as_of(spark, sf_dir):
+    """Each event with the latest preference that its user had saved by then."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    saved = events.filter(F.col("event_id") % 10 == 0)
+    saved = saved.groupBy("user_id", "at").agg(F.max("event_id").alias("e")).select("user_id", "at", F.concat(F.lit("v"), F.col("e").cast("string")).alias("version"))
+    return messages.as_of(events, saved, "user_id", "at", "version").select("event_id", "version")
+
+
+def q_substituted_files(spark, sf_dir):
+    """Parts of a request with the files that were masked in place of the originals."""
+    parts = table(spark, sf_dir, "pages").select("page_id", F.md5("html").alias("body"))
+    done = parts.filter(F.col("page_id") % 3 == 0).withColumn("body", F.when(F.col("page_id") % 2 == 0, F.reverse("body")))
+    return messages.substituted(parts, done, "page_id", "body")
+
+
+def q_opaque_ids(spark, sf_dir):
+    """Event types of each user by number, in order of first appearance."""
+    return messages.opaque_ids(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_type", "event_id").select("event_id", F.col("opaque").cast("long").alias("opaque"))
+
+
+def q_items_in_order(spark, sf_dir):
+    return messages.in_order(spans.keep_first(synthetic(docs_of(spark, sf_dir)), KEYS), KEYS).select("doc_id", "ord", F.col("place").cast("long").alias("place"))
+
+
+def q_reachable_parts(spark, sf_dir):
+    """What a package's root reaches over its relationships; packages of fifty parts with chains, forks and loops."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 50).alias("package"), (F.col("event_id") % 50).alias("source"))
+    n = F.col("source")
+    edges = e.select("package", "source", F.inline(F.array(F.struct(((n * 7 + F.col("package") + 3) % 50).alias("target"), (n % 3 > 0).alias("there")), F.struct(((n * 3 + 1) % 50).alias("target"), (n % 4 == 0).alias("there"))))).filter("there").drop("there")
+    roots = e.select("package").distinct().withColumn("node", F.lit(0).cast("long"))
+    return messages.reachable(edges, roots, ["package"]).groupBy("package").agg(F.count(F.lit(1)).alias("parts"), F.sum("node").alias("total"))
+
+
+def q_base64_round_trip(spark, sf_dir):
+    docs = docs_of(spark, sf_dir).filter(F.col("text").isNotNull())
+    return docs.select("doc_id", F.sha2(F.unbase64(F.base64(F.encode("text", "UTF-8"))), 256).alias("sha256"))
+
+
+def q_owner_keys(spark, sf_dir):
+    d, none = F.col("event_id"), F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit("ext").alias("sender"), F.when(d % 3 == 0, d.cast("string")).otherwise(none).alias("context"), (d % 7).alias("tab"), F.lit(0).alias("frame"), F.when(d % 2 == 0, F.concat(F.lit("d"), d.cast("string"))).otherwise(none).alias("document"), F.concat(F.lit("https://x.example/"), (d % 5).cast("string")).alias("url"))
+    return rows.select("event_id", messages.owner_key("sender", "context", "tab", "frame", "document", "url").alias("owner"))
+
+
 def _stored(spark, sf_dir):
     """A user's stored preferences: some types turned round, some with values that are no policy."""
     kind = F.element_at(F.array(*map(F.lit, S.PII_TYPES)), (F.col("n_nationkey") % 18 + 1).cast("int"))
@@ -423,6 +506,21 @@ ORACLES = {
     "batch_all_or_nothing": "WITH f AS (SELECT doc_id, source || '-' || (doc_id // 40) AS batch, n_chars < 9000 AS ok FROM documents) SELECT doc_id, batch FROM f WHERE batch NOT IN (SELECT batch FROM f WHERE NOT ok)",
     "latest_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "artifact_hash": "WITH d AS (SELECT doc_id, encode(text) AS b, text FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, text, b, octet_length(b) AS bytes FROM d) SELECT doc_id, bytes, sha256(text) AS sha256, (bytes + 999) // 1000 AS n_pieces, md5(array_to_string(list_transform(range(0, bytes, 1000), lambda k: base64(from_hex(substr(hex(b), (2 * k + 1)::BIGINT, 2000)))), ',')) AS pieces_md5 FROM n",
+    "message_envelopes": "SELECT event_id, " + ", ".join(f"([{', '.join([*[str(bool(m[k])).lower() for m in MESSAGES], 'false'])}])[(event_id % {len(MESSAGES) + 1} + 1)::INT] AS {name}" for k, name in ((1, "cancel"), (2, "request"), (3, "status"))) + " FROM events",
+    "answers_fit": """WITH t AS (SELECT conv_id AS request, conv_id * 31 + turn * 7 AS k FROM conversations)
+        SELECT request, bool_and(k % 41 <> 0 AND k % 43 <> 1 AND k % 47 <> 2 AND k % 53 <> 3) AS valid FROM t GROUP BY request""",
+    "still_current": "SELECT page_id AS request FROM pages WHERE page_id % 4 <> 1 AND page_id % 6 <> 2 AND (page_id % 9 <> 3 OR page_id % 7 = 0)",
+    "preferences_as_of": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS at FROM events), s AS (SELECT user_id, at, 'v' || max(event_id) AS version FROM e WHERE event_id % 10 = 0 GROUP BY ALL)
+        SELECT event_id, version FROM e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.at >= s.at""",
+    "substituted_files": "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN reverse(md5(html)) WHEN page_id % 3 = 0 THEN NULL ELSE md5(html) END AS body FROM pages",
+    "opaque_ids": "WITH f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS first FROM events) SELECT event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS opaque FROM f",
+    "items_in_order": f"WITH {SYN}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, start, stop ORDER BY ord) AS r FROM syn) SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, ord) AS place FROM k WHERE r = 1",
+    "reachable_parts": """WITH RECURSIVE e AS (SELECT event_id // 50 AS package, event_id % 50 AS n FROM events),
+        g AS (SELECT package, n AS source, (n * 7 + package + 3) % 50 AS target FROM e WHERE n % 3 > 0 UNION ALL SELECT package, n, (n * 3 + 1) % 50 FROM e WHERE n % 4 = 0),
+        r AS (SELECT DISTINCT package, 0::BIGINT AS node FROM e UNION SELECT g.package, g.target FROM r JOIN g ON g.package = r.package AND g.source = r.node)
+        SELECT package, count(*) AS parts, sum(node)::BIGINT AS total FROM r GROUP BY package""",
+    "base64_round_trip": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
+    "owner_keys": """SELECT event_id, '["ext","' || CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE '' END || '","' || (event_id % 7) || '","0","' || CASE WHEN event_id % 2 = 0 THEN 'd' || event_id ELSE '' END || '","' || CASE WHEN event_id % 3 = 0 OR event_id % 2 = 0 THEN '' ELSE 'https://x.example/' || (event_id % 5) END || '"]' AS owner FROM events""",
     "preview_units": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ab' || repeat('•', greatest(3, 4 + length(event_id::VARCHAR))) || '@x😀yz'
         WHEN 1 THEN 'ab' || chr(65533) || repeat('•', least(12, greatest(4, 9 + length(event_id::VARCHAR)))) ELSE 'ab' || repeat('•', least(8, 8 + length(event_id::VARCHAR))) || 'yz' END AS preview FROM events""",
     "part_types": """WITH p AS (SELECT page_id, (['word/document.xml', 'word/header3.xml', 'word/footer1.xml', 'word/styles.xml', 'word/settings.xml', 'word/theme/theme1.xml', 'docProps/core.xml', 'word/endnotes.xml'])[(page_id % 8 + 1)::INT] AS path FROM pages)
@@ -436,8 +534,8 @@ ORACLES = {
     "safe_boundary": "SELECT doc_id, (doc_id % 4)::INT AS at, (coalesce(length(text), 0) + 2)::INT AS units, doc_id % 4 = 1 AS splits, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE doc_id % 4 END::INT AS start, CASE WHEN doc_id % 4 = 1 THEN 2 ELSE doc_id % 4 END::INT AS stop FROM documents",
     "region_malformed": """WITH m AS (SELECT doc_id, ([ [[0, 12, 50], [10, 20, 50]], [[0, 20, 50]], [[0, 10, 50], [10, 20, 50]], [[0, 12, 50], [10, 19, 50]], [[1, 12, 50], [10, 20, 50]], [[0, 12, 50], [10, 21, 50]], [[10, 20, 50], [0, 12, 50]], [[0, 12, 150], [10, 20, 50]], [[0, 20, 50], [3, 9, 50]] ])[(doc_id % 9 + 1)::INT] AS c FROM documents),
         u AS (SELECT doc_id, unnest(c) AS x, generate_subscripts(c, 1) AS k FROM m),
-        v AS (SELECT doc_id, k, x[1] AS a, x[2] AS b, x[3] AS p, lag(x[1]) OVER (PARTITION BY doc_id ORDER BY k) AS before, max(x[2]) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM u)
-        SELECT doc_id, count(*) >= 2 AND min(a) = 0 AND max(b) = 20 AND bool_and(p <= 100 AND b > a AND (k = 1 AND a = 0 OR k > 1 AND a >= before AND a < top)) AS sound FROM v GROUP BY doc_id""",
+        v AS (SELECT doc_id, k, x[1] AS a, x[2] AS b, x[3] AS p, max(x[2]) OVER (PARTITION BY doc_id ORDER BY x[1], k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM u)
+        SELECT doc_id, count(*) >= 2 AND min(a) = 0 AND max(b) = 20 AND bool_and(p <= 100 AND b > a AND (top IS NULL AND a = 0 OR a < top)) AS sound FROM v GROUP BY doc_id""",
     "box_conflicts": "WITH b AS (SELECT event_id, event_id // 40 AS page, event_id % 3 = 0 AS removed, (event_id * 37) % 200 AS x0, (event_id * 53) % 100 AS y0, (event_id * 37) % 200 + 5 + event_id % 7 AS x1, (event_id * 53) % 100 + 4 + event_id % 5 AS y1 FROM events) SELECT event_id, page FROM b k WHERE NOT removed AND EXISTS (SELECT 1 FROM b r WHERE r.removed AND r.page = k.page AND least(r.x1, k.x1) - greatest(r.x0, k.x0) > 0.5 AND least(r.y1, k.y1) - greatest(r.y0, k.y0) > 0.5)",
     "same_text_key": r"SELECT doc_id, md5(regexp_replace(text, '\s', '', 'g')) AS key_md5, length(text) AS units FROM documents",
 }
