@@ -510,8 +510,8 @@ ORACLES = {
     "answers_fit": """WITH t AS (SELECT conv_id AS request, conv_id * 31 + turn * 7 AS k FROM conversations)
         SELECT request, bool_and(k % 41 <> 0 AND k % 43 <> 1 AND k % 47 <> 2 AND k % 53 <> 3) AS valid FROM t GROUP BY request""",
     "still_current": "SELECT page_id AS request FROM pages WHERE page_id % 4 <> 1 AND page_id % 6 <> 2 AND (page_id % 9 <> 3 OR page_id % 7 = 0)",
-    "preferences_as_of": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS at FROM events), s AS (SELECT user_id, at, 'v' || max(event_id) AS version FROM e WHERE event_id % 10 = 0 GROUP BY ALL)
-        SELECT event_id, version FROM e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.at >= s.at""",
+    "preferences_as_of": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events), s AS (SELECT user_id, us, 'v' || max(event_id) AS version FROM e WHERE event_id % 10 = 0 GROUP BY ALL)
+        SELECT event_id, version FROM e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.us >= s.us""",
     "substituted_files": "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN reverse(md5(html)) WHEN page_id % 3 = 0 THEN NULL ELSE md5(html) END AS body FROM pages",
     "opaque_ids": "WITH f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS first FROM events) SELECT event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS opaque FROM f",
     "items_in_order": f"WITH {SYN}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, start, stop ORDER BY ord) AS r FROM syn) SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, ord) AS place FROM k WHERE r = 1",
