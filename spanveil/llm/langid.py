@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc_mod, documents, give_back, lean, without
+from .common import crc_mod, documents, give_back, lean, staged, without
 
 DIMS = 1 << 12
 PIECE = 1 << 16
@@ -119,14 +119,20 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000) -> Model | None:
     """A model of at most sample_rows labelled rows, as many of each language; None without any."""
     rows = training.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    langs = rows.select("lang").distinct().count()
+    sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    langs = sizes.count()
     if not langs:
         return None
     each = max(1, sample_rows // langs)
-    # Each language's hash up to which its rows are taken; of rows with one hash, repeated ids, the smallest texts' ones.
+    sent = F.broadcast if langs <= 1 << 16 else lambda df: df
+    # Each language's hash up to which its rows are taken, ranked among its lowest hashes only: about four times the rows to
+    # take, however many it has. Should a language have fewer there than it must give (one id many times), all are ranked.
+    share = F.least(F.lit(1.0), 4.0 * each / F.col("n"))
+    low = rows.select("lang", "h").join(sent(sizes), "lang").filter(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63)
+    short = sizes.join(sent(low.groupBy("lang").agg(F.count(F.lit(1)).alias("k"))), "lang", "left").filter(F.coalesce("k", F.lit(0)) < F.least(F.col("n"), F.lit(each)))
+    low = rows if short.limit(1).count() else low
     by_hash = Window.partitionBy("lang").orderBy("h")
-    edges = rows.select("lang", "h").withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= each).groupBy("lang").agg(F.max("h").alias("edge"))
-    edges = F.broadcast(edges) if langs <= 1 << 16 else edges
+    edges = sent(low.select("lang", "h").withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= each).groupBy("lang").agg(F.max("h").alias("edge")))
     taken = rows.join(edges, "lang").filter(F.col("h") <= F.col("edge")).withColumn("r", F.row_number().over(by_hash.orderBy("h", F.xxhash64("text")))).filter(F.col("r") <= each)
     got = taken.select("lang", "text").mapInArrow(lean(_count_rows), "lang string, counts binary").toArrow()
     if not len(got):
