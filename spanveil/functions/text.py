@@ -147,6 +147,11 @@ def notice_key(code: Column | str) -> Column:
     return F.when(code.startswith("MODEL_") | code.isin("INFERENCE_FAILED", "OUT_OF_MEMORY"), "MODEL").otherwise(code)
 
 
+def notice(code: Column | str) -> Column:
+    """What the user is told about a code; unknown ones are told as a failure."""
+    return F.coalesce(F.try_element_at(_lookup(S.NOTICES), notice_key(code)), F.lit(S.NOTICES[S.ERROR_DEFAULT]))
+
+
 def location(segment_id: Column | str) -> Column:
     """Where a paragraph stands, for people; other ids as they are."""
     part = r"^docx:word/(document|header[0-9]+|footer[0-9]+|footnotes|endnotes)\.xml:p([0-9]+)$"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import detect, masking, policy, review
-from ..sources import office, textfile
+from ..sources import office, pdf, textfile
 
 KEYS = ["doc_id", "segment_id"]
 Detector = Callable[[DataFrame, list[str]], DataFrame]
@@ -45,6 +45,15 @@ def mask_office(files: DataFrame, kind: str, detector: Detector = detect.by_rule
     return done, refused.unionByName(unresolved).unionByName(failed)
 
 
+def mask_pdf(files: DataFrame, open_pdf: Callable, detector: Detector = detect.by_rules, reviewer=approve_automatic, preferences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """files(doc_id, content) of PDFs to pages with the text that is kept, and rejects; the reader and the writing are the caller's."""
+    pages, refused = pdf.segments(files, open_pdf)
+    masks, unresolved = _masks(pages.select(*KEYS, "text"), detector, reviewer, preferences)
+    passed = pages.join(masks.select(*KEYS), KEYS, "left_semi")
+    done, failed = pdf.kept_text(passed, masks)
+    return done, refused.unionByName(unresolved).unionByName(failed)
+
+
 def mask_text_files(files: DataFrame, detector: Detector = detect.by_rules, reviewer=approve_automatic, preferences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """files(doc_id, name, length, content) of text and Markdown to masked files and rejects."""
     good, refused = textfile.scan(files)

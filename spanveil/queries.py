@@ -284,6 +284,12 @@ def q_preview_units(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.preview(value, kind).alias("preview"))
 
 
+def q_notices(spark, sf_dir):
+    codes = [*S.NOTICES, "MODEL_NOT_READY", "OUT_OF_MEMORY", "INFERENCE_FAILED", "SOMETHING"]
+    rows = table(spark, sf_dir, "pages").select("page_id", _pick(codes, "page_id").alias("code"))
+    return rows.select("page_id", "code", X.notice("code").alias("notice"))
+
+
 def q_part_types(spark, sf_dir):
     """Content types of word-processing parts by their paths."""
     names = ["word/document.xml", "word/header3.xml", "word/footer1.xml", "word/styles.xml", "word/settings.xml", "word/theme/theme1.xml", "docProps/core.xml", "word/endnotes.xml"]
@@ -523,6 +529,9 @@ ORACLES = {
     "owner_keys": """SELECT event_id, '["ext","' || CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE '' END || '","' || (event_id % 7) || '","0","' || CASE WHEN event_id % 2 = 0 THEN 'd' || event_id ELSE '' END || '","' || CASE WHEN event_id % 3 = 0 OR event_id % 2 = 0 THEN '' ELSE 'https://x.example/' || (event_id % 5) END || '"]' AS owner FROM events""",
     "preview_units": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ab' || repeat('•', greatest(3, 4 + length(event_id::VARCHAR))) || '@x😀yz'
         WHEN 1 THEN 'ab' || chr(65533) || repeat('•', least(12, greatest(4, 9 + length(event_id::VARCHAR)))) ELSE 'ab' || repeat('•', least(8, 8 + length(event_id::VARCHAR))) || 'yz' END AS preview FROM events""",
+    "notices": f"""WITH n AS (SELECT unnest([{", ".join(repr(k) for k in S.NOTICES)}]) AS key, unnest([{", ".join(repr(v) for v in S.NOTICES.values())}]) AS notice),
+        p AS (SELECT page_id, ([{", ".join(repr(k) for k in [*S.NOTICES, "MODEL_NOT_READY", "OUT_OF_MEMORY", "INFERENCE_FAILED", "SOMETHING"])}])[(page_id % {len(S.NOTICES) + 4} + 1)::INT] AS code FROM pages)
+        SELECT page_id, code, notice FROM p JOIN n ON key = CASE WHEN code LIKE 'MODEL%' OR code IN ('OUT_OF_MEMORY', 'INFERENCE_FAILED') THEN 'MODEL' WHEN code = 'SOMETHING' THEN 'DOCUMENT_FAILED' ELSE code END""",
     "part_types": """WITH p AS (SELECT page_id, (['word/document.xml', 'word/header3.xml', 'word/footer1.xml', 'word/styles.xml', 'word/settings.xml', 'word/theme/theme1.xml', 'docProps/core.xml', 'word/endnotes.xml'])[(page_id % 8 + 1)::INT] AS path FROM pages)
         SELECT page_id, path, CASE WHEN path LIKE 'word/theme/%' THEN 'application/vnd.openxmlformats-officedocument.theme+xml' WHEN path = 'word/document.xml' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml'
           WHEN regexp_matches(path, '^word/(header|footer|styles|endnotes)') THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.' || regexp_extract(path, '^word/([a-z]+)', 1) || '+xml' END AS mime FROM p""",

@@ -80,10 +80,34 @@ def test_boxes_and_glyphs(spark):
     glyphs = [("a", 0, 1, 0.0, 0.0, 1.0, 1.0), ("b", 1, 2, 1.0, 0.0, 2.0, 1.0), ("c", 2, 3, 2.0, 0.0, 3.0, 1.0)]
     pages = spark.createDataFrame([("d", "page-1", "abc", glyphs)], pdf.GLYPHS)
     masks = spark.createDataFrame([("d", "page-1", [(1, 2)])], "doc_id string, segment_id string, spans array<struct<start:int,stop:int>>")
-    assert pdf.kept_text(pages, masks).first().kept == "ac"
+    assert pdf.kept_text(pages, masks)[0].first().kept == "ac"
     files = spark.createDataFrame([("d", bytearray(b"%PDF-1.4 x")), ("e", bytearray(b"none"))], "doc_id string, content binary")
-    out = pdf.segments(files, lambda data, limits: [("page-1", "abc", [dict(zip(("char", "start", "stop", "x0", "y0", "x1", "y1"), g, strict=True)) for g in glyphs])])
+    named = [dict(zip(("char", "start", "stop", "x0", "y0", "x1", "y1"), g, strict=True)) for g in glyphs]
+    out, rejects = pdf.segments(files, lambda data, limits: [("page-1", "abc", named)])
     assert [(r.doc_id, len(r.glyphs)) for r in out.collect()] == [("d", 3)]
+    assert [tuple(r) for r in rejects.collect()] == [("e", "extracting", "DOCUMENT_FORMAT")]
+
+
+def test_pdf_refusals(spark):
+    """What a reader raises, pages beyond the limits or without text, spans without glyphs, and glyphs under others."""
+
+    def reader(data, limits):
+        kind = data[8:].decode()
+        if kind == "locked":
+            raise ValueError("Encrypted or unsupported document")
+        glyphs = [dict(char=c, start=i, stop=i + 1, x0=float(i), y0=0.0, x1=i + (3.0 if kind == "over" else 1.0), y1=5.0) for i, c in enumerate("ab@x.example.com" if kind != "blank" else " ")]
+        text = "".join(g["char"] for g in glyphs)
+        return [("page-1", text, glyphs if kind != "bare" else [])] * (200 if kind == "long" else 1)
+
+    files = [(k, None if k == "null" else bytearray(b"%PDF-1.4" + k.encode())) for k in ("fine", "locked", "blank", "bare", "long", "over", "null")]
+    files = spark.createDataFrame(files, "doc_id string, content binary")
+    everything = lambda segments, keys: segments.select(*keys, F.lit(0).alias("ord"), F.lit("EMAIL").alias("type"), F.lit(0.9).alias("confidence"), F.lit(0).alias("start"), F.lit(4).alias("stop"))
+    done, rejects = mask_documents.mask_pdf(files, reader, detector=everything)
+    assert [(r.doc_id, r.kept) for r in done.collect()] == [("fine", ".example.com")]
+    assert {r.doc_id: (r.stage, r.code) for r in rejects.collect()} == {
+        "locked": ("extracting", "DOCUMENT_FORMAT"), "blank": ("extracting", "PDF_OCR_REQUIRED"), "long": ("extracting", "DOCUMENT_LIMIT"), "null": ("extracting", "DOCUMENT_FAILED"),
+        "bare": ("rebuilding", "DOCUMENT_FAILED"), "over": ("rebuilding", "DOCUMENT_FAILED"),
+    }
 
 
 def test_mask_text(spark):
