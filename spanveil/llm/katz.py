@@ -17,7 +17,8 @@ rows, with nothing broadcast.
 
 Tokens: A-Z is lower-cased, words are cut at ASCII white space, and one end token closes a text. A null text
 is an empty one: only the end token. Rows with a null id are never held out. Repeated rows are each counted
-and scored. Without any training token the base and the model give every text 0.
+and scored. Without any training token the base and the model give every text 0. Input columns named like the added
+ones are replaced.
 """
 
 from __future__ import annotations

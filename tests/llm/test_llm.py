@@ -784,6 +784,34 @@ def test_secret_digest(spark):
         assert r.base_sha256 == hashlib.sha256(brute_spans(texts[r.doc_id] or "").encode()).hexdigest()
 
 
+# all of them
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """A text of 1.2 million characters, and columns named like those the operators add, in one table for all."""
+    rng = random.Random(40)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
+    long = " ".join(rng.choices(words, k=200_000))
+    other = " ".join(rng.choices(words, k=300))
+    rows = [(1, long, "en"), (2, long + " and more", "en"), (3, other + " " + ITEM, "en"), (4, None, None), (5, "", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", *[f"'old' AS {c}" for c in ("item_id", "verdict", "cosine", "component_id", "kept", "lang_pred", "n_tokens", "score", "held_out", "pieces", "n_dropped", "base", "found", "licence", "n_chars", "h", "own")])
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(table, bench).collect()] == [(3, 7)]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r.doc_id: r.lang_pred for r in langid.identify(table, langid.fit(table)).collect()} == {1: "en", 2: "en", 3: "en", 4: "und", 5: "und"}
+    v = katz.vocabulary_of(katz.count_tokens(table))
+    coded = katz.encode(table, v)
+    scored = {r.doc_id: r.n_tokens for r in katz.score(coded, katz.fit(coded, v)).collect()}
+    assert scored == {1: 200_001, 2: 200_003, 3: 300 + len(ITEM.split()) + 1, 4: 1, 5: 1}
+    vocabulary = piece_sampling.Vocabulary.read(piece_sampling.MODEL)
+    assert all(r.decoded == r.text for r in piece_sampling.decode(piece_sampling.encode(table, vocabulary), vocabulary).select("decoded", "text").collect())
+    assert {r.doc_id: r.n_lines for r in line_dedup.dedup_lines(table).collect()} == dict.fromkeys(range(1, 6), 1)
+    assert all(not r.base and not r.found for r in secrets.scan(table).collect())
+    assert {r.licence for r in licenses.scan(table.withColumn("path", table.lang)).collect()} == {None}
+    page = "<div><p>" + (PARA + " ") * 12_000 + "</p></div>"
+    assert html_main.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").selectExpr("*", "'old' AS text", "0 AS n_chars")).first().n_chars == 12_000 * (len(PARA) + 1) - 1
+
+
 # pipeline
 
 
