@@ -42,12 +42,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/spanveil/{name}-{uuid.uuid4().hex}"
     fs, at = _hadoop(spark, path)
     fs.deleteOnExit(at)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def few_rows(spark: SparkSession, most: int = 2048) -> None:
+    """From now on at most that many rows in an Arrow batch: what a worker holds at once follows from it."""
+    now = int(spark.conf.get(BATCH_ROWS))
+    spark.conf.set(BATCH_ROWS, str(min(now, most) if now > 0 else most))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(BATCH_ROWS)
+    few_rows(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read again."""
     for table in tables:
