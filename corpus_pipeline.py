@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
 the columns of documents. run() writes each stage's result as Parquet to the shared folder and reads it
-again as the next one's input. Arrow batches have few rows in all stages, which keeps workers small. No stage of it but line dedup is SQL, so ORACLE_SQL is None; the tests hold
-run() against a brute-force version of each stage.
+again as the next one's input. Arrow batches have few rows in all stages, which keeps workers small. No stage
+of it but line dedup is SQL, so ORACLE_SQL is None; the tests hold run() against a brute-force version of each
+stage.
 """
 
 from __future__ import annotations
