@@ -349,7 +349,7 @@ def q_substituted_files(spark, sf_dir):
     return messages.substituted(parts, done, "page_id", "body")
 
 
-def q_opaque_ids(spark, sf_dir):
+def q_style_numbers(spark, sf_dir):
     """Event types of each user by number, in order of first appearance."""
     return messages.opaque_ids(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_type", "event_id").select("event_id", F.col("opaque").cast("long").alias("opaque"))
 
@@ -519,7 +519,7 @@ ORACLES = {
     "preferences_as_of": """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events), s AS (SELECT user_id, us, 'v' || max(event_id) AS version FROM e WHERE event_id % 10 = 0 GROUP BY ALL)
         SELECT event_id, version FROM e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.us >= s.us""",
     "substituted_files": "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN reverse(md5(html)) WHEN page_id % 3 = 0 THEN NULL ELSE md5(html) END AS body FROM pages",
-    "opaque_ids": "WITH f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS first FROM events) SELECT event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS opaque FROM f",
+    "style_numbers": "WITH f AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS first FROM events) SELECT event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS opaque FROM f",
     "items_in_order": f"WITH {SYN}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, start, stop ORDER BY ord) AS r FROM syn) SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, ord) AS place FROM k WHERE r = 1",
     "reachable_parts": """WITH RECURSIVE e AS (SELECT event_id // 50 AS package, event_id % 50 AS n FROM events),
         g AS (SELECT package, n AS source, (n * 7 + package + 3) % 50 AS target FROM e WHERE n % 3 > 0 UNION ALL SELECT package, n, (n * 3 + 1) % 50 FROM e WHERE n % 4 = 0),
