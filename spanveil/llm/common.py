@@ -123,6 +123,22 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_ranges(df: DataFrame, order: list[Column], rows: int, name: str, share: int = 1_000_000) -> DataFrame:
+    """df dealt to ranges of its order, staged; _part numbers the ranges from the first. About share rows are in each."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // share))
+    return staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), name)
+
+
+def before_parts(amounts: dict[int, int]) -> dict[int, int]:
+    """Of each range, what all ranges before it hold; one entry for each partition."""
+    out, total = {}, 0
+    for part in sorted(amounts):
+        out[part] = total
+        total += amounts[part]
+    return out
+
+
 class TokenHasher:
     """Words between blanks to 64-bit hashes, without a Python object for each word.
 
@@ -130,8 +146,8 @@ class TokenHasher:
     bytes times powers of an odd number, put through a bijective finaliser.
     """
 
-    def __init__(self, blanks: bytes = ASCII_SPACE):
-        values = mix64(np.arange(256, dtype=np.uint64), 97)
+    def __init__(self, blanks: bytes = ASCII_SPACE, seed: int = 97):
+        values = mix64(np.arange(256, dtype=np.uint64), seed)
         values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
         self.values, self.word = values, np.ones(256, bool)
         self.word[list(blanks)] = False
@@ -143,6 +159,10 @@ class TokenHasher:
 
     def hashes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of texts and where each starts and the last ends: all words' hashes in order, and each text's number of words."""
+        return self.located(data, bounds)[:2]
+
+    def located(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As hashes(), with each word's first byte and number of bytes."""
         word = self.word[data]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
@@ -151,14 +171,14 @@ class TokenHasher:
         at = np.flatnonzero(begins)
         sizes = np.diff(np.searchsorted(at, bounds))
         if not len(at):
-            return np.empty(0, np.uint64), sizes
+            return np.empty(0, np.uint64), sizes, at, at
         held = np.flatnonzero(word)
         first = np.searchsorted(held, at)
         lengths = np.diff(np.append(first, len(held)))
         if lengths.max() > len(self.powers):
             self.powers = self._powers(int(lengths.max()))
         local = np.arange(len(held), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
-        return mix64(np.add.reduceat(self.values[data[held]] * self.powers[local], first)), sizes
+        return mix64(np.add.reduceat(self.values[data[held]] * self.powers[local], first)), sizes, at, lengths
 
     def chunks(self, column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, hashes, words of each row) of runs of rows; nulls are empty."""
