@@ -40,8 +40,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanveil/{name}-{uuid.uuid4().hex}"
-    fs, at = _hadoop(spark, path)
-    fs.deleteOnExit(at)
+    delete_at_end(spark, path)
     with small_batches(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -49,6 +48,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
