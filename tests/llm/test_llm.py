@@ -850,7 +850,7 @@ def test_pipeline_odd(spark):
 @needs_data
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if re.match(r"op\d+_", n)} == set(map(str, range(1, 11)))
+    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if re.match(r"op\d+_", n)} == set(map(str, range(1, 14)))
 
 
 def test_running_sums():
