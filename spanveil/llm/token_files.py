@@ -15,9 +15,9 @@ of document ids, so the ids before a file are those of earlier parts and those b
 file under a name of its attempt and then renames it; a repeated task makes the same bytes, since its rows come sorted.
 The folder must be one that the file systems of pyarrow open for writing; reading is Spark's.
 
-With ``by_words``, a tokenizer must split at white space and at the border of ASCII letters or digits and punctuation before
-it merges, as word_bpe_49k does: a text's ids are then those of its words, which the library encodes once while they are
-kept. Other tokenizers take whole texts (false); so do texts with one of the tokenizer's own marks. A null or empty text has the end id only. Null ids come first; repeated rows are documents of their own.
+A tokenizer that splits at white space and at the borders of letters before it merges, as word_bpe_49k does, gives a text
+the ids of its words, which the library encodes once while they are kept. Other tokenizers take whole texts; so do texts
+with one of the tokenizer's own marks. A null or empty text has the end id only. Null ids come first; repeated rows are documents of their own.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ HEAD = "<7Q"
 #: Bytes of the four ids of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 #: An ASCII word, its punctuation before and after. Apostrophes stay with the word: patterns such as 's begin with one.
+#: A fixed value: how tokenizers of this kind split.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PARTS = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([0-9A-Za-z](?:[\x21-\x7e]*[0-9A-Za-z])?)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -67,93 +70,142 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def splits_words(spelled: dict) -> bool:
+    """Whether a tokenizer lower-cases, splits at PATTERN and then merges bytes: words between white space, runs of ASCII
+    punctuation around them and lower-case letters then have ids of their own."""
+    steps = (spelled.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    normal = [x["type"] for x in (spelled.get("normalizer") or {}).get("normalizers") or []]
+    return (
+        [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        and steps[0]["pattern"] == {"Regex": PATTERN}
+        and normal == ["NFC", "Replace", "Lowercase"]
+        and not spelled.get("post_processor")
+        and spelled["model"]["type"] == "BPE"
+    )
+
+
+RECENT = 1 << 15
+
+
 class Encoder:
     """Texts to ids. Words are encoded once while they are kept: at most ``most`` of the last and as many older ones."""
 
     made: dict[int, Encoder] = {}
 
-    def __init__(self, spelled: str, by_words: bool, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.by_words, self.most = Tokenizer.from_str(spelled), by_words, most
-        self.marks = [x["content"].encode() for x in json.loads(spelled).get("added_tokens") or []]
-        self.lower = '"Lowercase"' in json.dumps(json.loads(spelled).get("normalizer"))
-        size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+    def __init__(self, spelled: str, most: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        read = json.loads(spelled)
+        self.tokenizer, self.most, self.by_words = Tokenizer.from_str(spelled), most, splits_words(read)
+        self.marks = [x["content"].encode() for x in read.get("added_tokens") or []]
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.latin = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250) if chr(c).isalpha()}
+        self.merge = self.tokenizer.model.tokenize
+        self.recent: dict[bytes, bytes] = {}  # few enough for a processor's cache
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     @classmethod
-    def of(cls, spelled: str, by_words: bool) -> Encoder:
+    def of(cls, spelled: str) -> Encoder:
         """One for each worker, which Spark keeps for later tasks."""
-        key = zlib.crc32(spelled.encode()) * 2 + by_words
+        key = zlib.crc32(spelled.encode())
         if key not in cls.made:
-            cls.made = {key: cls(spelled, by_words)}
+            cls.made = {key: cls(spelled)}
         return cls.made[key]
 
-    def _whole(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Ids of words not kept. An ASCII word is the punctuation around it and what lies between."""
-        split, single = {}, set()
-        for w in words:
-            found = PARTS.fullmatch(w)
-            parts = [x for x in found.groups() if x] if found else [w]
-            if found and self.lower:
-                parts = [x.lower() for x in parts]
-            single.update(parts)
-            if parts != [w]:
-                split[w] = parts
-        single = [w for w in single if w not in self.kept]
-        for lo in range(0, len(single), 8192):
-            part = single[lo : lo + 8192]
-            coded = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(coded.ids, self.dtype), np.array(coded.word_ids, np.int64)
-            ends = (np.searchsorted(owner, np.arange(len(part)), "right") * self.dtype.itemsize).tolist()
-            data = ids.tobytes()
-            self.kept.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
-        for w, parts in split.items():
-            self.kept[w] = b"".join(map(self.kept.__getitem__, parts))
-
-    def encode(self, text: bytes) -> bytes:
-        if not self.by_words or any(m in text for m in self.marks):
-            return self._whole(text)
-        words = text.split()
+    def whole(self, text: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Ids of words not kept. An ASCII word is the punctuation around it and what lies between. Lower-case Latin letters
+        (single code points, which no normal form changes) are merged at once, all else takes the tokenizer's whole way."""
+        kept, split, rest, merge, code = self.kept, {}, [], self.merge, self.code
+        for word in words:
+            parts = (word,)
+            if not (word.isalpha() and word.islower()) and (found := PARTS.fullmatch(word)):
+                parts = [x.lower() for x in found.groups() if x]
+                if len(parts) > 1 or parts[0] != word:
+                    split[word] = parts
+            for part in parts:
+                if part not in kept:
+                    letters = part.decode()
+                    if letters.isascii():
+                        if letters.isalpha() and letters.islower():
+                            kept[part] = array(code, [x.id for x in merge(letters)]).tobytes()
+                            continue
+                    elif letters.isalpha() and max(letters) < "\u0250" and letters == letters.lower():
+                        kept[part] = array(code, [x.id for x in merge(letters.translate(self.latin))]).tobytes()
+                        continue
+                    rest.append(part)
+        for lo in range(0, len(rest), 8192):
+            some = rest[lo : lo + 8192]
+            for part, coded in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
+                kept[part] = array(code, coded.ids).tobytes()
+        for word, parts in split.items():
+            kept[word] = b"".join(map(kept.__getitem__, parts))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of some texts; words that none of them had before are learnt together."""
         if len(self.kept) > self.most:
             self.kept, self.older = {}, self.kept
-        missing = set(filterfalse(self.kept.__contains__, words))
-        again = set(filter(self.older.__contains__, missing))
-        self.kept.update((w, self.older[w]) for w in again)
-        if missing := missing - again:
-            self._learn(missing)
-        return b"".join(map(self.kept.__getitem__, words))
-
-
-def _encode(spelled, by_words: bool, end: int):
+        if len(self.recent) > RECENT:
+            self.recent = {}
+        recent, kept, older, missing, out = self.recent, self.kept.get, self.older.get, {}, []
+        for text in texts:
+            if not self.by_words or any(m in text for m in self.marks):
+                out.append([self.whole(text)])
+                continue
+            words = text.split()
+            ids = list(map(recent.get, words))
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                word = words[at]
+                found = kept(word)
+                if found is None:
+                    missing.setdefault(word, []).append((ids, at))
+                else:
+                    ids[at] = recent[word] = found
+            out.append(ids)
+        again = {w: ids for w in missing if (ids := older(w)) is not None}
+        self.kept.update(again)
+        self._learn(w for w in missing if w not in again)
+        for word, places in missing.items():
+            found = self.kept[word]
+            for ids, at in places:
+                ids[at] = found
+        return list(map(b"".join, out))
+
+
+def _encode(spelled, end: int, most_bytes: int = 1 << 18):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(spelled.value, by_words)
+        encoder = Encoder.of(spelled.value)
         close = np.array([end], encoder.dtype).tobytes()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            ids = [encoder.encode(t or b"") + close for t in texts]
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            group = np.cumsum([len(t) for t in texts]) // most_bytes
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]
+            ids = [x + close for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in encoder.encode(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     return run
 
 
-def tokenised(docs: DataFrame, spelled: str, end: int, by_words: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, spelled: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids as little-endian bytes, two or four each by the vocabulary's size, the end id last."""
     sent = docs.sparkSession.sparkContext.broadcast(spelled)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_encode(sent, by_words, end)), "id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_encode(sent, end)), "id long, ids binary")
 
 
 def _count(size: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                counts += np.bincount(np.frombuffer(ids.as_py(), dtype), minlength=size)
+            column = batch.column(0)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            counts += np.bincount(np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(dtype), minlength=size)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["token", "n"])
 
@@ -218,14 +270,14 @@ def _write(folder: str, ranks, dtype: str, file_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, spelled: str, folder: str, end: int = 1, by_words: bool = True, file_ids: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
+def write_tokens(docs: DataFrame, spelled: str, folder: str, end: int = 1, file_ids: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Texts of docs to files in a folder that holds nothing yet."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     size = max(Tokenizer.from_str(spelled).get_vocab_size(), end + 1)
-    dtype = Encoder(spelled, by_words).dtype.str
-    tokens = staged(tokenised(docs, spelled, end, by_words, id_col, text_col), "token-ids")
+    dtype = Encoder(spelled).dtype.str
+    tokens = staged(tokenised(docs, spelled, end, id_col, text_col), "token-ids")
     order, total = frequency_order(tokens, size, dtype)
     ranks = np.empty(size, "<u4")
     ranks[order] = np.arange(size, dtype="<u4")

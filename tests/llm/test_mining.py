@@ -103,23 +103,27 @@ def test_packing():
 @needs_vocabulary
 def test_words_encode_as_whole_texts():
     spelled = VOCABULARY.read_text()
-    encoder, rng = token_files.Encoder(spelled, True, most=40), random.Random(5)
+    encoder, rng = token_files.Encoder(spelled, most=40), random.Random(5)
+    assert encoder.by_words
     bits = ["don't", "'s", "'S", "x',", "(A)", "À", "é", ".́", "́", " ", " ", "\x1c", "\x85", "\t", "\r\n", "12", "3½", "ΣΣ", "İ", "ﬁ", "<|endoftext|>", "<|", "=≠", "你好", "\U0001f600", "..", "a-b", "Straße", "'ll", "we'll!", "Å"]
+    bits += ["ª", "ß", "ĳ", "ŉ", "ǆ", "ǅ", "ſ", "ƻ", "ñandú", "ÉTÉ", "ʼn"]
     for _ in range(1500):
-        text = "".join(rng.choice(bits) + rng.choice(["", " ", "", "\n"]) for _ in range(rng.randrange(12)))
-        assert encoder.encode(text.encode()) == encoder._whole(text.encode()), repr(text)
+        texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "", "\n"]) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(4))]
+        for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+            assert ids == encoder.whole(text.encode()), repr(text)
+    assert encoder.encode([chr(c).encode() for c in range(0x250)]) == [encoder.whole(chr(c).encode()) for c in range(0x250)]
 
 
 @needs_vocabulary
-@pytest.mark.parametrize("by_words", [True, False])
-def test_files(spark, tmp_path, by_words):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_files(spark, tmp_path, name):
     from tokenizers import Tokenizer
 
     rows = [(i * 7 % 61, t) for i, t in enumerate(sample(4, 61))] + [(None, "a null id"), (None, None), (3, "again"), (3, "again"), (70, None), (-5, "word " * 3000), (71, "v" * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    files = token_files.write_tokens(docs, VOCABULARY.read_text(), f"file://{tmp_path}/out", by_words=by_words, file_ids=500)
+    files = token_files.write_tokens(docs, (VOCABULARY.parent / name).read_text(), f"file://{tmp_path}/out", file_ids=500)
     got = token_files.read_tokens(spark, files).collect()
-    coder, at, seen = Tokenizer.from_file(str(VOCABULARY)), 0, []
+    coder, at, seen = Tokenizer.from_file(str(VOCABULARY.parent / name)), 0, []
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at and r.n_tokens == len(r.ids) // 4
         at += r.n_tokens
