@@ -66,6 +66,17 @@ def reviewed(requests: DataFrame, decisions: DataFrame, within: str = "10 minute
     return r.join(d, on).drop(d["session"])
 
 
+def settled(requests: DataFrame, decisions: DataFrame, deadline: str = "15 seconds", late: str = "1 minute") -> DataFrame:
+    """Every one of requests(review, ts, ...) once, with status and at: as its first decision(review, decided_at, status) within
+    the deadline says, cancelled at the deadline where there is none. Both are streams; decisions after it change nothing."""
+    r = requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["review"])
+    d = decisions.select(F.col("review").alias("_review"), "decided_at", "status").withWatermark("decided_at", late).dropDuplicatesWithinWatermark(["_review"])
+    end = F.col("ts") + F.expr(f"INTERVAL {deadline}")
+    on = (F.col("review") == F.col("_review")) & (F.col("decided_at") >= F.col("ts")) & (F.col("decided_at") <= end)
+    both = r.join(d, on, "leftOuter")
+    return both.select(*requests.columns, F.coalesce("status", F.lit("cancelled")).alias("status"), F.coalesce("decided_at", end).alias("at"))
+
+
 def once_per_request(batch: DataFrame, sent: DataFrame, key: str = "request") -> DataFrame:
     """Rows of a micro-batch that no earlier one has sent: an idempotent sink's filter."""
     return batch.dropDuplicates([key]).join(sent.select(key), key, "left_anti")
