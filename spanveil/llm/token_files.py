@@ -23,7 +23,6 @@ with one of the tokenizer's own marks. A null or empty text has the end id only.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -43,10 +42,10 @@ MAGIC = b"SPVIDS1\n"
 HEAD = "<7Q"
 #: Bytes of the four ids of each control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-#: An ASCII word, its punctuation before and after. Apostrophes stay with the word: patterns such as 's begin with one.
+#: ASCII punctuation around a word, but for apostrophes: patterns such as 's begin with one.
+AROUND = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A fixed value: how tokenizers of this kind split.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PARTS = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([0-9A-Za-z](?:[\x21-\x7e]*[0-9A-Za-z])?)([!-&(-/:-@\[-`{-~]*)")
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -103,6 +102,7 @@ class Encoder:
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.latin = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250) if chr(c).isalpha()}
         self.merge = self.tokenizer.model.tokenize
+        self.sides: dict[bytes, bytes] = {}
         self.recent: dict[bytes, bytes] = {}  # few enough for a processor's cache
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -118,33 +118,33 @@ class Encoder:
     def whole(self, text: bytes) -> bytes:
         return array(self.code, self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
+    def _side(self, marks: bytes) -> bytes:
+        if marks not in self.sides:
+            self.sides[marks] = self.whole(marks) if marks else b""
+        return self.sides[marks]
+
     def _learn(self, words: Iterable[bytes]) -> None:
-        """Ids of words not kept. An ASCII word is the punctuation around it and what lies between. Lower-case Latin letters
-        (single code points, which no normal form changes) are merged at once, all else takes the tokenizer's whole way."""
-        kept, split, rest, merge, code = self.kept, {}, [], self.merge, self.code
+        """Ids of words not kept. Latin letters (single code points, which no normal form changes) with ASCII punctuation around
+        them are merged at once, in lower case; all else takes the tokenizer's whole way."""
+        kept, rest, merge, code = self.kept, [], self.merge, self.code
         for word in words:
-            parts = (word,)
-            if not (word.isalpha() and word.islower()) and (found := PARTS.fullmatch(word)):
-                parts = [x.lower() for x in found.groups() if x]
-                if len(parts) > 1 or parts[0] != word:
-                    split[word] = parts
-            for part in parts:
-                if part not in kept:
-                    letters = part.decode()
-                    if letters.isascii():
-                        if letters.isalpha() and letters.islower():
-                            kept[part] = array(code, [x.id for x in merge(letters)]).tobytes()
-                            continue
-                    elif letters.isalpha() and max(letters) < "\u0250" and letters == letters.lower():
-                        kept[part] = array(code, [x.id for x in merge(letters.translate(self.latin))]).tobytes()
-                        continue
-                    rest.append(part)
+            core = word.strip(AROUND)
+            letters = core.decode()
+            low = letters.lower()
+            if not letters.isalpha() or not letters.isascii() and (max(letters) >= "\u0250" or max(low) >= "\u0250"):
+                rest.append(word)
+                continue
+            key = low.encode()
+            ids = kept.get(key)
+            if ids is None:
+                ids = kept[key] = array(code, [x.id for x in merge(low if low.isascii() else low.translate(self.latin))]).tobytes()
+            if key != word:
+                at = len(word) - len(word.lstrip(AROUND))
+                kept[word] = self._side(word[:at]) + ids + self._side(word[at + len(core) :]) if len(core) < len(word) else ids
         for lo in range(0, len(rest), 8192):
             some = rest[lo : lo + 8192]
-            for part, coded in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                kept[part] = array(code, coded.ids).tobytes()
-        for word, parts in split.items():
-            kept[word] = b"".join(map(kept.__getitem__, parts))
+            for word, coded in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
+                kept[word] = array(code, coded.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of some texts; words that none of them had before are learnt together."""
