@@ -1,127 +1,80 @@
-"""Detections of overlapping chunks to one set.
+"""Detections of overlapping chunks to one set, in SQL functions.
 
-Views agree, continue or conflict only where they overlap, so runs of overlapping candidates are merged by themselves.
-Runs within one chunk stay as they are, in SQL functions; only those with views of several chunks take the
-order-dependent greedy pass, a small helper over Arrow batches of many runs.
+Views agree, continue or conflict only where they overlap, so runs of overlapping candidates are independent; all of them
+are settled at once, each in its own row. Within a run the best-ranked candidate that is left settles next: it is one
+more view of a settled entity, its continuation, or a new entity. A run holds the candidates of one stretch of text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import islands, regions
 
 NEAR = 0.8
+ENTITY = "struct<type:string,confidence:double,start:int,stop:int,from_before:boolean,goes_on:boolean,chunk:int,chunks:array<int>,tokens:array<struct<key:int,value:double>>>"
+
+# e is a settled entity, n the next candidate.
+SHARED = "(least(e.stop, n.stop) - greatest(e.start, n.start))"
+EXTENT = "(greatest(e.stop, n.stop) - least(e.start, n.start))"
+
+
+def _explained(x: str, y: str) -> str:
+    """x is a cut view of y: it lies inside, and what it misses of y is behind a cut."""
+    return f"({x}.start >= {y}.start AND {x}.stop <= {y}.stop AND ({x}.from_before OR {x}.goes_on) AND ({x}.from_before OR {x}.start = {y}.start) AND ({x}.goes_on OR {x}.stop = {y}.stop))"
+
+
+def _carries_on(x: str, y: str) -> str:
+    """y runs out at its chunk's end, and x comes in at its chunk's start with a part of y."""
+    return f"(y_x.goes_on AND x_y.from_before AND y_x.start < x_y.start AND x_y.start < y_x.stop AND y_x.stop < x_y.stop)".replace("y_x", y).replace("x_y", x)
+
+
+ELSEWHERE = "NOT array_contains(e.chunks, n.chunk) AND e.type = n.type"
+SAME = f"({ELSEWHERE} AND {SHARED} > 0 AND ({SHARED} > {NEAR}D * {EXTENT} OR {_explained('e', 'n')} OR {_explained('n', 'e')}))"
+#: Nothing else of the chunks concerned lies in what the two cover together.
+FREE = "size(filter(kept, (x, j) -> j <> i AND arrays_overlap(x.chunks, array_append(e.chunks, n.chunk)) AND x.start < greatest(e.stop, n.stop) AND x.stop > least(e.start, n.start))) = 0"
+JOINS = f"({ELSEWHERE} AND ({_carries_on('n', 'e')} OR {_carries_on('e', 'n')}) AND {FREE})"
+VIEWED = f"""cast(named_struct('type', e.type, 'confidence', if(e.start = n.start AND e.stop = n.stop, greatest(e.confidence, n.confidence), e.confidence),
+    'start', least(e.start, n.start), 'stop', greatest(e.stop, n.stop), 'from_before', if(n.start < e.start, n.from_before, e.from_before), 'goes_on', if(n.stop > e.stop, n.goes_on, e.goes_on),
+    'chunk', e.chunk, 'chunks', array_append(e.chunks, n.chunk), 'tokens', e.tokens) AS {ENTITY})"""
+TOKENS = "map_entries(map_zip_with(map_from_entries(e.tokens), map_from_entries(n.tokens), (k, a, b) -> greatest(coalesce(a, 0D), coalesce(b, 0D))))"
+BOTH = f"""element_at(transform(array(if(size(e.tokens) > 0 AND size(n.tokens) > 0, {TOKENS}, NULL)), t ->
+    cast(named_struct('type', e.type, 'confidence', coalesce(aggregate(t, 0D, (s, x) -> s + x.value) / size(t), (e.confidence + n.confidence) / 2),
+    'start', least(e.start, n.start), 'stop', greatest(e.stop, n.stop), 'from_before', if(n.start < e.start, n.from_before, e.from_before), 'goes_on', if(n.stop > e.stop, n.goes_on, e.goes_on),
+    'chunk', e.chunk, 'chunks', array_append(e.chunks, n.chunk), 'tokens', coalesce(t, e.tokens)) AS {ENTITY})), 1)"""
+
+
+def _where(condition: str) -> str:
+    """The place of the first settled entity of which it holds, from 1; else 0."""
+    return f"coalesce(array_position(transform(kept, (e, i) -> {condition}), true), 0)"
+
+
+def _bound(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-class Entity:
-    """What the views of several chunks agree on so far."""
-
-    def __init__(self, row: dict):
-        self.type, self.confidence, self.start, self.stop = row["type"], row["confidence"], row["start"], row["stop"]
-        self.open_start, self.open_stop = bool(row["truncated_start"]), bool(row["truncated_stop"])
-        self.chunk, self.chunks = row["chunk"], {row["chunk"]}
-        scores = row.get("tokens")
-        self.tokens = None if scores is None else {int(t["token_index"]): float(t["confidence"]) for t in scores}
-
-    @property
-    def clipped(self) -> bool:
-        return self.open_start or self.open_stop
-
-    def inside(self, other: Entity) -> bool:
-        """A clipped view of other: it lies in it and its clipped edges explain what is missing."""
-        if self.start < other.start or self.stop > other.stop:
-            return False
-        missing_start, missing_stop = self.start > other.start, self.stop < other.stop
-        return self.clipped and (self.open_start or not missing_start) and (self.open_stop or not missing_stop)
-
-    def same_as(self, other: Entity) -> bool:
-        shared = min(self.stop, other.stop) - max(self.start, other.start)
-        if self.type != other.type or shared <= 0:
-            return False
-        extent = max(self.stop, other.stop) - min(self.start, other.start)
-        return shared > NEAR * extent or self.inside(other) or other.inside(self)
-
-    def continues(self, other: Entity) -> bool:
-        """other runs out at its chunk's end and this one comes in at its chunk's start, with a common part."""
-        return self.type == other.type and other.open_stop and self.open_start and other.start < self.start < other.stop < self.stop
-
-    def absorb(self, other: Entity) -> None:
-        if (self.start, self.stop) == (other.start, other.stop):
-            self.confidence = max(self.confidence, other.confidence)
-        if other.start < self.start:
-            self.start, self.open_start = other.start, other.open_start
-        if other.stop > self.stop:
-            self.stop, self.open_stop = other.stop, other.open_stop
-        self.chunks.add(other.chunk)
-
-    def join(self, other: Entity) -> None:
-        left, right = (self, other) if self.start < other.start else (other, self)
-        start, stop, edges = left.start, right.stop, (left.open_start, right.open_stop)
-        self.confidence = (self.confidence + other.confidence) / 2
-        if self.tokens and other.tokens:
-            self.tokens = {i: max(self.tokens.get(i, 0.0), other.tokens.get(i, 0.0)) for i in [*self.tokens, *other.tokens]}
-            self.confidence = sum(self.tokens.values()) / len(self.tokens)
-        self.start, self.stop, (self.open_start, self.open_stop) = start, stop, edges
-        self.chunks.add(other.chunk)
-
-
-def rank(e: Entity) -> tuple:
-    length = e.stop - e.start
-    return (e.clipped, -length if e.clipped else -e.confidence, -length, -e.confidence, e.chunk)
-
-
-def merge_views(rows: Iterable[dict]) -> list[Entity]:
-    """Candidates of one segment, in input order."""
-    kept: list[Entity] = []
-    for new in sorted(map(Entity, rows), key=rank):
-        others = [e for e in kept if new.chunk not in e.chunks]
-        if twin := next((e for e in others if e.same_as(new)), None):
-            twin.absorb(new)
-            continue
-        for e in others:
-            if not (new.continues(e) or e.continues(new)):
-                continue
-            lo, hi, chunks = min(e.start, new.start), max(e.stop, new.stop), e.chunks | {new.chunk}
-            if not any(x is not e and x.chunks & chunks and x.start < hi and x.stop > lo for x in kept):
-                e.join(new)
-                break
-        else:
-            kept.append(new)
-    return kept
-
-
-MEMBER = ["ord", "type", "confidence", "start", "stop", "chunk", "truncated_start", "truncated_stop", "tokens"]
+STEP = _bound("t", _where(SAME), f"""CASE WHEN t > 0 THEN transform(kept, (e, i) -> if(i = t - 1, {VIEWED}, e))
+    ELSE {_bound("c", _where(JOINS), f"if(c > 0, transform(kept, (e, i) -> if(i = c - 1, {BOTH}, e)), array_append(kept, n))")} END""")
+SETTLED = f"aggregate(transform(array_sort(members), m -> m.view), cast(array() AS array<{ENTITY}>), (kept, n) -> {STEP})"
 
 
 def merge_chunks(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Merged views of each run of overlapping candidates."""
-    runs = islands(candidates, keys, False, [F.col("start"), F.col("stop"), F.col("ord")]).groupBy(*keys, "island")
-    runs = runs.agg(F.collect_list(F.struct(*MEMBER)).alias("members"), F.min("chunk").alias("least"), F.max("chunk").alias("most"))
-    view = lambda m: F.struct(m["type"].alias("type"), m["confidence"].alias("confidence"), m["start"].cast("int").alias("start"), m["stop"].cast("int").alias("stop"), m["chunk"].cast("int").alias("chunk"), (m["truncated_start"] | m["truncated_stop"]).alias("clipped"))
-    alone = runs.filter(F.col("least") == F.col("most")).select(*keys, F.inline(F.transform("members", view)))
-    several = runs.filter(F.col("least") != F.col("most")).select(*keys, "members")
-    return alone.unionByName(several.mapInArrow(_merge_runs(len(keys)), alone.schema))
-
-
-def _merge_runs(n_keys: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where, rows = [], []
-            for i, members in enumerate(batch.column(n_keys).to_pylist()):
-                for e in merge_views(sorted(members, key=lambda m: m["ord"])):
-                    where.append(i)
-                    rows.append((e.type, e.confidence, e.start, e.stop, e.chunk, e.clipped))
-            kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-            held = [batch.column(k).take(pa.array(where, pa.int64())) for k in range(n_keys)]
-            yield pa.RecordBatch.from_arrays([*held, *columns], [*batch.schema.names[:n_keys], "type", "confidence", "start", "stop", "chunk", "clipped"])
-
-    return run
+    cut = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("truncated_start", "truncated_stop")}
+    clipped, length = cut["truncated_start"] | cut["truncated_stop"], F.col("stop") - F.col("start")
+    tokens = F.transform("tokens", lambda t: F.struct(t["token_index"].cast("int").alias("key"), t["confidence"].cast("double").alias("value")))
+    view = F.struct(
+        "type", F.col("confidence").cast("double").alias("confidence"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"),
+        cut["truncated_start"].alias("from_before"), cut["truncated_stop"].alias("goes_on"), F.col("chunk").cast("int").alias("chunk"), F.array(F.col("chunk").cast("int")).alias("chunks"), tokens.alias("tokens"),
+    ).cast(ENTITY)
+    rank = F.struct(clipped.alias("a"), F.when(clipped, -length.cast("double")).otherwise(-F.col("confidence")).alias("b"), (-length).alias("c"), (-F.col("confidence")).alias("d"), F.col("chunk").alias("e"), F.col("ord").alias("f"))
+    runs = islands(candidates, keys, False, [F.col("start"), F.col("stop"), F.col("ord")])
+    runs = runs.select(*keys, "island", "chunk", F.struct(rank.alias("rank"), view.alias("view")).alias("member")).groupBy(*keys, "island")
+    runs = runs.agg(F.collect_list("member").alias("members"), (F.min("chunk") == F.max("chunk")).alias("alone"))
+    settled = F.when(F.col("alone"), F.transform("members", lambda m: m["view"])).otherwise(F.expr(SETTLED))
+    out = runs.select(*keys, F.inline(settled))
+    return out.select(*keys, "type", "confidence", "start", "stop", "chunk", (F.col("from_before") | F.col("goes_on")).alias("clipped"))
 
 
 def reconcile(candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -69,12 +69,19 @@ def region_is_sound(constituents: str = "constituents"):
     return F.when(F.col(constituents).isNull(), F.lit(True)).otherwise(sound)
 
 
-def overlap_join(spans: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Masks on text pieces: an equi-join on the keys with half-open overlap, clipped to the piece."""
-    s, p = spans.alias("s"), pieces.alias("p")
-    on = [F.col(f"s.{k}") == F.col(f"p.{k}") for k in keys] + [F.col("s.start") < F.col("p.piece_stop"), F.col("p.piece_start") < F.col("s.stop")]
+def overlap_join(spans: DataFrame, pieces: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:
+    """Masks on text pieces: half-open overlap, clipped to the piece.
+
+    Both sides are dealt to buckets of offsets, so a long document is split and meets only what lies near. A pair meets in
+    the bucket where the later of the two starts, and nowhere else.
+    """
+    home = lambda c: F.floor(c / F.lit(width)).cast("long")
+    deal = lambda df, a, b: df.withColumn("_bucket", F.explode(F.sequence(home(F.col(a)), home(F.greatest(F.col(a), F.col(b) - 1)))))
+    s, p = deal(spans, "start", "stop").alias("s"), deal(pieces, "piece_start", "piece_stop").alias("p")
+    on = [F.col(f"s.{k}") == F.col(f"p.{k}") for k in [*keys, "_bucket"]] + [F.col("s.start") < F.col("p.piece_stop"), F.col("p.piece_start") < F.col("s.stop")]
+    later = F.greatest("s.start", "p.piece_start")
     kept = [F.col(f"p.{c}") for c in pieces.columns]
-    return s.join(p, on).select(*kept, F.greatest("s.start", "p.piece_start").alias("start"), F.least("s.stop", "p.piece_stop").alias("stop"))
+    return s.join(p, [*on, home(later) == F.col("s._bucket")]).select(*kept, later.alias("start"), F.least("s.stop", "p.piece_stop").alias("stop"))
 
 
 def fragments(texts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,9 +105,34 @@ def usable(spans: DataFrame, length: str = "n") -> DataFrame:
     return spans.filter(valid_span("start", "stop", length))
 
 
-def box_conflicts(removed: DataFrame, kept: DataFrame, key: str, scale: float) -> DataFrame:
-    """Kept glyph boxes that a removed one covers by more than a pixel in both directions."""
-    r, k = removed.alias("r"), kept.alias("k")
-    across = F.least("r.x1", "k.x1") - F.greatest("r.x0", "k.x0")
-    down = F.least("r.y1", "k.y1") - F.greatest("r.y0", "k.y0")
-    return k.join(r, (F.col(f"r.{key}") == F.col(f"k.{key}")) & (across > 1 / scale) & (down > 1 / scale), "left_semi")
+def box_conflicts(removed: DataFrame, kept: DataFrame, keys: list[str], name: str, scale: float, cell: float = 32.0) -> DataFrame:
+    """Kept glyph boxes (keys, name, x0, y0, x1, y1) that a removed one covers by more than a pixel in both directions.
+
+    Boxes are dealt to the cells of a grid that they touch; a pair meets in the cell of its common part's first corner,
+    so a page of any number of glyphs is no nested loop. cell is about the size of a few glyphs.
+    """
+    home = lambda c: F.floor(c / F.lit(cell)).cast("long")
+    span = lambda a, b: F.explode(F.sequence(home(F.col(a)), home(F.greatest(F.col(a), F.col(b)))))
+    dealt = lambda df: df.withColumn("_across", span("x0", "x1")).withColumn("_down", span("y0", "y1"))
+    r, k = dealt(removed).alias("r"), dealt(kept).alias("k")
+    left, top = F.greatest("r.x0", "k.x0"), F.greatest("r.y0", "k.y0")
+    covered = (F.least("r.x1", "k.x1") - left > 1 / scale) & (F.least("r.y1", "k.y1") - top > 1 / scale)
+    on = [F.col(f"r.{c}") == F.col(f"k.{c}") for c in [*keys, "_across", "_down"]] + [covered, home(left) == F.col("k._across"), home(top) == F.col("k._down")]
+    return k.join(r, on, "left_semi").select(*keys, name).distinct()
+
+
+def restored(decisions: DataFrame, segments: DataFrame, doc: str, order: str) -> DataFrame:
+    """Decisions on a joined document back at their segments: segment_id, start and stop of their own.
+
+    segments: doc, order, segment_id, text; decisions: doc, start, stop, .... Starts of segments and of decisions are merged in
+    one sort, so a document of many segments is no join by ranges. What lies in no single segment (it holds a line
+    feed that joined two, or lies outside) has a null segment_id. Repeated decisions stay apart.
+    """
+    rest = [c for c in decisions.columns if c not in (doc, "start", "stop")]
+    placed = concat_offsets(segments, doc, order).select(doc, F.col("at"), F.lit(0).alias("_kind"), F.struct("segment_id", "at", u16len("text").alias("n")).alias("_home"))
+    asked = decisions.select(doc, F.col("start").cast("long").alias("at"), F.lit(1).alias("_kind"), F.struct("start", "stop", *rest).alias("_row"))
+    w = Window.partitionBy(doc).orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = placed.unionByName(asked, allowMissingColumns=True).withColumn("_in", F.last("_home", ignorenulls=True).over(w)).filter("_kind = 1")
+    fits = F.coalesce((F.col("_row.stop") > F.col("_row.start")) & (F.col("_row.stop") <= F.col("_in.at") + F.col("_in.n")), F.lit(False))
+    local = lambda c: F.when(fits, (F.col(f"_row.{c}") - F.col("_in.at")).cast("int")).alias(c)
+    return both.select(doc, F.when(fits, F.col("_in.segment_id")).alias("segment_id"), local("start"), local("stop"), *[F.col(f"_row.{c}") for c in rest])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import schemas as S
 from .functions import text as X
 from .operators import detect, masking, messages, policy, reconcile, review, spans, tokens
+from .streaming import binding
 
 KEYS = ["doc_id"]
 TYPE_LIST = ", ".join(f"'{x}'" for x in S.PII_TYPES)
@@ -423,9 +424,42 @@ def q_region_malformed(spark, sf_dir):
 def q_box_conflicts(spark, sf_dir):
     """Glyph boxes on pages that a removed box covers by more than a pixel in both directions."""
     e = F.col("event_id")
-    boxes = table(spark, sf_dir, "events").select("event_id", F.floor(e / 40).alias("page"), (e % 3 == 0).alias("removed"), ((e * 37) % 200).cast("double").alias("x0"), ((e * 53) % 100).cast("double").alias("y0"))
-    boxes = boxes.withColumn("x1", F.col("x0") + 5 + F.col("event_id") % 7).withColumn("y1", F.col("y0") + 4 + F.col("event_id") % 5)
-    return spans.box_conflicts(boxes.filter("removed"), boxes.filter("NOT removed"), "page", 2.0).select("event_id", "page")
+    boxes = table(spark, sf_dir, "events").select("event_id", F.floor(e / 500).alias("page"), (e % 3 == 0).alias("removed"), ((e * e * 31 + e * 7919) % 601).cast("double").alias("x0"), ((e * e * 17 + e * 104729) % 797).cast("double").alias("y0"))
+    boxes = boxes.withColumn("x1", F.col("x0") + 10 + e % 7).withColumn("y1", F.col("y0") + 8 + e % 5)
+    return spans.box_conflicts(boxes.filter("removed"), boxes.filter("NOT removed"), ["page"], "event_id", 2.0)
+
+
+def q_piece_masks(spark, sf_dir):
+    """Masks clipped to the pieces of eight units that each whole text is cut into."""
+    docs = docs_of(spark, sf_dir)
+    sized = docs.select("doc_id", X.u16len("text").alias("n")).filter("n > 0")  # before the explosion, so once a text
+    pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 8).cast("int"))).alias("piece"))
+    pieces = pieces.select("doc_id", "piece", (F.col("piece") * 8).alias("piece_start"), F.least(F.col("piece") * 8 + 8, "n").alias("piece_stop"))
+    return spans.overlap_join(synthetic(docs).select("doc_id", "start", "stop"), pieces, KEYS).select("doc_id", "piece", "start", "stop")
+
+
+def q_restored_decisions(spark, sf_dir):
+    """Decisions on whole conversations back at their turns: three for each turn, one of them over its end."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").cast("string").alias("segment_id"), "text")
+    placed = spans.concat_offsets(turns, "conv_id", "turn")
+    n, at = X.u16len("text"), F.col("at").cast("int")
+    made = placed.select("conv_id", F.inline(F.array(*[F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), F.lit(t).alias("type")) for a, b, t in ((at, at + n, "PERSON"), (at + F.floor(n / 2), at + n, "PHONE"), (at + F.floor(n / 2), at + n + 1, "PHONE"))])))
+    return spans.restored(made, turns, "conv_id", "turn").select("conv_id", "segment_id", "start", "stop", "type")
+
+
+def q_bound_work(spark, sf_dir):
+    """Whether results may still be written: events of a user as its tab, in five conversations and with moves between."""
+    e = F.col("event_id")
+    kind = F.when(e % 7 == 3, "move").when(e % 2 == 0, "start").otherwise("finish")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("tab"), e.alias("seq"), e.alias("ts"), kind.alias("kind"), (e % 3).cast("string").alias("work"), (e % 4).cast("string").alias("url"), F.when(e % 5 > 0, (e % 2).cast("string")).alias("conversation"))
+    return binding.verdicts_batch(rows)
+
+
+def q_routed_messages(spark, sf_dir):
+    """Messages that the background takes, with the owner that their sender gives; claims are dropped."""
+    e, none = F.col("event_id"), F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(e % 5 > 0, "ext").when(e % 2 == 0, "other").alias("sender"), F.when(e % 3 == 0, e.cast("string")).otherwise(none).alias("context"), (e % 7).alias("tab"), F.lit(0).alias("frame"), F.when(e % 2 == 0, F.concat(F.lit("d"), e.cast("string"))).otherwise(none).alias("document"), F.concat(F.lit("https://x.example/"), (e % 5).cast("string")).alias("url"), F.lit("forged").alias("claimed"))
+    return binding.routed(rows, "ext", "background", "bg.js").select("event_id", "owner")
 
 
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -460,7 +494,32 @@ def wide_ext_sql() -> str:
     return "[" + ", ".join(f"'{x}'" for x in [*S.KIND_BY_EXTENSION, "exe", "markdown"]) + "]"
 
 
+def reconcile_sql() -> str:
+    """The ranked pass by recursion: each document's candidates one by one against what is settled."""
+    inside = lambda x, y: f"({x}.s >= {y}.s AND {x}.t <= {y}.t AND ({x}.fb OR {x}.go) AND ({x}.fb OR {x}.s = {y}.s) AND ({x}.go OR {x}.t = {y}.t))"
+    after = lambda x, y: f"({y}.go AND {x}.fb AND {y}.s < {x}.s AND {x}.s < {y}.t AND {y}.t < {x}.t)"
+    other = "NOT list_contains(e.cs, c.ch) AND e.ty = c.ty"
+    shared, extent = "(least(e.t, c.t) - greatest(e.s, c.s))", "(greatest(e.t, c.t) - least(e.s, c.s))"
+    same = f"({other} AND {shared} > 0 AND ({shared} > 0.8 * {extent} OR {inside('e', 'c')} OR {inside('c', 'e')}))"
+    free = "len(list_filter(kept, lambda x, j: j <> i AND list_has_any(x.cs, list_append(e.cs, c.ch)) AND x.s < greatest(e.t, c.t) AND x.t > least(e.s, c.s))) = 0"
+    joins = f"({other} AND ({after('c', 'e')} OR {after('e', 'c')}) AND {free})"
+    place = lambda test: f"coalesce(list_position(list_transform(kept, lambda e, i: {test}), true), 0)"
+    wider = lambda score: f"struct_pack(ty := e.ty, cf := {score}, s := least(e.s, c.s), t := greatest(e.t, c.t), fb := CASE WHEN c.s < e.s THEN c.fb ELSE e.fb END, go := CASE WHEN c.t > e.t THEN c.go ELSE e.go END, ch := e.ch, cs := list_append(e.cs, c.ch))"
+    view = wider("CASE WHEN e.s = c.s AND e.t = c.t THEN greatest(e.cf, c.cf) ELSE e.cf END")
+    return f"""ranked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cut, CASE WHEN cut THEN (start - stop)::DOUBLE ELSE -confidence END, start - stop, -confidence, chunk, ord) AS k,
+        struct_pack(ty := type, cf := confidence::DOUBLE, s := start::BIGINT, t := stop::BIGINT, fb := fb, go := go, ch := chunk::BIGINT, cs := [chunk::BIGINT]) AS c
+        FROM (SELECT *, clipped AS fb, ord % 3 = 1 AND clipped AS go, clipped AS cut FROM syn)),
+    steps AS (SELECT doc_id, k, kept FROM (SELECT doc_id, 1::BIGINT AS k, [c] AS kept FROM ranked WHERE k = 1)
+        UNION ALL SELECT doc_id, k, CASE WHEN tw > 0 THEN list_transform(kept, lambda e, i: CASE WHEN i = tw THEN {view} ELSE e END)
+            WHEN on_ > 0 THEN list_transform(kept, lambda e, i: CASE WHEN i = on_ THEN {wider('(e.cf + c.cf) / 2')} ELSE e END) ELSE list_append(kept, c) END
+        FROM (SELECT doc_id, k, kept, c, {place(same)} AS tw, {place(joins)} AS on_ FROM (SELECT r.doc_id, r.k, kept, c FROM steps JOIN ranked r ON r.doc_id = steps.doc_id AND r.k = steps.k + 1))),
+    merged AS (SELECT doc_id, unnest(arg_max(kept, k)) AS e FROM steps GROUP BY doc_id),
+    flat AS (SELECT doc_id, e.ty AS type, e.cf AS confidence, e.s AS start, e.t AS stop, e.ch AS chunk, e.fb OR e.go AS clipped FROM merged)"""
+
+
 ORACLES = {
+    "dedup_regions": f"""WITH RECURSIVE {SYN}, {reconcile_sql()}, {island_sql(False, order="start, stop, " + RANK, source="flat")}
+        SELECT doc_id, arg_min(type, ({RANK})) AS type, arg_min(confidence, ({RANK})) AS confidence, min(start)::INT AS start, max(stop)::INT AS stop, CASE WHEN count(*) > 1 THEN count(*) ELSE 0 END::INT AS n_constituents FROM isl GROUP BY doc_id, island""",
     "detect_spans": f"WITH {rule_sql()} SELECT * FROM det",
     "policy_split": f"WITH {SYN}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, start, stop ORDER BY ord) AS r FROM syn WHERE start >= 0 AND stop <= n) SELECT doc_id, CASE WHEN type IN ({AUTO_LIST}) THEN 'AUTO_MASK' ELSE 'CONFIRM' END AS policy, count(*) AS items, min(start) AS first, max(stop) AS last FROM k WHERE r = 1 GROUP BY ALL",
     "scan_summary": f"WITH {SYN} SELECT doc_id, count(*) AS found, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM syn GROUP BY doc_id",
@@ -545,6 +604,15 @@ ORACLES = {
         u AS (SELECT doc_id, unnest(c) AS x, generate_subscripts(c, 1) AS k FROM m),
         v AS (SELECT doc_id, k, x[1] AS a, x[2] AS b, x[3] AS p, max(x[2]) OVER (PARTITION BY doc_id ORDER BY x[1], k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM u)
         SELECT doc_id, count(*) >= 2 AND min(a) = 0 AND max(b) = 20 AND bool_and(p <= 100 AND b > a AND (top IS NULL AND a = 0 OR a < top)) AS sound FROM v GROUP BY doc_id""",
-    "box_conflicts": "WITH b AS (SELECT event_id, event_id // 40 AS page, event_id % 3 = 0 AS removed, (event_id * 37) % 200 AS x0, (event_id * 53) % 100 AS y0, (event_id * 37) % 200 + 5 + event_id % 7 AS x1, (event_id * 53) % 100 + 4 + event_id % 5 AS y1 FROM events) SELECT event_id, page FROM b k WHERE NOT removed AND EXISTS (SELECT 1 FROM b r WHERE r.removed AND r.page = k.page AND least(r.x1, k.x1) - greatest(r.x0, k.x0) > 0.5 AND least(r.y1, k.y1) - greatest(r.y0, k.y0) > 0.5)",
+    "box_conflicts": "WITH b AS (SELECT event_id, event_id // 500 AS page, event_id % 3 = 0 AS removed, (event_id * event_id * 31 + event_id * 7919) % 601 AS x0, (event_id * event_id * 17 + event_id * 104729) % 797 AS y0 FROM events), c AS (SELECT *, x0 + 10 + event_id % 7 AS x1, y0 + 8 + event_id % 5 AS y1 FROM b) SELECT page, event_id FROM c k WHERE NOT removed AND EXISTS (SELECT 1 FROM c r WHERE r.removed AND r.page = k.page AND least(r.x1, k.x1) - greatest(r.x0, k.x0) > 0.5 AND least(r.y1, k.y1) - greatest(r.y0, k.y0) > 0.5)",
+    "piece_masks": f"WITH {SYN}, p AS (SELECT doc_id, n, unnest(range((n - 1) // 8 + 1)) AS piece FROM base) SELECT p.doc_id, piece, greatest(start, piece * 8)::INT AS start, least(stop, piece * 8 + 8, p.n)::INT AS stop FROM p JOIN syn s ON s.doc_id = p.doc_id AND s.start < least(piece * 8 + 8, p.n) AND piece * 8 < s.stop",
+    "restored_decisions": """WITH t AS (SELECT conv_id, turn::VARCHAR AS segment_id, length(text)::INT AS n FROM conversations)
+        SELECT conv_id, segment_id, 0::INT AS start, n AS stop, 'PERSON' AS type FROM t WHERE n > 0 UNION ALL SELECT conv_id, segment_id, (n // 2)::INT, n, 'PHONE' FROM t WHERE n > 0
+        UNION ALL SELECT conv_id, NULL, NULL, NULL, 'PHONE' FROM t UNION ALL SELECT conv_id, NULL, NULL, NULL, unnest(['PERSON', 'PHONE']) FROM t WHERE n = 0""",
+    "bound_work": """WITH e AS (SELECT user_id AS tab, event_id AS seq, CASE WHEN event_id % 7 = 3 THEN 'move' WHEN event_id % 2 = 0 THEN 'start' ELSE 'finish' END AS kind, (event_id % 3)::VARCHAR AS work, event_id % 4 AS url, CASE WHEN event_id % 5 > 0 THEN event_id % 2 END AS conv FROM events),
+        f AS (SELECT f.*, (SELECT max(b.seq) FROM e b WHERE b.tab = f.tab AND b.work = f.work AND b.kind <> 'move' AND b.seq < f.seq) AS prior FROM e f WHERE kind = 'finish')
+        SELECT f.tab, f.work, f.seq, CASE WHEN b.kind IS DISTINCT FROM 'start' THEN 'unknown' WHEN EXISTS (SELECT 1 FROM e m WHERE m.tab = f.tab AND m.kind = 'move' AND m.seq > b.seq AND m.seq < f.seq) THEN 'moved'
+          WHEN b.url = f.url AND b.conv IS NOT DISTINCT FROM f.conv THEN 'write' ELSE 'elsewhere' END AS verdict FROM f LEFT JOIN e b ON b.seq = f.prior""",
+    "routed_messages": """SELECT event_id, '["ext","' || CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE '' END || '","' || (event_id % 7)::VARCHAR || '","0","' || CASE WHEN event_id % 2 = 0 THEN 'd' || event_id ELSE '' END || '","' || CASE WHEN event_id % 3 > 0 AND event_id % 2 > 0 THEN 'https://x.example/' || (event_id % 5) ELSE '' END || '"]' AS owner FROM events WHERE event_id % 5 > 0""",
     "same_text_key": r"SELECT doc_id, md5(regexp_replace(text, '\s', '', 'g')) AS key_md5, length(text) AS units FROM documents",
 }

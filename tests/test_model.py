@@ -73,10 +73,10 @@ def test_more_scalars(spark):
 
 
 def test_boxes_and_glyphs(spark):
-    box = "page string, x0 double, y0 double, x1 double, y1 double"
-    kept = spark.createDataFrame([("p", 0.0, 0.0, 4.0, 4.0), ("p", 9.0, 0.0, 12.0, 4.0)], box)
-    gone = spark.createDataFrame([("p", 3.0, 1.0, 9.4, 3.0)], box)
-    assert [r.x0 for r in spans.box_conflicts(gone, kept, "page", 2.0).collect()] == [0.0]
+    box = "page string, name string, x0 double, y0 double, x1 double, y1 double"
+    kept = spark.createDataFrame([("p", "a", 0.0, 0.0, 4.0, 4.0), ("p", "b", 9.0, 0.0, 12.0, 4.0)], box)
+    gone = spark.createDataFrame([("p", "c", 3.0, 1.0, 9.4, 3.0)], box)
+    assert [r.name for r in spans.box_conflicts(gone, kept, ["page"], "name", 2.0).collect()] == ["a"]
     glyphs = [("a", 0, 1, 0.0, 0.0, 1.0, 1.0), ("b", 1, 2, 1.0, 0.0, 2.0, 1.0), ("c", 2, 3, 2.0, 0.0, 3.0, 1.0)]
     pages = spark.createDataFrame([("d", "page-1", "abc", glyphs)], pdf.GLYPHS)
     masks = spark.createDataFrame([("d", "page-1", [(1, 2)])], "doc_id string, segment_id string, spans array<struct<start:int,stop:int>>")

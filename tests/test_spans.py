@@ -4,6 +4,7 @@ import random
 import zipfile
 from io import BytesIO
 
+import greedy
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,21 +65,62 @@ def test_union_rules(spark):
 
 
 def test_reconcile_in_runs_is_reconcile_as_a_whole(spark):
-    """Runs of overlapping candidates by themselves give what one pass over the segment gives."""
+    """All runs at once give what one ranked pass over the segment gives, scores of tokens included."""
     rng = random.Random(3)
     rows = []
-    for d in range(40):
+    for d in range(400):
         for i in range(rng.randrange(14)):
             a = rng.randrange(60)
-            rows.append((d, i, rng.choice(["PERSON", "PHONE"]), rng.randrange(100) / 100, a, a + rng.randrange(1, 12), rng.randrange(3), rng.random() < 0.3, rng.random() < 0.3))
-    names = ["doc_id", "ord", "type", "confidence", "start", "stop", "chunk", "truncated_start", "truncated_stop"]
-    table = spark.createDataFrame(rows, "doc_id long, ord int, type string, confidence double, start int, stop int, chunk int, truncated_start boolean, truncated_stop boolean").withColumn("tokens", F.lit(None).cast("array<struct<token_index:int,confidence:double>>"))
-    got = sorted(tuple(r) for r in reconcile.merge_chunks(table, ["doc_id"]).collect())
+            rows.append((d, i, rng.choice(["PERSON", "PHONE"]), rng.randrange(100) / 100, a, a + rng.randrange(1, 12), rng.randrange(3), rng.random() < 0.4, rng.random() < 0.4, [(k, rng.random()) for k in range(a, a + rng.randrange(4))] if d % 2 else None))
+    names = ["doc_id", "ord", "type", "confidence", "start", "stop", "chunk", "truncated_start", "truncated_stop", "tokens"]
+    table = spark.createDataFrame(rows, "doc_id long, ord int, type string, confidence double, start int, stop int, chunk int, truncated_start boolean, truncated_stop boolean, tokens array<struct<token_index:int,confidence:double>>")
+    near = lambda r: (*r[:2], round(r[2], 9), *r[3:])
+    got = sorted(near(tuple(r)) for r in reconcile.merge_chunks(table, ["doc_id"]).collect())
     want = []
-    for d in range(40):
+    for d in range(400):
         own = [dict(zip(names, r, strict=True)) for r in rows if r[0] == d]
-        want += [(d, e.type, e.confidence, e.start, e.stop, e.chunk, e.clipped) for e in reconcile.merge_views(own)]
-    assert got == sorted(want)
+        for v in own:
+            v["tokens"] = None if v["tokens"] is None else [{"token_index": k, "confidence": c} for k, c in v["tokens"]]
+        want += [(d, e.type, round(e.confidence, 9), e.start, e.stop, e.chunk, e.clipped) for e in greedy.merge_views(own)]
+    assert [(*r[:1], *r[1:]) for r in got] == sorted((d, t, c, a, b, k, x) for d, t, c, a, b, k, x in want)
+
+
+def test_overlaps_meet_in_buckets(spark):
+    """Any width gives the same pairs; a document of many pieces is no nested loop."""
+    rng = random.Random(4)
+    mark = lambda n: [(d, i, a, a + rng.choice((0, 1, 3, 40))) for d in range(3) for i in range(n) for a in [rng.randrange(200)]]
+    one, two = mark(60), mark(50)
+    masks = spark.createDataFrame([(d, a, b) for d, _, a, b in one], "doc_id int, start int, stop int")
+    pieces = spark.createDataFrame(two, "doc_id int, piece int, piece_start int, piece_stop int")
+    want = sorted((d, i, max(a, x), min(b, y)) for d, _, a, b in one for e, i, x, y in two if d == e and a < y and x < b)
+    for width in (1, 7, 4096):
+        got = spans.overlap_join(masks, pieces, ["doc_id"], width).select("doc_id", "piece", "start", "stop").collect()
+        assert sorted(map(tuple, got)) == want
+    long = spark.range(300_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 4).cast("int").alias("piece_start"), (F.col("id") * 4 + 4).cast("int").alias("piece_stop"))
+    cuts = spark.range(300_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 4 + 2).cast("int").alias("start"), (F.col("id") * 4 + 6).cast("int").alias("stop"))
+    assert spans.overlap_join(cuts, long, ["doc_id"]).count() == 599_999
+
+
+def test_boxes_meet_in_cells(spark):
+    rng = random.Random(5)
+    rows = [(p, i, i % 4 == 0, x, y, x + rng.choice((0.0, 3.0, 9.0, 90.0)), y + rng.choice((2.0, 8.0, 40.0))) for p in range(2) for i in range(150) for x, y in [(rng.randrange(-40, 200) / 2, rng.randrange(-40, 200) / 2)]]
+    table = spark.createDataFrame(rows, "page int, name int, gone boolean, x0 double, y0 double, x1 double, y1 double")
+    over = lambda r, k: min(r[5], k[5]) - max(r[3], k[3]) > 0.5 and min(r[6], k[6]) - max(r[4], k[4]) > 0.5
+    want = sorted(k[:2] for k in rows if not k[2] and any(r[2] and r[0] == k[0] and over(r, k) for r in rows))
+    for cell in (3.0, 32.0, 1e6):
+        got = spans.box_conflicts(table.filter("gone"), table.filter("not gone"), ["page"], "name", 2.0, cell).collect()
+        assert sorted(map(tuple, got)) == want and want
+    grid = spark.range(100_000).select(F.lit(1).alias("page"), F.col("id").alias("name"), (F.col("id") % 300 * 10).cast("double").alias("x0"), (F.floor(F.col("id") / 300) * 10).cast("double").alias("y0"))
+    grid = grid.withColumn("x1", F.col("x0") + 9).withColumn("y1", F.col("y0") + 9)
+    assert spans.box_conflicts(grid.filter("name % 2 = 0").withColumn("x1", F.col("x1") + 5), grid.filter("name % 2 = 1"), ["page"], "name", 2.0).count() == 50_000
+
+
+def test_decisions_return_to_their_segments(spark):
+    segments = spark.createDataFrame([(1, 0, "a", "ab"), (1, 1, "b", ""), (1, 2, "c", "😀d"), (2, 0, "a", "xyz")], "doc int, ord int, segment_id string, text string")
+    asked = [(1, 0, 2, "p"), (1, 0, 2, "p"), (1, 1, 3, "over"), (1, 4, 6, "q"), (1, 4, 7, "r"), (1, 7, 9, "out"), (1, 3, 3, "none"), (2, 1, 2, "s"), (3, 0, 1, "lost")]
+    got = spans.restored(spark.createDataFrame(asked, "doc int, start int, stop int, type string"), segments, "doc", "ord").collect()
+    want = [(1, "a", 0, 2, "p"), (1, "a", 0, 2, "p"), (1, None, None, None, "over"), (1, "c", 0, 2, "q"), (1, "c", 0, 3, "r"), (1, None, None, None, "out"), (1, None, None, None, "none"), (2, "a", 1, 2, "s"), (3, None, None, None, "lost")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
 def test_regions_and_expansion(spark):
@@ -118,13 +160,13 @@ def view(kind, a, b, c=0.9, chunk=0, s=False, e=False, scores=None):
 
 
 def test_merge_views():
-    got = reconcile.merge_views([view("PERSON", 10, 12, 0.99, 0, e=True), view("PERSON", 10, 20, 0.8, 1), view("PERSON", 10, 20, 0.95, 2), view("PERSON", 18, 20, 0.7, 3, s=True)])
+    got = greedy.merge_views([view("PERSON", 10, 12, 0.99, 0, e=True), view("PERSON", 10, 20, 0.8, 1), view("PERSON", 10, 20, 0.95, 2), view("PERSON", 18, 20, 0.7, 3, s=True)])
     assert [(e.start, e.stop, e.confidence) for e in got] == [(10, 20, 0.95)]
-    got = reconcile.merge_views([view("PERSON", 0, 10, 0.9, 0, e=True), view("PERSON", 8, 20, 0.9, 1, s=True), view("PERSON", 20, 30, 0.8, 1)])
+    got = greedy.merge_views([view("PERSON", 0, 10, 0.9, 0, e=True), view("PERSON", 8, 20, 0.9, 1, s=True), view("PERSON", 20, 30, 0.8, 1)])
     assert sorted((e.start, e.stop) for e in got) == [(0, 20), (20, 30)]
     left = [{"token_index": i, "confidence": c} for i, c in ((0, 0.6), (1, 0.7), (2, 0.8))]
     right = [{"token_index": i, "confidence": c} for i, c in ((2, 0.9), (3, 1.0))]
-    (one,) = reconcile.merge_views([view("PERSON", 0, 3, 0.7, 0, e=True, scores=left), view("PERSON", 2, 4, 0.95, 1, s=True, scores=right)])
+    (one,) = greedy.merge_views([view("PERSON", 0, 3, 0.7, 0, e=True, scores=left), view("PERSON", 2, 4, 0.95, 1, s=True, scores=right)])
     assert (one.start, one.stop) == (0, 4) and abs(one.confidence - (0.6 + 0.7 + 0.9 + 1) / 4) < 1e-12
 
 
@@ -133,7 +175,7 @@ def test_merge_views():
 def test_merged_views_cover_what_the_candidates_cover(rows):
     views = [view(k, a, a + n, 0.5 + a / 100, c, s, e) for k, a, n, c, s, e in rows]
     cover = lambda xs: {i for a, b in xs for i in range(a, b)}
-    assert cover((e.start, e.stop) for e in reconcile.merge_views(views)) == cover((v["start"], v["stop"]) for v in views)
+    assert cover((e.start, e.stop) for e in greedy.merge_views(views)) == cover((v["start"], v["stop"]) for v in views)
 
 
 def test_masking_ignores_input_order(spark):
