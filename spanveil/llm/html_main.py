@@ -3,13 +3,15 @@
 A page's text falls on root-to-leaf tag paths. Each path gets two ratios: text length per node and
 punctuation per node. Both are smoothed along the page over the neighbouring paths' nodes, fused into one
 value, and the nodes of paths above a threshold are content, wherever they stand: no tag name makes an article.
-Links weigh nothing. Elements that by tag or role are navigation, header, footer, sidebar, notice, advert, form or
-comment weigh nothing either; those that are so by class or id only are taken back if they hold half of the page's
-text or more in several blocks or below a heading, as wrappers named for what stands beside them do.
+Links weigh nothing. Elements that by tag or role are navigation, header, footer, sidebar, notice or advert weigh nothing
+either; forms, and those that are so by class or id only, are taken back if they hold half of the page's text or more in
+several blocks or below a heading, as wrappers named for what stands beside them do. Names count as whole words, with
+words of layout at most, and only on elements that lay out a page.
 
 Thin blocks are added where they belong to content nodes: within the deepest element that holds nine tenths of the
 content, the nearest element around a block that holds any content decides. If that is mostly content, a heading in it
-is added, and so is any block that stands directly in it beside content.
+is added, and so is any block that stands directly in it beside content. Tables, lists and the like that stand in it are added
+whole if they are no list of links; a paragraph of links is, if it stands between two blocks of content.
 
 A null or empty page has an empty text. Broken markup never fails: unclosed elements end with their
 parents, stray end tags are ignored, an unended tag or comment runs to the end, what can't stand in a head ends it.
@@ -35,7 +37,7 @@ from .common import documents, lean, without
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea title object select canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-OUTSIDE = frozenset("nav footer aside form button dialog menu head fieldset".split())
+OUTSIDE = frozenset("nav footer aside button dialog menu head".split())
 #: Start tags that end an open element of the listed names, up to the nearest of the stop names.
 ENDS = {
     **dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split(), ({"p"}, {"div", "section", "article", "td", "th", "li", "blockquote", "body", "table"})),
@@ -48,7 +50,10 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-HINTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: A class or id of these words, alone or with words of layout, names what stands beside an article; other words make it a name of something else.
+HINT = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget", re.I)
+LAYOUT = frozenset("a area article articles b bar block bottom box button buttons c col column container content footer form global group header icons inner item items layout left legal like link links list main map mobile outer page panel post posts primary region right row secondary section site stories sticky sub tools top topic topics top wrap wrapper".split())
+WORDS = re.compile(r"[_\-]+|(?<=[a-z])(?=[A-Z])|[0-9]+")
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
@@ -56,6 +61,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert dial
 IN_HEAD = RAW | VOID | {"head", "html"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAVES = HEADINGS | {"p", "li", "td"}
+#: What stands in an article as a whole, with its short cells and items.
+PARTS = frozenset("table ul ol dl figure blockquote pre details".split())
+#: Elements whose names say what they are about, not where they stand.
+NAMED_FOR_TEXT = LEAVES | PARTS - {"ul", "ol"} | {"html", "body", "article", "main", "dt", "dd", "th"}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟،]")
 SPACE = re.compile(r"\s+")
 
@@ -82,7 +91,7 @@ class Page:
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, str]] = []  # name, mark: "", "tag" or "name"
         self.elements = [0]  # the open ones that are not inline
-        self.open, self.marked, self.in_link = Counter(), Counter(), 0
+        self.open, self.marked, self.in_link = defaultdict(list), Counter(), 0  # places of each name in the stack
         self.buffer: list[str] = []
         self.linked, self.path_ids = 0, {}
         self._read(page)
@@ -96,7 +105,7 @@ class Page:
             self.paths.append(self.path_ids.setdefault((self.paths[above], name), len(self.path_ids) + 1))
             self.named.append(mark == "name")
         self.stack.append((name, mark))
-        self.open[name] += 1
+        self.open[name].append(len(self.stack) - 1)
         self.marked[mark] += 1
         self.in_link += name == "a"
 
@@ -104,7 +113,7 @@ class Page:
         name, mark = self.stack.pop()
         if name not in INLINE:
             self.elements.pop()
-        self.open[name] -= 1
+        self.open[name].pop()
         self.marked[mark] -= 1
         self.in_link -= name == "a"
         return name
@@ -129,10 +138,8 @@ class Page:
             while self._pop() != "head":
                 pass
         closes, stops = ENDS.get(name, ((), ()))
-        while any(self.open[x] for x in closes):
-            k = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] in closes or self.stack[i][0] in stops), -1)
-            if k < 0 or self.stack[k][0] not in closes:
-                break
+        last = lambda names: max((self.open[x][-1] for x in names if self.open[x]), default=-1)
+        while (k := last(closes)) > last(stops):
             while len(self.stack) > k:
                 self._pop()
 
@@ -182,7 +189,18 @@ class Page:
         named = [next(filter(None, m), "") for m in NAMES.findall(attributes)] if "=" in attributes else []
         if name in OUTSIDE or (attributes and HIDDEN.search(attributes)) or any(x.lower() in ROLES for x in named) or (name == "header" and not self.open["article"]):
             return "tag"
-        return "name" if name not in ("html", "body", "article", "main") and any(HINTS.search(x) for x in named) else ""
+        if name in ("form", "fieldset"):
+            return "name"
+        return "name" if name not in NAMED_FOR_TEXT and any(map(beside, named)) else ""
+
+
+def beside(names: str) -> bool:
+    """Whether one of the names, words between blanks, is of something beside an article."""
+    for name in names.split():
+        words = [w for w in WORDS.split(name) if w]
+        if any(HINT.fullmatch(w) for w in words) and all(HINT.fullmatch(w) or w.lower() in LAYOUT for w in words):
+            return True
+    return False
 
 
 def smooth(values: list[float], radius: int = 2) -> list[float]:
@@ -261,16 +279,39 @@ def with_thin(page: Page, may: list[bool], chosen: list[bool]) -> list[bool]:
     nearest = [0] * n
     for e in range(1, n):
         nearest[e] = e if content[e] else nearest[page.parents[e]]
+    part, sizes, first, last = parts_of(page, content), defaultdict(lambda: [0, 0]), {}, {}
+    for i, (b, m, c) in enumerate(zip(page.blocks, may, chosen, strict=True)):
+        if m:
+            sizes[part[b.node]][0] += b.own
+            sizes[part[b.node]][1] += len(b.text)
+        if c:
+            for e in (b.node, page.parents[b.node]):
+                first.setdefault(e, i)
+                last[e] = i
     out = []
-    for b, m, c in zip(page.blocks, may, chosen, strict=True):
-        e = nearest[b.node]
-        if m and not c and within[b.node] and b.own * 2 >= len(b.text) and 2 * content[e] >= every[e]:
-            tag = page.tags[b.node]
-            c = tag in HEADINGS or (e in (b.node, page.parents[b.node]) and direct[e] > 0 and tag != "div")
+    for i, (b, m, c) in enumerate(zip(page.blocks, may, chosen, strict=True)):
+        e, tag, p = nearest[b.node], page.tags[b.node], part[b.node]
+        if m and not c and within[b.node] and 2 * content[e] >= every[e]:
+            beside_it = e in (b.node, page.parents[b.node]) and direct[e] > 0
+            if b.own * 2 >= len(b.text):
+                c = tag in HEADINGS or (beside_it and tag != "div")
+            elif tag == "p":
+                c = beside_it and first.get(e, i) < i < last.get(e, i)
+            if not c and p:
+                c = direct[page.parents[p]] > 0 and 2 * sizes[p][0] >= sizes[p][1]
         out.append(c)
     return out
 
 
+def parts_of(page: Page, content: list[int]) -> list[int]:
+    """For each element the part (table, list, ...) that it is in or is, the outermost below an element with content; 0: none."""
+    part = [0] * len(page.tags)
+    for e in range(1, len(page.tags)):
+        up = page.parents[e]
+        part[e] = part[up] or (e if page.tags[e] in PARTS and content[up] else 0)
+    return part
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
