@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once for the row, wherever and how often body uses it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def utf16(text: Column | str) -> Column:
     return F.encode(_c(text), "UTF-16BE")
 
@@ -19,30 +26,44 @@ def utf16(text: Column | str) -> Column:
 def u16len(text: Column | str) -> Column:
     """Length in UTF-16 code units: the code points and once more those beyond the basic plane."""
     text = _c(text)
-    return (F.length(text) + F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", ""))).cast("int")
+    return (F.length(text) + F.when(has_pairs(text), F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", ""))).otherwise(0)).cast("int")
 
 
 def has_pairs(text: Column | str) -> Column:
     """Whether a text has characters of two UTF-16 units; in all others units and code points are the same."""
-    return _c(text).rlike("[\\x{10000}-\\x{10FFFF}]")
+    text = _c(text)
+    return (F.octet_length(text) > F.length(text)) & text.rlike("[\\x{10000}-\\x{10FFFF}]")
+
+
+def units_of(text: Column | str) -> Column:
+    """What unit_slice() and unit_splits() need of a text, to be bound once for all its slices."""
+    text = _c(text)
+    return F.struct(text.alias("text"), has_pairs(text).alias("pairs"), F.when(has_pairs(text), utf16(text)).alias("raw"))
 
 
 def u16slice(text: Column | str, start: Column | str, stop: Column | str) -> Column:
     """The text from start to stop, in units; half a pair at an end becomes the replacement character."""
-    text, start, stop = _c(text), _c(start), _c(stop)
-    raw = F.substring(utf16(text), 2 * start + 1, 2 * (stop - start))
+    return bind(units_of(text), lambda units: unit_slice(units, _c(start), _c(stop)))
+
+
+def unit_slice(units: Column, start: Column, stop: Column) -> Column:
+    raw = F.substring(units["raw"], 2 * start + 1, 2 * (stop - start))
     size = F.octet_length(raw)
     unit = lambda at: F.hex(F.substring(raw, at, F.lit(2)))
     low, high = unit(F.lit(1)).between("DC00", "DFFF"), (size > 0) & unit(size - 1).between("D800", "DBFF")
     mark = lambda half: F.when(half, "\ufffd").otherwise("")
     whole = F.decode(F.substring(raw, F.when(low, 3).otherwise(1), size - F.when(low, 2).otherwise(0) - F.when(high, 2).otherwise(0)), "UTF-16BE")
-    return F.when(has_pairs(text), F.concat(mark(low), whole, mark(high))).otherwise(F.substring(text, start + 1, stop - start))
+    return F.when(units["pairs"], F.concat(mark(low), whole, mark(high))).otherwise(F.substring(units["text"], start + 1, stop - start))
 
 
 def splits_pair(text: Column | str, offset: Column | str) -> Column:
     """Whether offset falls between the two halves of a surrogate pair."""
-    unit = F.hex(F.substring(utf16(text), 2 * _c(offset) + 1, F.lit(2)))
-    return (_c(offset) > 0) & unit.between("DC00", "DFFF")
+    return bind(units_of(text), lambda units: unit_splits(units, _c(offset)))
+
+
+def unit_splits(units: Column, offset: Column) -> Column:
+    unit = F.hex(F.substring(units["raw"], 2 * offset + 1, F.lit(2)))
+    return units["pairs"] & (offset > 0) & unit.between("DC00", "DFFF")
 
 
 def safe_boundary(text: Column | str, offset: Column | str, is_stop: bool) -> Column:

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.text import alias_label, u16len, u16slice, valid_span
+from ..functions.text import alias_label, bind, u16len, unit_slice, units_of, valid_span
+
 
+def _rewritten(units: Column, n: Column, items: Column, put) -> Column:
+    """The text with each item's span replaced: what lies before each item, and its replacement, joined once."""
+    before = lambda i: F.when(i == 0, 0).otherwise(F.element_at(items, i)["stop"])
+    parts = F.transform(items, lambda x, i: F.concat(unit_slice(units, before(i), x["start"]), put(x)))
+    return F.concat(F.array_join(parts, ""), unit_slice(units, F.element_at(items, -1)["stop"], n))
 
-def _rewritten(text: str, items: str, put) -> Column:
-    """The text with each item's span replaced, left to right."""
-    cut = lambda a, b: u16slice(text, a, b)
-    done = F.aggregate(
-        F.col(items),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["out"], cut(acc["at"], x["start"]), put(x)).alias("out"), x["stop"].alias("at")),
-    )
-    return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.col(text)).otherwise(F.concat(done["out"], cut(done["at"], u16len(text))))
+
+def _masked(text: str, items: Callable[[Column, Column], Column], put) -> Column:
+    """items(units, n) of the row replaced; a text without any as it is. Everything is worked out once a row."""
+    done = bind(units_of(text), lambda u: bind(u16len(text), lambda n: bind(items(u, n), lambda x: F.when(F.size(x) > 0, _rewritten(u, n, x, put)))))
+    return F.coalesce(F.when(F.size("_spans") > 0, done), F.col(text))
 
 
 def united(items: Column, touching: bool) -> Column:
@@ -39,14 +43,16 @@ def united(items: Column, touching: bool) -> Column:
     return F.aggregate(ordered, start, step, lambda acc: F.when(acc["open"]["stop"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
 
-def numbered(islands: str, text: str) -> Column:
+def numbered(islands: Column, units: Column) -> Column:
     """Islands with their alias: numbered by type in order of first appearance of the covered text."""
-    valued = F.transform(F.col(islands), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["type"].alias("type"), u16slice(text, x["start"], x["stop"]).alias("value")))
-    keyed = F.transform(valued, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["type"].alias("type"), F.struct(x["type"], x["value"]).alias("key")))
-    # Distinct values in order of first appearance; a value's number is its place among those of its type.
-    firsts = F.array_distinct(F.transform(keyed, lambda x: x["key"]))
-    place = lambda x: F.size(F.filter(F.slice(firsts, F.lit(1), F.array_position(firsts, x["key"]).cast("int")), lambda k: k["type"] == x["type"]))
-    return F.transform(keyed, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), alias_label(x["type"], place(x)).alias("alias")))
+    keyed = F.transform(islands, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.struct(x["type"].alias("type"), unit_slice(units, x["start"], x["stop"]).alias("value")).alias("key")))
+
+    def named(own: Column, firsts: Column) -> Column:
+        """A value's number is its place among the distinct ones of its type, in order of first appearance."""
+        place = lambda x: F.size(F.filter(F.slice(firsts, F.lit(1), F.array_position(firsts, x["key"]).cast("int")), lambda k: k["type"] == x["key"]["type"]))
+        return F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), alias_label(x["key"]["type"], place(x)).alias("alias")))
+
+    return bind(keyed, lambda own: bind(F.array_distinct(F.transform(own, lambda x: x["key"])), lambda firsts: named(own, firsts)))
 
 
 def gathered(texts: DataFrame, spans: DataFrame, keys: list[str], typed: bool) -> DataFrame:
@@ -56,15 +62,11 @@ def gathered(texts: DataFrame, spans: DataFrame, keys: list[str], typed: bool) -
     return texts.join(own, keys, "left")
 
 
-def _usable(text: str) -> Column:
-    n = u16len(text)
-    return F.filter(F.col("_spans"), lambda x: valid_span(x["start"], x["stop"], n))
-
-
 def mask_aliases_of(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts, with an array _spans of struct<ord,type,start,stop>, with masked: everything within the row, nothing shuffled."""
-    rows = texts.withColumn("_islands", united(_usable(text), touching=False)).withColumn("_items", numbered("_islands", text))
-    return rows.withColumn("masked", _rewritten(text, "_items", lambda x: x["alias"])).drop("_spans", "_islands", "_items")
+    usable = lambda n: F.filter(F.col("_spans"), lambda x: valid_span(x["start"], x["stop"], n))
+    items = lambda units, n: bind(united(usable(n), touching=False), lambda islands: numbered(islands, units))
+    return texts.withColumn("masked", _masked(text, items, lambda x: x["alias"])).drop("_spans")
 
 
 def mask_aliases(texts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,5 +77,5 @@ def mask_aliases(texts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFra
 def mask_blocks(texts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """texts with masked: the union of the spans, touching ones merged, as blocks of the same UTF-16 width."""
     rows = gathered(texts, spans.withColumn("ord", F.lit(0)) if "ord" not in spans.columns else spans, keys, typed=False)
-    rows = rows.withColumn("_items", united(F.col("_spans"), touching=True))
-    return rows.withColumn("masked", _rewritten("text", "_items", lambda x: F.repeat(F.lit(S.BLOCK), x["stop"] - x["start"]))).drop("_spans", "_items")
+    items = lambda units, n: united(F.col("_spans"), touching=True)
+    return rows.withColumn("masked", _masked("text", items, lambda x: F.repeat(F.lit(S.BLOCK), x["stop"] - x["start"]))).drop("_spans")

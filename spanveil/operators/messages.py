@@ -87,6 +87,14 @@ def answered(requests: DataFrame, answers: DataFrame, key: str = "request") -> D
     return asked.join(given, [key, "ord"], "full").groupBy(key).agg(F.bool_and(F.coalesce(fits, F.lit(False))).alias("valid"))
 
 
+def error_envelope(request: Column | str, code: Column | str, message: Column | str, fallback: str = "INFERENCE_FAILED", channel: str = CHANNEL) -> Column:
+    """A failure as the JSON that leaves the library: a known code with its message, anything else as the fallback without one."""
+    code, message = (F.col(c) if isinstance(c, str) else c for c in (code, message))
+    known = F.coalesce(code.isin(ERRORS), F.lit(False))
+    error = F.struct(F.when(known, code).otherwise(fallback).alias("code"), F.when(known, F.coalesce(message, F.lit(""))).otherwise("PII request failed.").alias("message"))
+    return F.to_json(F.struct(F.lit(channel).alias("channel"), F.col(request).alias("requestId") if isinstance(request, str) else request.alias("requestId"), F.lit("pii:error").alias("type"), error.alias("error")))
+
+
 def still_current(results: DataFrame, states: DataFrame, bound: list[str], key: str = "request") -> DataFrame:
     """Results that still stand: what they are bound to (address, text, conversation) is as it was, nulls included."""
     s = states.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in bound])

@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schemas as S
-from ..functions.text import splits_pair, u16len, u16slice, valid_span
+from ..functions.text import bind, u16len, unit_slice, unit_splits, units_of, valid_span
 from .policy import with_policy
 from .spans import union_spans
 
 
 def request(segments: DataFrame, detections: DataFrame, preferences: DataFrame | None = None) -> DataFrame:
-    """Detections with word and policy, and whether each is acceptable: known type, confidence, span, and seen once."""
-    keys = ["doc_id", "segment_id", "type", "start", "stop"]
-    counted = detections.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    joined = counted.join(segments.select("doc_id", "segment_id", "text"), ["doc_id", "segment_id"], "left")
-    sound = F.col("text").isNotNull() & F.col("type").isin(S.PII_TYPES) & F.col("confidence").between(0, 1) & ~F.isnan("confidence") & valid_span("start", "stop", u16len("text")) & ~splits_pair("text", "start") & ~splits_pair("text", "stop")
-    out = joined.withColumn("sound", F.coalesce(sound, F.lit(False)) & (F.col("times") == 1))
-    return with_policy(out.withColumn("word", F.when(F.col("sound"), u16slice("text", "start", "stop"))).drop("text", "times"), preferences)
+    """Detections with word and policy, and whether each is acceptable: known type, confidence, span, and seen once.
+
+    A segment's detections are gathered, so its text meets them once; one shuffle serves the count and the gathering.
+    """
+    where = ["doc_id", "segment_id"]
+    same = Window.partitionBy(*where).orderBy("type", "start", "stop").rangeBetween(Window.currentRow, Window.currentRow)
+    rest = [c for c in detections.columns if c not in where]
+    counted = detections.withColumn("_times", F.count(F.lit(1)).over(same))
+    own = counted.groupBy(*where).agg(F.collect_list(F.struct(*rest, "_times")).alias("_own"))
+    joined = own.join(segments.select(*where, "text"), where, "left")
+
+    def checked(units: Column, n: Column) -> Column:
+        def one(x: Column) -> Column:
+            sound = x["type"].isin(S.PII_TYPES) & x["confidence"].between(0, 1) & ~F.isnan(x["confidence"]) & valid_span(x["start"], x["stop"], n) & ~unit_splits(units, x["start"]) & ~unit_splits(units, x["stop"])
+            ok = F.coalesce(F.col("text").isNotNull() & sound & (x["_times"] == 1), F.lit(False))
+            return F.struct(*[x[c].alias(c) for c in rest], ok.alias("sound"), F.when(ok, unit_slice(units, x["start"], x["stop"])).alias("word"))
+
+        return F.transform("_own", one)
+
+    rows = joined.select(*where, F.inline(bind(units_of("text"), lambda units: bind(u16len("text"), lambda n: checked(units, n)))))
+    return with_policy(rows, preferences)
 
 
-def rejected_segments(segments: DataFrame) -> DataFrame:
-    """Documents in which a segment id stands twice."""
-    return segments.groupBy("doc_id", "segment_id").count().filter(F.col("count") > 1).select("doc_id").distinct()
+def rejected_segments(segments: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Documents in which a segment id stands twice; with results(doc_id, segment_id), a row for each segment that was
+    scanned, also those with a segment without exactly one result, or a result without a segment."""
+    asked = segments.select("doc_id", "segment_id", F.lit(1).alias("a"), F.lit(0).alias("r"))
+    both = asked if results is None else asked.unionByName(results.select("doc_id", "segment_id", F.lit(0).alias("a"), F.lit(1).alias("r")))
+    counted = both.groupBy("doc_id", "segment_id").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    bad = (F.col("a") != 1) if results is None else (F.col("a") != 1) | (F.col("r") != 1)
+    return counted.filter(bad).select("doc_id").distinct()
 
 
 def resolve(asked: DataFrame, decisions: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schemas as S
-from ..functions.text import argmax, safe_boundary, softmax_max
+from ..functions.text import argmax, has_pairs, safe_boundary, softmax_max
 
 #: One punctuation mark, or a run without white space and punctuation.
 PRETOKEN = r"[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+"
@@ -47,11 +47,11 @@ def label_of(labels: list[str], place: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), place + 1)
 
 
-def decode_bio(tokens: DataFrame, labels: list[str], keys: list[str]) -> DataFrame:
+def decode_bio(tokens: DataFrame, labels: list[str], keys: list[str], texts: DataFrame) -> DataFrame:
     """Entities of each chunk.
 
-    tokens: keys, chunk, i, start, stop, attn, special, logits, has_previous, has_next, token_start, text.
-    An entity starts at B, and at I after anything else than its own type; what is special, masked or
+    tokens: keys, chunk, i, start, stop, attn, special, logits, has_previous, has_next, token_start; texts: keys, text.
+    Tokens carry offsets only. Bounds within a pair are moved off it afterwards, which needs only the texts with pairs. An entity starts at B, and at I after anything else than its own type; what is special, masked or
     empty ends one. Confidence is the mean of the tokens' softmax shares.
     """
     place = argmax("logits")
@@ -70,13 +70,14 @@ def decode_bio(tokens: DataFrame, labels: list[str], keys: list[str]) -> DataFra
         F.min(F.when(F.col("content"), F.col("i"))).over(whole).alias("first"),
         F.max(F.when(F.col("content"), F.col("i"))).over(whole).alias("last"),
     ).filter(F.col("kind").isNotNull())
-    rows = rows.withColumn("s", safe_boundary("text", "start", False)).withColumn("e", safe_boundary("text", "stop", True))
-    return rows.groupBy(*keys, "chunk", "entity").agg(
+    found = rows.groupBy(*keys, "chunk", "entity").agg(
         F.first("kind").alias("type"),
         F.avg("p").alias("confidence"),
-        F.min("s").alias("start"),
-        F.max("e").alias("stop"),
+        F.min("start").alias("start"),
+        F.max("stop").alias("stop"),
         F.bool_or(F.col("has_previous") & (F.col("i") == F.col("first"))).alias("truncated_start"),
         F.bool_or(F.col("has_next") & (F.col("i") == F.col("last"))).alias("truncated_stop"),
         F.array_sort(F.collect_list(F.struct("token_index", F.col("p").alias("confidence")))).alias("tokens"),
     )
+    paired = texts.filter(has_pairs("text")).select(*keys, "text")
+    return found.join(paired, keys, "left").withColumns({"start": F.when(F.col("text").isNull(), F.col("start")).otherwise(safe_boundary("text", "start", False)), "stop": F.when(F.col("text").isNull(), F.col("stop")).otherwise(safe_boundary("text", "stop", True))}).drop("text")

@@ -64,6 +64,23 @@ def mask_text_files(files: DataFrame, detector: Detector = detect.by_rules, revi
     return done, refused.unionByName(unresolved).unionByName(large)
 
 
+def outcomes(files: DataFrame, done: DataFrame, kinds: list[str], batch: str, unhandled: str = "hold") -> DataFrame:
+    """(files, outcome): files(doc_id, kind, batch) against done(doc_id, ok) of those that a processor took.
+
+    A file without a processor is held, or passed on as it is. Of a batch goes all or nothing: what would have gone out
+    waits with the batch if one of its files is held, cancelled or failed.
+    """
+    if unhandled not in ("hold", "pass"):
+        raise ValueError("unhandled files are held or passed")
+    own = done.groupBy("doc_id").agg(F.bool_and("ok").alias("_ok"))
+    alone = F.when(~F.coalesce(F.col("kind").isin(kinds), F.lit(False)), "unhandled" if unhandled == "hold" else "passed").when(F.coalesce("_ok", F.lit(False)), "masked").otherwise("cancelled")
+    each = files.join(own, "doc_id", "left").withColumn("outcome", alone).drop("_ok")
+    # Counted by batch and joined: a batch of any number of files is no window of one task.
+    bad = each.filter(F.col("outcome").isin("unhandled", "cancelled")).select(batch).distinct().withColumn("_bad", F.lit(True))
+    goes = each.join(bad, batch, "left").withColumn("outcome", F.when(F.col("_bad") & F.col("outcome").isin("masked", "passed"), "waits").otherwise(F.col("outcome")))
+    return goes.drop("_bad")
+
+
 #: Kinds with a processor; others pass or are held by the caller's policy.
 PROCESSORS = {"docx": lambda f, **k: mask_office(f, "docx", **k), "hwpx": lambda f, **k: mask_office(f, "hwpx", **k), "text": mask_text_files}
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import schemas as S
 from .functions import text as X
 from .operators import detect, masking, messages, policy, reconcile, review, spans, tokens
+from .plans import mask_documents
 from .streaming import binding
 
 KEYS = ["doc_id"]
@@ -189,8 +190,8 @@ def q_site_match(spark, sf_dir):
 
 
 def q_error_code(spark, sf_dir):
-    messages = ["PDF requires OCR", "DOCX: input size limit exceeded", "DOCX: tracked change", "HWPX: bad", "session not ready", "Failed to fetch", "invalid PDF limits", "Encrypted file", "other", "Worker died"]
-    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, messages)), (F.col("event_id") % 10 + 1).cast("int")).alias("message"))
+    messages = ["PDF requires OCR", "DOCX: input size limit exceeded", "DOCX: tracked change", "HWPX: bad", "session not ready", "Failed to fetch", "invalid PDF limits", "Encrypted file", "other", "Worker died", "RangeError: Out of Memory"]
+    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, messages)), (F.col("event_id") % 11 + 1).cast("int")).alias("message"))
     return rows.select("event_id", X.error_code("message").alias("code"), X.detector_error("message", F.lit("INFERENCE_FAILED")).alias("detector"))
 
 
@@ -219,15 +220,15 @@ LOGIT_LABELS = ["O", "B-PERSON", "I-PERSON", "B-PHONE", "I-PHONE"]
 def _logits(docs: DataFrame) -> DataFrame:
     """Each whole text as tokens of eight units, windowed into chunks, with logits by arithmetic; some tokens are masked or empty.
     The first and last place of a chunk are the model's own tokens."""
-    sized = docs.select("doc_id", "text", X.u16len("text").alias("n")).filter(F.col("n") > 0)
-    chunks = sized.select("doc_id", "text", "n", F.inline(tokens.chunk_windows(F.ceil(F.col("n") / 8).cast("int"))))
+    sized = docs.select("doc_id", X.u16len("text").alias("n")).filter(F.col("n") > 0)
+    chunks = sized.select("doc_id", "n", F.inline(tokens.chunk_windows(F.ceil(F.col("n") / 8).cast("int"))))
     rows = chunks.select("*", F.explode(F.sequence(F.lit(0), F.col("token_stop") - F.col("token_start") + 1)).alias("i"))
     rows = rows.withColumn("special", F.when((F.col("i") == 0) | (F.col("i") == F.col("token_stop") - F.col("token_start") + 1), 1).otherwise(0))
     k, d = F.col("token_start") + F.col("i") - 1, F.col("doc_id")
     start = F.when(F.col("special") == 1, 0).otherwise(k * 8)
     score = lambda c: (((d * 17 + k * 29 + (k % 3) * c * 11 + c * 7) % 23) / 4.0).cast("double")
     return rows.select(
-        "doc_id", "chunk", "i", "text", start.alias("start"),
+        "doc_id", "chunk", "i", start.alias("start"),
         F.when(F.col("special") == 1, 0).when((d + k) % 9 == 0, start).otherwise(F.least(F.col("n"), start + 8)).alias("stop"),
         F.when((d + k) % 14 == 0, 0).otherwise(1).alias("attn"), "special",
         F.array(*[score(F.lit(c)) for c in range(5)]).alias("logits"),
@@ -236,7 +237,8 @@ def _logits(docs: DataFrame) -> DataFrame:
 
 
 def q_bio_decode(spark, sf_dir):
-    found = tokens.decode_bio(_logits(docs_of(spark, sf_dir)), LOGIT_LABELS, KEYS)
+    docs = docs_of(spark, sf_dir)
+    found = tokens.decode_bio(_logits(docs), LOGIT_LABELS, KEYS, docs)
     first = F.element_at("tokens", 1)["token_index"].cast("long")
     return found.select("doc_id", "chunk", "type", F.round("confidence", 9).alias("confidence"), "start", "stop", "truncated_start", "truncated_stop", F.size("tokens").alias("n_tokens"), first.alias("first_token"))
 
@@ -447,6 +449,56 @@ def q_restored_decisions(spark, sf_dir):
     return spans.restored(made, turns, "conv_id", "turn").select("conv_id", "segment_id", "start", "stop", "type")
 
 
+def _paired(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every text with each e as a character of two units, and the synthetic spans, laid by characters, in its units."""
+    two = docs.withColumn("text", F.replace("text", F.lit("e"), F.lit("\U0001f600")))
+    rows = synthetic(docs).join(two, "doc_id")
+    to = lambda c: X.u16len(F.substring("text", F.lit(1), F.col(c)))
+    return two, rows.select("doc_id", "ord", "type", "confidence", to("start").alias("start"), to("stop").alias("stop"), F.col("start").alias("at"))
+
+
+def q_mask_alias_pairs(spark, sf_dir):
+    """Aliases in texts with characters of two units."""
+    return masking.mask_aliases(*_paired(docs_of(spark, sf_dir)), KEYS).select("doc_id", "masked")
+
+
+def q_mask_block_pairs(spark, sf_dir):
+    """Blocks in texts with characters of two units: one for each unit."""
+    return masking.mask_blocks(*_paired(docs_of(spark, sf_dir)), KEYS).select("doc_id", "masked")
+
+
+def q_review_pairs(spark, sf_dir):
+    """A request for review over texts with characters of two units; every third span is pushed by a unit, some into a pair."""
+    docs, rows = _paired(docs_of(spark, sf_dir))
+    rows = rows.filter("ord < 3").withColumn("stop", F.col("stop") + F.when(F.col("ord") == 1, 1).otherwise(0)).withColumn("segment_id", F.lit("text"))
+    asked = review.request(docs.withColumn("segment_id", F.lit("text")), rows)
+    return asked.select("doc_id", "ord", "sound", F.md5("word").alias("word_md5"))
+
+
+def q_error_envelopes(spark, sf_dir):
+    """Failures as they leave the library: known codes with their message, all others as one."""
+    codes = ["OUT_OF_MEMORY", "CANCELLED", "TypeError", "INVALID_INPUT", None]
+    rows = table(spark, sf_dir, "events").select(F.col("event_id"), F.col("event_id").cast("string").alias("request"), _pick(codes, "event_id").alias("code"), F.col("event_type").alias("message"))
+    return rows.select("event_id", messages.error_envelope("request", "code", "message").alias("envelope"))
+
+
+def q_file_outcomes(spark, sf_dir):
+    """Files of a batch: masked, held without a processor, cancelled, or waiting for the rest of it."""
+    d = F.col("doc_id")
+    files = docs_of(spark, sf_dir).select("doc_id", _pick(["docx", "hwpx", "text", "pdf", "image"], "doc_id").alias("kind"), F.floor(d / 3).alias("batch"))
+    done = files.filter(d % 5 < 3).select("doc_id", (d % 11 > 0).alias("ok"))
+    return mask_documents.outcomes(files, done, list(mask_documents.PROCESSORS), "batch").select("doc_id", "batch", "outcome")
+
+
+def q_results_complete(spark, sf_dir):
+    """Conversations of which every turn has exactly one result; one that is missing, doubled or unasked fails all of it."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("string").alias("segment_id"), "turn")
+    k = F.col("doc_id") * 31 + F.col("turn") * 7
+    given = turns.filter(k % 41 != 0)
+    given = given.unionByName(given.filter(k % 53 == 3)).unionByName(given.filter(k % 59 == 5).withColumn("segment_id", F.lit("more")))
+    return review.rejected_segments(turns, given)
+
+
 def q_bound_work(spark, sf_dir):
     """Whether results may still be written: events of a user as its tab, in five conversations and with moves between."""
     e = F.col("event_id")
@@ -550,7 +602,7 @@ ORACLES = {
         SELECT page_id, e AS extension, CASE WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime = 'application/msword' OR contains(mime, 'officedocument.wordprocessingml') THEN 'docx' WHEN contains(mime, 'hwp') THEN 'hwpx' WHEN mime LIKE 'image/%' THEN 'image' WHEN mime LIKE 'text/%' THEN 'text' ELSE CASE e {KINDS} ELSE 'unknown' END END AS kind,
         CASE e WHEN 'txt' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' WHEN 'markdown' THEN 'text/markdown' ELSE '' END AS text_mime FROM b""",
     "site_match": r"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) AS origin, (regexp_matches(url, '/en/') OR regexp_matches(url, '\?page=')) AS matches FROM pages",
-    "error_code": f"WITH m AS (SELECT event_id, (['PDF requires OCR', 'DOCX: input size limit exceeded', 'DOCX: tracked change', 'HWPX: bad', 'session not ready', 'Failed to fetch', 'invalid PDF limits', 'Encrypted file', 'other', 'Worker died'])[(event_id % 10 + 1)::INT] AS message FROM events) SELECT event_id, CASE {ERR} ELSE 'DOCUMENT_FAILED' END AS code, 'INFERENCE_FAILED' AS detector FROM m",
+    "error_code": f"WITH m AS (SELECT event_id, (['PDF requires OCR', 'DOCX: input size limit exceeded', 'DOCX: tracked change', 'HWPX: bad', 'session not ready', 'Failed to fetch', 'invalid PDF limits', 'Encrypted file', 'other', 'Worker died', 'RangeError: Out of Memory'])[(event_id % 11 + 1)::INT] AS message FROM events) SELECT event_id, CASE {ERR} ELSE 'DOCUMENT_FAILED' END AS code, CASE WHEN lower(message) LIKE '%out of memory%' THEN 'OUT_OF_MEMORY' ELSE 'INFERENCE_FAILED' END AS detector FROM m",
     "location_label": "WITH m AS (SELECT event_id, (['본문', '머리글 2', '바닥글 1', '각주', '미주', ''])[(event_id % 6 + 1)::INT] AS s, event_id % 50 AS p FROM events) SELECT event_id, CASE WHEN s = '' THEN 'docx:word/other.xml:p' || p ELSE s || ' · ' || (p + 1) || '번째 문단' END AS location FROM m",
     "preferences": f"WITH t AS (SELECT unnest([{TYPE_LIST}]) AS type, unnest([{', '.join(repr(S.LABELS[x]) for x in S.PII_TYPES)}]) AS label), s AS (SELECT ([{TYPE_LIST}])[(n_nationkey % 18 + 1)::INT] AS type, max(CASE WHEN n_nationkey % 3 = 0 THEN 'CONFIRM' ELSE 'bad' END) AS policy FROM nation WHERE n_nationkey % 3 <> 2 GROUP BY 1) SELECT t.type, label, CASE WHEN s.policy = 'CONFIRM' THEN 'CONFIRM' WHEN t.type IN ({AUTO_LIST}) THEN 'AUTO_MASK' ELSE 'CONFIRM' END AS policy FROM t LEFT JOIN s USING (type)",
     "pretokenize": f"SELECT doc_id, len(regexp_extract_all(text, '{PRE}')) AS n, md5(array_to_string(regexp_extract_all(text, '{PRE}'), ' ')) AS digest FROM documents",
@@ -613,6 +665,16 @@ ORACLES = {
         f AS (SELECT f.*, (SELECT max(b.seq) FROM e b WHERE b.tab = f.tab AND b.work = f.work AND b.kind <> 'move' AND b.seq < f.seq) AS prior FROM e f WHERE kind = 'finish')
         SELECT f.tab, f.work, f.seq, CASE WHEN b.kind IS DISTINCT FROM 'start' THEN 'unknown' WHEN EXISTS (SELECT 1 FROM e m WHERE m.tab = f.tab AND m.kind = 'move' AND m.seq > b.seq AND m.seq < f.seq) THEN 'moved'
           WHEN b.url = f.url AND b.conv IS NOT DISTINCT FROM f.conv THEN 'write' ELSE 'elsewhere' END AS verdict FROM f LEFT JOIN e b ON b.seq = f.prior""",
+    "mask_alias_pairs": f"WITH {SYN}, docs2 AS (SELECT doc_id, replace(text, 'e', '\U0001f600') AS text FROM documents), {island_sql(False)}, {ALIASES} {MASKED}".replace("JOIN documents", "JOIN docs2").replace("FROM documents d LEFT", "FROM docs2 d LEFT"),
+    "mask_block_pairs": f"WITH {SYN}, docs2 AS (SELECT doc_id, replace(text, 'e', '\U0001f600') AS text FROM documents), {island_sql(True)}, u AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM isl GROUP BY doc_id, island), items AS (SELECT u.doc_id, start, stop, repeat('█', ((stop - start) + (stop - start) - length(replace(substr(d0.text, (start + 1)::BIGINT, (stop - start)::BIGINT), 'e', '')))::BIGINT) AS alias FROM u JOIN documents d0 USING (doc_id)) {MASKED}".replace("JOIN documents d2", "JOIN docs2 d2").replace("FROM documents d LEFT", "FROM docs2 d LEFT"),
+    "review_pairs": f"""WITH {SYN}, x AS (SELECT s.doc_id, ord, type, start, stop, n, text, count(*) OVER (PARTITION BY s.doc_id, type, start + length(substr(text, 1, start::BIGINT)) - length(replace(substr(text, 1, start::BIGINT), 'e', '')), stop + length(substr(text, 1, stop::BIGINT)) - length(replace(substr(text, 1, stop::BIGINT), 'e', '')) + CASE WHEN ord = 1 THEN 1 ELSE 0 END) AS times FROM syn s JOIN documents d ON d.doc_id = s.doc_id WHERE ord < 3),
+        y AS (SELECT *, times = 1 AND (ord <> 1 OR (stop < n AND substr(text, (stop + 1)::BIGINT, 1) <> 'e')) AS sound FROM x)
+        SELECT doc_id, ord, sound, CASE WHEN sound THEN md5(replace(substr(text, (start + 1)::BIGINT, (stop - start + CASE WHEN ord = 1 THEN 1 ELSE 0 END)::BIGINT), 'e', '\U0001f600')) END AS word_md5 FROM y""",
+    "error_envelopes": """WITH e AS (SELECT event_id, event_type, ['OUT_OF_MEMORY', 'CANCELLED', 'TypeError', 'INVALID_INPUT', NULL][(event_id % 5 + 1)::INT] AS code FROM events), k AS (SELECT *, coalesce(code <> 'TypeError', false) AS known FROM e)
+        SELECT event_id, '{"channel":"pii:v1","requestId":"' || event_id || '","type":"pii:error","error":{"code":"' || CASE WHEN known THEN code ELSE 'INFERENCE_FAILED' END || '","message":"' || CASE WHEN known THEN event_type ELSE 'PII request failed.' END || '"}}' AS envelope FROM k""",
+    "file_outcomes": """WITH f AS (SELECT doc_id, doc_id // 3 AS batch, CASE WHEN doc_id % 5 > 2 THEN 'unhandled' WHEN doc_id % 11 > 0 THEN 'masked' ELSE 'cancelled' END AS own FROM documents)
+        SELECT doc_id, batch, CASE WHEN own = 'masked' AND bool_or(own <> 'masked') OVER (PARTITION BY batch) THEN 'waits' ELSE own END AS outcome FROM f""",
+    "results_complete": """WITH t AS (SELECT conv_id AS doc_id, turn, conv_id * 31 + turn * 7 AS k FROM conversations) SELECT DISTINCT doc_id FROM t WHERE k % 41 = 0 OR k % 53 = 3 OR k % 59 = 5""",
     "routed_messages": """SELECT event_id, '["ext","' || CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE '' END || '","' || (event_id % 7)::VARCHAR || '","0","' || CASE WHEN event_id % 2 = 0 THEN 'd' || event_id ELSE '' END || '","' || CASE WHEN event_id % 3 > 0 AND event_id % 2 > 0 THEN 'https://x.example/' || (event_id % 5) ELSE '' END || '"]' AS owner FROM events WHERE event_id % 5 > 0""",
     "same_text_key": r"SELECT doc_id, md5(regexp_replace(text, '\s', '', 'g')) AS key_md5, length(text) AS units FROM documents",
 }

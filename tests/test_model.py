@@ -56,6 +56,21 @@ def test_model_detection(spark):
         model.check_labels(["O", "B-PERSON", "I-PHONE"])
 
 
+def test_one_failure_costs_one_document(spark):
+    def breaks(ids):
+        if 6 in ids:
+            raise MemoryError("out of memory")
+        return fake(ids) if 9 not in ids else np.full((len(ids), 3), np.nan, np.float32)
+
+    rows = [(1, "a", "me 김민수"), (1, "b", "me"), (2, "a", "김"), (2, "b", "calling"), (3, "a", "me."), (4, "a", "")]
+    segments = spark.createDataFrame(rows, "doc_id long, segment_id string, text string")
+    found, rejects = model.scan(segments, ["doc_id", "segment_id"], PIECES, breaks, LABELS, ["doc_id"])
+    assert [(r.doc_id, r.segment_id, r.start, r.stop) for r in found.collect()] == [(1, "a", 3, 6)]
+    assert sorted((r.doc_id, r.stage, r.code) for r in rejects.collect()) == [(2, "detecting", "OUT_OF_MEMORY"), (3, "detecting", "INFERENCE_FAILED")]
+    with pytest.raises(Exception, match="OUT_OF_MEMORY"):
+        model.detect(segments.filter("doc_id = 2"), ["doc_id", "segment_id"], PIECES, breaks, LABELS).collect()
+
+
 def test_half_floats():
     assert model.widen_half(np.array([0x8000, 0x0001, 0x3C00, 0x7C00], "<u2").tobytes()).tolist() == [-0.0, 2.0**-24, 1.0, float("inf")]
 
