@@ -297,9 +297,17 @@ def decode(df: DataFrame, vocabulary: Vocabulary, pieces_col: str = "pieces", ou
     return df.mapInArrow(lean(_decode(df.columns, df.columns.index(pieces_col), vocabulary.spelled, out)), schema)
 
 
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, key_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """decode(encode(docs)): docs with pieces and decoded, both by one Python worker a task instead of two."""
+    docs = without(docs, "pieces", "decoded")
+    names = docs.columns
+    first, then = _encode(names, names.index(key_col), names.index(text_col), vocabulary, seed, "pieces"), _decode([*names, "pieces"], len(names), vocabulary.spelled, "decoded")
+    schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return docs.mapInArrow(lean(lambda batches: then(first(batches))), schema)
+
+
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    vocabulary = Vocabulary.read(MODEL)
-    both = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary), vocabulary)
+    both = round_trip(documents(spark, sf_dir).select("doc_id", "text"), Vocabulary.read(MODEL))
     return both.select(
         "doc_id",
         F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),

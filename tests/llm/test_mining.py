@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanveil.llm import collocations, importance, token_files
+from spanveil.llm import collocations, importance, piece_sampling, token_files
 
 VOCABULARY = Path("/opt/tokenizers/word_bpe_49k.json")
 needs_vocabulary = pytest.mark.skipif(not VOCABULARY.exists(), reason="no vocabulary here")
@@ -204,3 +204,12 @@ def test_slices_hold_each_run_once():
                 found.update(tuple(numbers[i : i + k].tolist()) for i in range(len(numbers) - k + 1) if follows[i : i + k - 1].all())
             numbers, follows, *_ = collocations.Words(1).of(np.array([0]), ["x"], np.frombuffer(text, np.uint8), np.array([0, len(text)]))
             assert found == Counter(tuple(numbers[i : i + k].tolist()) for i in range(len(numbers) - k + 1) if follows[i : i + k - 1].all())
+
+
+@pytest.mark.skipif(not Path("/opt/tokenizers/piece_bpe_32k.model").exists(), reason="no vocabulary here")
+def test_round_trip_is_encode_and_decode(spark):
+    vocabulary = piece_sampling.Vocabulary.read(piece_sampling.MODEL)
+    table = odd(spark).selectExpr("*", "1 AS pieces", "2 AS decoded")
+    both = piece_sampling.decode(piece_sampling.encode(table, vocabulary), vocabulary)
+    assert sorted(map(repr, piece_sampling.round_trip(table, vocabulary).collect())) == sorted(map(repr, both.collect()))
+    assert piece_sampling.round_trip(table.limit(0), vocabulary).count() == 0
