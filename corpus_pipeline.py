@@ -18,10 +18,13 @@ from spanveil.llm.common import documents, few_rows, staged
 #: Near-duplicates in the pipeline: five words a shingle, similarity 0.8 or more.
 NEAR = {"words": 5, "num": 80, "den": 100}
 
+#: Rows of an Arrow batch: five stages in one application leave little of an executor for Python.
+ROWS = 512
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or no letter at all) go; ambiguous ones, short or mixed, have one and stay."""
-    few_rows(spark)
+    few_rows(spark, ROWS)
     names = docs.columns
     tagged = langid.identify(docs, langid.fit(docs))
     return tagged.filter(F.col("lang_pred") != "und").select(*names)
@@ -29,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that had nothing else has no text left and goes with them."""
-    few_rows(spark)
+    few_rows(spark, ROWS)
     names = docs.columns
     kept = line_dedup.dedup_lines(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*names)
@@ -38,7 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the smallest id; of rows with one id, the one of the
     smallest text hash. Rows without an id all stay."""
-    few_rows(spark)
+    few_rows(spark, ROWS)
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"), **NEAR)
     kept = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     repeated = staged(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.xxhash64("text")).alias("least")).filter("rows > 1"), "repeated-ids")
@@ -53,7 +56,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    few_rows(spark)
+    few_rows(spark, ROWS)
     found = decontaminate.find_leaks(docs.select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
     leaked = staged(found.select("doc_id").distinct(), "leaked")
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
@@ -61,9 +64,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids, and whether they spell the text again."""
-    few_rows(spark)
-    vocabulary = piece_sampling.Vocabulary.read(piece_sampling.MODEL)
-    both = piece_sampling.decode(piece_sampling.encode(docs, vocabulary), vocabulary)
+    few_rows(spark, ROWS)
+    both = piece_sampling.round_trip(docs, piece_sampling.Vocabulary.read(piece_sampling.MODEL))
     return both.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
