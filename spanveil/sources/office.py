@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .package import Refused, blocked, descendants, parse, parts, utf16_cut, utf16_len, write
-from .word_parts import WORD, check_text_part, closed
+from .word_parts import HYPHENS, WORD, check_text_part, closed
 
 # Namespace and media type of the second format.
 HANGUL = "http://www.hancom.co.kr/hwpml/2011/paragraph"
@@ -32,8 +32,8 @@ class Paragraph:
     pieces: list = field(default_factory=list)  # (node, start, stop, text)
 
 
-def _word_paragraphs(path: str, document) -> list[Paragraph]:
-    check_text_part(document)
+def _word_paragraphs(path: str, document, styles: dict[str, str]) -> list[Paragraph]:
+    check_text_part(document, styles)
     out, mapped = [], 0
     for n, p in enumerate(descendants(document, "p", WORD)):
         if descendants(p, "p", WORD):
@@ -41,7 +41,7 @@ def _word_paragraphs(path: str, document) -> list[Paragraph]:
         one = Paragraph(f"docx:{path}:p{n}", "")
         for e in p.getElementsByTagNameNS(WORD, "*"):
             in_run = e.parentNode.localName == "r"
-            value = {"tab": "\t", "br": "\n", "cr": "\n"}.get(e.localName) if in_run else None
+            value = ({"tab": "\t", "br": "\n", "cr": "\n"} | HYPHENS).get(e.localName) if in_run else None
             if e.localName == "t":
                 value = "".join(c.data for c in e.childNodes)
                 mapped += 1
@@ -55,7 +55,7 @@ def _word_paragraphs(path: str, document) -> list[Paragraph]:
     return out
 
 
-def _hangul_paragraphs(path: str, document) -> list[Paragraph]:
+def _hangul_paragraphs(path: str, document, styles: dict[str, str]) -> list[Paragraph]:
     out = []
     for p in descendants(document, "p", HANGUL):
         one = Paragraph(f"hwpx:{path}:p{len(out)}", "")
@@ -78,13 +78,25 @@ def _text_below(node) -> Iterator[str]:
             yield from _text_below(c)
 
 
+def without_previews(contents: dict[str, bytes], limits: dict) -> dict[str, bytes]:
+    """The package without its previews, which repeat its text, and without what names them as roots."""
+    out, roots = {n: x for n, x in contents.items() if not n.startswith("Preview/")}, "META-INF/container.xml"
+    if roots in out and len(out) < len(contents):
+        document = parse(out[roots], limits)
+        for e in [x for x in document.getElementsByTagName("*") if x.getAttribute("full-path").startswith("Preview/")]:
+            e.parentNode.removeChild(e)
+        out[roots] = document.toxml(encoding="UTF-8")
+    return out
+
+
 class Package:
     """An opened file: its parts, and the paragraphs of those that hold text."""
 
     def __init__(self, kind: str, data: bytes, limits: dict):
         self.kind, self.limits, self.contents = kind, limits, parts(data, limits)
         if kind == "docx":
-            self.contents, names = closed(self.contents, limits)
+            styles: dict[str, str] = {}
+            self.contents, names = closed(self.contents, limits, styles)
             read = _word_paragraphs
         else:
             if self.contents.get("mimetype", b"").strip() != HANGUL_MIME:
@@ -93,9 +105,10 @@ class Package:
             names = sorted(found, key=found.get)
             if not names:
                 raise Refused("HWPX: no supported section XML")
-            read = _hangul_paragraphs
+            read, styles = _hangul_paragraphs, {}
+            self.contents = without_previews(self.contents, limits)
         self.read, self.documents = read, {n: parse(self.contents[n], limits) for n in names}
-        self.paragraphs = {n: read(n, d) for n, d in self.documents.items()}
+        self.paragraphs = {n: read(n, d, styles) for n, d in self.documents.items()}
         self.segments = [p for n in names for p in self.paragraphs[n]]
         if not any(p.text for p in self.segments):
             raise Refused("no supported paragraph text")

@@ -1,7 +1,9 @@
 """What of a word-processing package is kept: parts that a relationship reaches, of known kinds, holding known elements only.
 
 Everything that could carry text past the masks is either dropped with all that names it (properties, comments, settings,
-themes, custom data) or refuses the file (objects, charts, media, formulas, external targets, stray text).
+themes, custom data) or refuses the file (objects, charts, media, formulas, external targets, stray text). Formatting stays
+where its names are known and its values are numbers, switches, colours or words of the format; what else there is of it goes:
+a document may look plainer, but it says nothing more. Style names go, style ids are numbered.
 """
 
 from __future__ import annotations
@@ -28,10 +30,40 @@ RELATION_PARTS = re.compile(r"_rels/\.rels|word/_rels/[^/]+\.xml\.rels")
 HOLDERS = frozenset("document body hdr ftr footnotes footnote endnotes endnote p r tbl tr tc".split())
 IN_RUN = frozenset("t tab br cr noBreakHyphen softHyphen".split())
 MARKS = frozenset("separator continuationSeparator footnoteReference endnoteReference footnoteRef endnoteRef lastRenderedPageBreak".split())
+#: What runs hold as text without a text element.
+HYPHENS = {"noBreakHyphen": "-", "softHyphen": "\u00ad"}
 #: Formatting: whatever stands below is formatting too, and has no text.
 FORMATS = frozenset("pPr rPr tblPr tblGrid tblPrEx trPr tcPr sectPr".split())
 #: Removed wherever they stand: their names are free text, and nothing depends on them.
-REMOVED = frozenset("bookmarkStart bookmarkEnd proofErr permStart permEnd".split())
+REMOVED = frozenset("bookmarkStart bookmarkEnd proofErr permStart permEnd commentRangeStart commentRangeEnd commentReference annotationRef".split())
+#: Formatting that is kept, by what it formats.
+KEPT = frozenset(
+    """b bCs i iCs u strike dstrike caps smallCaps vanish color sz szCs highlight shd bdr vertAlign position kern w em lang rtl cs rFonts rStyle outline shadow
+    jc ind spacing tabs tab pBdr keepNext keepLines pageBreakBefore widowControl contextualSpacing outlineLvl numPr ilvl numId pStyle bidi textAlignment textDirection
+    top bottom left right start end insideH insideV between bar tl2br tr2bl
+    tblStyle tblW tblInd tblBorders tblLayout tblLook tblCellMar tblCellSpacing gridCol tcW gridSpan vMerge tcBorders tcMar vAlign noWrap cantSplit trHeight tblHeader
+    pgSz pgMar pgNumType cols col docGrid titlePg type headerReference footerReference footnotePr endnotePr numFmt numStart numRestart pos lnNumType""".split()
+)
+#: The same of the style and numbering parts.
+KEPT_IN_STYLES = KEPT | FORMATS | frozenset("styles style docDefaults rPrDefault pPrDefault basedOn next link qFormat uiPriority semiHidden unhideWhenUsed tblStylePr numbering abstractNum num abstractNumId lvl lvlText lvlJc suff multiLevelType nsid tmpl styleLink numStyleLink lvlOverride startOverride isLgl lvlRestart".split())
+ATTRIBUTES = frozenset(
+    """val color sz space fill themeColor line lineRule before after beforeAutospacing afterAutospacing left right start end firstLine hanging leftChars firstLineChars w h type hRule orient top bottom header footer gutter num equalWidth sep linePitch
+    pos leader ascii hAnsi eastAsia cs hint bidi id fmt clear customMarkFollows firstRow lastRow firstColumn lastColumn noHBand noVBand styleId default customStyle ilvl abstractNumId numId tplc""".split()
+)
+STYLE_IDS = {"pStyle": "val", "rStyle": "val", "tblStyle": "val", "basedOn": "val", "next": "val", "link": "val", "styleLink": "val", "numStyleLink": "val", "style": "styleId"}
+#: Words that values may be.
+WORDS = frozenset(
+    """true false on off none nil auto single double dotted dashed thick wave words clear start end left right center both distribute decimal top bottom baseline superscript subscript
+    black blue cyan green magenta red yellow white darkBlue darkCyan darkGreen darkMagenta darkRed darkYellow darkGray lightGray
+    exact atLeast page column textWrapping line all portrait landscape nextPage continuous evenPage oddPage even odd first default separator continuationSeparator
+    lowerLetter upperLetter lowerRoman upperRoman bullet ordinal ganada chosung hyphen dot underscore middleDot heavy fixed autofit pct dxa restart continue lines linesAndChars tab nothing
+    singleLevel multilevel hybridMultilevel paragraph character table numbering lrTb tbRl btLr eastAsia default firstRow lastRow firstCol lastCol band1Horz band2Horz band1Vert band2Vert""".split()
+)
+FONTS = frozenset(["Arial", "Calibri", "Cambria", "Courier New", "Georgia", "Symbol", "Tahoma", "Times New Roman", "Verdana", "Wingdings", "맑은 고딕", "바탕", "굴림", "돋움", "Malgun Gothic", "Batang"])
+PLAIN = re.compile(r"-?[0-9]{1,5}(?:\.[0-9]{1,3})?(?:pt|cm|mm|in|pc|%)?|[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8}(?![0-9A-Fa-f])|[a-z]{2}-[A-Z]{2}|s[0-9]{1,5}")
+RELATION_ID = re.compile(r"r(?:Id)?[0-9a-f]{1,32}", re.I)
+#: Kinds of kept parts: the last words of their relationship and content types.
+PART_KINDS = {"document": ("officeDocument", "document.main+xml")} | {k: (k, f"{k}+xml") for k in ("header", "footer", "footnotes", "endnotes", "styles", "numbering")}
 #: Formatting that records changes or carries captions.
 NEVER = re.compile(r"\w+Change|ins|del|move(?:From|To)\w*|cellIns|cellDel|cellMerge|tblCaption|tblDescription|docPartObj|sdt\w*|dataBinding|object|pict|drawing")
 
@@ -40,30 +72,59 @@ def refuse(what: str) -> None:
     raise Refused(f"DOCX: {what}")
 
 
-def check_element(e: Element, formatting: bool) -> None:
-    """Refuses what is not known; takes off attributes of other vocabularies, which are hints for editors."""
+def kind_of(part: str) -> str:
+    return re.sub(r"\d+$", "", posixpath.basename(part).removesuffix(".xml"))
+
+
+def is_plain(e: Element, a, styles: dict[str, str]) -> bool:
+    """Whether an attribute says nothing that its format does not: style ids get their numbers here."""
+    if a.namespaceURI == XMLNS or a.name == "xmlns":
+        return True
+    if a.namespaceURI == XML:
+        return a.localName == "space" and a.value in ("default", "preserve")
+    if a.namespaceURI == REFERENCE:
+        return a.localName == "id" and RELATION_ID.fullmatch(a.value) is not None
+    if STYLE_IDS.get(e.localName) == a.localName:
+        a.value = styles.setdefault(a.value, f"s{len(styles) + 1}")
+        return True
+    if e.localName == "lvlText" and a.localName == "val":
+        rest = re.sub(r"%[1-9]", "", a.value)
+        return len(rest) <= 1 or (len(rest) < 8 and not re.search(r"\w", rest))
+    if a.localName not in ATTRIBUTES or e.localName in ("t", "p", "r", "tr", "tc", "tbl"):
+        return False
+    if e.localName == "rFonts":
+        return a.value in FONTS or a.value in WORDS
+    return a.value in WORDS or PLAIN.fullmatch(a.value) is not None
+
+
+def check_element(e: Element, formatting: bool, styles: dict[str, str]) -> None:
+    """Refuses what is not known; takes off attributes that are no plain formatting, and those of other vocabularies, which are hints for editors."""
     if e.namespaceURI != WORD or NEVER.fullmatch(e.localName):
         refuse("unsupported content")
     if not formatting and e.localName not in HOLDERS | IN_RUN | MARKS | FORMATS:
         refuse("unsupported content")
     for a in [e.attributes.item(k) for k in range(e.attributes.length)]:
-        if a.namespaceURI not in (WORD, XML, XMLNS, REFERENCE) and a.name != "xmlns":
+        if not is_plain(e, a, styles):
+            if e.localName == "lvlText":
+                refuse("free text in numbering")
+            if a.localName == "id" and not formatting:
+                refuse("unsupported id")
             e.removeAttributeNode(a)
 
 
-def check_text_part(document) -> None:
+def check_text_part(document, styles: dict[str, str]) -> None:
     """Known elements only, text in text elements of runs only, nothing but text in those."""
     pending = deque([(document.documentElement, False)])
     while pending:
         e, formatting = pending.popleft()
-        check_element(e, formatting)
+        check_element(e, formatting, styles)
         in_run = e.parentNode.nodeType == Node.ELEMENT_NODE and e.parentNode.localName == "r"
         if e.localName in IN_RUN and not formatting and not in_run:
             refuse("text outside a run")
         below = formatting or e.localName in FORMATS
         for c in list(e.childNodes):
             if c.nodeType == Node.ELEMENT_NODE:
-                if c.localName in REMOVED and c.namespaceURI == WORD:
+                if c.namespaceURI == WORD and (c.localName in REMOVED or (below and c.localName not in KEPT | FORMATS and not NEVER.fullmatch(c.localName))):
                     e.removeChild(c)
                 elif e.localName in IN_RUN and not formatting:
                     refuse("unsupported content in text")
@@ -73,14 +134,17 @@ def check_text_part(document) -> None:
                 refuse("stray text")
 
 
-def check_style_part(document) -> None:
+def check_style_part(document, styles: dict[str, str]) -> None:
     pending = [document.documentElement]
     while pending:
         e = pending.pop()
-        check_element(e, True)
-        for c in e.childNodes:
+        check_element(e, True, styles)
+        for c in list(e.childNodes):
             if c.nodeType == Node.ELEMENT_NODE:
-                pending.append(c)
+                if c.namespaceURI == WORD and c.localName not in KEPT_IN_STYLES and not NEVER.fullmatch(c.localName):
+                    e.removeChild(c)
+                else:
+                    pending.append(c)
             elif c.data.strip():
                 refuse("stray text")
 
@@ -113,6 +177,8 @@ def relationships(contents: dict[str, bytes], part: str, limits: dict) -> tuple:
             refuse("unsupported relationship")
         target = target_of(part, e.getAttribute("Target"))
         if target in contents:
+            if e.getAttribute("Type").rpartition("/")[2] != PART_KINDS.get(kind_of(target), (None,))[0] or not RELATION_ID.fullmatch(e.getAttribute("Id")):
+                refuse("a relationship of another type than its part")
             kept[e] = target
         elif not DROPPED_PARTS.fullmatch(target):
             refuse("a relationship without its part")
@@ -121,8 +187,11 @@ def relationships(contents: dict[str, bytes], part: str, limits: dict) -> tuple:
     return document, kept
 
 
-def closed(contents: dict[str, bytes], limits: dict) -> tuple[dict[str, bytes], list[str]]:
-    """(parts that are kept, text parts in order); relationships and content types name the kept parts only."""
+def closed(contents: dict[str, bytes], limits: dict, styles: dict[str, str]) -> tuple[dict[str, bytes], list[str]]:
+    """(parts that are kept, text parts in order); relationships and content types name the kept parts only, as what they are.
+
+    styles takes the number of each style id.
+    """
     for name in contents:
         if not (name == TYPES_PART or DROPPED_PARTS.fullmatch(name) or RELATION_PARTS.fullmatch(name) or TEXT_PARTS.fullmatch(name) or STYLE_PARTS.fullmatch(name) or name.endswith("/")):
             refuse("unsupported part")
@@ -148,9 +217,13 @@ def closed(contents: dict[str, bytes], limits: dict) -> tuple[dict[str, bytes],
         by_end = e.nodeType == Node.ELEMENT_NODE and e.localName == "Default" and e.getAttribute("Extension").lower() in ("rels", "xml")
         if named not in out and not by_end:
             types.documentElement.removeChild(e)
+        elif named and not e.getAttribute("ContentType").endswith("." + PART_KINDS.get(kind_of(named), ("", "relationships+xml"))[1]):
+            refuse("a part of another content type")
     out = {TYPES_PART: types.toxml(encoding="UTF-8")} | out
     texts = sorted((n for n in out if TEXT_PARTS.fullmatch(n)), key=lambda n: (n != MAIN, n))
     for name in out:
         if STYLE_PARTS.fullmatch(name):
-            check_style_part(parse(out[name], limits))
+            document = parse(out[name], limits)
+            check_style_part(document, styles)
+            out[name] = document.toxml(encoding="UTF-8")
     return out, texts

@@ -1,6 +1,7 @@
 """Golden cases and randomised properties of the span operators."""
 
 import random
+import re
 import zipfile
 from io import BytesIO
 
@@ -237,8 +238,12 @@ PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
+def part_kind(name):
+    return re.sub(r"\d*\.xml$", "", name.rpartition("/")[2])
+
+
 def relations(*targets):
-    return f"<Relationships xmlns='{PACKAGE}/relationships'>" + "".join(f"<Relationship Id='r{k}' Type='{OFFICE}/x' Target='{t}'/>" if ":" not in t else f"<Relationship Id='r{k}' Type='{OFFICE}/hyperlink' Target='{t}' TargetMode='External'/>" for k, t in enumerate(targets)) + "</Relationships>"
+    return f"<Relationships xmlns='{PACKAGE}/relationships'>" + "".join(f"<Relationship Id='rId{k}' Type='{OFFICE}/{'officeDocument' if part_kind(t) == 'document' else part_kind(t)}' Target='{t}'/>" if ":" not in t else f"<Relationship Id='r{k}' Type='{OFFICE}/hyperlink' Target='{t}' TargetMode='External'/>" for k, t in enumerate(targets)) + "</Relationships>"
 
 
 def docx(body, extra=None, related=()):
@@ -246,7 +251,7 @@ def docx(body, extra=None, related=()):
     parts = {"_rels/.rels": relations("word/document.xml", "docProps/core.xml"), "word/document.xml": f"<w:document xmlns:w='{W}'><w:body>{body}</w:body></w:document>", **(extra or {})}
     if related:
         parts["word/_rels/document.xml.rels"] = relations(*related)
-    listed = "".join(f"<Override PartName='/{n}' ContentType='application/xml'/>" for n in parts if not n.endswith(".rels"))
+    listed = "".join(f"<Override PartName='/{n}' ContentType='application/x.{'document.main' if part_kind(n) == 'document' else part_kind(n)}+xml'/>" for n in parts if not n.endswith(".rels"))
     out = BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f"<Types xmlns='{PACKAGE}/content-types'><Default Extension='rels' ContentType='x'/><Default Extension='png' ContentType='image/png'/>{listed}</Types>")
@@ -309,6 +314,56 @@ def test_docx_fails_closed(data):
         office.Package("docx", data, S.PACKAGE_LIMITS)
 
 
+STYLES, NUMBERS = f"<w:styles xmlns:w='{W}'>%s</w:styles>", f"<w:numbering xmlns:w='{W}'><w:abstractNum w:abstractNumId='0'><w:lvl w:ilvl='0'>%s</w:lvl></w:abstractNum></w:numbering>"
+
+
+@pytest.mark.parametrize(
+    ("body", "extra", "kept"),
+    [
+        (GOOD, {"word/numbering.xml": NUMBERS % "<w:lvlText w:val='Jane Doe 010-1234-5678'/>"}, None),
+        (GOOD, {"word/numbering.xml": NUMBERS % "<w:numFmt w:val='decimal'/><w:lvlText w:val='(%1.%2)'/>"}, ["w:val=\"(%1.%2)\"", "w:val=\"decimal\""]),
+        (GOOD, {"word/styles.xml": STYLES % "<w:style w:styleId='Jane' w:type='paragraph'><w:name w:val='Jane Doe'/><w:aliases w:val='Jane'/><w:basedOn w:val='JaneDoe2'/><w:pPr><w:jc w:val='center'/></w:pPr></w:style>"}, ["w:styleId=\"s1\"", "w:val=\"s2\"", "w:val=\"center\""]),
+        ("<w:p><w:pPr><w:pStyle w:val='Jane'/><w:jc w:val='Jane'/><w:ind w:left='720'/></w:pPr><w:r><w:t>text</w:t></w:r></w:p>", {}, ["w:val=\"s1\"", "w:left=\"720\""]),
+        ("<w:p><w:pPr><w:jane w:val='Jane'><w:x/></w:jane><w:jc w:Jane='1' w:val='left'/></w:pPr><w:r><w:rPr><w:rFonts w:ascii='Jane Doe' w:cs='Arial'/></w:rPr><w:t w:jane='Jane' xml:space='preserve'>text</w:t></w:r></w:p>", {}, ["w:val=\"left\"", "w:cs=\"Arial\"", "xml:space=\"preserve\""]),
+        ("<w:p w:rsidR='Jane'><w:commentRangeStart w:id='1'/><w:r><w:t>text</w:t><w:commentReference w:id='1'/></w:r><w:commentRangeEnd w:id='1'/></w:p>", {}, []),
+    ],
+)
+def test_docx_formatting_says_nothing(body, extra, kept):
+    data = docx(body, extra, [n.removeprefix("word/") for n in extra])
+    if kept is None:
+        with pytest.raises(package.Refused):
+            office.Package("docx", data, S.PACKAGE_LIMITS)
+        return
+    opened = office.Package("docx", data, S.PACKAGE_LIMITS)
+    with zipfile.ZipFile(BytesIO(opened.masked({s.segment_id: [] for s in opened.segments}))) as z:
+        everything = b"".join(z.read(n) for n in z.namelist()).decode()
+    assert "jane" not in everything.lower() and "comment" not in everything and all(k in everything for k in kept), everything
+
+
+def test_docx_hyphens_are_text():
+    opened = office.Package("docx", docx(para("<w:t>010</w:t>", "<w:noBreakHyphen/><w:t>1234</w:t>", "<w:noBreakHyphen/><w:t>5678</w:t><w:softHyphen/>")), S.PACKAGE_LIMITS)
+    (one,) = opened.segments
+    assert one.text == "010-1234-5678\u00ad"
+    again = office.Package("docx", opened.masked({one.segment_id: [(0, 13)]}), S.PACKAGE_LIMITS)
+    assert again.segments[0].text == "█" * 13 + "\u00ad"
+
+
+def test_docx_parts_are_what_they_are_called():
+    header = f"<w:hdr xmlns:w='{W}'>{para('<w:t>head</w:t>')}</w:hdr>"
+    good = docx(GOOD, {"word/header1.xml": header}, ["header1.xml"])
+    assert len(office.Package("docx", good, S.PACKAGE_LIMITS).segments) == 2
+    for old, new in ((b"/header'", b"/footer'"), (b"x.header+xml", b"x.styles+xml"), (b"Id='rId0' Type='http://schemas.openxmlformats.org/officeDocument/2006/relationships/header'", b"Id='Jane' Type='http://schemas.openxmlformats.org/officeDocument/2006/relationships/header'")):
+        with zipfile.ZipFile(BytesIO(good)) as z:
+            parts = {n: z.read(n) for n in z.namelist()}
+        assert any(old in x for x in parts.values())
+        out = BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n, x in parts.items():
+                z.writestr(n, x.replace(old, new))
+        with pytest.raises(package.Refused):
+            office.Package("docx", out.getvalue(), S.PACKAGE_LIMITS)
+
+
 def test_docx_keeps_what_is_reached_and_names_nothing_else():
     header = f"<w:hdr xmlns:w='{W}'>{para('<w:t>head</w:t>')}</w:hdr>"
     extra = {"word/header1.xml": header, "word/header2.xml": header, "word/styles.xml": f"<w:styles xmlns:w='{W}'><w:style/></w:styles>", "docProps/core.xml": "<c>secret name</c>", "customXml/item1.xml": "<c>secret</c>", "word/comments.xml": "<c>secret</c>", "word/settings.xml": "<c>secret</c>", "word/theme/theme1.xml": "<c/>"}
@@ -379,3 +434,13 @@ def test_text_files(spark):
 def test_rules_in_utf16(spark):
     df = spark.createDataFrame([(1, "😀 a@b.example.com 😀 c@d.example.com")], "doc_id long, text string")
     assert sorted((r.start, r.stop) for r in detect.by_rules(df, ["doc_id"]).collect()) == [(3, 18), (22, 37)]
+
+
+def test_hwpx_previews_go():
+    out = BytesIO(hwpx())
+    with zipfile.ZipFile(out, "a") as z:
+        z.writestr("Preview/PrvText.txt", "secret")
+        z.writestr("META-INF/container.xml", "<c xmlns='urn:c'><r full-path='Contents/content.hpf'/><r full-path='Preview/PrvText.txt'/></c>")
+    opened = office.Package("hwpx", out.getvalue(), S.PACKAGE_LIMITS)
+    with zipfile.ZipFile(BytesIO(opened.masked({s.segment_id: [] for s in opened.segments}))) as z:
+        assert not [n for n in z.namelist() if n.startswith("Preview")] and b"Preview" not in z.read("META-INF/container.xml") and b"content.hpf" in z.read("META-INF/container.xml")
