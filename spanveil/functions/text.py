@@ -194,6 +194,11 @@ def same_text_key(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), r"\s", "")
 
 
+def client_id() -> Column:
+    """A random name of 32 hexadecimal digits for each row."""
+    return F.replace(F.uuid(), F.lit("-"))
+
+
 def artifact_fits(content: Column | str, size: Column | str, sha256: Column | str) -> Column:
     return (F.octet_length(_c(content)) == _c(size)) & (F.sha2(_c(content).cast("binary"), 256) == _c(sha256))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,11 +136,16 @@ def in_order(items: DataFrame, keys: list[str]) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame, keys: list[str], most_steps: int = 1000) -> DataFrame:
     """(keys, node): what edges(keys, source, target) reach from roots(keys, node), these included.
 
-    Each step joins only the nodes that the one before it found; where spark.checkpoint.dir is set, its result is cut
-    from the plan there.
+    Each step joins only the nodes that the one before it found, and its result is cut from the plan in spark.checkpoint.dir;
+    only local mode does without that setting, in a folder of its own.
     """
     spark = edges.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spanveil-"))
+    cut = lambda df: df.checkpoint()
     steps = edges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("source").alias("_source"), "target")
     found = new = cut(roots.select(*keys, "node").distinct())
     for _ in range(most_steps):

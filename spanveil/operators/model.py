@@ -33,8 +33,12 @@ def widen_half(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<f2").astype("<f4")
 
 
-def check_labels(labels: list[str]) -> None:
-    """O first, then B and I of each type side by side."""
+def check_labels(labels: list[str], size: int | None = None, ids: dict[str, int] | None = None) -> None:
+    """O first, then B and I of each type side by side; as many as size, and with the numbers that ids gives back, where these are given."""
+    if size is not None and len(labels) != size:
+        raise ValueError(f"{size} labels expected")
+    if ids is not None and ids != {x: i for i, x in enumerate(labels)}:
+        raise ValueError("labels and their numbers differ")
     if labels[:1] != ["O"] or len(labels) % 2 == 0:
         raise ValueError("labels must be O and pairs")
     for b, i in zip(labels[1::2], labels[2::2], strict=True):

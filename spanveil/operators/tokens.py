@@ -39,6 +39,12 @@ def tokens_are_sound(tokens: str, length: str) -> Column:
     return F.forall(tokens, lambda t: (t["id"] >= 0) & t["attn"].isin(0, 1) & t["special"].isin(0, 1) & (t["start"] >= 0) & (t["start"] <= t["stop"]) & (t["stop"] <= F.col(length)))
 
 
+def input_is_sound(ids: Column | str, mask: Column | str, most: int = S.MAX_TOKENS, vocabulary: int = S.VOCABULARY) -> Column:
+    """Whether a model may take a chunk: 1 to most ids of the vocabulary, and a mask of as many zeros and ones."""
+    ids, mask = (F.col(c) if isinstance(c, str) else c for c in (ids, mask))
+    return F.coalesce(F.size(ids).between(1, most) & (F.size(mask) == F.size(ids)) & F.forall(ids, lambda i: (i >= 0) & (i < vocabulary)) & F.forall(mask, lambda m: m.isin(0, 1)), F.lit(False))
+
+
 def label_of(labels: list[str], place: Column) -> Column:
     """The label at a place; labels must be O and B-/I- of the known types."""
     for x in labels:

@@ -82,5 +82,10 @@ def outcomes(files: DataFrame, done: DataFrame, kinds: list[str], batch: str, un
 
 
 #: Kinds with a processor; others pass or are held by the caller's policy.
+def processors(open_pdf: Callable | None = None) -> dict[str, Callable]:
+    """The processor of each kind; PDFs have one where the caller brings a reader."""
+    return PROCESSORS | ({"pdf": lambda f, **k: mask_pdf(f, open_pdf, **k)} if open_pdf else {})
+
+
 PROCESSORS = {"docx": lambda f, **k: mask_office(f, "docx", **k), "hwpx": lambda f, **k: mask_office(f, "hwpx", **k), "text": mask_text_files}
 

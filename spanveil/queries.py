@@ -11,6 +11,7 @@ from . import schemas as S
 from .functions import text as X
 from .operators import detect, masking, messages, policy, reconcile, review, spans, tokens
 from .plans import mask_documents
+from .sources import pdf
 from .streaming import binding
 
 KEYS = ["doc_id"]
@@ -385,7 +386,7 @@ def _stored(spark, sf_dir):
     """A user's stored preferences: some types turned round, some with values that are no policy."""
     kind = F.element_at(F.array(*map(F.lit, S.PII_TYPES)), (F.col("n_nationkey") % 18 + 1).cast("int"))
     policy_ = F.element_at(F.array(*map(F.lit, [S.AUTO, S.CONFIRM, "bad"])), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "nation").filter("n_nationkey < 18").select(kind.alias("type"), policy_.alias("policy"))
+    return table(spark, sf_dir, "nation").select(kind.alias("type"), policy_.alias("policy"))
 
 
 def q_policy_preferences(spark, sf_dir):
@@ -499,6 +500,23 @@ def q_results_complete(spark, sf_dir):
     return review.rejected_segments(turns, given)
 
 
+def q_inputs_sound(spark, sf_dir):
+    """Chunks that the model may take, of every whole text: too long ones, ids beyond the vocabulary and odd masks refused."""
+    docs = docs_of(spark, sf_dir).select("doc_id", X.u16len("text").alias("n"))
+    d = F.col("doc_id")
+    ids = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: (i * 31 + d) % F.when(d % 5 == 0, 50_010).otherwise(50_000))
+    mask = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.when((d % 7 == 0) & (i == 3), 2).otherwise(1))
+    return docs.select("doc_id", tokens.input_is_sound(ids, mask).alias("sound"))
+
+
+def q_output_differs(spark, sf_dir):
+    """Conversations whose output has other pages or other text; white space doesn't count."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page"), "text")
+    k = F.col("conv_id") * 31 + F.col("page") * 7
+    out = turns.filter(k % 61 != 0).withColumn("text", F.when(k % 67 == 1, F.concat(F.lit("x"), F.col("text"))).otherwise(F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("\n")))))
+    return pdf.output_differs(turns, out, ["conv_id"])
+
+
 def q_bound_work(spark, sf_dir):
     """Whether results may still be written: events of a user as its tab, in five conversations and with moves between."""
     e = F.col("event_id")
@@ -675,6 +693,8 @@ ORACLES = {
     "file_outcomes": """WITH f AS (SELECT doc_id, doc_id // 3 AS batch, CASE WHEN doc_id % 5 > 2 THEN 'unhandled' WHEN doc_id % 11 > 0 THEN 'masked' ELSE 'cancelled' END AS own FROM documents)
         SELECT doc_id, batch, CASE WHEN own = 'masked' AND bool_or(own <> 'masked') OVER (PARTITION BY batch) THEN 'waits' ELSE own END AS outcome FROM f""",
     "results_complete": """WITH t AS (SELECT conv_id AS doc_id, turn, conv_id * 31 + turn * 7 AS k FROM conversations) SELECT DISTINCT doc_id FROM t WHERE k % 41 = 0 OR k % 53 = 3 OR k % 59 = 5""",
+    "inputs_sound": "WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents) SELECT doc_id, greatest(n, 1) <= 2048 AND (doc_id % 7 <> 0 OR n < 4) AND (doc_id % 5 <> 0 OR len(list_filter(range(greatest(n, 1)), lambda i: (i * 31 + doc_id) % 50010 >= 50000)) = 0) AS sound FROM d",
+    "output_differs": "SELECT DISTINCT conv_id FROM (SELECT conv_id, conv_id * 31 + turn * 7 AS k FROM conversations) WHERE k % 61 = 0 OR k % 67 = 1",
     "routed_messages": """SELECT event_id, '["ext","' || CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE '' END || '","' || (event_id % 7)::VARCHAR || '","0","' || CASE WHEN event_id % 2 = 0 THEN 'd' || event_id ELSE '' END || '","' || CASE WHEN event_id % 3 > 0 AND event_id % 2 > 0 THEN 'https://x.example/' || (event_id % 5) ELSE '' END || '"]' AS owner FROM events WHERE event_id % 5 > 0""",
     "same_text_key": r"SELECT doc_id, md5(regexp_replace(text, '\s', '', 'g')) AS key_md5, length(text) AS units FROM documents",
 }

@@ -33,7 +33,7 @@ BLOCK, BULLET = "█", "•"
 TEXT_LIMITS = {"input_bytes": 10 << 20, "output_bytes": 12 << 20, "characters": 5_000_000}
 PACKAGE_LIMITS = {"input_bytes": 25 << 20, "output_bytes": 50 << 20, "expanded_bytes": 100 << 20, "entries": 2048, "paragraphs": 10_000, "characters": 1_000_000, "depth": 128}
 PDF_LIMITS = {"input_bytes": 25 << 20, "output_bytes": 50 << 20, "pages": 100, "characters": 1_000_000, "pixels": 16_000_000, "scale": 2}
-CHUNK_TOKENS, CHUNK_OVERLAP, MAX_TOKENS = 512, 128, 2048
+CHUNK_TOKENS, CHUNK_OVERLAP, MAX_TOKENS, VOCABULARY = 512, 128, 2048, 50_000
 TRANSPORT_BYTES = 512 << 10
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("stop", T.IntegerType(), False)])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.text import same_text_key
 from .office import code_of
 
 GLYPHS = "doc_id string, segment_id string, text string, glyphs array<struct<char:string,start:int,stop:int,x0:double,y0:double,x1:double,y1:double>>"
@@ -56,6 +57,15 @@ def segments(files: DataFrame, open_pdf: Callable[[bytes, dict], list[tuple[str,
     return read.filter(F.col("code").isNull()).drop("code"), rejects
 
 
+def output_differs(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Documents (keys) whose output fails: another number of pages, or a page (page, text) of another text but for white space."""
+    want = expected.select(*keys, "page", F.md5(same_text_key("text")).alias("_want"), F.lit(1).alias("_e"))
+    have = found.select(*keys, "page", F.md5(same_text_key("text")).alias("_have"), F.lit(1).alias("_f"))
+    both = want.join(have, [*keys, "page"], "full")
+    same = F.col("_e").isNotNull() & F.col("_f").isNotNull() & F.col("_want").eqNullSafe(F.col("_have"))
+    return both.filter(~same).select(*keys).distinct()
+
+
 def kept_text(pages: DataFrame, masks: DataFrame, scale: float = S.PDF_LIMITS["scale"]) -> tuple[DataFrame, DataFrame]:
     """(pages, rejects): pages with the text of the glyphs that no span touches.
 

@@ -1,5 +1,7 @@
 """Tokenizer offsets, the model path with a fake classifier, and the remaining scalar functions."""
 
+import hashlib
+import re
 import sys
 import unicodedata
 
@@ -14,7 +16,7 @@ from spanveil.functions import text as X
 from spanveil.functions.wordpiece import WordPiece, composed
 from spanveil.operators import model, spans, tokens
 from spanveil.plans import mask_documents
-from spanveil.sources import pdf
+from spanveil.sources import artifact, pdf
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers don't import tests
 
@@ -129,3 +131,33 @@ def test_mask_text(spark):
     df = spark.createDataFrame([(1, "mail a@b.example.com or c@d.example.com or a@b.example.com"), (2, "nothing")], "doc_id long, text string")
     out = {r.doc_id: r.masked for r in mask_documents.mask_text(df, ["doc_id"]).collect()}
     assert out == {1: "mail [EMAIL_1] or [EMAIL_2] or [EMAIL_1]", 2: "nothing"}
+
+
+def test_artifacts(spark, tmp_path):
+    content = b"weights" * 1000
+    sha = hashlib.sha256(content).hexdigest()
+    cache, source = tmp_path / "cache", tmp_path / "source"
+    cache.mkdir()
+    source.mkdir()
+    get = lambda: artifact.load_artifact(spark, "m.bin", len(content), sha, f"file://{cache}", f"file://{source}")
+    with pytest.raises(ValueError, match="MODEL_DOWNLOAD_FAILED"):
+        get()
+    (source / "m.bin").write_bytes(content)
+    assert get() == content and (cache / "m.bin").read_bytes() == content
+    (source / "m.bin").write_bytes(b"gone")
+    assert get() == content
+    (cache / "m.bin").write_bytes(b"broken")
+    with pytest.raises(ValueError, match="MODEL_DOWNLOAD_FAILED"):
+        get()
+    (source / "m.bin").write_bytes(content)
+    assert get() == content and (cache / "m.bin").read_bytes() == content
+
+
+def test_labels_and_names(spark):
+    model.check_labels(LABELS, 3, {"O": 0, "B-PERSON": 1, "I-PERSON": 2})
+    for size, ids in ((37, None), (3, {"O": 0, "B-PERSON": 2, "I-PERSON": 1})):
+        with pytest.raises(ValueError):
+            model.check_labels(LABELS, size, ids)
+    names = [r.n for r in spark.range(50).select(X.client_id().alias("n")).collect()]
+    assert len(set(names)) == 50 and all(re.fullmatch("[0-9a-f]{32}", n) for n in names)
+    assert set(mask_documents.processors()) == {"docx", "hwpx", "text"} and "pdf" in mask_documents.processors(lambda data: None)
