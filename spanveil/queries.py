@@ -447,7 +447,7 @@ def q_restored_decisions(spark, sf_dir):
     placed = spans.concat_offsets(turns, "conv_id", "turn")
     n, at = X.u16len("text"), F.col("at").cast("int")
     made = placed.select("conv_id", F.inline(F.array(*[F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), F.lit(t).alias("type")) for a, b, t in ((at, at + n, "PERSON"), (at + F.floor(n / 2), at + n, "PHONE"), (at + F.floor(n / 2), at + n + 1, "PHONE"))])))
-    return spans.restored(made, turns, "conv_id", "turn").select("conv_id", "segment_id", "start", "stop", "type")
+    return spans.restored(made, turns, "conv_id", "turn").select("conv_id", "segment_id", F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("stop", F.lit(-1)).alias("stop"), "type")
 
 
 def _paired(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -678,7 +678,7 @@ ORACLES = {
     "piece_masks": f"WITH {SYN}, p AS (SELECT doc_id, n, unnest(range((n - 1) // 8 + 1)) AS piece FROM base) SELECT p.doc_id, piece, greatest(start, piece * 8)::INT AS start, least(stop, piece * 8 + 8, p.n)::INT AS stop FROM p JOIN syn s ON s.doc_id = p.doc_id AND s.start < least(piece * 8 + 8, p.n) AND piece * 8 < s.stop",
     "restored_decisions": """WITH t AS (SELECT conv_id, turn::VARCHAR AS segment_id, length(text)::INT AS n FROM conversations)
         SELECT conv_id, segment_id, 0::INT AS start, n AS stop, 'PERSON' AS type FROM t WHERE n > 0 UNION ALL SELECT conv_id, segment_id, (n // 2)::INT, n, 'PHONE' FROM t WHERE n > 0
-        UNION ALL SELECT conv_id, NULL, NULL, NULL, 'PHONE' FROM t UNION ALL SELECT conv_id, NULL, NULL, NULL, unnest(['PERSON', 'PHONE']) FROM t WHERE n = 0""",
+        UNION ALL SELECT conv_id, NULL, -1, -1, 'PHONE' FROM t UNION ALL SELECT conv_id, NULL, -1, -1, unnest(['PERSON', 'PHONE']) FROM t WHERE n = 0""",
     "bound_work": """WITH e AS (SELECT user_id AS tab, event_id AS seq, CASE WHEN event_id % 7 = 3 THEN 'move' WHEN event_id % 2 = 0 THEN 'start' ELSE 'finish' END AS kind, (event_id % 3)::VARCHAR AS work, event_id % 4 AS url, CASE WHEN event_id % 5 > 0 THEN event_id % 2 END AS conv FROM events),
         f AS (SELECT f.*, (SELECT max(b.seq) FROM e b WHERE b.tab = f.tab AND b.work = f.work AND b.kind <> 'move' AND b.seq < f.seq) AS prior FROM e f WHERE kind = 'finish')
         SELECT f.tab, f.work, f.seq, CASE WHEN b.kind IS DISTINCT FROM 'start' THEN 'unknown' WHEN EXISTS (SELECT 1 FROM e m WHERE m.tab = f.tab AND m.kind = 'move' AND m.seq > b.seq AND m.seq < f.seq) THEN 'moved'
