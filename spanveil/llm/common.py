@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,9 +46,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    relieve(spark)
     return out
 
 
+relieved = [0.0]
+
+
+def relieve(spark: SparkSession, every: float = 10.0) -> None:
+    """The driver gives memory back, at most every so many seconds: plans of dozens of jobs otherwise fill its whole heap,
+    which the JVM returns after a full collection only."""
+    if time.monotonic() - relieved[0] > every:
+        give_back()
+        spark._jvm.System.gc()
+        relieved[0] = time.monotonic()
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     fs, at = _hadoop(spark, path)
     fs.deleteOnExit(at)

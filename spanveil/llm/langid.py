@@ -17,6 +17,7 @@ the added ones are replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc_mod, documents, give_back, lean, staged, without
+from .common import crc_mod, documents, give_back, lean, relieve, staged, without
 
 DIMS = 1 << 12
 PIECE = 1 << 16
@@ -84,14 +85,15 @@ class Model:
         self.langs, self.code, self.weights, self.trust, self.sharpness = langs, code, weights, trust, sharpness
 
     @classmethod
-    def fit(cls, counts: np.ndarray, lang: list[str], ridge: float = 0.05, sharpness: float = 8.0) -> Model:
+    def fit(cls, x: np.ndarray, lang: list[str], ridge: float = 0.05, sharpness: float = 8.0) -> Model:
         langs = sorted(set(lang))
         code, y = codewords(len(langs)), np.array([langs.index(x) for x in lang], int)
         if len(langs) < 2:
             return cls(langs, code, np.zeros((DIMS, 0), np.float32), np.zeros((len(langs), 0), np.float32), sharpness)
-        x = unit(counts)
         kernel, target = (x @ x.T).astype(np.float64), code[y].astype(np.float64)
-        inverse = np.linalg.inv(kernel + ridge * np.eye(len(x)))
+        kernel[np.diag_indices(len(x))] += ridge
+        inverse = np.linalg.inv(kernel)
+        del kernel
         dual = inverse @ target
         left_out = target - dual / np.diag(inverse)[:, None]  # each row's margins by the classifiers fitted without it
         right = (left_out * target > 0).astype(np.float64)
@@ -113,7 +115,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, len(batch), 256):
             part = batch.slice(lo, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([counts_of(x).astype("<u4").tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.compress(counts_of(x).astype("<u4").tobytes(), 1) for x in part.column(1).to_pylist()], pa.binary())], ["lang", "counts"])
 
 
 def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000) -> Model | None:
@@ -137,15 +139,14 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     got = taken.select("lang", "text").mapInArrow(lean(_count_rows), "lang string, counts binary").toArrow()
     if not len(got):
         return None
-    counts = np.empty((len(got), DIMS), np.uint32)
+    x, names = np.empty((len(got), DIMS), np.float32), got.column(0).to_pylist()
     for i, blob in enumerate(got.column(1)):
-        counts[i] = np.frombuffer(blob.as_buffer(), "<u4")
-    names = got.column(0).to_pylist()
+        x[i] = unit(np.frombuffer(zlib.decompress(blob.as_py()), "<u4"))
     del got
     give_back()
-    model = Model.fit(counts, names)
-    del counts
-    give_back()
+    model = Model.fit(x, names)
+    del x
+    relieve(training.sparkSession, 0)
     return model
 
 
