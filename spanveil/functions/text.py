@@ -24,9 +24,9 @@ def utf16(text: Column | str) -> Column:
 
 
 def u16len(text: Column | str) -> Column:
-    """Length in UTF-16 code units: the code points and once more those beyond the basic plane."""
+    """Length in UTF-16 code units: the code points, or half the bytes of the encoded text where it has pairs."""
     text = _c(text)
-    return (F.length(text) + F.when(has_pairs(text), F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", ""))).otherwise(0)).cast("int")
+    return F.when(has_pairs(text), F.octet_length(utf16(text)) / 2).otherwise(F.length(text)).cast("int")
 
 
 def has_pairs(text: Column | str) -> Column:
@@ -35,6 +35,15 @@ def has_pairs(text: Column | str) -> Column:
     return (F.octet_length(text) > F.length(text)) & text.rlike("[\\x{10000}-\\x{10FFFF}]")
 
 
+def units_before(text: Column | str, offsets: Column) -> Column:
+    """map<int,int> from each of an array's code-point offsets to the units before it; the text is measured once, piece by piece."""
+    text = _c(text)
+    before = lambda order, k: F.when(k == 0, 0).otherwise(F.element_at(order, F.greatest(k, F.lit(1))))
+    sizes = lambda order: F.transform(order, lambda x, k: bind(F.substring(text, before(order, k) + 1, x - before(order, k)), u16len))
+    sums = lambda own: F.transform(own, lambda _, k: F.aggregate(F.slice(own, F.lit(1), k + 1), F.lit(0), lambda s, x: s + x))
+    return bind(F.sort_array(F.array_distinct(offsets)), lambda order: F.map_from_arrays(order, bind(sizes(order), sums)))
+
+
 def units_of(text: Column | str) -> Column:
     """What unit_slice() and unit_splits() need of a text, to be bound once for all its slices."""
     text = _c(text)

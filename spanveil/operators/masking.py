@@ -74,8 +74,13 @@ def mask_aliases(texts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFra
     return mask_aliases_of(gathered(texts, spans, keys, typed=True))
 
 
+def mask_blocks_of(texts: DataFrame) -> DataFrame:
+    """texts, with an array _spans of struct<ord,type,start,stop>, with masked: everything within the row, nothing shuffled."""
+    items = lambda units, n: united(F.col("_spans"), touching=True)
+    return texts.withColumn("masked", _masked("text", items, lambda x: F.repeat(F.lit(S.BLOCK), x["stop"] - x["start"]))).drop("_spans")
+
+
 def mask_blocks(texts: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """texts with masked: the union of the spans, touching ones merged, as blocks of the same UTF-16 width."""
     rows = gathered(texts, spans.withColumn("ord", F.lit(0)) if "ord" not in spans.columns else spans, keys, typed=False)
-    items = lambda units, n: united(F.col("_spans"), touching=True)
-    return rows.withColumn("masked", _masked("text", items, lambda x: F.repeat(F.lit(S.BLOCK), x["stop"] - x["start"]))).drop("_spans")
+    return mask_blocks_of(rows)

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from spanveil import queries
 from spanveil import schemas as S
 from spanveil.functions import text as X
 from spanveil.operators import detect, masking, policy, reconcile, review, spans, tokens
@@ -444,3 +445,11 @@ def test_hwpx_previews_go():
     opened = office.Package("hwpx", out.getvalue(), S.PACKAGE_LIMITS)
     with zipfile.ZipFile(BytesIO(opened.masked({s.segment_id: [] for s in opened.segments}))) as z:
         assert not [n for n in z.namelist() if n.startswith("Preview")] and b"Preview" not in z.read("META-INF/container.xml") and b"content.hpf" in z.read("META-INF/container.xml")
+
+
+def test_units_before_and_spans_meet_texts_without_a_shuffle(spark):
+    one = spark.createDataFrame([("a\U0001f600b\U0001f600", [4, 0, 2, 2]), ("abc", [3]), ("", [0]), (None, [1])], "s string, at array<int>")
+    assert [r.m for r in one.select(X.units_before("s", F.col("at")).alias("m")).collect()] == [{0: 0, 2: 3, 4: 6}, {3: 3}, {0: 0}, {1: None}]
+    for name in ("mask_alias_pairs", "mask_block_pairs"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
