@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schemas as S
-from ..functions.text import argmax, has_pairs, safe_boundary, softmax_max
+from ..functions.text import argmax, has_pairs, safe_boundary, softmax_of
 
 #: One punctuation mark, or a run without white space and punctuation.
 PRETOKEN = r"[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+"
@@ -61,7 +61,7 @@ def decode_bio(tokens: DataFrame, labels: list[str], keys: list[str], texts: Dat
     empty ends one. Confidence is the mean of the tokens' softmax shares.
     """
     place = argmax("logits")
-    rows = tokens.withColumn("label", label_of(labels, place)).withColumn("p", softmax_max("logits"))
+    rows = tokens.withColumn("label", label_of(labels, place)).withColumn("p", softmax_of("logits", len(labels)))
     content = (F.col("special") == 0) & (F.col("attn") == 1) & (F.col("stop") > F.col("start"))
     rows = rows.withColumn("content", content).withColumn("kind", F.when(content & (F.col("label") != "O"), F.substring("label", 3, 100)))
     w = Window.partitionBy(*keys, "chunk").orderBy("i")
@@ -83,7 +83,7 @@ def decode_bio(tokens: DataFrame, labels: list[str], keys: list[str], texts: Dat
         F.max("stop").alias("stop"),
         F.bool_or(F.col("has_previous") & (F.col("i") == F.col("first"))).alias("truncated_start"),
         F.bool_or(F.col("has_next") & (F.col("i") == F.col("last"))).alias("truncated_stop"),
-        F.array_sort(F.collect_list(F.struct("token_index", F.col("p").alias("confidence")))).alias("tokens"),
+        F.sort_array(F.collect_list(F.struct("token_index", F.col("p").alias("confidence")))).alias("tokens"),
     )
     paired = texts.filter(has_pairs("text")).select(*keys, "text")
     return found.join(paired, keys, "left").withColumns({"start": F.when(F.col("text").isNull(), F.col("start")).otherwise(safe_boundary("text", "start", False)), "stop": F.when(F.col("text").isNull(), F.col("stop")).otherwise(safe_boundary("text", "stop", True))}).drop("text")

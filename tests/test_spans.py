@@ -453,3 +453,12 @@ def test_units_before_and_spans_meet_texts_without_a_shuffle(spark):
     for name in ("mask_alias_pairs", "mask_block_pairs"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_decoding_moves_no_token_between_tasks(spark):
+    plan = queries.QUERIES["bio_decode"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window") :]
+    dealt = next(line for line in below.splitlines() if "Exchange" in line)
+    assert "REPARTITION_BY_NUM" in dealt and plan.index("Generate") < plan.index(dealt)
+    one = spark.createDataFrame([([0.5, 2.0, 1.0],), ([1.0, 1.0],), ([3.0, 1.0, 2.0, 0.0],)], "v array<double>")
+    assert all(r.a == r.b for r in one.select(X.softmax_of("v", 3).alias("a"), X.softmax_max("v").alias("b")).collect())
