@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, crc_mod, documents, give_back, lean, mix64, staged
+from .common import TokenHasher, crc_mod, documents, give_back, lean, mix64, relieve, staged
 
 END = np.uint64(0x9D5C1F3B7A2E8640)  # the hash of the end token
 GT_MAX = 5
@@ -352,6 +352,7 @@ def fit(coded: DataFrame, vocabulary: Vocabulary, heavy: int = 1 << 19) -> Fitte
     buckets = max(12, -(-vocabulary.total // BUCKET_TOKENS))
     pairs = coded.select("token_ids").mapInArrow(lean(_count_pairs(size, buckets)), "bucket int, keys binary, counts binary")
     pairs = staged(pairs.groupBy("bucket").applyInArrow(_merge_bucket, "bucket int, keys binary, counts binary"), "pairs")
+    relieve(spark, 0)  # what the pairs were dealt out by is as large as all that scoring writes
     histogram = {r.c: r.n for r in pairs.mapInArrow(lean(_count_histogram), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}  # at most sqrt(2 total) rows
     d = discounts(histogram)
 
