@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, discard, documents, give_back, lean, mix64, staged
+from .common import TokenHasher, discard, documents, give_back, lean, mix64, relieve, staged
 from .components import components
 
 SKETCH = 64
@@ -196,9 +196,13 @@ class Confirmer:
     def __init__(self, texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int):
         self.texts, self.sketches, self.words, self.num, self.den = texts, sketches, words, num, den
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
+    def __call__(self, pairs: DataFrame, *sources: DataFrame) -> DataFrame:
+        """sources: staged tables that only the pairs come from; they go, and what the pairs were shuffled by, before sets are made."""
         pairs = self._with(pairs.distinct(), self.sketches.select("rep", "sketch"))
         pairs = staged(pairs.mapInArrow(lean(_promising(self.num, self.den)), "a long, b long"), "promising")
+        discard(*sources)
+        if sources:
+            relieve(self.texts.sparkSession, 0)
         ids = staged(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
         sets = self.texts.join(sent_if_few(ids), "rep", "left_semi").mapInArrow(lean(_full_sets(self.words)), "rep long, values binary")
         links = staged(self._with(pairs, sets).mapInArrow(lean(_verified(self.num, self.den)), "a long, b long").distinct(), "verified")
@@ -252,12 +256,12 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
     short = short.filter(can_reach("x", "y", num, den)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
     long_ = staged(members.filter(F.col("size") > SHORT_LIST).select("v", "rep", "n", "place", "rare"), "long-lists")
+    relieve(spark, 0)  # the lists are dealt out once more for the pairs
     member = F.struct("rep", "n", "place", "rare")
     centres = long_.groupBy("v").agg(F.min_by(member, F.struct("rare", "rep")).alias("core"), F.min_by(member, F.struct(F.xxhash64("rep", F.pmod("v", F.lit(4))), "rep")).alias("centre"))
     confirm = Confirmer(texts, sketches, words, num, den)
-    links = confirm(short.filter(F.col("a") < F.col("b")).unionByName(some_each(long_.join(centres, "v"), num, den)))
+    links = confirm(short.filter(F.col("a") < F.col("b")).unionByName(some_each(long_.join(centres, "v"), num, den)), posts)
 
-    discard(posts)
     before = None
     for turn in range(MOST_TURNS):
         found = components(links)

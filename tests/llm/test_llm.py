@@ -858,3 +858,19 @@ def test_running_sums():
     for n in (0, 1, 15, 16, 17, 100):
         x = rng.standard_normal((n, 5))
         assert np.allclose(decontaminate.running_sums(x), np.concatenate([np.zeros((1, 5)), np.cumsum(x, axis=0)]))
+
+
+def test_what_tables_were_dealt_out_by_goes_before_the_next_large_step(spark, monkeypatch):
+    done = []
+    for module in (near_dedup, katz):
+        monkeypatch.setattr(module, "staged", lambda df, name, f=module.staged: done.append(name) or f(df, name))
+        monkeypatch.setattr(module, "relieve", lambda session, every, f=module.relieve: done.append("relieved" if every == 0 else "") or f(session, every))
+    posts = []
+    monkeypatch.setattr(near_dedup, "discard", lambda *tables, f=near_dedup.discard: posts.extend("posts-" in vars(t)["_staged_at"] and len(done) for t in tables) or f(*tables))
+    df = spark.createDataFrame([(i, f"one two three four five six {'seven' * (i % 2)}") for i in range(4)], "doc_id long, text string")
+    assert len({r.component_id for r in near_dedup.near_duplicates(df, words=3, num=50).collect()}) == 1
+    assert done[done.index("long-lists") + 1] == done[done.index("promising") + 1] == "relieved"
+    assert max(posts) == done.index("promising") + 1
+    v = katz.vocabulary_of(katz.count_tokens(df))
+    katz.fit(katz.encode(df, v), v)
+    assert done[done.index("pairs") + 1] == "relieved"
