@@ -9,7 +9,8 @@ keeps passages that thousands of documents share out of the lists, unless the do
 1. Documents with equal sets form a class; its smallest id stands for it.
 2. Frequent values: those counted in more documents than a short list has, cut to a bounded number of the
    most frequent ones. They only shape the order.
-3. Inverted lists: a short list gives its pairs, by size and position whether they can still reach t.
+3. Inverted lists, counted and gathered in one shuffle; those of frequent values, which may have any length, are
+   counted first and joined. A short list gives its pairs, by size and position whether they can still reach t.
    A long list is mostly a group of near copies. Members that by size and position can reach t with none of
    its sizes leave it at once: of the copies around the threshold, whose own changes come first in their
    order, that is nearly every one. Of the rest, each member is compared with the list's most central one,
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TokenHasher, discard, documents, give_back, lean, mix64, relieve, staged
@@ -117,12 +118,12 @@ def _often(words: int, at_once: int = 1 << 22):
 
 
 def _retain(words: int, num: int, den: int, frequent):
-    """Each class's retained values with their places in the order, and its share of values that aren't frequent."""
+    """Each class's retained values with their places in the order and whether they are frequent, and its share of values that aren't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, often = Shingler(words), frequent.value
         for batch in batches:
-            v, where, place, sizes, rare = [], [], [], [], []
+            v, where, place, sizes, rare, last = [], [], [], [], [], []
             for i, own in enumerate(shingler.sets(batch.column(1))):
                 if not len(own):
                     continue
@@ -134,8 +135,9 @@ def _retain(words: int, num: int, den: int, frequent):
                 where.append(np.full(len(first), i))
                 sizes.append(np.full(len(first), len(own)))
                 rare.append(np.full(len(first), (~late).sum() / len(own)))
+                last.append(np.arange(len(first)) >= (~late).sum())
             if v:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view("i8")), batch.column(0).take(pa.array(np.concatenate(where))), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(rare).astype(np.float32))], ["v", "rep", "n", "place", "rare"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view("i8")), batch.column(0).take(pa.array(np.concatenate(where))), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(rare).astype(np.float32)), pa.array(np.concatenate(last))], ["v", "rep", "n", "place", "rare", "late"])
 
     return run
 
@@ -232,6 +234,18 @@ def sizes_fit(x: str, y: str, num: int, den: int):
     return F.lit(den) * F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= F.lit(num) * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))
 
 
+def gathered(members: DataFrame) -> DataFrame:
+    """(v, size, m): a short list in one row, sorted by rep; a long one in a row for each member."""
+    alone = F.when(F.col("size") > SHORT_LIST, F.col("rep"))
+    return members.groupBy("v", "size", alone.alias("alone")).agg(F.array_sort(F.collect_list(F.struct("rep", "n", "place", "rare"))).alias("m")).drop("alone")
+
+
+def pairs_of(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of gathered short lists that can reach the threshold."""
+    both = lists.filter(F.col("size") <= SHORT_LIST).select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
+    return both.filter(can_reach("x", "y", num, den)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
 def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(node, component) of the classes that are linked with others."""
     spark = texts.sparkSession
@@ -247,20 +261,27 @@ def links_of(texts: DataFrame, sketches: DataFrame, words: int, num: int, den: i
 
     discard(counted)
     give_back()
-    posts = staged(texts.select("rep", "text").mapInArrow(lean(_retain(words, num, den, spark.sparkContext.broadcast(frequent))), "v long, rep long, n int, place int, rare float"), "posts")
-    lists = posts.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most")).filter(F.col("size") > 1)
-    members = posts.join(lists, "v").filter(F.col("n") - F.col("place") >= overlap(F.col("n"), F.greatest(F.col("least"), F.ceil(F.lit(num) * F.col("n") / F.lit(den))), num, den))
-
-    short = members.filter(F.col("size") <= SHORT_LIST).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "place"))).alias("m"))
-    short = short.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
-    short = short.filter(can_reach("x", "y", num, den)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-
-    long_ = staged(members.filter(F.col("size") > SHORT_LIST).select("v", "rep", "n", "place", "rare"), "long-lists")
-    relieve(spark, 0)  # the lists are dealt out once more for the pairs
+    posts = staged(texts.select("rep", "text").mapInArrow(lean(_retain(words, num, den, spark.sparkContext.broadcast(frequent))), "v long, rep long, n int, place int, rare float, late boolean"), "posts")
+    able = F.col("n") - F.col("place") >= overlap(F.col("n"), F.greatest(F.col("least"), F.ceil(F.lit(num) * F.col("n") / F.lit(den))), num, den)
+    # Lists of values that aren't among the frequent ones are bounded: dealt out once, counted and gathered where they are.
+    own = Window.partitionBy("v")
+    members = posts.filter(~F.col("late")).drop("late").withColumns({"size": F.count(F.lit(1)).over(own), "least": F.min("n").over(own)})
+    lists = staged(gathered(members.filter((F.col("size") > 1) & able)), "lists")
+    long_ = lists.filter(F.col("size") > SHORT_LIST).select("v", F.inline("m"))
+    short, sources = pairs_of(lists, num, den), [posts, lists]
+    if len(frequent):  # those of frequent values may have any length, and are counted first
+        late = posts.filter("late").drop("late")
+        counts = late.groupBy("v").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).filter(F.col("size") > 1)
+        late = staged(late.join(counts, "v").filter(able).drop("least"), "late-members")
+        long_ = long_.unionByName(late.filter(F.col("size") > SHORT_LIST).drop("size"))
+        short = short.unionByName(pairs_of(gathered(late.filter(F.col("size") <= SHORT_LIST)), num, den))
+        sources.append(late)
+    long_ = staged(long_, "long-lists")
+    relieve(spark, 0)  # what dealt the lists out goes before the pairs
     member = F.struct("rep", "n", "place", "rare")
     centres = long_.groupBy("v").agg(F.min_by(member, F.struct("rare", "rep")).alias("core"), F.min_by(member, F.struct(F.xxhash64("rep", F.pmod("v", F.lit(4))), "rep")).alias("centre"))
     confirm = Confirmer(texts, sketches, words, num, den)
-    links = confirm(short.filter(F.col("a") < F.col("b")).unionByName(some_each(long_.join(centres, "v"), num, den)), posts)
+    links = confirm(short.filter(F.col("a") < F.col("b")).unionByName(some_each(long_.join(centres, "v"), num, den)), *sources)
 
     before = None
     for turn in range(MOST_TURNS):
@@ -308,17 +329,21 @@ def some_each(members: DataFrame, num: int, den: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row for each of docs: links at den * |A & B| >= num * |A or B|."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    described = staged(rows.mapInArrow(lean(_describe(words)), "id long, h long, n long, s1 long, s2 long, sketch binary"), "sketches")
+    sketched = staged(rows.mapInArrow(lean(_describe(words)), "id long, h long, n long, s1 long, s2 long, sketch binary"), "sketches")
+    described = staged(sketched.drop("sketch"), "sizes")
     several = staged(described.groupBy("id").agg(F.min("h").alias("own"), F.max("h").alias("m")).filter("id IS NOT NULL AND own <> m").select("id", "own"), "several-texts")
-    standing, one_each = described, rows
+    standing, one_each, with_sketch = described, rows, sketched
     if some := several.limit(1).count():  # ids of several texts: one of them stands for each
-        standing, one_each = (x.join(several, "id", "left").filter(F.coalesce("own", "h") == F.col("h")).drop("own") for x in (described, rows))
+        standing, one_each, with_sketch = (x.join(several, "id", "left").filter(F.coalesce("own", "h") == F.col("h")).drop("own") for x in (described, rows, sketched))
     classes = standing.filter(F.col("id").isNotNull() & (F.col("n") > 0)).groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     classes = staged(classes, "classes")
     reps = sent_if_few(staged(classes.select(F.col("rep").alias("id")).distinct(), "class-ids"))
-    sketches = standing.drop("h").join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi").select(F.col("id").alias("rep"), "sketch").distinct()
+    sketches = with_sketch.drop("h").join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"], "left_semi").select(F.col("id").alias("rep"), "sketch").distinct()
+    sketches = staged(sketches, "class-sketches")
+    discard(sketched)
     texts = one_each.join(reps, "id", "left_semi").select(F.col("id").alias("rep"), "text")
-    found = links_of(texts, staged(sketches, "class-sketches"), words, num, den)
+    found = links_of(texts, sketches, words, num, den)
+    discard(sketches)
 
     out = standing.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     out = out.join(found, out["rep"] == found["node"], "left")

@@ -367,6 +367,27 @@ def test_copies_around_the_threshold(spark):
     assert found == want and 100 < sum(d == c for d, c in want.items()) < 650
 
 
+def test_posts_are_dealt_out_once(spark, monkeypatch):
+    read = {}
+
+    def staged(df, name, f=near_dedup.staged):
+        if any("/posts-" in x for x in df.inputFiles()):
+            read[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        return f(df, name)
+
+    monkeypatch.setattr(near_dedup, "staged", staged)
+    texts = [f"one two three four five six {'seven' * (i % 2)}" for i in range(6)]
+    assert {r.component_id for r in near_dedup.near_duplicates(docs(spark, texts), words=3, num=50).collect()} == {0}
+    assert read == {"lists": 1}
+
+
+def test_lists_of_frequent_values(spark):
+    """A list longer than a short one, of values that come last in the order, beside lists of values that don't."""
+    texts = [" ".join([f"p{k}" for k in range(40)] + [f"a{i // 2}x{k}" for k in range(i % 2 * 2)]) for i in range(90)] + ["q r s t u v w", "q r s t u v w x", "alone in here it is"]
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts), words=3, num=80).collect()}
+    assert found == brute_components(list(enumerate(texts)), 3, 80, 100)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, i) for i in range(201, 260)]
