@@ -27,12 +27,12 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,29 +83,27 @@ def splits_words(spelled: dict) -> bool:
     )
 
 
-RECENT = 1 << 15
-
-
 class Encoder:
-    """Texts to ids. Words are encoded once while they are kept: at most ``most`` of the last and as many older ones."""
+    """Texts to ids. Arrow cuts and numbers the words and finds those that are kept; only others become Python objects and are
+    encoded. Of over ``most`` kept words, the half used last stays."""
 
     made: dict[int, Encoder] = {}
 
-    def __init__(self, spelled: str, most: int = 400_000):
+    def __init__(self, spelled: str, most: int = 800_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         read = json.loads(spelled)
         self.tokenizer, self.most, self.by_words = Tokenizer.from_str(spelled), most, splits_words(read)
-        self.marks = [x["content"].encode() for x in read.get("added_tokens") or []]
+        self.marks = [x["content"] for x in read.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.latin = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250) if chr(c).isalpha()}
         self.merge = self.tokenizer.model.tokenize
         self.sides: dict[bytes, bytes] = {}
-        self.recent: dict[bytes, bytes] = {}  # few enough for a processor's cache
-        self.kept: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.words, self.used, self.calls = pa.array([], pa.string()), np.empty(0, np.int64), 0
+        self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, self.dtype)
 
     @classmethod
     def of(cls, spelled: str) -> Encoder:
@@ -123,72 +121,98 @@ class Encoder:
             self.sides[marks] = self.whole(marks) if marks else b""
         return self.sides[marks]
 
-    def _learn(self, words: Iterable[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> list[bytes]:
         """Ids of words not kept. Latin letters (single code points, which no normal form changes) with ASCII punctuation around
         them are merged at once, in lower case; all else takes the tokenizer's whole way."""
-        kept, rest, merge, code = self.kept, [], self.merge, self.code
-        for word in words:
+        if len(self.cores) > self.most // 4:
+            self.cores = {}
+        cores, rest, merge, code, out = self.cores, [], self.merge, self.code, []
+        for i, word in enumerate(words):
             core = word.strip(AROUND)
             letters = core.decode()
             low = letters.lower()
             if not letters.isalpha() or not letters.isascii() and (max(letters) >= "\u0250" or max(low) >= "\u0250"):
-                rest.append(word)
+                rest.append(i)
+                out.append(b"")
                 continue
-            key = low.encode()
-            ids = kept.get(key)
+            ids = cores.get(low)
             if ids is None:
-                ids = kept[key] = array(code, [x.id for x in merge(low if low.isascii() else low.translate(self.latin))]).tobytes()
-            if key != word:
+                ids = cores[low] = array(code, [x.id for x in merge(low if low.isascii() else low.translate(self.latin))]).tobytes()
+            if len(core) < len(word):
                 at = len(word) - len(word.lstrip(AROUND))
-                kept[word] = self._side(word[:at]) + ids + self._side(word[at + len(core) :]) if len(core) < len(word) else ids
+                ids = self._side(word[:at]) + ids + self._side(word[at + len(core) :])
+            out.append(ids)
         for lo in range(0, len(rest), 8192):
             some = rest[lo : lo + 8192]
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-                kept[word] = array(code, coded.ids).tobytes()
+            for i, coded in zip(some, self.tokenizer.encode_batch_fast([words[i].decode() for i in some], add_special_tokens=False), strict=True):
+                out[i] = array(code, coded.ids).tobytes()
+        return out
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where different words stand among those kept, once the others are learnt."""
+        self.calls += 1
+        if len(self.words) > self.most:
+            self._keep(np.sort(np.argsort(self.used, kind="stable")[-(self.most // 2) :]))
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = np.arange(len(self.words), len(self.words) + len(new))
+        if len(new):
+            coded = self._learn(new.cast(pa.binary()).to_pylist())
+            self.words = pa.concat_arrays([self.words, new])
+            self.sizes = np.append(self.sizes, np.fromiter(map(len, coded), np.int64, len(coded)) // self.dtype.itemsize)
+            self.flat = np.append(self.flat, np.frombuffer(b"".join(coded), self.dtype))
+            self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        self.used[at] = self.calls
+        return at
+
+    def _keep(self, at: np.ndarray) -> None:
+        starts, sizes = (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        self.flat = self.flat[_runs(starts, sizes)]
+        self.words, self.sizes, self.used = self.words.take(pa.array(at)), sizes, self.used[at]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, and where each text's end; null is empty."""
+        texts = texts.fill_null("")
+        apart = np.full(len(texts), not self.by_words)
+        for mark in self.marks:
+            apart |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        whole = [self.whole(t) for t in texts.filter(pa.array(apart)).cast(pa.binary()).to_pylist()]
+        cut = pc.ascii_split_whitespace(pc.if_else(pa.array(apart), "", texts) if whole else texts)
+        words = cut.flatten().dictionary_encode()
+        at = self._places(words.dictionary)
+        sizes = np.append(self.sizes, np.array(list(map(len, whole)), np.int64) // self.dtype.itemsize)
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(whole), self.dtype)]) if whole else self.flat
+        held = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64))
+        which = np.insert(at[words.indices.to_numpy()], held[apart], np.arange(len(self.sizes), len(sizes)))
+        starts, sizes = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        return flat[_runs(starts, sizes)], np.append(0, np.cumsum(sizes))[held + np.cumsum(apart)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of some texts; words that none of them had before are learnt together."""
-        if len(self.kept) > self.most:
-            self.kept, self.older = {}, self.kept
-        if len(self.recent) > RECENT:
-            self.recent = {}
-        recent, kept, older, missing, out = self.recent, self.kept.get, self.older.get, {}, []
-        for text in texts:
-            if not self.by_words or any(m in text for m in self.marks):
-                out.append([self.whole(text)])
-                continue
-            words = text.split()
-            ids = list(map(recent.get, words))
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                word = words[at]
-                found = kept(word)
-                if found is None:
-                    missing.setdefault(word, []).append((ids, at))
-                else:
-                    ids[at] = recent[word] = found
-            out.append(ids)
-        again = {w: ids for w in missing if (ids := older(w)) is not None}
-        self.kept.update(again)
-        self._learn(w for w in missing if w not in again)
-        for word, places in missing.items():
-            found = self.kept[word]
-            for ids, at in places:
-                ids[at] = found
-        return list(map(b"".join, out))
+        ids, ends = self.encode_column(pa.array(texts, pa.binary()).cast(pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends)[: len(texts)]]
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs that start somewhere, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _encode(spelled, end: int, most_bytes: int = 1 << 18):
+def _encode(spelled, end: int, most_bytes: int = 1 << 22):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(spelled.value)
-        close = np.array([end], encoder.dtype).tobytes()
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            group = np.cumsum([len(t) for t in texts]) // most_bytes
-            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]
-            ids = [x + close for a, b in zip(cuts[:-1], cuts[1:], strict=True) for x in encoder.encode(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+            group = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // most_bytes
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                ids, ends = encoder.encode_column(batch.column(1).slice(a, b - a))
+                ids = np.insert(ids, ends, end)
+                bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * encoder.dtype.itemsize
+                if bounds[-1] >= 1 << 31:
+                    raise OverflowError("ids of a text take 2 GB or more")
+                own = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), own], ["id", "ids"])
 
     return run
 

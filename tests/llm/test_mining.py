@@ -114,6 +114,19 @@ def test_words_encode_as_whole_texts():
     assert encoder.encode([chr(c).encode() for c in range(0x250)]) == [encoder.whole(chr(c).encode()) for c in range(0x250)]
 
 
+@needs_vocabulary
+def test_a_word_is_met_in_python_once(monkeypatch):
+    """Words of a column that occur again, in it or in a later one, never become Python objects."""
+    encoder, learnt = token_files.Encoder(VOCABULARY.read_text()), []
+    monkeypatch.setattr(encoder, "_learn", lambda words, f=encoder._learn: learnt.extend(words := list(words)) or f(words))
+    texts = pa.array(["Ein Satz, ein Satz. " * 3, None, "", " x\u00c9 <|endoftext|> ein ", "Satz ein"])
+    for _ in range(2):
+        ids, ends = encoder.encode_column(texts)
+        want = [encoder.whole((t or "").encode()) for t in texts.to_pylist()]
+        assert ids.tobytes() == b"".join(want) and (ends == np.cumsum(list(map(len, want))) // ids.itemsize).all()
+    assert sorted(learnt) == sorted({b"", b"Ein", b"Satz,", b"ein", b"Satz.", b"Satz"})
+
+
 @needs_vocabulary
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_files(spark, tmp_path, name):
