@@ -1,6 +1,7 @@
 """Every training-data operator on small fixtures: brute force, round trips, and odd input."""
 
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -601,6 +602,29 @@ def test_neighbours_beside_a_hot_group(spark):
     assert len(got) == 180 and hits >= 0.9 * 5 * len(got)
 
 
+def test_neighbours_read_no_more_of_each_entry():
+    """What a query reads of the inverted files, a share of the entries, falls as the pivots grow; closeness is half the footrule."""
+    search = inspect.signature(ann.search).parameters
+    read = [ann.prefix_length(m, search["prefix_share"].default, search["most_prefix"].default) ** 2 / m for m in (1280, 2560, 5120, search["most_pivots"].default)]
+    assert read == sorted(read, reverse=True) and read[-1] <= 2
+    rng = np.random.default_rng(31)
+    prefixes = np.array([rng.permutation(40)[:9] for _ in range(200)])
+    files = ann.InvertedFiles(prefixes.astype("<u2"), 40)
+    for q in prefixes[:20]:
+        place = lambda p: [list(p).index(x) if x in p else 9 for x in range(40)]
+        footrule = np.array([sum(abs(a - b) for a, b in zip(place(p), place(q), strict=True)) for p in prefixes])
+        assert (files.closeness(q) == 90 / 2 - footrule / 2).all()
+
+
+def test_neighbours_by_blocks(spark):
+    """However the queries are dealt to blocks, answers are the same; few pivots, wide prefixes and huge components."""
+    rng = np.random.default_rng(32)
+    x = rng.standard_normal((600, 12)) * 10.0 ** rng.integers(-30, 30, (600, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one, many = (sorted(tuple(r) for r in ann.search(df, df.vec_id % 3 == 0, shard_entries=150, rerank=30, block_queries=n).collect()) for n in (1000, 17))
+    assert one == many and len(one) == 1000
+
+
 # 9 Katz
 
 
