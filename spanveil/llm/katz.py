@@ -11,9 +11,11 @@ is shuffled, so one word pair in every document is one entry a block. Scoring: t
 most ``heavy`` of them, are sent to all tasks and settle most tokens at once; the rest are posted to their
 buckets, whose sorted keys answer them, and each document's answers are summed.
 
-What is broadcast: the token table, about 40 bytes a token in each worker and at most ``most_tokens`` of them (2^22: 168
-MB), counted beforehand, and the heavy n-grams, bounded by their number. A larger vocabulary takes ``score_by_joins``: the same model by aggregations and joins of hashed
-rows, with nothing broadcast.
+Workers hold the ``frequent`` tokens (about 40 bytes each, 2^20 at most), the heavy n-grams, bounded by their number, and
+one bucket. Ids go by falling count, so all other tokens of one count are one range of ids: their probabilities are a row
+a count. Their ids come from buckets of hashes, which the texts' other words are posted to, and their histories lie whole in
+one bucket of n-grams, which works out their weights itself. No size of the vocabulary changes what a worker holds.
+``score_by_joins`` is the same model by aggregations and joins of hashed rows; the tests compare both.
 
 Tokens: A-Z is lower-cased, words are cut at ASCII white space, and one end token closes a text. A null text
 is an empty one: only the end token. Rows with a null id are never held out. Repeated rows are each counted
@@ -32,15 +34,18 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, crc_mod, documents, give_back, lean, mix64, relieve, staged
+from .common import TokenHasher, crc_mod, discard, documents, give_back, lean, mix64, relieve, staged
 
 END = np.uint64(0x9D5C1F3B7A2E8640)  # the hash of the end token
 GT_MAX = 5
 BLOCK_TOKENS = 1 << 20
 BUCKET_TOKENS = 1 << 21
+BUCKET_TYPES = 1 << 18
+BLOCK, OTHERS = "_token_block", "_other_tokens"  # columns between the two passes of encode()
 
 
 def tokens_of(hasher: TokenHasher, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -75,28 +80,14 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 @dataclass
-class Vocabulary:
-    """Token hashes, sorted, with their ids; ids go by falling count. The start of a text has the id ``len``."""
+class Frequent:
+    """Hashes of the frequent tokens, sorted, with their ids: what each worker holds of the vocabulary."""
 
     hashes: np.ndarray
     ids_by_hash: np.ndarray
-    counts: np.ndarray  # by id
-    total: int
-
-    def __len__(self) -> int:
-        return len(self.hashes)
-
-    @classmethod
-    def of(cls, hashes: np.ndarray, counts: np.ndarray) -> Vocabulary:
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], counts[order]
-        by_count = np.argsort(-counts, kind="stable")
-        ids = np.empty(len(hashes), np.int32)
-        ids[by_count] = np.arange(len(hashes))
-        total = int(counts.sum())
-        return cls(hashes, ids, counts[by_count].astype(np.int32 if total < 2**31 else np.int64), total)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """-1 for all others."""
         if not len(self.hashes):
             return np.full(len(hashes), -1, np.int32)
         codes, own = pd.factorize(hashes)
@@ -104,6 +95,43 @@ class Vocabulary:
         return np.where(self.hashes[at] == own, self.ids_by_hash[at], -1).astype(np.int32)[codes]
 
 
+@dataclass
+class Vocabulary:
+    """Tokens' ids go by falling count. The start of a text has the id ``len``."""
+
+    frequent: Frequent
+    class_counts: np.ndarray  # the counts that occur, falling
+    class_sizes: np.ndarray  # tokens of each
+    rare: DataFrame | None  # all other tokens, by bucket: hashes of each count in turn, and how many of each
+    rare_ids: dict[int, np.ndarray]  # of each bucket, the first id of each count
+    rare_buckets: int = 0
+
+    def __len__(self) -> int:
+        return int(self.class_sizes.sum())
+
+    @property
+    def total(self) -> int:
+        return int(self.class_counts @ self.class_sizes)
+
+
+class ById:
+    """A value for each token id, from one for each count: a table of the frequent ids, and ranges of all others."""
+
+    def __init__(self, values: np.ndarray, vocabulary: Vocabulary):
+        self.n = len(vocabulary.frequent.hashes)
+        ends = np.cumsum(vocabulary.class_sizes)
+        near = int(np.searchsorted(ends, self.n, "right"))
+        self.near, self.far, self.ends = np.repeat(values[:near], vocabulary.class_sizes[:near]), values[near:], ends[near:]
+
+    def __getitem__(self, ids: np.ndarray) -> np.ndarray:
+        if not len(self.far):
+            return self.near[ids]
+        out, rare = np.empty(len(ids)), ids >= self.n
+        out[~rare] = self.near[ids[~rare]]
+        out[rare] = self.far[np.searchsorted(self.ends, ids[rare], "right")]
+        return out
+
+
 def _planes(values: np.ndarray, kind: str) -> bytes:
     """Values byte plane by byte plane, compressed."""
     values = np.ascontiguousarray(values.astype(kind))
@@ -126,16 +154,111 @@ def _from_counts(blob: bytes) -> np.ndarray:
     return _from_planes(blob[1:], f"<u{blob[:1].decode()}")
 
 
-def _encode(vocabulary, names: list[str]):
-    """Texts to token ids, -1 for unknown ones."""
+def _in_rows(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary rows of so many values each."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)]) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _encode(frequent, names: list[str]):
+    """Texts to the ids of frequent tokens, -1 for others, and the others' hashes. A block is a run of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hasher = vocabulary.value, TokenHasher()
+        known, hasher, block = frequent.value, TokenHasher(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi, hashes, sizes in tokens_of(hasher, batch.column(len(names))):
                 ids, ends = known.ids(hashes), np.cumsum(sizes)
                 coded = [_planes(ids[e - n : e], "<i4") for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(names)], pa.array(coded, pa.binary())], [*names, "token_ids"])
+                others = _in_rows(hashes[ids < 0], _per_row((ids < 0).astype(np.int64), sizes))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(names)], pa.array(coded, pa.binary()), others, pa.array(np.full(hi - lo, block))], [*names, "token_ids", OTHERS, BLOCK])
+                block += 1
+
+    return run
+
+
+def _deal(buckets: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket that leaves each bucket's keys in theirs, and where each bucket starts and the last ends."""
+    bucket = _bucket_of(keys, buckets)
+    order = np.argsort(bucket.astype(np.int16 if buckets < 2**15 else np.int32), kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _deal_tokens(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order, ends = _deal(buckets, h)
+            sizes = np.diff(ends)
+            own = np.flatnonzero(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), _in_rows(h[order], sizes[own]), _in_rows(c[order], sizes[own])], ["bucket", "hashes", "counts"])
+
+    return run
+
+
+def _token_bucket(class_counts: np.ndarray):
+    """class_counts: falling."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, c = (np.frombuffer(b"".join(table[x].to_pylist()), np.int64) for x in ("hashes", "counts"))
+        sizes = np.array([(c == x).sum() for x in class_counts.tolist()])
+        return pa.table({"bucket": table["bucket"][:1], "hashes": pa.array([h[np.lexsort((h.view("u8"), -c))].tobytes()], pa.binary()), "sizes": pa.array([sizes.astype(np.int64).tobytes()], pa.binary())})
+
+    return run
+
+
+def _ask_ids(buckets: int):
+    """A block's other tokens, each once, to their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+                h = np.unique(np.frombuffer(b"".join(batch.column(1)[lo:hi].to_pylist()), np.int64))
+                order, ends = _deal(buckets, h)
+                sizes = np.diff(ends)
+                own = np.flatnonzero(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), block[lo])), _in_rows(h[order], sizes[own]), pa.nulls(len(own), pa.binary())], ["bucket", BLOCK, "hashes", "sizes"])
+
+    return run
+
+
+def _give_ids(first_ids: dict[int, np.ndarray]):
+    """Rows come by bucket, its own tokens before the posts: each post's tokens that have an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            for i in range(len(batch)):
+                bucket, block, hashes, sizes = (c[i].as_py() for c in batch.columns)
+                h = np.frombuffer(hashes, np.int64)
+                if sizes is not None:
+                    n = np.frombuffer(sizes, np.int64)
+                    order = np.argsort(h)
+                    ids = (np.arange(len(h)) + np.repeat(first_ids[bucket] - np.cumsum(n) + n, n))[order]
+                    at, held = bucket, h[order]
+                elif at == bucket and len(held):
+                    place = np.minimum(np.searchsorted(held, h), len(held) - 1)
+                    hit = held[place] == h
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([h[hit].tobytes()], pa.binary()), pa.array([ids[place[hit]].astype("<i4").tobytes()], pa.binary())], [BLOCK, "hashes", "ids"])
+
+    return run
+
+
+def _fill(names: list[str]):
+    """A block's rows, with the ids of the other tokens that have one."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        h, ids = (np.frombuffer(b"".join(answers[x].to_pylist()), kind) for x, kind in (("hashes", np.int64), ("ids", "<i4")))
+        order, coded = np.argsort(h), rows["token_ids"].to_pylist()
+        h, ids = h[order], ids[order]
+        for i, others in enumerate(rows[OTHERS].to_pylist()):
+            if others and len(h):
+                own, row = np.frombuffer(others, np.int64), _from_planes(coded[i], "<i4").copy()
+                place = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                row[row < 0] = np.where(h[place] == own, ids[place], -1)
+                coded[i] = _planes(row, "<i4")
+        return pa.table([*(rows[x] for x in names), pa.array(coded, pa.binary())], [*names, "token_ids"])
 
     return run
 
@@ -182,24 +305,30 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 class Unigrams:
     """log10 probabilities of tokens by id, and of the unknown token."""
 
-    logs: np.ndarray
+    logs: ById
     unknown: float
 
     @classmethod
     def of(cls, vocabulary: Vocabulary) -> Unigrams:
         if not len(vocabulary):
-            return cls(np.zeros(0), 0.0)
-        r, n = np.unique(vocabulary.counts[vocabulary.counts <= GT_MAX + 1], return_counts=True)
-        kept = discounted(vocabulary.counts, discounts(dict(zip(r.tolist(), n.tolist(), strict=True))))
-        left = vocabulary.total - kept.sum()
+            return cls(ById(np.zeros(0), vocabulary), 0.0)
+        few = vocabulary.class_counts <= GT_MAX + 1
+        kept = discounted(vocabulary.class_counts, discounts(dict(zip(vocabulary.class_counts[few].tolist(), vocabulary.class_sizes[few].tolist(), strict=True))))
+        left = vocabulary.total - kept @ vocabulary.class_sizes
         whole = vocabulary.total + (1.0 if left < 1e-9 else 0.0)
-        return cls(np.log10(kept / whole), math.log10((whole - kept.sum()) / whole))
+        return cls(ById(np.log10(kept / whole), vocabulary), math.log10((whole - kept @ vocabulary.class_sizes) / whole))
 
 
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(keys.view("u8")) >> np.uint64(32)).astype(np.int64) * buckets >> 32
 
 
+def _pair_order(keys: np.ndarray, size: int, frequent: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs by bucket: those of a rare history all in one, those of a frequent one or of the start in all."""
+    h = keys // (size + 1)
+    return _deal(buckets, np.where((h >= frequent) & (h < size), ~h, keys))
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Rising values as gaps."""
     return _planes(np.diff(values, prepend=values.dtype.type(0)), "<i8") if len(values) else b""
@@ -209,15 +338,13 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(blob, "<i8")) if blob else np.empty(0, np.int64)
 
 
-def _count_pairs(size: int, buckets: int):
+def _count_pairs(size: int, frequent: int, buckets: int):
     def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate(held)
         keys.sort()
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
         counts, keys = np.diff(np.append(first, len(keys))), keys[first]
-        bucket = _bucket_of(keys, buckets)
-        order = np.argsort(bucket.astype(np.int16 if buckets < 2**15 else np.int32), kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        order, ends = _pair_order(keys, size, frequent, buckets)
         for b in range(buckets):
             if ends[b] < ends[b + 1]:
                 own = order[ends[b] : ends[b + 1]]
@@ -255,32 +382,43 @@ def _count_histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(n.astype(np.int64))], ["c", "n"])
 
 
+def _sums_of(keys: np.ndarray, counts: np.ndarray, logs: ById, d: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Histories in sorted pairs, with their counts, what is kept of them, and the lower order's mass."""
+    h = keys // (size + 1)
+    start = np.flatnonzero(np.diff(h, prepend=-1))
+    return h[start], *(np.add.reduceat(x, start) if len(h) else x for x in (counts, discounted(counts, d), 10.0 ** logs[keys % (size + 1)]))
+
+
+def _rare(keys: np.ndarray, size: int, frequent: int) -> np.ndarray:
+    return (keys >= frequent * (size + 1)) & (keys < size * (size + 1))
+
+
 def _histories(shared, d: np.ndarray):
-    """Each bucket's parts of the histories' counts, of what is kept of them, and of the lower order's mass."""
+    """Each bucket's parts of the frequent histories' sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, logs = shared.value
+        size, frequent, logs = shared.value
         for batch in batches:
             for i in range(len(batch)):
                 all_keys, all_counts = _unpacked(batch.column("keys")[i].as_py()), _from_counts(batch.column("counts")[i].as_py())
+                own = ~_rare(all_keys, size, frequent)
+                all_keys, all_counts = all_keys[own], all_counts[own]
                 for at in range(0, len(all_keys), 1 << 17):  # a history cut in two is summed later
-                    keys, counts = all_keys[at : at + (1 << 17)], all_counts[at : at + (1 << 17)].astype(np.int64)
-                    h = keys // (size + 1)
-                    start = np.flatnonzero(np.diff(h, prepend=-1))
-                    parts = [np.add.reduceat(x, start) for x in (counts, discounted(counts, d), 10.0 ** logs[keys % (size + 1)])]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[start]), *map(pa.array, parts)], ["h", "c", "kept", "lower"])
+                    parts = _sums_of(all_keys[at : at + (1 << 17)], all_counts[at : at + (1 << 17)].astype(np.int64), logs, d, size)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, parts)], ["h", "c", "kept", "lower"])
 
     return run
 
 
-def _heavy(least: int):
+def _heavy(least: int, size: int, frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 counts = _from_counts(batch.column("counts")[i].as_py())
-                own = np.flatnonzero(counts >= least)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(_unpacked(batch.column("keys")[i].as_py())[own]), pa.array(counts[own].astype(np.int64))], ["key", "c"])
+                if (counts >= least).any():
+                    keys = _unpacked(batch.column("keys")[i].as_py())
+                    own = np.flatnonzero((counts >= least) & ~_rare(keys, size, frequent))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(counts[own].astype(np.int64))], ["key", "c"])
 
     return run
 
@@ -289,24 +427,37 @@ def _heavy(least: int):
 class Model:
     """What a scoring task holds besides its bucket."""
 
-    counts: np.ndarray  # by token id
+    size: int
+    frequent: int
     total: int
+    base: ById  # log10 of the base probability, and of the unknown token's
+    base_unknown: float
     unigrams: Unigrams
     d: np.ndarray
-    log_c: np.ndarray  # by history: log10 of its count (-inf: none)
-    log_alpha: np.ndarray  # by history: log10 of its backoff weight
+    log_c: np.ndarray  # by frequent history, the start last: log10 of its count (-inf: none)
+    log_alpha: np.ndarray  # likewise: log10 of its backoff weight
     heavy_keys: np.ndarray
     heavy_counts: np.ndarray
 
-    def seen(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.log10(discounted(counts, self.d)) - self.log_c[keys // (len(self.counts) + 1)]
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Where a frequent history or the start stands."""
+        return np.minimum(h, self.frequent)
 
-    def backed_off(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 of weight times lower order; an unknown history has weight 1."""
-        lower = np.full(len(w), self.unigrams.unknown)
-        lower[w >= 0] = self.unigrams.logs[w[w >= 0]]
-        lower[h >= 0] += self.log_alpha[h[h >= 0]]
-        return lower
+    def kept(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10(discounted(counts, self.d))
+
+    def lower(self, w: np.ndarray) -> np.ndarray:
+        out, known = np.full(len(w), self.unigrams.unknown), w >= 0
+        out[known] = self.unigrams.logs[w[known]]
+        return out
+
+    def base_of(self, w: np.ndarray) -> np.ndarray:
+        out, known = np.full(len(w), self.base_unknown), w >= 0
+        out[known] = self.base[w[known]]
+        return out
+
+    def is_frequent(self, h: np.ndarray) -> np.ndarray:
+        return (h >= 0) & ((h < self.frequent) | (h == self.size))
 
     def look_up_heavy(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.heavy_keys):
@@ -328,11 +479,24 @@ def count_tokens(training: DataFrame, text_col: str = "text") -> DataFrame:
     return staged(texts.mapInArrow(lean(_count_tokens), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "tokens")
 
 
-def vocabulary_of(tokens: DataFrame) -> Vocabulary:
-    """The token table on the driver; for tables whose size has been checked."""
-    got = tokens.toArrow()
-    out = Vocabulary.of(got["h"].to_numpy().view("u8"), got["c"].to_numpy())
+def vocabulary_of(tokens: DataFrame, frequent: int = 1 << 20) -> Vocabulary:
+    """Ids for all tokens: those of the largest counts, at most ``frequent``, in one table, all others in buckets."""
+    counted = sorted(((r.c, r.n) for r in tokens.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # at most sqrt(2 total) rows
+    counts, sizes = (np.array([r[i] for r in counted], np.int64) for i in (0, 1))
+    far = int(np.searchsorted(np.cumsum(sizes), frequent, "right"))
+    got = tokens.filter(F.col("c") > int(counts[far])).toArrow() if far < len(counts) else tokens.toArrow()
+    hashes, order = got["h"].to_numpy().view("u8"), np.lexsort((got["h"].to_numpy(), -got["c"].to_numpy()))
     del got
+    by_hash = np.argsort(hashes[order])
+    out = Vocabulary(Frequent(hashes[order][by_hash], by_hash.astype(np.int32)), counts, sizes, None, {})
+    if far < len(counts):
+        buckets = max(12, -(-int(sizes[far:].sum()) // BUCKET_TYPES))
+        out.rare_buckets = buckets
+        dealt = tokens.filter(F.col("c") <= int(counts[far])).mapInArrow(lean(_deal_tokens(buckets)), "bucket int, hashes binary, counts binary")
+        out.rare = staged(dealt.groupBy("bucket").applyInArrow(_token_bucket(counts[far:]), "bucket int, hashes binary, sizes binary"), "rare-tokens")
+        at = np.cumsum(sizes)[far:] - sizes[far:]
+        for r in sorted(out.rare.select("bucket", "sizes").collect()):
+            out.rare_ids[r.bucket], at = at, at + np.frombuffer(r.sizes, np.int64)
     give_back()
     return out
 
@@ -341,40 +505,54 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
     """docs with token_ids instead of the text, written to the shared folder: scoring reads the texts no more."""
     kept = [c for c in docs.columns if c not in (text_col, "token_ids")]
     rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return staged(rows.mapInArrow(lean(_encode(shared, kept)), docs.select(*kept).schema.add("token_ids", "binary")), "coded")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.frequent)
+    schema = lambda: docs.select(*kept).schema.add("token_ids", "binary")
+    first = staged(rows.mapInArrow(lean(_encode(shared, kept)), schema().add(OTHERS, "binary").add(BLOCK, "long")), "coded")
+    if vocabulary.rare is None:
+        return first.select(*kept, "token_ids")
+    own = vocabulary.rare.select("bucket", F.lit(None).cast("long").alias(BLOCK), "hashes", "sizes")
+    posts = first.filter(F.length(OTHERS) > 0).select(BLOCK, OTHERS).mapInArrow(lean(_ask_ids(vocabulary.rare_buckets)), f"bucket int, {BLOCK} long, hashes binary, sizes binary")
+    meet = own.unionByName(posts).repartition(vocabulary.rare_buckets, "bucket").sortWithinPartitions("bucket", F.col(BLOCK).asc_nulls_first())
+    answers = meet.mapInArrow(lean(_give_ids(vocabulary.rare_ids)), f"{BLOCK} long, hashes binary, ids binary")
+    coded = staged(first.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(_fill(kept), schema()), "coded-all")
+    discard(first)
+    relieve(docs.sparkSession, 0)
+    return coded
 
 
 def fit(coded: DataFrame, vocabulary: Vocabulary, heavy: int = 1 << 19) -> Fitted:
     """Counts, discounts and backoff weights of the coded training texts."""
-    spark, size = coded.sparkSession, len(vocabulary)
+    spark, size, frequent = coded.sparkSession, len(vocabulary), len(vocabulary.frequent.hashes)
     unigrams = Unigrams.of(vocabulary)
     buckets = max(12, -(-vocabulary.total // BUCKET_TOKENS))
-    pairs = coded.select("token_ids").mapInArrow(lean(_count_pairs(size, buckets)), "bucket int, keys binary, counts binary")
+    pairs = coded.select("token_ids").mapInArrow(lean(_count_pairs(size, frequent, buckets)), "bucket int, keys binary, counts binary")
     pairs = staged(pairs.groupBy("bucket").applyInArrow(_merge_bucket, "bucket int, keys binary, counts binary"), "pairs")
     relieve(spark, 0)  # what the pairs were dealt out by is as large as all that scoring writes
     histogram = {r.c: r.n for r in pairs.mapInArrow(lean(_count_histogram), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}  # at most sqrt(2 total) rows
     d = discounts(histogram)
 
-    sums = pairs.mapInArrow(lean(_histories(spark.sparkContext.broadcast((size, unigrams.logs)), d)), "h long, c long, kept double, lower double")
+    sums = pairs.mapInArrow(lean(_histories(spark.sparkContext.broadcast((size, frequent, unigrams.logs)), d)), "h long, c long, kept double, lower double")
     sums = sums.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", "kept", "lower")])
     whole = F.when(F.col("c") - F.col("kept") < 1e-9, F.col("c") + 1.0).otherwise(F.col("c"))
     alpha = (whole - F.col("kept")) / whole / F.greatest(1 - F.col("lower"), F.lit(1e-12))
     got = sums.select("h", F.log10(whole).alias("log_c"), F.log10(alpha).alias("log_alpha")).toArrow()
-    log_c, log_alpha = np.full(size + 1, -np.inf), np.zeros(size + 1)
-    log_c[got["h"].to_numpy()], log_alpha[got["h"].to_numpy()] = got["log_c"].to_numpy(), got["log_alpha"].to_numpy()
+    log_c, log_alpha = np.full(frequent + 1, -np.inf), np.zeros(frequent + 1)
+    place = np.minimum(got["h"].to_numpy(), frequent)
+    log_c[place], log_alpha[place] = got["log_c"].to_numpy(), got["log_alpha"].to_numpy()
 
     least, held = max(histogram, default=0) + 1, 0
     for c in sorted(histogram, reverse=True):
         if held + histogram[c] > heavy:
             break
         least, held = c, held + histogram[c]
-    got = pairs.mapInArrow(lean(_heavy(least)), "key long, c long").toArrow()
+    got = pairs.mapInArrow(lean(_heavy(least, size, frequent)), "key long, c long").toArrow()
     order = np.argsort(got["key"].to_numpy())
     heavy_keys, heavy_counts = got["key"].to_numpy()[order], got["c"].to_numpy()[order]
     del got, order
     give_back()
-    return Fitted(Model(vocabulary.counts, vocabulary.total, unigrams, d, log_c, log_alpha, heavy_keys, heavy_counts), pairs, buckets)
+    whole = vocabulary.total + size + 1
+    base = ById(np.log10((vocabulary.class_counts + 1.0) / whole), vocabulary)
+    return Fitted(Model(size, frequent, vocabulary.total, base, -math.log10(whole), unigrams, d, log_c, log_alpha, heavy_keys, heavy_counts), pairs, buckets)
 
 
 def _per_row(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -382,80 +560,101 @@ def _per_row(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _first_scores(model, names: list[str]):
-    """Everything but what the buckets know: pairs that are not heavy count as unseen for now."""
+    """Everything but what the buckets know: pairs that are not heavy count as unseen for now, and rare histories as unknown."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        size = len(m.counts)
-        base_of = np.log10((np.append(m.counts, 0) + 1.0) / (m.total + size + 1))  # the last one: unknown
         for batch in batches:
-            for lo, hi, w, h, sizes in _coded(batch.column(len(names)), size):
-                known = w >= 0
-                logs = m.backed_off(h, w)
-                both = np.flatnonzero(known & (h >= 0))
-                keys = h[both] * (size + 1) + w[both]
+            for lo, hi, w, h, sizes in _coded(batch.column(len(names)), m.size):
+                known, logs, own = w >= 0, m.lower(w), np.flatnonzero(m.is_frequent(h))
+                logs[own] += m.log_alpha[m.place(h[own])]
+                own = own[known[own]]
+                keys = h[own] * (m.size + 1) + w[own]
                 heavy, counts = m.look_up_heavy(keys)
-                logs[both[heavy]] = m.seen(keys[heavy], counts[heavy])
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(names)], pa.array(sizes.astype(np.int64)), pa.array(_per_row(known.astype(np.int64), sizes)), pa.array(_per_row(base_of[w], sizes)), pa.array(_per_row(logs, sizes))], [*names, "n_tokens", "n_known", "base_score", "first"])
+                logs[own[heavy]] = m.kept(counts[heavy]) - m.log_c[m.place(h[own[heavy]])]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(names)], pa.array(sizes.astype(np.int64)), pa.array(_per_row(known.astype(np.int64), sizes)), pa.array(_per_row(m.base_of(w), sizes)), pa.array(_per_row(logs, sizes))], [*names, "n_tokens", "n_known", "base_score", "first"])
 
     return run
 
 
 def _post(model, buckets: int):
-    """Pairs that are not heavy, to their buckets: sorted keys, and the row of each."""
+    """Pairs that are not heavy, and all of rare histories, to their buckets: sorted keys, and the row of each. A block's
+    row keys go once, to any bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        size = len(m.counts)
         for batch in batches:
             row_keys = batch.column(0).to_numpy()
-            for lo, hi, w, h, sizes in _coded(batch.column(1), size):
-                row = np.repeat(np.arange(hi - lo), sizes)
-                ask = np.flatnonzero((w >= 0) & (h >= 0))
-                ask = ask[np.isfinite(m.log_c[h[ask]])]
-                keys, row = h[ask] * (size + 1) + w[ask], row[ask]
-                rare = np.flatnonzero(~m.look_up_heavy(keys)[0])
-                order = rare[np.argsort(keys[rare], kind="stable")]
+            for lo, hi, w, h, sizes in _coded(batch.column(1), m.size, 1 << 20):
+                row = np.repeat(np.arange(hi - lo, dtype=np.int32), sizes)
+                near = m.is_frequent(h)
+                near[near] = np.isfinite(m.log_c[m.place(h[near])])
+                ask = np.flatnonzero(near & (w >= 0) | (h >= m.frequent) & (h < m.size))
+                keys, row = h[ask] * (m.size + 1) + np.where(w[ask] < 0, m.size, w[ask]), row[ask]  # the start follows nothing
+                rest = np.flatnonzero(~m.look_up_heavy(keys)[0])
+                order = rest[np.argsort(keys[rest], kind="stable")]
                 keys, row = keys[order], row[order]
-                bucket = _bucket_of(keys, buckets)
-                order = np.argsort(bucket.astype(np.int16 if buckets < 2**15 else np.int32), kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    if ends[b] < ends[b + 1]:
-                        own = order[ends[b] : ends[b + 1]]
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([1], pa.int32()), pa.array([_packed(keys[own])], pa.binary()), pa.array([_planes(row[own], "<u4")], pa.binary()), pa.array([row_keys[lo:hi].astype("<i8").tobytes()], pa.binary())], ["bucket", "kind", "keys", "counts", "rows"])
+                order, ends = _pair_order(keys, m.size, m.frequent, buckets)
+                own = [(b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1]]
+                if own:
+                    rows = row_keys[lo:hi].astype("<i8").tobytes()
+                    block = xxhash.xxh3_64_intdigest(rows) - 2**63
+                    columns = [[b for b, _ in own], [1] * len(own), [_packed(keys[x]) for _, x in own], [_planes(row[x], "<u4") for _, x in own]]
+                    columns = [[*c, x] for c, x in zip(columns, (block % buckets, 2, rows, b""), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:2], (pa.int32(), pa.int32())), *map(pa.array, columns[2:], (pa.binary(), pa.binary())), pa.array([block] * (len(own) + 1))], ["bucket", "kind", "keys", "counts", "block"])
 
     return run
 
 
 def _answer(model):
-    """Rows come by bucket, its counts before the posts: what each row gains over backing off."""
+    """Rows come by bucket, its counts before the posts: what each row gains over its first score; row keys pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, at = model.value, None
-        size = len(m.counts) + 1
+        size = m.size + 1
+        row = lambda *x: pa.RecordBatch.from_arrays([pa.array([x[0]]), *(pa.array([y], pa.binary()) for y in x[1:])], ["block", "row_keys", "rows", "gains"])
         for batch in batches:
             for i in range(len(batch)):
-                bucket, kind, keys, other, rows = (c[i].as_py() for c in batch.columns)
+                bucket, kind, keys, other, block = (c[i].as_py() for c in batch.columns)
+                if kind == 2:
+                    yield row(block, keys, None, None)
+                    continue
                 keys = _unpacked(keys)
                 if kind == 0:
                     at, held, counts = bucket, keys, _from_counts(other).astype(np.int64)
+                    own = _rare(held, m.size, m.frequent)
+                    rare, c, kept, lower = _sums_of(held[own], counts[own], m.unigrams.logs, m.d, m.size)
+                    whole = np.where(c - kept < 1e-9, c + 1.0, c)
+                    log_c, log_alpha = np.log10(whole), np.log10((whole - kept) / whole / np.maximum(1 - lower, 1e-12))
                 elif at == bucket and len(held):
                     place = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-                    hit = held[place] == keys
-                    keys, row = keys[hit], _from_planes(other, "<u4")[hit]
-                    gain = m.seen(keys, counts[place[hit]]) - m.backed_off(keys // size, keys % size)
-                    if hit.any():
-                        sums = np.bincount(row, gain, len(rows) // 8)
-                        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(rows) - 2**63], pa.int64()), pa.array([rows], pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["block", "rows", "gains"])
+                    hit, h, w = held[place] == keys, keys // size, keys % size
+                    seen, far = m.kept(counts[place]), _rare(keys, m.size, m.frequent)
+                    gain = np.zeros(len(keys))
+                    own = np.flatnonzero(hit & ~far)
+                    gain[own] = seen[own] - m.log_c[m.place(h[own])] - m.unigrams.logs[w[own]] - m.log_alpha[m.place(h[own])]
+                    if len(rare):
+                        own = np.flatnonzero(far)
+                        of = np.minimum(np.searchsorted(rare, h[own]), len(rare) - 1)
+                        own, of = own[rare[of] == h[own]], of[rare[of] == h[own]]
+                        gain[own] = log_alpha[of]
+                        own, of = own[hit[own]], of[hit[own]]
+                        gain[own] = seen[own] - log_c[of] - m.unigrams.logs[w[own]]
+                    sums = np.bincount(_from_planes(other, "<u4"), gain)
+                    if (rows := np.flatnonzero(sums)).size:
+                        yield row(block, None, _planes(np.diff(rows, prepend=0), "<u4"), sums[rows].tobytes())
 
     return run
 
 
 def _sum_block(table: pa.Table) -> pa.Table:
     """What all buckets say of a block of rows; a block posts at most once to each bucket."""
-    total = np.sum([np.frombuffer(x.as_py()) for x in table["gains"]], axis=0)
-    return pa.table({"row_key": pa.array(np.frombuffer(table["rows"][0].as_py(), "<i8")), "gain": pa.array(total)})
+    keys = np.frombuffer(next(x for x in table["row_keys"].to_pylist() if x is not None), "<i8")
+    total = np.zeros(len(keys))
+    for rows, gains in zip(table["rows"].to_pylist(), table["gains"].to_pylist(), strict=True):
+        if rows is not None:
+            total[np.cumsum(_from_planes(rows, "<u4"), dtype=np.int64)] += np.frombuffer(gains)
+    return pa.table({"row_key": pa.array(keys), "gain": pa.array(total)})
 
 
 def score(coded: DataFrame, fitted: Fitted, id_col: str = "doc_id") -> DataFrame:
@@ -466,10 +665,10 @@ def score(coded: DataFrame, fitted: Fitted, id_col: str = "doc_id") -> DataFrame
     schema = coded.select(*kept, row_key).schema
     first = coded.select(*kept, row_key, "token_ids").mapInArrow(lean(_first_scores(model, [*kept, "row_key"])), schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("first", "double"))
 
-    posts = coded.select(row_key, "token_ids").mapInArrow(lean(_post(model, fitted.buckets)), "bucket int, kind int, keys binary, counts binary, rows binary")
-    table = fitted.pairs.select("bucket", F.lit(0).alias("kind"), "keys", "counts", F.lit(None).cast("binary").alias("rows"))
+    posts = coded.select(row_key, "token_ids").mapInArrow(lean(_post(model, fitted.buckets)), "bucket int, kind int, keys binary, counts binary, block long")
+    table = fitted.pairs.select("bucket", F.lit(0).alias("kind"), "keys", "counts", F.lit(None).cast("long").alias("block"))
     meet = table.unionByName(posts).repartition(fitted.buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    answers = meet.mapInArrow(lean(_answer(model)), "block long, rows binary, gains binary")
+    answers = meet.mapInArrow(lean(_answer(model)), "block long, row_keys binary, rows binary, gains binary")
     gains = answers.groupBy("block").applyInArrow(_sum_block, "row_key long, gain double").groupBy("row_key").agg(F.sum("gain").alias("gain"))
     same = coded.select(row_key).groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))  # repeated rows post alike
     gains = same.join(gains, "row_key", "left")
@@ -538,11 +737,8 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(crc_mod(id_col, folds) == fold, F.lit(False))
 
 
-def op9_lm_scoring(spark, sf_dir: str, most_tokens: int = 1 << 22) -> DataFrame:
+def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", held_out().alias("held_out"), "text")
-    tokens = count_tokens(docs.filter(~F.col("held_out")))
-    if tokens.count() > most_tokens:
-        return score_by_joins(docs.withColumn("train", ~F.col("held_out")), tokens, "train")
-    vocabulary = vocabulary_of(tokens)
+    vocabulary = vocabulary_of(count_tokens(docs.filter(~F.col("held_out"))))
     coded = encode(docs, vocabulary)
     return score(coded, fit(coded.filter(~F.col("held_out")), vocabulary))

@@ -679,6 +679,30 @@ def test_katz(spark, way):
         assert abs(r.base_score - base) < 1e-8 and abs(r.score - score) < 1e-8
 
 
+@pytest.mark.parametrize("frequent", [0, 1, 7, 25])
+def test_katz_beside_rare_tokens(spark, frequent):
+    """Whatever workers hold of the vocabulary, the scores are the same; what they hold has that size, not the vocabulary's."""
+    rng = random.Random(9)
+    words = [w for i in range(60) for w in [f"w{i}"] * (60 // (i + 1) + 1)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(150)] + [None, "", "NEVER seen words w1 never w59 w58 never", "W1 w2", "w50 w51 w52"] * 2
+    texts += [" ".join(f"own{i}x{j}" for j in range(3)) for i in range(20)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    df = docs(spark, texts).select("doc_id", katz.held_out().alias("held_out"), "text")
+    v = katz.vocabulary_of(katz.count_tokens(df.filter("NOT held_out")), frequent)
+    coded = katz.encode(df.repartition(3), v)
+    fitted = katz.fit(coded.filter("NOT held_out"), v, heavy=20)
+    m = fitted.model
+    assert len(v) > 60 and max(map(len, (v.frequent.hashes, m.base.near, m.unigrams.logs.near, m.log_c[:-1], m.log_alpha[:-1]))) <= frequent
+    got = {r.doc_id: r for r in katz.score(coded, fitted).collect()}
+    for d, (n, known, total, base, score) in brute_katz(list(enumerate(texts)), held).items():
+        r = got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), n, known, total)
+        assert abs(r.base_score - base) < 1e-8 and abs(r.score - score) < 1e-8
+    twice = df.unionByName(df)  # repeated rows
+    coded = katz.encode(twice, v)
+    assert all(abs(r.score - got[r.doc_id].score) < 1e-8 for r in katz.score(coded, fitted).collect()) and coded.count() == 2 * len(texts)
+
+
 def test_counts_of_any_size():
     """Sums beyond 32 bits are kept as they are."""
     import pyarrow as pa
