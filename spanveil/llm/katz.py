@@ -689,8 +689,8 @@ def _hashed_pairs(names: list[str]):
                 order = np.lexsort((w, h, row))
                 row, h, w = row[order], h[order], w[order]
                 first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-                part = batch.slice(lo, hi - lo).take(pa.array(row[first]))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(h[first].view("i8")), pa.array(w[first].view("i8")), pa.array(np.diff(np.append(first, len(row))))], [*names, "h", "w", "k"])
+                part = batch.select(names).slice(lo, hi - lo).take(pa.array(row[first]))  # never the text, once a pair
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(h[first].view("i8")), pa.array(w[first].view("i8")), pa.array(np.diff(np.append(first, len(row))))], [*names, "h", "w", "k"])
 
     return run
 
